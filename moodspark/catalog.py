@@ -70,6 +70,9 @@ RAW3_TO_FIFTEEN = {0: 15, 1: 3, 2: 5}
 # Six-class names with the subject particle, used in the result sentence.
 SIX_BERT_WITH_PARTICLE = ["상처가", "불안이", "분노가", "슬픔이", "기쁨이", "당황이"]
 
+# Result sentence around the predicted name (with particle).
+RESULT_SENTENCE = ">> 입력하신 내용에서 %s 느껴집니다."
+
 # Special tokens of the sequence encoders.
 CLS, SEP, PAD_TOKEN, UNK_TOKEN = "[CLS]", "[SEP]", "[PAD]", "[UNK]"
 Q_TOKEN, A_TOKEN, SENT_TOKEN, EOS_TOKEN, MASK_TOKEN, LM_PAD = "<usr>", "<sys>", "<unused1>", "</s>", "<unused0>", "<pad>"
