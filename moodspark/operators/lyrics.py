@@ -71,10 +71,11 @@ def first_max_index(cols: list[Column], require_positive: bool = False) -> Colum
 
 
 def score_lines(lines: DataFrame, lexicon: list[str] | dict[str, int], n_classes: int = 15,
-                line_col: str = "line") -> DataFrame:
+                line_col: str = "line", keep_unscored: bool = False) -> DataFrame:
     """Q11 lexicon scorer: most lexicon hits wins, ties to the lowest class.
 
-    Lines without any hit are removed. Hits are computed once per line; the
+    Lines without any hit are removed (or kept with NULL ``pred`` when
+    ``keep_unscored``). Hits are computed once per line; the
     per-class counts use ``array_remove`` (no lambda), so no token pipeline is
     re-evaluated per class.
     """
@@ -83,7 +84,8 @@ def score_lines(lines: DataFrame, lexicon: list[str] | dict[str, int], n_classes
     counted = hits.select(*base, *[(F.size("_hits") - F.size(F.array_remove("_hits", k))).alias(f"_c{k}")
                                    for k in range(n_classes)])
     pred = first_max_index([F.col(f"_c{k}") for k in range(n_classes)], require_positive=True)
-    return counted.select(*base, pred.alias("pred")).where(F.col("pred").isNotNull())
+    out = counted.select(*base, pred.alias("pred"))
+    return out if keep_unscored else out.where(F.col("pred").isNotNull())
 
 
 def emotion_histogram(scored: DataFrame, key_cols: list[str], n_classes: int = 15,
