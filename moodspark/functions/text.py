@@ -30,8 +30,12 @@ def col_(c: Column | str) -> Column:
 
 
 def py_strip(c: Column | str) -> Column:
-    """Python ``str.strip()``: removes Unicode whitespace (not only U+0020)."""
-    return F.regexp_replace(col_(c), _STRIP_RE, "")
+    """Python ``str.strip()``: removes Unicode whitespace (not only U+0020).
+
+    ``trim`` with an explicit character set (no regex) strips any of the
+    Python whitespace characters from both ends.
+    """
+    return F.trim(col_(c), F.lit(PY_WHITESPACE))
 
 
 def text_lines(c: Column | str) -> Column:
@@ -41,8 +45,13 @@ def text_lines(c: Column | str) -> Column:
 
 
 def char_count(c: Column | str, char_class: str) -> Column:
-    """Number of characters of ``c`` inside a regex character class body."""
-    return F.length(F.regexp_replace(col_(c), f"[^{char_class}]", "")).cast("bigint")
+    """Number of characters of ``c`` inside a regex character class body.
+
+    Removes whole runs of the class (one regex match per word, not per
+    character) and measures what was removed.
+    """
+    x = col_(c)
+    return (F.length(x) - F.length(F.regexp_replace(x, f"[{char_class}]+", ""))).cast("bigint")
 
 
 def script_of(c: Column | str, primary: str = HANGUL, other: str = LATIN,

@@ -85,15 +85,24 @@ def score_lines(lines: DataFrame, lexicon: list[str] | dict[str, int], n_classes
                                    for k in range(n_classes)])
     pred = first_max_index([F.col(f"_c{k}") for k in range(n_classes)], require_positive=True)
     out = counted.select(*base, pred.alias("pred"))
-    return out if keep_unscored else out.where(F.col("pred").isNotNull())
+    if keep_unscored:
+        return out
+    # Drop unscored lines through a generator rather than a Filter: a filter on
+    # ``pred`` would be pushed below the projections with the whole token
+    # pipeline inlined into it, evaluating it twice per line.
+    return out.select(*base, F.explode(F.filter(F.array("pred"), lambda x: x.isNotNull())).alias("pred"))
 
 
 def emotion_histogram(scored: DataFrame, key_cols: list[str], n_classes: int = 15,
                       pred_col: str = "pred") -> DataFrame:
-    """A5: dense per-key histogram ``e0..e{n-1}`` (BIGINT, zeros kept)."""
-    aggs = [F.count(F.lit(1)).alias("n_scored")]
+    """A5: dense per-key histogram ``e0..e{n-1}`` (BIGINT, zeros kept).
+
+    NULL predictions (unscored lines) count nowhere; keys without any scored
+    line are dropped after the aggregate.
+    """
+    aggs = [F.count(F.col(pred_col)).alias("n_scored")]
     aggs += [F.count_if(F.col(pred_col) == k).cast("bigint").alias(f"e{k}") for k in range(n_classes)]
-    return scored.groupBy(*key_cols).agg(*aggs)
+    return scored.groupBy(*key_cols).agg(*aggs).where(F.col("n_scored") > 0)
 
 
 def script_counts(df: DataFrame, text_col: str, classes: dict[str, str]) -> DataFrame:
@@ -107,5 +116,5 @@ def song_emotion_hist(docs: DataFrame, lexicon: list[str] | dict[str, int], n_cl
     """E1 tail: songs -> lines -> script mask -> scorer -> dense histogram."""
     lines = lyric_lines(spread(docs.select(id_col, text_col), [id_col]), id_col, text_col)
     kept = script_mask(lines, "line", primary, other)
-    scored = score_lines(kept, lexicon, n_classes)
+    scored = score_lines(kept, lexicon, n_classes, keep_unscored=True)
     return emotion_histogram(scored, [id_col], n_classes)

@@ -55,7 +55,7 @@ def unpivot(spark, sf):
 
 
 def doc_qa(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", tx.text_lines("text").alias("_ls"))
+    docs = table(spark, sf, "documents", ["doc_id"]).select("doc_id", tx.text_lines("text").alias("_ls"))
     qa = docs.select("doc_id", F.get("_ls", 0).alias("Q"), F.get("_ls", 1).alias("A"))
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     return qa.join(labels, "doc_id", "left")

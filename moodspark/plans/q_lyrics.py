@@ -17,7 +17,7 @@ PRIMARY, OTHER = tx.LATIN, tx.LATIN1_ACCENTED
 
 
 def _masked_lines(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", ["doc_id"]).select("doc_id", "text")
     return ly.script_mask(ly.lyric_lines(docs), "line", PRIMARY, OTHER)
 
 
@@ -36,14 +36,14 @@ select doc_id, cast(count(*) as bigint) as n_lines, cast(sum(length(line)) as bi
 from ({DOC_LINES}) l group by doc_id
 """)
 def text_lines(spark, sf):
-    lines = ly.lyric_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    lines = ly.lyric_lines(table(spark, sf, "documents", ["doc_id"]).select("doc_id", "text"))
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"),
                                        F.sum(F.length("line")).cast("bigint").alias("line_chars"))
 
 
 @register("lyric_lines", f"select doc_id, line_no, line from ({DOC_LINES}) l")
 def lyric_lines(spark, sf):
-    return ly.lyric_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return ly.lyric_lines(table(spark, sf, "documents", ["doc_id"]).select("doc_id", "text"))
 
 
 @register("script_counts", """
@@ -58,7 +58,7 @@ select doc_id,
 from documents
 """)
 def script_counts(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", ["doc_id"]).select("doc_id", "text")
     counted = ly.script_counts(docs, "text", {"n_hangul": tx.HANGUL, "n_latin": tx.LATIN,
                                               "n_accented": tx.LATIN1_ACCENTED})
     return counted.select(

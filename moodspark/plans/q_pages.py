@@ -36,7 +36,7 @@ AD_RE = r'(?is)<div\s[^>]*class="(?:[^"]*\s)?ad(?:\s[^"]*)?"[^>]*>(.*?)</div>'
 
 
 def _records(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages = table(spark, sf, "pages", ["page_id"]).select("page_id", "html")
     rec = pg.song_records(pages, hx.title_text(F.col("html")), hx.all_element_texts(F.col("html"), "p"))
     return rec.where(F.col("title").isNotNull())
 
@@ -48,14 +48,14 @@ from pages, unnest(list_transform(list_filter(regexp_extract_all(html, '(?i)<a\\
                                   lambda t: regexp_extract(t, '\\shref="([^"]*)"', 1))) with ordinality as u(href, pos)
 """)
 def page_links(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages = table(spark, sf, "pages", ["page_id"]).select("page_id", "html")
     return pages.select("page_id", F.posexplode(hx.links(F.col("html"), "a")).alias("pos", "href")) \
         .select("page_id", (F.col("pos") + 1).cast("int").alias("link_no"), "href")
 
 
 @register("page_title", f"select page_id, {TITLE_SQL} as title from pages")
 def page_title(spark, sf):
-    return table(spark, sf, "pages").select("page_id", hx.title_text(F.col("html")).alias("title"))
+    return table(spark, sf, "pages", ["page_id"]).select("page_id", hx.title_text(F.col("html")).alias("title"))
 
 
 @register("title_parts", """
@@ -63,7 +63,7 @@ select page_id, cast(pos as integer) as part_no, part
 from pages, unnest(string_split(url, '/')) with ordinality as u(part, pos)
 """)
 def title_parts(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "url")
+    pages = table(spark, sf, "pages", ["page_id"]).select("page_id", "url")
     return pages.select("page_id", F.posexplode(hx.split_parts(F.col("url"))).alias("pos", "part")) \
         .select("page_id", (F.col("pos") + 1).cast("int").alias("part_no"), "part")
 
@@ -75,7 +75,7 @@ select page_id,
 from pages
 """)
 def page_container_text(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages = table(spark, sf, "pages", ["page_id"]).select("page_id", "html")
     return pages.select("page_id", hx.element_text(F.col("html"), "div", "ad").alias("ad_text"))
 
 
@@ -90,7 +90,7 @@ select reason, count(*) as n_pages from (
 group by reason
 """)
 def page_rejects(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    pages = table(spark, sf, "pages", ["page_id"]).select("page_id", "url", "html")
     raw_title = hx.element_inner(F.col("html"), "title")
     url = F.col("url")
     tagged = pg.presence_cascade(pages.withColumn("raw_title", raw_title), [
@@ -130,7 +130,7 @@ select title, page_id, url from (
 where rn = 1
 """)
 def dedupe_first(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "url", hx.title_text(F.col("html")).alias("title"))
+    pages = table(spark, sf, "pages", ["page_id"]).select("page_id", "url", hx.title_text(F.col("html")).alias("title"))
     return pg.dedupe_first(pages.where(F.col("title").isNotNull()), ["title"], "page_id", ["url"])
 
 

@@ -163,7 +163,7 @@ select doc_id, cast(len(ids) as integer) as valid_length,
 from ids
 """)
 def encode_single(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", ["doc_id"]).select("doc_id", "text")
     toks = docs.select("doc_id", tx.whitespace_tokens("text").alias("toks"))
     vocab_ = sq.build_vocab(toks.select(F.explode("toks").alias("token")), min_count=2)
     enc = toks.select("doc_id", sq.encode_single(F.col("toks"), MAX_LEN_SINGLE).alias("enc"))

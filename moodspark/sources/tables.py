@@ -8,8 +8,17 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan; Catalyst prunes columns and pushes filters into it."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread_on: list[str] | None = None) -> DataFrame:
+    """Parquet scan; Catalyst prunes columns and pushes filters into it.
+
+    ``spread_on`` marks CPU-heavy text work downstream: if the scan has fewer
+    splits than the cluster's default parallelism (e.g. a single row group),
+    rows are hash-partitioned on those keys first (see ``spread``).
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread_on:
+        from moodspark.operators.partitioning import spread
+        df = spread(df, spread_on)
+    return df
