@@ -3,6 +3,8 @@
 Quote/escape are RFC 4180 style and whitespace is preserved on both sides,
 so quoted commas and embedded newlines round-trip; ``multiLine`` scans read
 each file in one task, so sinks write many part files to keep scans parallel.
+As with the source's pandas ``to_csv``/``read_csv`` pair, an empty string
+and NULL are both written as an empty field and read back as NULL.
 """
 
 from __future__ import annotations
