@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from moodspark.operators.partitioning import spread
 
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 << 20   # one broadcast block of float64 vectors
+MAX_TILE_CELLS = 4_000_000       # similarity cells per in-task tile (~32 MB)
 
 
 def _normalise(mat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,39 +43,47 @@ def _to_matrix(vectors, dims: int) -> np.ndarray:
     return mat
 
 
+def _tile_candidates(sims: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int,
+                     exclude_self: bool) -> pd.DataFrame | None:
+    """Per query row: every candidate scoring at least the k-th best (ties kept).
+
+    Scores are compared after rounding to 9 places, the same key the final
+    window orders by, so the exact top k with ties broken by id survives.
+    """
+    if exclude_self:
+        sims = np.where(q_ids[:, None] == c_ids[None, :], np.nan, sims)
+    r = np.where(np.isnan(sims), -np.inf, np.round(sims, 9))
+    kk = min(k, r.shape[1])
+    kth = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]
+    keep = (r >= kth[:, None]) & np.isfinite(r)
+    qi, ci = np.nonzero(keep)
+    if qi.size == 0:
+        return None
+    return pd.DataFrame({"query_id": q_ids[qi], "item_id": c_ids[ci], "score": sims[qi, ci]})
+
+
 def _topk_partition(bc, k: int, exclude_self: bool, small_is_query: bool, dims: int, id_col: str, vec_col: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         small_ids, small_mat, small_valid = bc.value  # read once per task from the broadcast
+        small_mat = small_mat[small_valid]
+        small_ids = small_ids[small_valid]
+        if small_ids.size == 0:
+            return
+        step = max(1, MAX_TILE_CELLS // small_ids.size)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            big_ids = pdf[id_col].to_numpy(dtype=np.int64)
-            big_mat, big_valid = _normalise(_to_matrix(list(pdf[vec_col]), dims))
-            sims = small_mat @ big_mat.T  # (n_small, n_big)
-            sims[~small_valid, :] = np.nan
-            sims[:, ~big_valid] = np.nan
-            if not small_is_query:
-                sims = sims.T
-                q_ids, c_ids = big_ids, small_ids
-            else:
-                q_ids, c_ids = small_ids, big_ids
-            if exclude_self:
-                sims[q_ids[:, None] == c_ids[None, :]] = np.nan
-            rows_q, rows_c, rows_s = [], [], []
-            for qi in range(sims.shape[0]):
-                row = sims[qi]
-                ok = np.where(~np.isnan(row))[0]
-                if ok.size == 0:
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo:lo + step]
+                big_ids = part[id_col].to_numpy(dtype=np.int64)
+                big_mat, big_valid = _normalise(_to_matrix(list(part[vec_col]), dims))
+                big_ids, big_mat = big_ids[big_valid], big_mat[big_valid]
+                if big_ids.size == 0:
                     continue
-                # ties broken by candidate id: sort by (-score, id)
-                order = np.lexsort((c_ids[ok], -np.round(row[ok], 9)))[:k]
-                sel = ok[order]
-                rows_q.append(np.full(sel.size, q_ids[qi]))
-                rows_c.append(c_ids[sel])
-                rows_s.append(row[sel])
-            if rows_q:
-                yield pd.DataFrame({"query_id": np.concatenate(rows_q), "item_id": np.concatenate(rows_c),
-                                    "score": np.concatenate(rows_s)})
+                if small_is_query:
+                    out = _tile_candidates(small_mat @ big_mat.T, small_ids, big_ids, k, exclude_self)
+                else:
+                    out = _tile_candidates(big_mat @ small_mat.T, big_ids, small_ids, k, exclude_self)
+                if out is not None:
+                    yield out
     return run
 
 
@@ -83,6 +93,10 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec
 
     Returns (query_id, rank, item_id, score). Queries or items with a zero
     or NULL-containing vector have undefined cosine and produce no pairs.
+    The broadcast side is the smaller one (checked with counts) and is cut
+    into blocks of at most ``max_broadcast_rows`` rows and
+    ``MAX_BROADCAST_BYTES`` bytes; inside a task the larger side is tiled so
+    a similarity tile never exceeds ``MAX_TILE_CELLS`` cells.
     """
     spark = queries.sparkSession
     q = queries.select(id_col, vec_col)
@@ -96,11 +110,12 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec
     dims = int(dims_row[0]) if dims_row else 0
     schema = "query_id long, item_id long, score double"
     parts = []
-    if n_small:
-        blocks = max(1, -(-n_small // max_broadcast_rows))
+    if n_small and dims:
+        block_rows = max(1, min(max_broadcast_rows, MAX_BROADCAST_BYTES // (8 * dims)))
+        blocks = max(1, -(-n_small // block_rows))
         keyed = small.withColumn("_blk", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
         for b in range(blocks):
-            rows = keyed.where(F.col("_blk") == b).select(id_col, vec_col).collect()  # bounded: <= block size
+            rows = keyed.where(F.col("_blk") == b).select(id_col, vec_col).collect()  # bounded by the block size
             ids = np.asarray([r[0] for r in rows], dtype=np.int64)
             mat, valid = _normalise(_to_matrix([r[1] for r in rows], dims))
             bc = spark.sparkContext.broadcast((ids, mat, valid))
