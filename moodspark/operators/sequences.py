@@ -54,14 +54,21 @@ def encode_ids(tokens: DataFrame, vocab: DataFrame, token_col: str = "token") ->
             .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(UNK_ID)).cast("int")).drop("_vt"))
 
 
-def ids_array(df: DataFrame, key_cols: list[str], token_arr: str, vocab: DataFrame, out_col: str = "ids") -> DataFrame:
-    """Map a per-row token array to an id array (explode -> join -> ordered re-collect)."""
-    exploded = tokens_long(df, key_cols, F.col(token_arr))
-    encoded = encode_ids(exploded, vocab)
-    collected = encoded.groupBy(*key_cols).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_s"))
-    return df.join(collected.select(*key_cols, F.col("_s.token_id").alias(out_col)), key_cols, "left") \
-        .withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
+def ids_array(df: DataFrame, key_cols: list[str], token_arr: str, vocab: DataFrame, out_col: str = "ids",
+              carry_cols: list[str] | None = None) -> DataFrame:
+    """Map a per-row token array to an id array: explode -> join -> ordered re-collect.
+
+    Returns (keys..., carry..., ids). ``carry_cols`` (small columns) ride
+    through the aggregate instead of a join back to the input, and
+    ``posexplode_outer`` keeps rows whose array is empty (ids = []).
+    """
+    carry = carry_cols or []
+    exploded = df.select(*key_cols, *carry, F.posexplode_outer(F.col(token_arr)).alias("pos", "token"))
+    encoded = encode_ids(exploded, vocab).withColumn(
+        "token_id", F.when(F.col("token").isNotNull(), F.col("token_id")))
+    return encoded.groupBy(*key_cols, *carry).agg(
+        F.sort_array(F.collect_list(F.when(F.col("token_id").isNotNull(), F.struct("pos", "token_id"))))
+        .alias("_s")).select(*key_cols, *carry, F.col("_s.token_id").alias(out_col))
 
 
 def pad_to(arr: Column, length: int, pad: int) -> Column:
@@ -74,6 +81,17 @@ def encode_single(tokens: Column, max_len: int = 64) -> Column:
     return F.concat(F.array(F.lit(cat.CLS)), kept, F.array(F.lit(cat.SEP)))
 
 
+def leading_tokens(text: Column, n: int) -> Column:
+    """The first ``n`` whitespace tokens without splitting the rest of the text.
+
+    ``split`` with a limit leaves the remainder in the last piece; separators
+    are whole whitespace runs, so only a leading empty piece can occur, and
+    ``n + 2`` pieces always hold the first ``n`` real tokens.
+    """
+    pieces = F.split(text, tx.TOKEN_SPLIT_RE, n + 2)
+    return F.slice(F.filter(pieces, lambda x: x != F.lit("")), 1, n)
+
+
 def attention_mask(valid_length: Column, max_len: int) -> Column:
     """Q5: ``valid_length`` ones, then zeros, ``max_len`` long."""
     return F.transform(F.sequence(F.lit(1), F.lit(max_len)), lambda i: F.when(i <= valid_length, 1).otherwise(0))

@@ -94,8 +94,9 @@ def qa_truncated(spark, sf):
 
 
 def qa_target_rows(spark, sf):
-    tr = qa_truncated(spark, sf).withColumn("qa_tokens", F.concat("q_trunc", "a_trunc"))
-    with_ids = sq.ids_array(tr, ["conv_id", "turn"], "qa_tokens", conv_vocab(spark, sf), "ids")
+    tr = qa_truncated(spark, sf).select("conv_id", "turn", "q_len", "a_len",
+                                        F.concat("q_trunc", "a_trunc").alias("qa_tokens"))
+    with_ids = sq.ids_array(tr, ["conv_id", "turn"], "qa_tokens", conv_vocab(spark, sf), "ids", ["q_len", "a_len"])
     return sq.qa_targets(with_ids, "ids", MAX_LEN_QA)
 
 
@@ -164,9 +165,9 @@ from ids
 """)
 def encode_single(spark, sf):
     docs = table(spark, sf, "documents", ["doc_id"]).select("doc_id", "text")
-    toks = docs.select("doc_id", tx.whitespace_tokens("text").alias("toks"))
-    vocab_ = sq.build_vocab(toks.select(F.explode("toks").alias("token")), min_count=2)
-    enc = toks.select("doc_id", sq.encode_single(F.col("toks"), MAX_LEN_SINGLE).alias("enc"))
+    vocab_ = sq.build_vocab(docs.select(F.explode(tx.whitespace_tokens("text")).alias("token")), min_count=2)
+    enc = docs.select("doc_id", sq.encode_single(sq.leading_tokens(F.col("text"), MAX_LEN_SINGLE - 2),
+                                                 MAX_LEN_SINGLE).alias("enc"))
     with_ids = sq.ids_array(enc, ["doc_id"], "enc", vocab_, "ids")
     vl = F.size("ids")
     return with_ids.select(

@@ -73,3 +73,14 @@ def test_batches_and_collate(spark):
     assert got == [(i * 3, i, i // 4) for i in range(10)]
     c = {r["batch_id"]: [x["doc_id"] for x in r["rows"]] for r in sq.collate(b, ["doc_id"]).collect()}
     assert c == {0: [0, 3, 6, 9], 1: [12, 15, 18, 21], 2: [24, 27]}
+
+
+def test_leading_tokens_equals_full_split(spark):
+    texts = ["", "   ", " a b", "a  b\tc\n", " " + " ".join(f"w{i}" for i in range(100)) + "  ",
+             "\n".join(f"x{i}" for i in range(63)), "one"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    from moodspark.functions import text as tx
+    got = df.select(sq.leading_tokens(F.col("t"), 62).alias("a"),
+                    F.slice(tx.whitespace_tokens("t"), 1, 62).alias("b")).collect()
+    for r in got:
+        assert r["a"] == r["b"]
