@@ -45,10 +45,9 @@ def running_batch_mean(batches: DataFrame, batch_col: str, every: int) -> DataFr
 
 def param_grid(datasets: list[str], batch_sizes: list[int], lr_factors: list[int], epochs: list[int]) -> Column:
     """The grid as one array<struct> literal (bounded by its parameters)."""
-    cells = [F.struct(F.lit(d).alias("dataset"), F.lit(b).alias("batch_size"), F.lit(lr).alias("lr_factor"),
-                      F.lit(e).alias("epoch"))
+    cells = [f"named_struct('dataset', '{d}', 'batch_size', {int(b)}, 'lr_factor', {int(lr)}, 'epoch', {int(e)})"
              for d, b, lr, e in product(datasets, batch_sizes, lr_factors, epochs)]
-    return F.array(*cells)
+    return F.expr("array(" + ", ".join(cells) + ")")
 
 
 def run_name(dataset: Column, batch_size: Column, lr_factor: Column, epoch: Column,

@@ -43,12 +43,20 @@ def resume_slice(df: DataFrame, row_id_col: str, start: int) -> DataFrame:
     return df.where(F.col(row_id_col) >= F.lit(start))
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lexicon_hits(tokens: Column, lexicon: list[str] | dict[str, int]) -> Column:
-    """Class id of every token found in the lexicon (array<int>, misses removed)."""
+    """Class id of every token found in the lexicon (array<int>, misses removed).
+
+    The map literal is built as one SQL expression (a single JVM parse)
+    rather than one client call per entry.
+    """
     mapping = lexicon if isinstance(lexicon, dict) else {w: i for i, w in enumerate(lexicon)}
     if len(mapping) > MAX_MAP_LEXICON:
         raise ValueError("lexicon too large for an inline map")
-    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    m = F.expr("map(" + ", ".join(f"{_sql_str(k)}, {int(v)}" for k, v in mapping.items()) + ")")
     return F.filter(F.transform(tokens, lambda t: F.element_at(m, t)), lambda c: c.isNotNull())
 
 
@@ -60,6 +68,14 @@ def argmax_first(arr: Column, require_positive: bool = False) -> Column:
     return idx
 
 
+def first_max_sql(cols: list[str], require_positive: bool = False) -> str:
+    """SQL for the index of the largest of ``cols`` (first on ties)."""
+    best = "greatest(" + ", ".join(f"`{c}`" for c in cols) + ")"
+    whens = " ".join(f"WHEN `{c}` = {best} THEN {k}" for k, c in enumerate(cols))
+    guard = f"WHEN {best} <= 0 THEN NULL " if require_positive else ""
+    return f"CAST(CASE {guard}{whens} END AS INT)"
+
+
 def first_max_index(cols: list[Column], require_positive: bool = False) -> Column:
     """Index of the largest of ``cols`` (first on ties), as one CASE (codegen'd)."""
     best = F.greatest(*cols)
@@ -75,22 +91,22 @@ def score_lines(lines: DataFrame, lexicon: list[str] | dict[str, int], n_classes
     """Q11 lexicon scorer: most lexicon hits wins, ties to the lowest class.
 
     Lines without any hit are removed (or kept with NULL ``pred`` when
-    ``keep_unscored``). Hits are computed once per line; the
-    per-class counts use ``array_remove`` (no lambda), so no token pipeline is
+    ``keep_unscored``). Hits are computed once per line; the per-class
+    counts use ``array_remove`` (no lambda), so no token pipeline is
     re-evaluated per class.
     """
-    base = lines.columns
+    base = [f"`{c}`" for c in lines.columns]
     hits = lines.withColumn("_hits", lexicon_hits(tx.lexicon_tokens(line_col), lexicon))
-    counted = hits.select(*base, *[(F.size("_hits") - F.size(F.array_remove("_hits", k))).alias(f"_c{k}")
-                                   for k in range(n_classes)])
-    pred = first_max_index([F.col(f"_c{k}") for k in range(n_classes)], require_positive=True)
-    out = counted.select(*base, pred.alias("pred"))
+    counted = hits.selectExpr(*base, *[f"size(_hits) - size(array_remove(_hits, {k})) AS _c{k}"
+                                       for k in range(n_classes)])
+    pred = first_max_sql([f"_c{k}" for k in range(n_classes)], require_positive=True)
+    out = counted.selectExpr(*base, f"{pred} AS pred")
     if keep_unscored:
         return out
     # Drop unscored lines through a generator rather than a Filter: a filter on
     # ``pred`` would be pushed below the projections with the whole token
     # pipeline inlined into it, evaluating it twice per line.
-    return out.select(*base, F.explode(F.filter(F.array("pred"), lambda x: x.isNotNull())).alias("pred"))
+    return out.selectExpr(*base, "explode(filter(array(pred), x -> x IS NOT NULL)) AS pred")
 
 
 def emotion_histogram(scored: DataFrame, key_cols: list[str], n_classes: int = 15,
@@ -100,8 +116,8 @@ def emotion_histogram(scored: DataFrame, key_cols: list[str], n_classes: int = 1
     NULL predictions (unscored lines) count nowhere; keys without any scored
     line are dropped after the aggregate.
     """
-    aggs = [F.count(F.col(pred_col)).alias("n_scored")]
-    aggs += [F.count_if(F.col(pred_col) == k).cast("bigint").alias(f"e{k}") for k in range(n_classes)]
+    aggs = [F.expr(f"count(`{pred_col}`) AS n_scored")]
+    aggs += [F.expr(f"CAST(count_if(`{pred_col}` = {k}) AS BIGINT) AS e{k}") for k in range(n_classes)]
     return scored.groupBy(*key_cols).agg(*aggs).where(F.col("n_scored") > 0)
 
 

@@ -52,7 +52,8 @@ def ragged_to_wide(df: DataFrame, array_col: str, key_cols: list[str], width: in
     """
     if width is None:
         width = df.agg(F.max(F.size(array_col))).first()[0] or 0
-    return df.select(*key_cols, *[F.get(F.col(array_col), i).alias(f"{prefix}{i:03d}") for i in range(width)])
+    keys = [f"`{k}`" for k in key_cols]
+    return df.selectExpr(*keys, *[f"get(`{array_col}`, {i}) AS {prefix}{i:03d}" for i in range(width)])
 
 
 def dedupe_first(df: DataFrame, key_cols: list[str], order_col: str, keep_cols: list[str]) -> DataFrame:

@@ -134,15 +134,12 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec
 def daily_counts(events: DataFrame, user_col: str, ts_col: str, type_col: str, types: list[str]) -> DataFrame:
     """Per (user, day) counts of each type (explicit pivot values: no extra job)."""
     day = F.date_format(F.to_date(F.col(ts_col)), "yyyy-MM-dd").alias("day")
-    aggs = [F.count_if(F.col(type_col) == t).cast("bigint").alias(f"n_{t}") for t in types]
+    aggs = [F.expr(f"CAST(count_if(`{type_col}` = '{t}') AS BIGINT) AS n_{t}") for t in types]
     return events.groupBy(F.col(user_col), day).agg(*aggs)
 
 
 def dominant(types: list[str], prefix: str = "n_") -> F.Column:
     """Argmax over the per-type counts, first type (catalog order) on ties."""
-    cols = [F.col(f"{prefix}{t}") for t in types]
-    best = F.greatest(*cols)
-    out = None
-    for t, c in zip(types, cols):
-        out = F.when(c == best, F.lit(t)) if out is None else out.when(c == best, F.lit(t))
-    return out
+    cols = [f"`{prefix}{t}`" for t in types]
+    best = "greatest(" + ", ".join(cols) + ")"
+    return F.expr("CASE " + " ".join(f"WHEN {c} = {best} THEN '{t}'" for t, c in zip(types, cols)) + " END")

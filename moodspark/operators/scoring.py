@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.operators.lyrics import first_max_index
+from moodspark.operators.lyrics import first_max_sql
 
 
 def argmax_prefix(vec: Column, n: int) -> Column:
@@ -21,20 +21,30 @@ def argmax_prefix(vec: Column, n: int) -> Column:
     return (F.array_position(head, F.array_max(head)) - 1).cast("int")
 
 
-def dot(vec: Column, weights: list[float]) -> Column:
-    """Sequential double-precision dot product with a fixed weight vector."""
-    w = F.array(*[F.lit(float(x)) for x in weights])
-    prods = F.zip_with(vec, w, lambda x, y: x.cast("double") * y)
-    return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+def dot_sql(vec_col: str, weights: list[float]) -> str:
+    """Sequential double-precision dot product with a fixed weight vector (SQL)."""
+    w = "array(" + ", ".join(f"CAST({float(x)!r} AS DOUBLE)" for x in weights) + ")"
+    return (f"aggregate(zip_with(`{vec_col}`, {w}, (x, y) -> CAST(x AS DOUBLE) * y), "
+            f"CAST(0 AS DOUBLE), (acc, x) -> acc + x)")
+
+
+def dot(vec_col: str, weights: list[float]) -> Column:
+    return F.expr(dot_sql(vec_col, weights))
 
 
 def linear_head(df: DataFrame, vec_col: str, weights: list[list[float]], bias: list[float] | None = None) -> DataFrame:
-    """Q10 scoring: logits = W x + b, pred = argmax (first on ties)."""
+    """Q10 scoring: logits = W x + b, pred = argmax (first on ties).
+
+    Built as SQL expressions (one parse each) because the weight literals
+    would otherwise cost one client round trip per element.
+    """
     bias = bias or [0.0] * len(weights)
-    logits = [dot(F.col(vec_col), w) + F.lit(float(b)) for w, b in zip(weights, bias)]
-    out = df.select("*", *[lg.alias(f"_l{i}") for i, lg in enumerate(logits)])
-    cols = [F.col(f"_l{i}") for i in range(len(weights))]
-    return out.select(*df.columns, first_max_index(cols).alias("pred"), F.greatest(*cols).alias("max_logit"))
+    base = [f"`{c}`" for c in df.columns]
+    out = df.selectExpr("*", *[f"{dot_sql(vec_col, w)} + CAST({float(b)!r} AS DOUBLE) AS _l{i}"
+                               for i, (w, b) in enumerate(zip(weights, bias))])
+    cols = [f"_l{i}" for i in range(len(weights))]
+    return out.selectExpr(*base, f"{first_max_sql(cols)} AS pred",
+                          "greatest(" + ", ".join(cols) + ") AS max_logit")
 
 
 def fit_head(df: DataFrame, vec_col: str, label_col: str, max_iter: int = 50, reg: float = 0.01) -> DataFrame:
