@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodspark.operators.partitioning import spread
+from moodspark.session import ship_package
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 << 20   # one broadcast block of float64 vectors
@@ -99,6 +100,7 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec
     a similarity tile never exceeds ``MAX_TILE_CELLS`` cells.
     """
     spark = queries.sparkSession
+    ship_package(spark)  # the tile function runs in Python workers
     q = queries.select(id_col, vec_col)
     it = items.select(id_col, vec_col)
     n_q, n_i = q.count(), it.count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -69,6 +71,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``moodspark`` importable in Python workers (mapInPandas, UDFs).
+
+    Zips the package once per application and registers it with
+    ``addPyFile``; Spark distributes it to every executor, so workers do not
+    depend on the driver's working directory or ``sys.path``.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="moodspark-pkg-")
+    archive = os.path.join(out_dir, "moodspark.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
