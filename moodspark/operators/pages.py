@@ -115,3 +115,15 @@ def snapshot_rows(df: DataFrame, key_cols: list[str], date_col: str, order_col:
     return (firsts.join(dates, firsts[date_col] == dates["crawl_date"])
             .withColumn("snapshot_no", F.ceil(F.col("date_idx") / F.lit(every)).cast("int"))
             .drop("crawl_date", "date_idx"))
+
+
+def write_snapshots(rows: DataFrame, path: str) -> None:
+    """S5 sink: one folder per snapshot; rerunning overwrites whole snapshots.
+
+    Snapshot k of the source's cumulative workbooks is ``snapshot_no <= k``
+    (partition pruning on the folder column). No repartition by snapshot:
+    the first snapshot can hold most keys, so every task writes its own files
+    into each snapshot folder instead of funnelling a snapshot through one task.
+    """
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("snapshot_no").parquet(path))

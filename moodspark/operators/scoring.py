@@ -59,3 +59,55 @@ def fit_head(df: DataFrame, vec_col: str, label_col: str, max_iter: int = 50, re
     mat = model.coefficientMatrix.toArray()
     rows = [(int(i), float(model.interceptVector[i]), float((mat[i] ** 2).sum() ** 0.5)) for i in range(mat.shape[0])]
     return spark.createDataFrame(rows, "label int, intercept double, coef_l2 double")
+
+
+# ---- Q11 / D3: pluggable user model, loaded once per Python worker ---------
+
+_MODEL_CACHE: dict[str, object] = {}
+
+
+def model_scorer(df: DataFrame, text_col: str, model_key: str, load_model, key_cols: list[str],
+                 out_col: str = "pred") -> DataFrame:
+    """Score ``text_col`` with a user model in Arrow batches (``mapInPandas``).
+
+    ``load_model()`` must return an object with ``predict(list[str]) -> list[int]``;
+    it runs once per Python worker (cached under ``model_key``), not per row or
+    per batch, which is the source's per-sentence loader turned inside out.
+    """
+    from moodspark.session import ship_package
+    ship_package(df.sparkSession)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in key_cols]
+                       + [f"`{out_col}` int"])
+
+    def run(batches):
+        model = _MODEL_CACHE.get(model_key)
+        if model is None:
+            model = _MODEL_CACHE[model_key] = load_model()
+        for pdf in batches:
+            out = pdf[key_cols].copy()
+            out[out_col] = model.predict(pdf[text_col].tolist())
+            yield out
+
+    return df.select(*key_cols, text_col).mapInPandas(run, schema)
+
+
+class LexiconModel:
+    """Stand-in user model for ``model_scorer``: most lexicon hits, ties to the
+    lowest class, ``None`` without a hit (same rule as the SQL scorer)."""
+
+    def __init__(self, lexicon: list[str] | None = None, n_classes: int = 15):
+        from moodspark.catalog import FIXTURE_LEXICON
+        self.ids = {w: i for i, w in enumerate(lexicon or FIXTURE_LEXICON)}
+        self.n = n_classes
+
+    def predict(self, texts):
+        import re
+        out = []
+        for t in texts:
+            counts = [0] * self.n
+            for tok in re.split(r"[\t\n\x0b\f\r ]+", re.sub(r"[?.!,]", " ", t or "").lower()):
+                if tok in self.ids:
+                    counts[self.ids[tok]] += 1
+            best = max(counts)
+            out.append(counts.index(best) if best > 0 else None)
+        return out

@@ -10,6 +10,7 @@ from moodspark.functions import html as hx
 from moodspark.operators import pages as pg
 from moodspark.plans.registry import register
 from moodspark.plans.sqlbits import WS
+from moodspark.session import scratch_path
 from moodspark.sources import calendar as cal
 from moodspark.sources.tables import table
 
@@ -171,3 +172,21 @@ def chart_dates(spark, sf):
 @register("chart_urls", f"select seq, chart_date, '{CHART_BASE_URL}' || chart_date as url from ({_DATES_SQL}) d")
 def chart_urls(spark, sf):
     return cal.chart_urls(_chart_dates(spark, sf), CHART_BASE_URL)
+
+
+@register("snapshot_rows", """
+with d as (select crawl_date, row_number() over (order by crawl_date) as date_idx
+           from (select distinct cast(ts as date) as crawl_date from events) x),
+f as (select user_id, props, event_id, cast(ts as date) as crawl_date from (
+        select *, row_number() over (partition by user_id, props order by event_id) as rn from events) e
+      where rn = 1)
+select user_id, props, event_id, cast(ceil(date_idx / 12.0) as integer) as snapshot_no
+from f join d using (crawl_date)
+""")
+def snapshot_rows(spark, sf):
+    """S5 sink form, read back: each key's first event tagged with its first snapshot."""
+    events = table(spark, sf, "events").select("user_id", "props", "event_id", F.to_date("ts").alias("crawl_date"))
+    rows = pg.snapshot_rows(events, ["user_id", "props"], "crawl_date", "event_id", [], every=12)
+    path = scratch_path(spark, "snapshots")
+    pg.write_snapshots(rows.select("user_id", "props", "event_id", "snapshot_no"), path)
+    return spark.read.parquet(path).select("user_id", "props", "event_id", "snapshot_no")

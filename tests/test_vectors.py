@@ -52,3 +52,13 @@ def test_cosine_topk_exact_with_ties_and_zero(spark):
             got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
         got = {q: [i for _, i in sorted(v)] for q, v in got.items()}
         assert got == {q: v for q, v in exp.items() if v}
+
+
+def test_model_scorer_matches_builtin_scorer(spark):
+    from moodspark.catalog import FIXTURE_LEXICON
+    from moodspark.operators import lyrics as ly
+    rows = [(1, "The the of"), (2, "la la le le le"), (3, "xyz"), (4, "und, und. der!")]
+    df = spark.createDataFrame(rows, "id long, line string").repartition(2)
+    got = {r["id"]: r["pred"] for r in sc.model_scorer(df, "line", "lexicon", sc.LexiconModel, ["id"]).collect()}
+    exp = {r["id"]: r["pred"] for r in ly.score_lines(df, FIXTURE_LEXICON, keep_unscored=True).collect()}
+    assert got == exp == {1: 0, 2: 7, 3: None, 4: 11}
