@@ -134,3 +134,16 @@ def song_emotion_hist(docs: DataFrame, lexicon: list[str] | dict[str, int], n_cl
     kept = script_mask(lines, "line", primary, other)
     scored = score_lines(kept, lexicon, n_classes, keep_unscored=True)
     return emotion_histogram(scored, [id_col], n_classes)
+
+
+def record_emotion_hist(records: DataFrame, key_cols: list[str], lines_col: str,
+                        lexicon: list[str] | dict[str, int], n_classes: int = 15,
+                        primary: str = tx.HANGUL, other: str = tx.LATIN) -> DataFrame:
+    """Deduplicated song records (lines as an array) -> dense histogram.
+
+    The line explode is narrow; the histogram is the only shuffle.
+    """
+    lines = records.select(*key_cols, F.posexplode(lines_col).alias("_pos", "line"))
+    kept = script_mask(lines, "line", primary, other)
+    scored = score_lines(kept.drop("_pos"), lexicon, n_classes, keep_unscored=True)
+    return emotion_histogram(scored, key_cols, n_classes)

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from moodspark.functions import html as hx
 from moodspark.operators import pages as pg
 from moodspark.plans.registry import register
-from moodspark.plans.sqlbits import WS
+from moodspark.catalog import FIXTURE_LEXICON
+from moodspark.functions import text as tx
+from moodspark.operators import lyrics as ly
+from moodspark.plans.sqlbits import LATIN_GT_ACCENTED, WS, hist_cols, scored_lines
 from moodspark.session import scratch_path
 from moodspark.sources import calendar as cal
 from moodspark.sources.tables import table
@@ -190,3 +193,22 @@ def snapshot_rows(spark, sf):
     path = scratch_path(spark, "snapshots")
     pg.write_snapshots(rows.select("user_id", "props", "event_id", "snapshot_no"), path)
     return spark.read.parquet(path).select("user_id", "props", "event_id", "snapshot_no")
+
+
+@register("page_emotion_hist", f"""
+with r as ({RECORDS_SQL}),
+d as (select page_id, title, lines from (
+        select *, row_number() over (partition by title order by page_id) as rn from r) x where rn = 1),
+l as (select page_id, cast(ln as integer) as line_no, line from d, unnest(lines) with ordinality as u(line, ln)),
+m as (select * from l where {LATIN_GT_ACCENTED}),
+s as ({scored_lines("select * from m", "page_id")})
+select d.page_id, d.title, count(*) as n_scored, {hist_cols()}
+from s join d on s.page_id = d.page_id
+group by d.page_id, d.title
+""")
+def page_emotion_hist(spark, sf):
+    """E1 end to end: pages -> records -> keep-first by title -> lines -> mask -> scorer -> histogram."""
+    rec = _records(spark, sf)
+    firsts = pg.dedupe_first(rec, ["title"], "page_id", ["lines"])
+    return ly.record_emotion_hist(firsts, ["page_id", "title"], "lines", FIXTURE_LEXICON, 15,
+                                  tx.LATIN, tx.LATIN1_ACCENTED)
