@@ -17,8 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread_on: list[str] | No
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"), name, tuple(spread_on or ()))
+    hit = _SCANS.get(key)
+    if hit is not None:
+        return hit
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread_on:
         from moodspark.operators.partitioning import spread
         df = spread(df, spread_on)
+    if len(_SCANS) > 256:
+        _SCANS.clear()
+    _SCANS[key] = df
     return df
+
+
+# Lazy scan DataFrames (no data) reused across plans of one session: saves the
+# file listing, footer read and client calls of re-creating them.
+_SCANS: dict[tuple, DataFrame] = {}
