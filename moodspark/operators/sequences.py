@@ -9,6 +9,9 @@ after that join groups at most ``max_len`` rows per sequence.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
@@ -175,3 +178,42 @@ def collate(batched: DataFrame, fields: list[str], batch_col: str = "batch_id",
 def seeded_shuffle(df: DataFrame, key_col: str, seed: int) -> DataFrame:
     """T5: partitioning-independent shuffle order: sort by a keyed hash."""
     return df.withColumn("shuffle_key", F.xxhash64(F.col(key_col), F.lit(seed)))
+
+
+# ---- Q1 pluggable sub-word tokenizer ---------------------------------------
+
+_TOKENIZERS: dict[str, object] = {}
+
+
+def subword_tokens(text: Column, tokenizer_key: str, load_tokenizer) -> Column:
+    """Q1 with a user tokenizer (e.g. a SentencePiece or ``tokenizers`` model).
+
+    An iterator ``pandas_udf``: Arrow batches in, ``array<string>`` out; the
+    tokenizer is loaded once per Python worker and cached under
+    ``tokenizer_key``. ``load_tokenizer()`` must return an object with
+    ``tokenize(str) -> list[str]``. The default tokenizer of this package
+    stays the built-in whitespace split (no Python in the plan).
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<string>")
+    def _tok(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tok = _TOKENIZERS.get(tokenizer_key)
+        if tok is None:
+            tok = _TOKENIZERS[tokenizer_key] = load_tokenizer()
+        for s in batches:
+            yield s.map(lambda t: None if t is None else list(tok.tokenize(t)))
+
+    return _tok(text)
+
+
+class WhitespacePieces:
+    """Small adapter over the ``tokenizers`` whitespace pre-tokenizer, marking
+    word starts with ``▁`` like sub-word models do (for tests and demos)."""
+
+    def __init__(self):
+        from tokenizers.pre_tokenizers import Whitespace
+        self._pre = Whitespace()
+
+    def tokenize(self, text: str) -> list[str]:
+        return ["▁" + piece for piece, _span in self._pre.pre_tokenize_str(text)]

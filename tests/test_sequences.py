@@ -84,3 +84,15 @@ def test_leading_tokens_equals_full_split(spark):
                     F.slice(tx.whitespace_tokens("t"), 1, 62).alias("b")).collect()
     for r in got:
         assert r["a"] == r["b"]
+
+
+def test_subword_hook_and_detokenize(spark):
+    from moodspark.functions import text as tx
+    from moodspark.session import ship_package
+    ship_package(spark)
+    df = spark.createDataFrame([(1, "안녕 하세요 world"), (2, None)], "id int, t string").repartition(2)
+    out = df.select("id", sq.subword_tokens(F.col("t"), "ws", sq.WhitespacePieces).alias("p"))
+    got = {r["id"]: r["p"] for r in out.collect()}
+    assert got == {1: ["▁안녕", "▁하세요", "▁world"], 2: None}
+    back = out.where("id = 1").select(tx.detokenize(F.col("p")).alias("d")).first()["d"]
+    assert back == "안녕 하세요 world"
