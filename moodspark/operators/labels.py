@@ -59,15 +59,21 @@ def collapse(df: DataFrame, col: str, edges: DataFrame, dropped: list[str], out_
 
 
 def drop_value(df: DataFrame, col: str, value) -> DataFrame:
-    """pandas-style drop: rows equal to ``value`` go, NULL rows stay."""
-    return df.where(~F.coalesce(F.col(col) == F.lit(value), F.lit(False)))
+    """pandas-style drop: rows equal to ``value`` go, NULL rows stay.
+
+    Written as ``col IS NULL OR col <> value`` (same rows as
+    ``NOT coalesce(col = value, false)``) so the predicate reaches the scan.
+    """
+    return df.where(F.col(col).isNull() | (F.col(col) != F.lit(value)))
 
 
 def drop_values(df: DataFrame, col: str, values: list) -> DataFrame:
     """drop rows whose value is in ``values``; NULL rows stay."""
     if not values:
         return df
-    return df.where(~F.coalesce(F.col(col).isin(list(values)), F.lit(False)))
+    if any(v is None for v in values):
+        raise ValueError("drop list must not contain NULL")
+    return df.where(F.col(col).isNull() | ~F.col(col).isin(list(values)))
 
 
 def first_appearance_index(df: DataFrame, col: str, order_col: str, out_col: str = "label_id") -> DataFrame:
