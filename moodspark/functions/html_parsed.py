@@ -1,0 +1,71 @@
+"""Nesting-safe element text with the stdlib HTML parser (P3 fallback).
+
+The regexp extractors in ``html.py`` stay JVM-side and handle the flat
+layouts; this one follows the element tree (nested elements of the same
+tag, any character reference), like a DOM ``find(...).get_text()``. It runs
+as an iterator ``pandas_udf`` (Arrow batches), one small parser per row.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql.functions import pandas_udf
+
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
+         "track", "wbr"}
+
+
+class _FirstElementText(HTMLParser):
+    """Text of the first ``tag`` whose class list holds ``cls`` (or any class)."""
+
+    def __init__(self, tag: str, cls: str | None):
+        super().__init__(convert_charrefs=True)
+        self.tag, self.cls = tag, cls
+        self.depth = 0          # open ``tag`` elements inside the match
+        self.found = False
+        self.done = False
+        self.parts: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if self.done or tag in _VOID:
+            return
+        if self.found:
+            if tag == self.tag:
+                self.depth += 1
+            return
+        if tag == self.tag:
+            classes = (dict(attrs).get("class") or "").split()
+            if self.cls is None or self.cls in classes:
+                self.found, self.depth = True, 1
+
+    def handle_endtag(self, tag):
+        if self.found and not self.done and tag == self.tag:
+            self.depth -= 1
+            if self.depth == 0:
+                self.done = True
+
+    def handle_data(self, data):
+        if self.found and not self.done:
+            self.parts.append(data)
+
+
+def _first_text(html: str | None, tag: str, cls: str | None) -> str | None:
+    if html is None:
+        return None
+    p = _FirstElementText(tag, cls)
+    p.feed(html)
+    p.close()
+    return "".join(p.parts) if p.found else None
+
+
+def element_text_parsed(html: Column, tag: str, cls: str | None = None) -> Column:
+    @pandas_udf("string")
+    def _extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda h: _first_text(h, tag, cls))
+
+    return _extract(html)

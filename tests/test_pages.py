@@ -74,3 +74,17 @@ def test_cumulative_snapshots_every_12_with_final(spark):
         cutoff = day0 + dt.timedelta(days=last)
         expect.append((n, cutoff.strftime("%Y%m%d"), sum(1 for d in first.values() if d <= cutoff)))
     assert [(r["snapshot_no"], r["snapshot_date"], r["n_keys"]) for r in snaps] == expect
+
+
+def test_parsed_extractor_handles_nesting(spark):
+    from moodspark.functions.html_parsed import element_text_parsed
+    from moodspark.session import ship_package
+    ship_package(spark)
+    html = ('<div class="wrap"><div class="lyricsContainer"><p>첫 줄<div>안쪽</div>둘째 &#44608; &hearts;</p>'
+            '</div><div class="lyricsContainer">다음</div></div>')
+    df = spark.createDataFrame([(html,), ("<p>none</p>",)], "html string")
+    got = [r[0] for r in df.select(element_text_parsed(F.col("html"), "div", "lyricsContainer")).collect()]
+    assert got == ["첫 줄안쪽둘째 김 ♥", None]
+    # the regexp extractor stops at the first closing tag (flat layouts only)
+    flat = df.select(hx.element_text(F.col("html"), "div", "lyricsContainer")).first()[0]
+    assert flat == "첫 줄안쪽"
