@@ -53,3 +53,22 @@ def stream_dedupe(spark, sf):
 
     st.dedupe_stream(stream, prepare, ["title"], "page_id", ["url"], sink, ckpt)
     return spark.read.parquet(sink).select("title", "page_id", "url")
+
+
+@register("stream_dedupe_state", f"""
+select title, page_id, url from (
+  select title, page_id, url, row_number() over (partition by title order by page_id) as rn
+  from (select page_id, url, {TITLE_SQL} as title from pages) p where title is not null) d
+where rn = 1
+""")
+def stream_dedupe_state(spark, sf):
+    """M2 with a state store: per-title first-wins state across micro-batches."""
+    from moodspark.session import ship_package
+    ship_package(spark)
+    schema = table(spark, sf, "pages").schema
+    stream = st.file_stream(spark, sf, schema, glob="pages.parquet", max_files_per_trigger=1)
+    titled = stream.select("page_id", "url", hx.title_text(F.col("html")).alias("title")) \
+        .where(F.col("title").isNotNull())
+    sink, ckpt = scratch_path(spark, "stream_dedupe_state"), scratch_path(spark, "stream_dedupe_state_ckpt")
+    st.dedupe_stream_stateful(titled, ["title"], "page_id", ["url"], sink, ckpt)
+    return spark.read.parquet(sink).select("title", "page_id", "url")

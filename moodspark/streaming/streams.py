@@ -62,3 +62,50 @@ def dedupe_stream(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame],
     query = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
+
+
+def dedupe_stream_stateful(stream: DataFrame, key_cols: list[str], order_col: str, keep_cols: list[str],
+                           sink: str, checkpoint: str) -> None:
+    """M2 with per-key state: first-wins across micro-batches, no history re-read.
+
+    ``applyInPandasWithState`` keeps one small state row per key (the winning
+    order value); a key's rows in a batch arrive as an iterator of chunks, of
+    which only the current best row is held. Append output to a file sink
+    with a checkpoint is exactly-once.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    out_cols = [*key_cols, order_col, *keep_cols]
+    fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    out_schema = ", ".join(f"`{c}` {fields[c]}" for c in out_cols)
+    state_schema = f"`first_{order_col}` {fields[order_col]}"
+    first_wins = _first_wins(order_col, out_cols)
+    q = (stream.select(*out_cols).groupBy(*key_cols)
+         .applyInPandasWithState(first_wins, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+         .writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def _first_wins(order_col: str, out_cols: list[str]):
+    import pandas as pd
+
+    def run(key, chunks, state):
+        if state.exists:
+            for _ in chunks:  # already emitted in an earlier batch
+                pass
+            return
+        best = None
+        for pdf in chunks:
+            if pdf.empty:
+                continue
+            cand = pdf.nsmallest(1, order_col)
+            if best is None or cand[order_col].iloc[0] < best[order_col].iloc[0]:
+                best = cand
+        if best is not None:
+            state.update((best[order_col].iloc[0].item(),))
+            yield best[out_cols]
+        else:
+            yield pd.DataFrame(columns=out_cols)
+
+    return run

@@ -45,3 +45,25 @@ def test_score_stream_equals_batch(spark, tmpdir_):
     batch = scorer(spark.read.parquet(src).where(F.col("text") != "0"))
     assert sorted(spark.read.parquet(sink).collect()) == sorted(batch.collect())
     assert {r["conv_id"]: r["pred"] for r in batch.collect()} == {1: 0, 2: 7, 3: None}
+
+
+def test_stateful_dedupe_first_wins_across_batches(spark, tmpdir_):
+    import glob
+    import shutil
+    from moodspark.session import ship_package
+    ship_package(spark)
+    batches = [[(3, "a", "u3"), (5, "b", "u5"), (4, "b", "u4")], [(1, "a", "u1"), (7, "c", "u7")],
+               [(2, "c", "u2"), (9, "d", "u9")]]
+    flat = os.path.join(tmpdir_, "flat")
+    os.makedirs(flat)
+    for i, rows in enumerate(batches):
+        d = os.path.join(tmpdir_, f"part{i}")
+        spark.createDataFrame(rows, "page_id long, title string, url string").coalesce(1).write.parquet(d)
+        f = glob.glob(os.path.join(d, "*.parquet"))[0]
+        shutil.copy(f, os.path.join(flat, f"f{i}.parquet"))
+        os.utime(os.path.join(flat, f"f{i}.parquet"), (1000 + i, 1000 + i))
+    stream = st.file_stream(spark, flat, "page_id long, title string, url string", max_files_per_trigger=1)
+    sink, ckpt = os.path.join(tmpdir_, "sink"), os.path.join(tmpdir_, "ckpt")
+    st.dedupe_stream_stateful(stream, ["title"], "page_id", ["url"], sink, ckpt)
+    got = {r["title"]: (r["page_id"], r["url"]) for r in spark.read.parquet(sink).collect()}
+    assert got == {"a": (3, "u3"), "b": (4, "u4"), "c": (7, "u7"), "d": (9, "u9")}
