@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 # strips exactly what the source's ``s.strip()`` strips.
 PY_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
-_WS_CLASS = "[" + "".join(f"\\u{ord(c):04X}" for c in PY_WHITESPACE) + "]"
-_STRIP_RE = rf"\A{_WS_CLASS}+|{_WS_CLASS}+\z"
-
 # Token separators of the whitespace tokenizer (ASCII whitespace).
 TOKEN_SPLIT_RE = r"[\t\n\x0B\f\r ]+"
 

@@ -60,14 +60,6 @@ def lexicon_hits(tokens: Column, lexicon: list[str] | dict[str, int]) -> Column:
     return F.filter(F.transform(tokens, lambda t: F.element_at(m, t)), lambda c: c.isNotNull())
 
 
-def argmax_first(arr: Column, require_positive: bool = False) -> Column:
-    """0-based index of the maximum, first index on ties; NULL for empty."""
-    idx = (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
-    if require_positive:
-        return F.when(F.array_max(arr) > 0, idx)
-    return idx
-
-
 def first_max_sql(cols: list[str], require_positive: bool = False) -> str:
     """SQL for the index of the largest of ``cols`` (first on ties)."""
     best = "greatest(" + ", ".join(f"`{c}`" for c in cols) + ")"
@@ -76,16 +68,6 @@ def first_max_sql(cols: list[str], require_positive: bool = False) -> str:
     return f"CAST(CASE {guard}{whens} END AS INT)"
 
 
-def first_max_index(cols: list[Column], require_positive: bool = False) -> Column:
-    """Index of the largest of ``cols`` (first on ties), as one CASE (codegen'd)."""
-    best = F.greatest(*cols)
-    out = None
-    for k, c in enumerate(cols):
-        out = F.when(c == best, F.lit(k)) if out is None else out.when(c == best, F.lit(k))
-    out = out.cast("int")
-    return F.when(best > 0, out) if require_positive else out
-
-
 def score_lines(lines: DataFrame, lexicon: list[str] | dict[str, int], n_classes: int = 15,
                 line_col: str = "line", keep_unscored: bool = False) -> DataFrame:
     """Q11 lexicon scorer: most lexicon hits wins, ties to the lowest class.

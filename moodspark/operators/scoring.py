@@ -28,10 +28,6 @@ def dot_sql(vec_col: str, weights: list[float]) -> str:
             f"CAST(0 AS DOUBLE), (acc, x) -> acc + x)")
 
 
-def dot(vec_col: str, weights: list[float]) -> Column:
-    return F.expr(dot_sql(vec_col, weights))
-
-
 def linear_head(df: DataFrame, vec_col: str, weights: list[list[float]], bias: list[float] | None = None) -> DataFrame:
     """Q10 scoring: logits = W x + b, pred = argmax (first on ties).
 
