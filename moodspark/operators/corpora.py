@@ -76,12 +76,14 @@ def lm_corpus(train: DataFrame, chatbot: DataFrame, label_col: str = BIG, valid:
             F.when(F.col("name") == sad, 1).otherwise(2).alias("_raw"), F.col("id").alias("_mapped"))
         everyday = n_first.select(F.lit(0).alias("_raw"), F.col("n").cast("int").alias("_mapped"))
         edges = named.unionByName(everyday)
-    chat = chatbot.join(F.broadcast(edges), F.col("label") == F.col("_raw"), "left")
-    chat = chat.withColumn("label", F.coalesce(F.col("_mapped"), F.raise_error(
-        F.concat(F.lit("unmapped chatbot label: "), F.col("label").cast("string")))).cast("int"))
-    chat = chat.select("Q", "A", "label", F.lit(4).alias("slot"), F.lit(0).alias("split_order"), "row_id")
     if strict_dropna:
-        chat = chat.dropna(subset=["Q", "A", "label"])
+        chatbot = chatbot.dropna(subset=["Q", "A", "label"])
+    chat = chatbot.join(F.broadcast(edges), F.col("label") == F.col("_raw"), "left")
+    mapped = F.when(F.col("label").isNull(), F.lit(None).cast("int")).otherwise(F.coalesce(
+        F.col("_mapped"), F.raise_error(F.concat(F.lit("unmapped chatbot label: "), F.col("label").cast("string")))
+        .cast("int")))
+    chat = chat.select("Q", "A", mapped.alias("label"), F.lit(4).alias("slot"), F.lit(0).alias("split_order"),
+                       "row_id")
     rows = sheet_rows.unionByName(chat)
     return reindex(rows, ["slot", "split_order", "row_id"]).select("row_idx", "Q", "A", "label")
 

@@ -83,12 +83,11 @@ def score_lines(lines: DataFrame, lexicon: list[str] | dict[str, int], n_classes
                                        for k in range(n_classes)])
     pred = first_max_sql([f"_c{k}" for k in range(n_classes)], require_positive=True)
     out = counted.selectExpr(*base, f"{pred} AS pred")
-    if keep_unscored:
-        return out
-    # Drop unscored lines through a generator rather than a Filter: a filter on
-    # ``pred`` would be pushed below the projections with the whole token
-    # pipeline inlined into it, evaluating it twice per line.
-    return out.selectExpr(*base, "explode(filter(array(pred), x -> x IS NOT NULL)) AS pred")
+    # ``pred`` leaves through a generator: a predicate on it (a NULL filter, a
+    # join constraint) can then never be pushed below these projections, which
+    # would inline the whole token pipeline into the filter once per reference.
+    keep = "array(pred)" if keep_unscored else "filter(array(pred), x -> x IS NOT NULL)"
+    return out.selectExpr(*base, f"explode({keep}) AS pred")
 
 
 def emotion_histogram(scored: DataFrame, key_cols: list[str], n_classes: int = 15,

@@ -120,3 +120,67 @@ def utterance_corpus(spark, sf):
     d = doc_qa(spark, sf).select(F.lit("documents").alias("source"), F.col("doc_id").alias("row_key"),
                                  F.col("Q").alias("text"), F.col("label").cast("string").alias("label"))
     return w.unionByName(d)
+
+
+# ---- E2 end to end on the fixture ------------------------------------------
+
+def _fifteen_sheet(spark, sf):
+    """Dialogue sheet in the source's column names. The label is derived from
+    the data: the fifteen-class name of the lexicon prediction of the first
+    user turn (conversations carry no label of their own)."""
+    from moodspark import catalog as cat
+    from moodspark.operators import lyrics as ly
+    w = wide(spark, sf)
+    scored = ly.score_lines(w, cat.FIXTURE_LEXICON, 15, "user_1")
+    names = F.broadcast(cat.catalog_df(spark, "fifteen_bert").select(F.col("id").alias("pred"),
+                                                                     F.col("name").alias("감정_소분류")))
+    sheet = scored.join(names, "pred")
+    return sheet.select(F.col("conv_id").alias("row_id"), "감정_소분류",
+                        *[F.col(f"user_{i}").alias(f"사람문장{i}") for i in (1, 2, 3)],
+                        *[F.col(f"reply_{i}").alias(f"시스템문장{i}") for i in (1, 2, 3)])
+
+
+_FIFTEEN_VALUES_SQL = None
+
+
+def _fifteen_sql():
+    from moodspark import catalog as cat
+    from moodspark.plans.sqlbits import scored_lines
+    names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(cat.FIFTEEN_BERT))
+    sheet = f"""
+      select w.conv_id as row_id, n.name as lab, w.user_1, w.reply_1, w.user_2, w.reply_2, w.user_3, w.reply_3
+      from ({WIDE_SQL}) w
+      join ({scored_lines("select conv_id, 1 as line_no, user_1 as line from (" + WIDE_SQL + ") x", "conv_id")}) s
+        on w.conv_id = s.conv_id
+      join (values {names}) n(id, name) on s.pred = n.id
+    """
+    return f"""
+with sheet as ({sheet}),
+ids as (select lab, row_number() over (order by first_row, lab) - 1 as id, count(*) over () as n
+        from (select lab, min(row_id) as first_row from sheet group by lab) f),
+pairs as (
+  select row_id, 1 as slot, user_1 as Q, reply_1 as A, lab from sheet
+  union all select row_id, 2, user_2, reply_2, lab from sheet
+  union all select row_id, 3, user_3, reply_3, lab from sheet),
+rows as (
+  select p.Q, p.A, ids.id as label, p.slot, 0 as split_order, p.row_id
+  from pairs p join ids on p.lab = ids.lab where p.Q is not null and p.A is not null
+  union all
+  select d.Q, d.A,
+         case d.label when 0 then (select max(n) from ids)
+                      when 1 then (select id from ids where lab = '슬픈')
+                      when 2 then (select id from ids where lab = '기쁨') end,
+         4, 0, d.doc_id
+  from ({DOC_QA_SQL}) d where d.Q is not null and d.A is not null and d.label is not null)
+select cast(row_number() over (order by slot, split_order, row_id) - 1 as bigint) as row_idx, Q, A,
+       cast(label as integer) as label
+from rows
+"""
+
+
+@register("lm_corpus_fifteen", _fifteen_sql())
+def lm_corpus_fifteen(spark, sf):
+    """E2 end to end: sheet (first-appearance ids) + chatbot rows mapped by name -> re-indexed corpus."""
+    from moodspark.operators import corpora as cp
+    chat = doc_qa(spark, sf).select(F.col("doc_id").alias("row_id"), "Q", "A", "label")
+    return cp.lm_corpus(_fifteen_sheet(spark, sf), chat, label_col="감정_소분류")
