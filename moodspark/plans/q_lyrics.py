@@ -82,3 +82,15 @@ def score_lines(spark, sf):
 def resume_slice(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
     return ly.resume_slice(docs, "doc_id", 100)
+
+
+@register("score_lines_model", f"select doc_id, line_no, cast(pred as integer) as pred from ({scored_lines(DOC_LINES)}) s")
+def score_lines_model(spark, sf):
+    """Q11 through the pluggable model path: a user model object scored in
+    Arrow batches (``mapInPandas``), loaded once per Python worker. The
+    stand-in model applies the lexicon rule, so the oracle is the same as
+    ``score_lines``."""
+    from moodspark.operators import scoring as sc
+    lines = ly.lyric_lines(table(spark, sf, "documents", ["doc_id"]).select("doc_id", "text"))
+    scored = sc.model_scorer(lines, "line", "fixture-lexicon", sc.LexiconModel, ["doc_id", "line_no"])
+    return scored.where(F.col("pred").isNotNull())
