@@ -88,3 +88,19 @@ def test_parsed_extractor_handles_nesting(spark):
     # the regexp extractor stops at the first closing tag (flat layouts only)
     flat = df.select(hx.element_text(F.col("html"), "div", "lyricsContainer")).first()[0]
     assert flat == "첫 줄안쪽"
+
+
+def test_snapshot_sink_reproduces_cumulative_workbooks(spark, tmpdir_):
+    import os
+    day0 = dt.date(2010, 1, 1)
+    rows = [(i, f"t{(i * 7) % 23}", day0 + dt.timedelta(days=i // 3)) for i in range(90)]
+    df = spark.createDataFrame(rows, "seq int, title string, crawl_date date")
+    tagged = pg.snapshot_rows(df, ["title"], "crawl_date", "seq", [], every=12)
+    path = os.path.join(tmpdir_, "snaps")
+    pg.write_snapshots(tagged, path)
+    back = spark.read.parquet(path)
+    counts = {r["snapshot_no"]: r["n_keys"] for r in pg.cumulative_snapshots(df, ["title"], "crawl_date", 12).collect()}
+    for k, n in counts.items():
+        workbook = back.where(F.col("snapshot_no") <= k)
+        assert workbook.count() == n
+        assert workbook.select("title").distinct().count() == n
