@@ -33,10 +33,16 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, encoding:
             .option("mode", "FAILFAST").schema(schema).csv(path))
 
 
-def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", mode: str = "overwrite") -> None:
-    """One header per part file, no index column, overwrite is idempotent."""
+def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", mode: str = "overwrite",
+              max_records_per_file: int = 1_000_000) -> None:
+    """One header per part file, no index column, overwrite is idempotent.
+
+    Part files are capped in records: a ``multiLine`` scan reads each file in
+    one task, so bounded files keep a later scan of this output parallel.
+    """
     _enable_charset(df.sparkSession, encoding)
-    df.write.mode(mode).options(**_COMMON).option("encoding", encoding).csv(path)
+    (df.write.mode(mode).options(**_COMMON).option("encoding", encoding)
+     .option("maxRecordsPerFile", str(max_records_per_file)).csv(path))
 
 
 def read_tagged(spark: SparkSession, sources: dict[str, DataFrame] | None = None, tag_col: str = "split") -> DataFrame:
