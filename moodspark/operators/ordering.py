@@ -8,8 +8,9 @@ the work distributed:
 * ``global_index``: range-partitioned sort, ``monotonically_increasing_id``
   (partition index in the high bits, position in the low 33 bits), lineage
   cut by a checkpoint to the shared folder so ids are stable under retries,
-  then per-partition counts -> prefix offsets (one row per partition, a
-  proven-small broadcast) -> dense 0-based index.
+  then per-partition counts (one row per partition, collected: bounded by
+  the partition count) -> prefix offsets, applied as a literal map for up to
+  1024 partitions and as a broadcast table beyond -> dense 0-based index.
 * ``running_total``: two-level prefix sum over a dense integer order key:
   block totals (1/block of the rows) and a within-block window, each group
   bounded by the block size.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from moodspark.session import materialize
 
 _LOW_BITS = 33
+MAX_LITERAL_OFFSETS = 1024
 
 
 def global_index(df: DataFrame, order_cols: list[Column | str], name: str = "row_idx") -> DataFrame:
@@ -34,11 +36,22 @@ def global_index(df: DataFrame, order_cols: list[Column | str], name: str = "row
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ranked = materialize(df.orderBy(*cols).withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftrightunsigned(F.col("_mid"), _LOW_BITS)
-    counts = ranked.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    joined = ranked.join(F.broadcast(offsets), pid == offsets["_pid"])
+    # one row per partition: a proven-small result, applied as a literal map
+    counts = sorted((int(r[0]), int(r[1])) for r in ranked.groupBy(pid.alias("_pid")).count().collect())
+    offsets, run = [], 0
+    for p, n in counts:
+        offsets.append((p, run))
+        run += n
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
+    if not offsets:
+        return ranked.withColumn(name, F.lit(None).cast("bigint")).drop("_mid")
+    if len(offsets) <= MAX_LITERAL_OFFSETS:
+        # few partitions: the offsets travel inside the plan (no broadcast job)
+        off_map = F.expr("map(" + ", ".join(f"{p}L, {o}L" for p, o in offsets) + ")")
+        return ranked.withColumn(name, (F.element_at(off_map, pid) + local).cast("bigint")).drop("_mid")
+    # many partitions: ship the offsets once per executor instead of per task
+    off_df = F.broadcast(ranked.sparkSession.createDataFrame(offsets, "_pid long, _off long"))
+    joined = ranked.join(off_df, pid == off_df["_pid"])
     return joined.withColumn(name, (F.col("_off") + local).cast("bigint")).drop("_mid", "_pid", "_off")
 
 

@@ -37,3 +37,12 @@ def test_window_definition_agrees(spark):
     ref = df.withColumn("r", F.row_number().over(Window.orderBy("k")) - 1)
     ours = global_index(df, ["k"], "r")
     assert sorted(ref.collect()) == sorted(ours.select("k", "v", "r").collect())
+
+
+def test_global_index_broadcast_offsets_path(spark, monkeypatch):
+    from moodspark.operators import ordering
+    monkeypatch.setattr(ordering, "MAX_LITERAL_OFFSETS", 1)
+    rows = [(i % 13, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, id int").repartition(5)
+    got = {(r["k"], r["id"]): r["row_idx"] for r in ordering.global_index(df, ["k", "id"]).collect()}
+    assert got == {key: i for i, key in enumerate(sorted(rows))}
