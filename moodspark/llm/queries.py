@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moodspark.llm import bpe, licenses, line_dedup, mixing
+from moodspark.llm import bpe, fingerprints, licenses, line_dedup, mixing
 from moodspark.session import ship_package
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@register("op1_order_minhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(read(spark, sf_dir, "documents"))
+
+
 @register("op2_bpe_encode_decode")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), tokenizer_path())
