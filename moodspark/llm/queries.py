@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moodspark.llm import bpe, fingerprints, licenses, line_dedup, mixing
+from moodspark.llm import bpe, fingerprints, langid, licenses, line_dedup, mixing
 from moodspark.session import ship_package
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licence_report(read(spark, sf_dir, "documents"))
 
 
+@register("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(read(spark, sf_dir, "documents"))
+
+
 LINES_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from d),
