@@ -11,8 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from moodspark.llm import bpe, fingerprints, langid, licenses, line_dedup, mixing
+from moodspark.llm import bpe, fingerprints, langid, licenses, line_dedup, mixing, quality, topk
 from moodspark.session import ship_package
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +63,31 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(read(spark, sf_dir, "documents"))
 
 
+@register("op5_site_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the documents' sources, paths their languages within a source; good: quality 1 and not toxic."""
+    return quality.quality_scores(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"),
+        (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
+
+
+TOPK_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+           where vec_id is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id,
+        list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+      from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+@register("op7_exact_topk", TOPK_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 LINES_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from d),
