@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm import bpe, fingerprints, langid, licenses, line_dedup, mixing, quality, topk
+from moodspark.llm import bpe, fingerprints, jaccard, langid, licenses, line_dedup, mixing, quality, topk
 from moodspark.session import ship_package
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
 
 
+@register("op6_jaccard_components")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 TOPK_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
            where vec_id is not null and embedding is not null
