@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, StringType
 
 from moodspark.llm.common import SPACE_CHARS, ascii_lower, narrow, row_key, text_or_empty
 from moodspark.session import materialize
@@ -154,7 +155,7 @@ def dropped_lines(rows: DataFrame, min_docs: int = 3, partitions: int | None = N
     return passed.where("kind = 0").select("did", "rk", "pos").unionByName(opened.select("did", "rk", "pos"))
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def pack_bitmap(positions: pd.Series, n_lines: pd.Series) -> pd.Series:
     """Compressed keep bitmap: bit i is 1 where line i stays."""
     def one(pos, n):
@@ -175,7 +176,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     return lost.select("did", "rk", pack_bitmap("pos", F.array_max("pos") + 1).alias("keep"), F.size("pos").alias("n_dropped"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def apply_bitmap(text: pd.Series, keep: pd.Series) -> pd.Series:
     """The lines that stay, joined by a newline; a null bitmap keeps all, lines beyond it stay."""
     def one(t, k):

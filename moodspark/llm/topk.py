@@ -108,12 +108,10 @@ def best(qids, queries, thresholds, cids, cands, k: int):
         t = min(1.0, local[at] * slack)
         alive = cn * qn[at] >= floor_[at] * slack
         for f in np.argsort(-np.abs(q))[:FOCUS]:
-            spread = np.sqrt(max(0.0, (1 - t * t) * (1 - q[f] * q[f])))
-            alive &= (unit[:, f] >= q[f] * t - spread - 1e-9)
-            if q[f] < t:
-                alive &= unit[:, f] <= q[f] * t + spread + 1e-9
-            if -q[f] < t:
-                alive &= unit[:, f] >= q[f] * t - spread - 1e-9
+            # a vector within the angle acos(t) of q has its coordinate within that angle of q's
+            own, within = np.arccos(np.clip(q[f], -1.0, 1.0)), np.arccos(t)
+            alive &= unit[:, f] >= np.cos(min(np.pi, own + within)) - 1e-9
+            alive &= unit[:, f] <= np.cos(max(0.0, own - within)) + 1e-9
         index = np.flatnonzero(alive)
         if len(index):
             take(at, index, product(queries[at:at + 1], cands[index])[0])
