@@ -25,6 +25,7 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     spark = build_session(f"local[{cpus}]", cpus)
+    spark.conf.set("spark.moodspark.spread", str(cpus))  # the tables are single files
     qs = queries()
     names = [n for n in qs if not only or n in only]
 

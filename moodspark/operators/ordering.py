@@ -5,15 +5,15 @@ re-index after concat, batch ids, running accuracy). ``Window.orderBy``
 without ``partitionBy`` moves every row into one task; these helpers keep
 the work distributed:
 
-* ``global_index``: range-partitioned sort, ``monotonically_increasing_id``
-  (partition index in the high bits, position in the low 33 bits), lineage
-  cut by a checkpoint to the shared folder so ids are stable under retries,
-  then per-partition counts (one row per partition, collected: bounded by
-  the partition count) -> prefix offsets, applied as a literal map for up to
-  1024 partitions and as a broadcast table beyond -> dense 0-based index.
-* ``running_total``: two-level prefix sum over a dense integer order key:
-  block totals (1/block of the rows) and a within-block window, each group
-  bounded by the block size.
+* ``global_index``: the order keys alone are range-sorted and numbered with
+  ``monotonically_increasing_id`` (partition index in the high bits, position
+  in the low 33 bits); a checkpoint in the shared folder keeps the numbers
+  stable under retries; per-partition counts (one row per partition) give the
+  offsets, joined as a broadcast table. Other columns, texts included, are
+  joined back by the keys and are neither sorted nor written.
+* ``running_total``: prefix sums over a dense integer key in levels of blocks;
+  each level sums ``block`` rows of the one below, so that the last one has at
+  most n / block**levels rows.
 """
 
 from __future__ import annotations
@@ -24,53 +24,61 @@ from pyspark.sql import functions as F
 from moodspark.session import materialize
 
 _LOW_BITS = 33
-MAX_LITERAL_OFFSETS = 1024
 
 
-def global_index(df: DataFrame, order_cols: list[Column | str], name: str = "row_idx") -> DataFrame:
-    """Dense 0-based position of each row in ``order_cols`` order.
-
-    ``order_cols`` must make the order total (end with a unique key), so the
-    index equals ``row_number() over (order by ...) - 1``.
-    """
+def _numbered(df: DataFrame, order_cols: list[Column | str], name: str) -> DataFrame:
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ranked = materialize(df.orderBy(*cols).withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftrightunsigned(F.col("_mid"), _LOW_BITS)
-    # one row per partition: a proven-small result, applied as a literal map
-    counts = sorted((int(r[0]), int(r[1])) for r in ranked.groupBy(pid.alias("_pid")).count().collect())
-    offsets, run = [], 0
-    for p, n in counts:
-        offsets.append((p, run))
-        run += n
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition, whatever the number of rows
+    offsets = ranked.groupBy(pid.alias("_pid")).count().select(
+        "_pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
-    if not offsets:
-        return ranked.withColumn(name, F.lit(None).cast("bigint")).drop("_mid")
-    if len(offsets) <= MAX_LITERAL_OFFSETS:
-        # few partitions: the offsets travel inside the plan (no broadcast job)
-        off_map = F.expr("map(" + ", ".join(f"{p}L, {o}L" for p, o in offsets) + ")")
-        return ranked.withColumn(name, (F.element_at(off_map, pid) + local).cast("bigint")).drop("_mid")
-    # many partitions: ship the offsets once per executor instead of per task
-    off_df = F.broadcast(ranked.sparkSession.createDataFrame(offsets, "_pid long, _off long"))
-    joined = ranked.join(off_df, pid == off_df["_pid"])
+    joined = ranked.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid")
     return joined.withColumn(name, (F.col("_off") + local).cast("bigint")).drop("_mid", "_pid", "_off")
 
 
-def running_total(df: DataFrame, order_col: str, value_cols: list[str], block: int = 4096,
-                  suffix: str = "_cum") -> DataFrame:
-    """Inclusive prefix sums of ``value_cols`` over a dense integer ``order_col``.
+def global_index(df: DataFrame, order_cols: list[Column | str], name: str = "row_idx",
+                 key_cols: list[str] | None = None) -> DataFrame:
+    """Dense 0-based position of each row in ``order_cols`` order.
 
-    Block totals are summed with a window over ``n/block`` rows; rows within a
-    block are summed with a window partitioned by block (at most ``block``
-    rows per group), so no task sees more than one block of rows.
+    ``order_cols`` must make the order total (end with a unique key), so the
+    index equals ``row_number() over (order by ...) - 1``. ``key_cols`` are
+    columns that identify a row and hold all that ``order_cols`` need: only
+    they are sorted, and the rest is joined back. Without them the rows
+    themselves are sorted, which suits narrow tables.
     """
-    blk = F.floor(F.col(order_col) / F.lit(block)).alias("_blk")
-    with_blk = df.withColumn("_blk", blk)
-    totals = with_blk.groupBy("_blk").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
-    before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_blk", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
-                                      for c in value_cols])
-    within = Window.partitionBy("_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = with_blk.join(offsets, "_blk")
+    if key_cols is None or set(key_cols) == set(df.columns):
+        return _numbered(df, order_cols, name)
+    index = _numbered(df.select(*key_cols), order_cols, name)
+    index = index.select(name, *[F.col(c).alias(f"_ix_{c}") for c in key_cols])
+    same = F.lit(True)
+    for c in key_cols:
+        same = same & df[c].eqNullSafe(index[f"_ix_{c}"])
+    return df.join(index, same).drop(*[f"_ix_{c}" for c in key_cols])
+
+
+def _before(df: DataFrame, key: str, cols: list[str], block: int, levels: int) -> DataFrame:
+    """``df`` with ``_e_<col>``: the sum of each column over all smaller keys."""
+    if levels == 0:
+        w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_e_{c}") for c in cols])
+    up = f"_b{levels}"
+    with_blk = df.withColumn(up, F.floor(F.col(key) / F.lit(block)))
+    totals = with_blk.groupBy(up).agg(*[F.sum(c).alias(c) for c in cols])
+    offsets = _before(totals, up, cols, block, levels - 1).select(up, *[F.col(f"_e_{c}").alias(f"_u_{c}") for c in cols])
+    within = Window.partitionBy(up).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    out = with_blk.join(offsets, up)
+    for c in cols:
+        out = out.withColumn(f"_e_{c}", F.col(f"_u_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)))
+    return out.drop(up, *[f"_u_{c}" for c in cols])
+
+
+def running_total(df: DataFrame, order_col: str, value_cols: list[str], block: int = 4096,
+                  suffix: str = "_cum", levels: int = 2) -> DataFrame:
+    """Inclusive prefix sums of ``value_cols`` over a dense integer ``order_col``."""
+    out = _before(df, order_col, value_cols, block, levels)
     for c in value_cols:
-        out = out.withColumn(f"{c}{suffix}", F.col(f"_o_{c}") + F.sum(c).over(within))
-    return out.drop("_blk", *[f"_o_{c}" for c in value_cols])
+        out = out.withColumn(f"{c}{suffix}", F.col(f"_e_{c}") + F.col(c))
+    return out.drop(*[f"_e_{c}" for c in value_cols])

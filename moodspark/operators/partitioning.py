@@ -1,24 +1,20 @@
-"""Partitioning helpers that adapt to the input instead of hard-coding counts."""
+"""Spreading of scans with few splits, on request."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Session setting: the number of partitions to deal scans out to. Unset, a scan stays as its files split it.
+SPREAD = "spark.moodspark.spread"
 
-def spread(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Hash-repartition on ``keys`` only when the scan has too few splits.
 
-    Large inputs already arrive in many file splits, so this is a no-op at
-    scale; a single-row-group file (one scan task) is spread over the
-    cluster's default parallelism before CPU-heavy text work. Hash (not
-    round-robin) partitioning keeps retries deterministic and lets a later
-    ``groupBy(keys)`` reuse the partitioning without another exchange.
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition on ``keys`` if the session sets ``spark.moodspark.spread``.
+
+    The caller knows its files: one row group is one task, and text work gains
+    from being dealt out; many splits need no shuffle. Hash (not round-robin)
+    partitioning keeps retries deterministic.
     """
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    if keys:
-        return df.repartition(target, *[F.col(k) for k in keys])
-    return df.repartition(target)
+    parts = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(parts, *[F.col(k) for k in keys]) if parts > 0 else df

@@ -14,25 +14,26 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app_name: str = "moodspark") -> SparkSession:
     """Local/cluster session with AQE on and the UI off.
 
-    On a cluster ``master`` is left to spark-submit; locally it defaults to
-    ``local[8]``.
+    On a cluster ``master``, shuffle partitions and driver memory are left to
+    spark-submit; only a local master sets them here.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or 8
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        builder = builder.config("spark.driver.memory", os.environ.get("MOODSPARK_DRIVER_MEM", "16g"))
     spark = (
         builder
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("MOODSPARK_DRIVER_MEM", "16g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -11,26 +11,13 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def table(spark: SparkSession, sf_dir: str, name: str, spread_on: list[str] | None = None) -> DataFrame:
     """Parquet scan; Catalyst prunes columns and pushes filters into it.
 
-    ``spread_on`` marks CPU-heavy text work downstream: if the scan has fewer
-    splits than the cluster's default parallelism (e.g. a single row group),
-    rows are hash-partitioned on those keys first (see ``spread``).
+    ``spread_on`` names the keys by which ``spread`` may deal the rows out before
+    CPU-heavy text work, if the session asks for it.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"), name, tuple(spread_on or ()))
-    hit = _SCANS.get(key)
-    if hit is not None:
-        return hit
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread_on:
         from moodspark.operators.partitioning import spread
         df = spread(df, spread_on)
-    if len(_SCANS) > 256:
-        _SCANS.clear()
-    _SCANS[key] = df
     return df
-
-
-# Lazy scan DataFrames (no data) reused across plans of one session: saves the
-# file listing, footer read and client calls of re-creating them.
-_SCANS: dict[tuple, DataFrame] = {}

@@ -39,10 +39,17 @@ def test_window_definition_agrees(spark):
     assert sorted(ref.collect()) == sorted(ours.select("k", "v", "r").collect())
 
 
-def test_global_index_broadcast_offsets_path(spark, monkeypatch):
-    from moodspark.operators import ordering
-    monkeypatch.setattr(ordering, "MAX_LITERAL_OFFSETS", 1)
-    rows = [(i % 13, i) for i in range(300)]
-    df = spark.createDataFrame(rows, "k int, id int").repartition(5)
-    got = {(r["k"], r["id"]): r["row_idx"] for r in ordering.global_index(df, ["k", "id"]).collect()}
-    assert got == {key: i for i, key in enumerate(sorted(rows))}
+def test_index_joins_other_columns_back(spark):
+    rows = [(i % 13, None if i == 5 else i, "text " * i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, id int, text string").repartition(5)
+    ours = global_index(df, ["k", F.col("id").asc_nulls_first()], key_cols=["k", "id"])
+    got = {(r["k"], r["id"]): (r["row_idx"], r["text"]) for r in ours.collect()}
+    ordered = sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1]))
+    assert got == {(k, i): (n, t) for n, (k, i, t) in enumerate(ordered)}
+
+
+def test_running_total_over_several_levels(spark):
+    df = spark.range(0, 900).select(F.col("id").alias("b"), (F.col("id") % 5).alias("v"))
+    for levels in (0, 1, 3):
+        got = [r["v_cum"] for r in running_total(df, "b", ["v"], block=4, levels=levels).orderBy("b").collect()]
+        assert got == pd.Series([i % 5 for i in range(900)]).cumsum().tolist()
