@@ -54,13 +54,53 @@ def element_text(html: Column, tag: str, cls: str | None = None) -> Column:
     return tx.html_unescape_basic(tx.strip_tags(element_inner(html, tag, cls)))
 
 
-def all_element_texts(html: Column, tag: str) -> Column:
-    """Text of every ``<tag>...</tag>`` (non-greedy, in order), stripped, non-blank."""
-    inner = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}>(.*?)</{tag}>"), 1)
-    texts = F.transform(inner, lambda x: tx.py_strip(tx.html_unescape_basic(tx.strip_tags(x))))
+# Tags whose start or end closes an open paragraph.
+BLOCK_TAGS = ("p|div|article|section|main|aside|header|footer|nav|body|html|ul|ol|li|dl|table|form|pre|blockquote|"
+              "fieldset|figure|address|hr|h[1-6]")
+
+
+def _cut(tag_text: Column, pattern: str) -> Column:
+    return F.regexp_replace(tag_text, pattern, "")
+
+
+def visible(html: Column) -> Column:
+    """The page without comments, scripts, styles and a tag that the end of the page cuts off."""
+    quiet = _cut(html, r"(?is)<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)")
+    return _cut(quiet, r"(?s)<[^>]*$")
+
+
+def paragraphs(html: Column) -> Column:
+    """Text of every paragraph, in order, stripped, non-blank.
+
+    A paragraph ends at its end tag, at the next paragraph or at the start or
+    end of another block, as a parser would end it.
+    """
+    pieces = F.split(visible(html), r"(?i)<p(?=[\s>/])[^>]*>", -1)
+    bodies = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+                         lambda x: _cut(x, rf"(?is)</?(?:{BLOCK_TAGS})(?=[\s>/]).*$"))
+    texts = F.transform(bodies, lambda x: tx.py_strip(tx.html_unescape_basic(tx.strip_tags(x))))
     return F.filter(texts, lambda x: x != F.lit(""))
 
 
+def container_inner(html: Column, tag: str, cls: str | None = None) -> Column:
+    """Inner HTML of the first ``<tag class=cls>``, elements of the same tag inside it included; NULL if absent.
+
+    What follows the opening tag is cut before every start or end of the tag
+    and added up until as many have ended as begun.
+    """
+    opening = rf"(?is)<{tag}\s[^>]*{_class_re(cls)}[^>]*>" if cls else rf"(?is)<{tag}(?=[\s>])[^>]*>"
+    halves = F.split(html, opening, 2)
+    pieces = F.split(F.get(halves, F.lit(1)), rf"(?i)(?=</?{tag}[\s>])", -1)
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(piece.rlike(rf"(?i)^</{tag}[\s>]"), -1).when(piece.rlike(rf"(?i)^<{tag}[\s>]"), 1).otherwise(0)
+        depth = F.when(acc["depth"] <= 0, acc["depth"]).otherwise(depth)
+        return F.struct(depth.alias("depth"), F.when(depth > 0, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+    return F.when(F.size(halves) > 1, F.aggregate(pieces, start, step, lambda acc: acc["out"]))
+
+
 def title_text(html: Column) -> Column:
     """P4 (fixture form): decoded ``<title>`` text, NULL if absent."""
     return tx.html_unescape_basic(element_inner(html, "title"))
@@ -69,7 +109,13 @@ def title_text(html: Column) -> Column:
 def meta_property(html: Column, prop: str, attr: str = "content") -> Column:
     """P4 (source form): ``<meta property=prop content=...>``, NULL if absent."""
     metas = F.filter(open_tags(html, "meta"), lambda t: t.rlike(rf'property="{re.escape(prop)}"'))
-    return F.when(F.size(metas) > 0, tx.html_unescape_basic(attr_of(F.element_at(metas, 1), attr)))
+    return tx.html_unescape_basic(attr_of(F.get(metas, F.lit(0)), attr))
+
+
+def meta_attr(html: Column, attr: str) -> Column:
+    """Value of ``attr`` of the first ``<meta>`` that has it, NULL if none has."""
+    metas = F.filter(open_tags(html, "meta"), lambda t: t.rlike(rf'\s{re.escape(attr)}="'))
+    return tx.html_unescape_basic(attr_of(F.get(metas, F.lit(0)), attr))
 
 
 def split_parts(c: Column, sep: str = "/") -> Column:

@@ -93,11 +93,17 @@ def detokenize(tokens: Column, marker: str = "▁") -> Column:
     return F.trim(F.replace(F.array_join(tokens, ""), F.lit(marker), F.lit(" ")))
 
 
+# Named character references, decoded with or without their
+# semicolon; ``&amp`` comes last so that what it makes is not read again.
+HTML_NAMED = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("copy", "\u00a9"), ("middot", "\u00b7"),
+              ("nbsp", "\u00a0"), ("amp", "&"))
+
+
 def html_unescape_basic(c: Column | str) -> Column:
-    """Decode the five XML entities (``&amp;`` last so it is not re-read)."""
+    """Decode the common character references, also where the semicolon is missing."""
     out = col_(c)
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(ent), F.lit(ch))
+    for name, char in HTML_NAMED:
+        out = F.replace(F.replace(out, F.lit(f"&{name};"), F.lit(char)), F.lit(f"&{name}"), F.lit(char))
     return out
 
 

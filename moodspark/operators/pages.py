@@ -43,15 +43,20 @@ def song_records(pages: DataFrame, title: Column, lines: Column, id_col: str = "
     ).withColumn("record", F.concat("title_parts", "lines"))
 
 
-def ragged_to_wide(df: DataFrame, array_col: str, key_cols: list[str], width: int | None = None,
-                   prefix: str = "c") -> DataFrame:
-    """Array column -> ``c000..`` columns, NULL-padded to the widest row.
+def ragged_to_rows(df: DataFrame, array_col: str, key_cols: list[str], width: Column | None = None) -> DataFrame:
+    """The rectangle as rows (keys, width, cells): every record NULL-padded to the widest.
 
-    The width is one aggregate (a single number back to the driver) unless
-    given; the projection itself is narrow (no shuffle).
+    The width is a scalar subquery of the same plan unless given; the schema is
+    the same for any data, and the padding is narrow.
     """
     if width is None:
-        width = df.agg(F.max(F.size(array_col))).first()[0] or 0
+        width = F.coalesce(df.agg(F.max(F.size(array_col))).scalar(), F.lit(0))
+    pad = F.array_repeat(F.lit(None).cast("string"), F.greatest(width - F.size(array_col), F.lit(0)))
+    return df.select(*key_cols, width.cast("int").alias("width"), F.concat(F.col(array_col), pad).alias("cells"))
+
+
+def ragged_to_wide(df: DataFrame, array_col: str, key_cols: list[str], width: int, prefix: str = "c") -> DataFrame:
+    """P9 in column form, for a stated ``width`` (e.g. a sheet export): ``c000..``, NULL-padded."""
     keys = [f"`{k}`" for k in key_cols]
     return df.selectExpr(*keys, *[f"get(`{array_col}`, {i}) AS {prefix}{i:03d}" for i in range(width)])
 
@@ -87,7 +92,8 @@ def cumulative_snapshots(df: DataFrame, key_cols: list[str], date_col: str, ever
     """
     dates = crawl_date_index(df, date_col)
     first_seen = df.groupBy(*key_cols).agg(F.min(date_col).alias("crawl_date"))
-    firsts = first_seen.join(dates, "crawl_date").select(
+    # one row per crawl date: bounded by the calendar
+    firsts = first_seen.join(F.broadcast(dates), "crawl_date").select(
         F.ceil(F.col("date_idx") / F.lit(every)).cast("int").alias("snapshot_no"))
     per_snap = firsts.groupBy("snapshot_no").agg(F.count(F.lit(1)).alias("n_new"))
     snaps = (dates.withColumn("n_dates", F.max("date_idx").over(Window.partitionBy()))
@@ -112,6 +118,7 @@ def snapshot_rows(df: DataFrame, key_cols: list[str], date_col: str, order_col:
     """
     dates = crawl_date_index(df, date_col)
     firsts = dedupe_first(df, key_cols, order_col, [date_col, *keep_cols])
+    dates = F.broadcast(dates)  # bounded by the calendar
     return (firsts.join(dates, firsts[date_col] == dates["crawl_date"])
             .withColumn("snapshot_no", F.ceil(F.col("date_idx") / F.lit(every)).cast("int"))
             .drop("crawl_date", "date_idx"))

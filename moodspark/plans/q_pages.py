@@ -21,27 +21,45 @@ CHART_BASE_URL = "https://charts.example.org/track/week?chartdate="
 
 
 def _unescape_sql(x: str) -> str:
-    return (f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), "
-            f"'&quot;', '\"'), '&#39;', ''''), '&amp;', '&')")
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "\u00a9"), ("middot", "\u00b7"),
+                       ("nbsp", "\u00a0"), ("amp", "&")):
+        x = f"replace(replace({x}, '&{name};', '{char}'), '&{name}', '{char}')"
+    return x
 
 
-TITLE_RE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title>"
-RAW_TITLE_SQL = f"case when regexp_matches(html, '{TITLE_RE}') then regexp_extract(html, '{TITLE_RE}', 1) end"
+def _between(x: str, start: str, end: str) -> str:
+    """Text from ``start`` to the next ``end``, by string positions; NULL without ``start``."""
+    return f"case when contains({x}, '{start}') then split_part(substr({x}, strpos({x}, '{start}') + {len(start)}), '{end}', 1) end"
+
+
+def _no_tags(x: str) -> str:
+    """Text outside of tags: what follows the first > of each piece cut at <."""
+    return (f"array_to_string(list_transform(string_split({x}, '<'), lambda t, i: case when i = 1 then t "
+            f"else substr(t, strpos(t, '>') + 1) end), '')")
+
+
+_MARKS = ["</p>", "</article>", "</body>", "</div>", "<footer", "<div", "<ul", "<article"]
+RAW_TITLE_SQL = _between("html", "<title>", "</title>")
 TITLE_SQL = _unescape_sql(RAW_TITLE_SQL)
-_P_TEXT_SQL = _unescape_sql("regexp_replace(x, '<[^>]*>', '', 'g')")
-P_LINES_SQL = (f"list_filter(list_transform(regexp_extract_all(html, '(?is)<p>(.*?)</p>', 1), "
+_P_CUT_SQL = "case when least({0}) > length(x) then x else substr(x, 1, least({0}) - 1) end".format(
+    ", ".join(f"case when contains(x, '{m}') then strpos(x, '{m}') else length(x) + 1 end" for m in _MARKS))
+# a tag that the end of the page cuts off is no text
+_WHOLE_SQL = "case when strpos(reverse(html), '<') > 0 and (strpos(reverse(html), '>') = 0 or strpos(reverse(html), '<') < strpos(reverse(html), '>')) " \
+             "then substr(html, 1, length(html) - strpos(reverse(html), '<')) else html end"
+_P_TEXT_SQL = _unescape_sql(_no_tags("x"))
+P_LINES_SQL = (f"list_filter(list_transform(list_transform(string_split({_WHOLE_SQL}, '<p>')[2:], lambda x: {_P_CUT_SQL}), "
                f"lambda x: trim({_P_TEXT_SQL}, '{WS}')), lambda x: x <> '')")
 RECORDS_SQL = f"""
   select page_id, title, string_split(title, '/') as parts, lines
   from (select page_id, {TITLE_SQL} as title, {P_LINES_SQL} as lines from pages) p
   where title is not null
 """
-AD_RE = r'(?is)<div\s[^>]*class="(?:[^"]*\s)?ad(?:\s[^"]*)?"[^>]*>(.*?)</div>'
+AD_SQL = _between("html", '<div class="ad">', "</div>")
 
 
 def _records(spark, sf):
     pages = table(spark, sf, "pages", ["page_id"]).select("page_id", "html")
-    rec = pg.song_records(pages, hx.title_text(F.col("html")), hx.all_element_texts(F.col("html"), "p"))
+    rec = pg.song_records(pages, hx.title_text(F.col("html")), hx.paragraphs(F.col("html")))
     return rec.where(F.col("title").isNotNull())
 
 
@@ -72,17 +90,33 @@ def title_parts(spark, sf):
         .select("page_id", (F.col("pos") + 1).cast("int").alias("part_no"), "part")
 
 
-@register("page_container_text", f"""
-select page_id,
-       case when regexp_matches(html, '{AD_RE}')
-            then {_unescape_sql(f"regexp_replace(regexp_extract(html, '{AD_RE}', 1), '<[^>]*>', '', 'g')")} end as ad_text
-from pages
-""")
+@register("page_container_text", f"select page_id, {_unescape_sql(_no_tags(AD_SQL))} as ad_text from pages")
 def page_container_text(spark, sf):
     pages = table(spark, sf, "pages", ["page_id"]).select("page_id", "html")
     return pages.select("page_id", hx.element_text(F.col("html"), "div", "ad").alias("ad_text"))
 
 
+@register("page_container_chain", f"""
+select page_id, case when contains(html, '<article>') then lines[1] end as first_line
+from (select page_id, html, {P_LINES_SQL} as lines from pages) p
+""")
+def page_container_chain(spark, sf):
+    """Container (nested blocks included) -> its paragraphs -> the first one's text."""
+    pages = table(spark, sf, "pages", ["page_id"]).select("page_id", "html")
+    inner = hx.container_inner(F.col("html"), "article")
+    return pages.select("page_id", F.get(hx.paragraphs(inner), F.lit(0)).alias("first_line"))
+
+
+@register("page_meta", f"""
+select page_id, {_between('html', '<meta charset="', '"')} as charset, cast(null as varchar) as og_title from pages
+""")
+def page_meta(spark, sf):
+    """P4 on meta tags: the fixture has a charset but no og:title, so that one is NULL everywhere."""
+    pages = table(spark, sf, "pages", ["page_id"])
+    return pages.select("page_id", hx.meta_attr(F.col("html"), "charset").alias("charset"),
+                        hx.meta_property(F.col("html"), "og:title").alias("og_title"))
+
+
 @register("page_rejects", f"""
 select reason, count(*) as n_pages from (
   select case when raw_title is null then 'no_title'
@@ -118,13 +152,15 @@ def song_records(spark, sf):
 
 
 @register("ragged_to_wide", f"""
-pivot (select page_id, 'c' || lpad(cast(pos - 1 as varchar), 3, '0') as col, val
-       from ({RECORDS_SQL}) r, unnest(list_concat(parts, lines)) with ordinality as u(val, pos))
-on col using first(val) group by page_id
+with r as (select page_id, list_concat(parts, lines) as rec from ({RECORDS_SQL}) x),
+w as (select max(len(rec)) as width from r)
+select page_id, cast(width as integer) as width,
+       array_to_string(list_transform(range(1, width + 1), lambda i: coalesce(rec[i], '<null>')), chr(9)) as cells
+from r, w
 """)
 def ragged_to_wide(spark, sf):
-    rec = _records(spark, sf)
-    return pg.ragged_to_wide(rec, "record", ["page_id"])
+    rect = pg.ragged_to_rows(_records(spark, sf), "record", ["page_id"])
+    return rect.select("page_id", "width", F.array_join("cells", "\t", "<null>").alias("cells"))
 
 
 @register("dedupe_first", f"""

@@ -54,7 +54,7 @@ def test_dedupe_keeps_first_in_crawl_order(spark):
 
 def test_ragged_to_wide_pads_with_null(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["x"])], "id int, rec array<string>")
-    wide = {r["id"]: (r["c000"], r["c001"], r["c002"]) for r in pg.ragged_to_wide(df, "rec", ["id"]).collect()}
+    wide = {r["id"]: (r["c000"], r["c001"], r["c002"]) for r in pg.ragged_to_wide(df, "rec", ["id"], 3).collect()}
     assert wide == {1: ("a", "b", "c"), 2: ("x", None, None)}
 
 
@@ -104,3 +104,75 @@ def test_snapshot_sink_reproduces_cumulative_workbooks(spark, tmpdir_):
         workbook = back.where(F.col("snapshot_no") <= k)
         assert workbook.count() == n
         assert workbook.select("title").distinct().count() == n
+
+
+def test_ragged_to_rows_pads_to_the_widest(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["x"]), (3, [])], "id int, rec array<string>")
+    got = {r["id"]: (r["width"], r["cells"]) for r in pg.ragged_to_rows(df, "rec", ["id"]).collect()}
+    assert got == {1: (3, ["a", "b", "c"]), 2: (3, ["x", None, None]), 3: (3, [None, None, None])}
+
+
+def _parsed_paragraphs(html):
+    """Paragraph texts by the standard library's parser."""
+    import re
+    from html.parser import HTMLParser
+
+    from moodspark.functions.html import BLOCK_TAGS
+
+    class Paragraphs(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.open, self.quiet = [], False, None
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style"):
+                self.quiet = tag
+            if re.fullmatch(BLOCK_TAGS, tag):
+                self.open = tag == "p"
+                if self.open:
+                    self.out.append("")
+
+        def handle_endtag(self, tag):
+            if tag == self.quiet:
+                self.quiet = None
+            if re.fullmatch(BLOCK_TAGS, tag):
+                self.open = False
+
+        def handle_data(self, data):
+            if self.open and not self.quiet:
+                self.out[-1] += data
+
+    parser = Paragraphs()
+    parser.feed(re.sub(r"<[^>]*$", "", html))
+    parser.close()
+    return [x.strip() for x in parser.out if x.strip()]
+
+
+def test_paragraphs_equal_a_parser_on_every_fixture_page(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(
+        "html", hx.paragraphs(F.col("html")).alias("got")).collect()
+    assert sum(len(r["got"]) for r in rows) == 2358
+    for r in rows:
+        assert r["got"] == _parsed_paragraphs(r["html"])
+
+
+def test_paragraph_ends_and_decoys(spark):
+    pages = ["<p>a<p class='x'>b</p>c<div><p>d</div>e", "<script>'<p>no</p>'</script><p>yes", "<p>x<ul><li>y</ul><!-- <p>z</p> -->",
+             "<p>cut off <b", "<param>no<pre>no</pre>", "", None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    got = {r["i"]: r["p"] for r in df.select("i", hx.paragraphs(F.col("html")).alias("p")).collect()}
+    assert got == {0: ["a", "b", "d"], 1: ["yes"], 2: ["x"], 3: ["cut off"], 4: [], 5: [], 6: None}
+
+
+def test_container_keeps_nested_blocks(spark):
+    html = '<div class="x">no</div><div class="lyricsContainer"><div>in</div><p>one</p><DIV>two</DIV></div><div>after</div>'
+    df = spark.createDataFrame([(html,), ("<div>none</div>",)], "html string")
+    got = [r[0] for r in df.select(hx.container_inner(F.col("html"), "div", "lyricsContainer")).collect()]
+    assert got == ["<div>in</div><p>one</p><DIV>two</DIV>", None]
+
+
+def test_references_without_semicolon(spark):
+    from moodspark.functions import text as tx
+    cases = {"a&ampb&amp;c": "a&b&c", "&amp;lt;": "&lt;", "&copy;&middot &quot;x&#39;": '\u00a9\u00b7 "x\''}
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    assert {r[0]: r[1] for r in df.select("s", tx.html_unescape_basic("s")).collect()} == cases
