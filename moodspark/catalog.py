@@ -7,8 +7,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the source project's label spaces, in its order).
@@ -99,20 +99,6 @@ FIXTURE_SOURCE_DROPPED = ["src18", "src19"]
 FIXTURE_LEXICON = ["the", "of", "and", "in", "that", "de", "la", "le", "en", "les",
                    "der", "und", "sch", "ist", "el"]
 
-_CATALOG_SCHEMA = T.StructType([
-    T.StructField("space", T.StringType(), False),
-    T.StructField("name", T.StringType(), False),
-    T.StructField("id", T.IntegerType(), False),
-])
-
-_EDGE_SCHEMA = T.StructType([
-    T.StructField("src_space", T.StringType(), False),
-    T.StructField("src_name", T.StringType(), False),
-    T.StructField("dst_space", T.StringType(), False),
-    T.StructField("dst_id", T.IntegerType(), False),
-])
-
-
 def catalog_rows() -> list[tuple[str, str, int]]:
     rows: list[tuple[str, str, int]] = []
     for space, names in (("raw3", RAW3), ("six_bert", SIX_BERT), ("six_first", SIX_FIRST),
@@ -142,13 +128,19 @@ def dropped_names(space: str) -> list[str]:
             "fixture_source": FIXTURE_SOURCE_DROPPED}.get(space, [])
 
 
+def local_table(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """Rows as a table whose size Spark knows, so that its own broadcast threshold decides on joins with it."""
+    arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(columns.values())]
+    return spark.createDataFrame(pa.table(dict(zip(columns, arrays))))
+
+
 def catalog_df(spark: SparkSession, space: str | None = None) -> DataFrame:
-    df = spark.createDataFrame(catalog_rows(), _CATALOG_SCHEMA)
+    df = local_table(spark, catalog_rows(), space=pa.string(), name=pa.string(), id=pa.int32())
     return df if space is None else df.where(df.space == space)
 
 
 def edge_df(spark: SparkSession, src_space: str | None = None, dst_space: str | None = None) -> DataFrame:
-    df = spark.createDataFrame(edge_rows(), _EDGE_SCHEMA)
+    df = local_table(spark, edge_rows(), src_space=pa.string(), src_name=pa.string(), dst_space=pa.string(), dst_id=pa.int32())
     if src_space is not None:
         df = df.where(df.src_space == src_space)
     if dst_space is not None:

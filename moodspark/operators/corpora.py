@@ -78,7 +78,7 @@ def lm_corpus(train: DataFrame, chatbot: DataFrame, label_col: str = BIG, valid:
         edges = named.unionByName(everyday)
     if strict_dropna:
         chatbot = chatbot.dropna(subset=["Q", "A", "label"])
-    chat = chatbot.join(F.broadcast(edges), F.col("label") == F.col("_raw"), "left")
+    chat = chatbot.join(edges, F.col("label") == F.col("_raw"), "left")
     mapped = F.when(F.col("label").isNull(), F.lit(None).cast("int")).otherwise(F.coalesce(
         F.col("_mapped"), F.raise_error(F.concat(F.lit("unmapped chatbot label: "), F.col("label").cast("string")))
         .cast("int")))

@@ -1,21 +1,23 @@
 """Label spaces: strict / lenient lookups, many-to-one collapse, first-appearance
 indexing, drops, value counts and table profiles.
 
-Catalog and edge tables are fixed-size (tens of rows), so they are broadcast
-with an explicit hint; the labelled table is never shuffled for a lookup.
+Catalog and edge joins carry no hint: Spark broadcasts a table whose size is
+under the threshold (the fixed catalogs always are) and shuffles a larger one,
+e.g. a catalog found in the data.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from moodspark.catalog import RESULT_SENTENCE
 from moodspark.operators.ordering import global_index
 
 
 def _names(catalog: DataFrame) -> DataFrame:
-    return F.broadcast(catalog.select(F.col("name").alias("_name"), F.col("id").alias("_id")))
+    return catalog.select(F.col("name").alias("_name"), F.col("id").alias("_id"))
 
 
 def strict_lookup(df: DataFrame, col: str, catalog: DataFrame, out_col: str = "label_id") -> DataFrame:
@@ -40,13 +42,13 @@ def lenient_recode(df: DataFrame, col: str, catalog: DataFrame, out_col: str | N
 
 def collapse(df: DataFrame, col: str, edges: DataFrame, dropped: list[str], out_col: str = "label",
              strict: bool = True) -> DataFrame:
-    """Many-to-one collapse in one broadcast join (not one scan per name).
+    """Many-to-one collapse in one join (not one scan per name).
 
     Rows whose name is in ``dropped`` are removed (F4); with ``strict`` an
     unmapped name fails the job (quirk 8: the source only fails later at
     encode time).
     """
-    e = F.broadcast(edges.select(F.col("src_name").alias("_name"), F.col("dst_id").alias("_id")))
+    e = edges.select(F.col("src_name").alias("_name"), F.col("dst_id").alias("_id"))
     kept = drop_values(df, col, dropped)
     joined = kept.join(e, F.col(col) == F.col("_name"), "left")
     if strict:
@@ -92,9 +94,17 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
             .orderBy(F.desc("n"), F.col(col)))
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """A4: rows, non-null count and type per column in one aggregate pass."""
-    fields = df.schema.fields
+def null_flags(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Every column but ``keep`` as 1 or NULL: all that a profile needs of it, and nothing wide to shuffle."""
+    return df.select(*[c if c in keep else F.when(F.col(c).isNotNull(), F.lit(1)).alias(c) for c in df.columns])
+
+
+def profile(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """A4: rows, non-null count and type per column in one aggregate pass.
+
+    ``schema`` names the types where ``df`` holds null flags.
+    """
+    fields = (schema or df.schema).fields
     aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count(F.col(f.name)).alias(f"_nn{i}") for i, f in enumerate(fields)]
     one = df.agg(*aggs)
     stack_args = ", ".join(f"'{f.name}', {i}, '{f.dataType.simpleString()}', _nn{i}" for i, f in enumerate(fields))
@@ -111,8 +121,8 @@ def head_tail(df: DataFrame, order_col: str, n: int = 5) -> DataFrame:
 
 
 def display_name(df: DataFrame, id_col: str, catalog: DataFrame, out_col: str = "label_name") -> DataFrame:
-    """Id -> display name via the broadcast catalog."""
-    c = F.broadcast(catalog.select(F.col("id").alias("_cid"), F.col("name").alias(out_col)))
+    """Id -> display name via the catalog."""
+    c = catalog.select(F.col("id").alias("_cid"), F.col("name").alias(out_col))
     return df.join(c, F.col(id_col) == F.col("_cid"), "left").drop("_cid")
 
 

@@ -1,23 +1,22 @@
 """Lyric lines -> script mask -> per-line emotion -> dense per-song histogram.
 
-Plan shape: the line explode, script mask and lexicon scoring are narrow
-(per row, whole-stage codegen, no shuffle). The only shuffle is the final
-histogram ``groupBy``, which is a hash aggregate with map-side partial
-aggregation, so a song holding a third of all lines is pre-combined per task
-before the exchange.
+Plan shape: the line explode and script mask are narrow. The scorer joins
+tokens with a lexicon table (Spark broadcasts it while its size is under the
+threshold and shuffles beyond) and counts classes per line, combined in the
+task before the exchange, as is the final histogram: a song holding a third
+of all lines sends one row per line and one per task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodspark.catalog import local_table
 from moodspark.functions import text as tx
 from moodspark.operators.partitioning import spread
 
-MAX_MAP_LEXICON = 50_000  # above this, score with a broadcast/shuffle join instead
-
-
 def lyric_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per non-blank stripped line: (id, line_no, line).
 
@@ -43,21 +42,12 @@ def resume_slice(df: DataFrame, row_id_col: str, start: int) -> DataFrame:
     return df.where(F.col(row_id_col) >= F.lit(start))
 
 
-def _sql_str(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def lexicon_hits(tokens: Column, lexicon: list[str] | dict[str, int]) -> Column:
-    """Class id of every token found in the lexicon (array<int>, misses removed).
-
-    The map literal is built as one SQL expression (a single JVM parse)
-    rather than one client call per entry.
-    """
+def lexicon_table(spark: SparkSession, lexicon: list[str] | dict[str, int] | DataFrame) -> DataFrame:
+    """(word, cls) rows; a list numbers its words, a DataFrame of any size is taken as it is."""
+    if isinstance(lexicon, DataFrame):
+        return lexicon.select("word", F.col("cls").cast("int").alias("cls"))
     mapping = lexicon if isinstance(lexicon, dict) else {w: i for i, w in enumerate(lexicon)}
-    if len(mapping) > MAX_MAP_LEXICON:
-        raise ValueError("lexicon too large for an inline map")
-    m = F.expr("map(" + ", ".join(f"{_sql_str(k)}, {int(v)}" for k, v in mapping.items()) + ")")
-    return F.filter(F.transform(tokens, lambda t: F.element_at(m, t)), lambda c: c.isNotNull())
+    return local_table(spark, [(k, int(v)) for k, v in mapping.items()], word=pa.string(), cls=pa.int32())
 
 
 def first_max_sql(cols: list[str], require_positive: bool = False) -> str:
@@ -68,26 +58,27 @@ def first_max_sql(cols: list[str], require_positive: bool = False) -> str:
     return f"CAST(CASE {guard}{whens} END AS INT)"
 
 
-def score_lines(lines: DataFrame, lexicon: list[str] | dict[str, int], n_classes: int = 15,
-                line_col: str = "line", keep_unscored: bool = False) -> DataFrame:
-    """Q11 lexicon scorer: most lexicon hits wins, ties to the lowest class.
+def score_lines(lines: DataFrame, lexicon: list[str] | dict[str, int] | DataFrame, key_cols: list[str],
+                n_classes: int = 15, line_col: str = "line", keep_unscored: bool = False) -> DataFrame:
+    """Q11 lexicon scorer: (keys, pred); most lexicon hits wins, ties to the lowest class.
 
-    Lines without any hit are removed (or kept with NULL ``pred`` when
-    ``keep_unscored``). Hits are computed once per line; the per-class
-    counts use ``array_remove`` (no lambda), so no token pipeline is
-    re-evaluated per class.
+    ``key_cols`` identify a line. Lines without any hit are removed, or kept
+    with NULL ``pred`` when ``keep_unscored``. The cost does not depend on the
+    size of the lexicon.
     """
-    base = [f"`{c}`" for c in lines.columns]
-    hits = lines.withColumn("_hits", lexicon_hits(tx.lexicon_tokens(line_col), lexicon))
-    counted = hits.selectExpr(*base, *[f"size(_hits) - size(array_remove(_hits, {k})) AS _c{k}"
-                                       for k in range(n_classes)])
+    words = lexicon_table(lines.sparkSession, lexicon)
+    tokens = lines.select(*key_cols, F.explode(tx.lexicon_tokens(line_col)).alias("_tok"))
+    hits = tokens.join(words, F.col("_tok") == F.col("word"))
+    counted = hits.groupBy(*key_cols).agg(*[F.expr(f"count_if(cls = {k}) AS _c{k}") for k in range(n_classes)])
     pred = first_max_sql([f"_c{k}" for k in range(n_classes)], require_positive=True)
-    out = counted.selectExpr(*base, f"{pred} AS pred")
-    # ``pred`` leaves through a generator: a predicate on it (a NULL filter, a
-    # join constraint) can then never be pushed below these projections, which
-    # would inline the whole token pipeline into the filter once per reference.
-    keep = "array(pred)" if keep_unscored else "filter(array(pred), x -> x IS NOT NULL)"
-    return out.selectExpr(*base, f"explode({keep}) AS pred")
+    scored = counted.selectExpr(*[f"`{k}`" for k in key_cols], f"{pred} AS pred").where("pred is not null")
+    if not keep_unscored:
+        return scored
+    found = scored.select("pred", *[F.col(k).alias(f"_s_{k}") for k in key_cols])
+    same = F.lit(True)
+    for k in key_cols:
+        same = same & lines[k].eqNullSafe(found[f"_s_{k}"])
+    return lines.select(*key_cols).join(found, same, "left").select(*key_cols, "pred")
 
 
 def emotion_histogram(scored: DataFrame, key_cols: list[str], n_classes: int = 15,
@@ -113,8 +104,7 @@ def song_emotion_hist(docs: DataFrame, lexicon: list[str] | dict[str, int], n_cl
     """E1 tail: songs -> lines -> script mask -> scorer -> dense histogram."""
     lines = lyric_lines(spread(docs.select(id_col, text_col), [id_col]), id_col, text_col)
     kept = script_mask(lines, "line", primary, other)
-    scored = score_lines(kept, lexicon, n_classes, keep_unscored=True)
-    return emotion_histogram(scored, [id_col], n_classes)
+    return emotion_histogram(score_lines(kept, lexicon, [id_col, "line_no"], n_classes), [id_col], n_classes)
 
 
 def record_emotion_hist(records: DataFrame, key_cols: list[str], lines_col: str,
@@ -122,9 +112,8 @@ def record_emotion_hist(records: DataFrame, key_cols: list[str], lines_col: str,
                         primary: str = tx.HANGUL, other: str = tx.LATIN) -> DataFrame:
     """Deduplicated song records (lines as an array) -> dense histogram.
 
-    The line explode is narrow; the histogram is the only shuffle.
+    The line explode is narrow; the scorer counts per line, the histogram per record.
     """
     lines = records.select(*key_cols, F.posexplode(lines_col).alias("_pos", "line"))
     kept = script_mask(lines, "line", primary, other)
-    scored = score_lines(kept.drop("_pos"), lexicon, n_classes, keep_unscored=True)
-    return emotion_histogram(scored, key_cols, n_classes)
+    return emotion_histogram(score_lines(kept, lexicon, [*key_cols, "_pos"], n_classes), key_cols, n_classes)

@@ -1,42 +1,46 @@
 """E2/E3 corpora on the fixture: conversations stand in for the dialogue sheet,
-documents (first two lines + quality label) for the chatbot CSV."""
+documents (their lines in pairs + quality label) for the chatbot CSV."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from moodspark import catalog as cat
 from moodspark.functions import text as tx
+from moodspark.operators import corpora as cp
 from moodspark.operators import dialogue as dg
+from moodspark.operators import lyrics as ly
 from moodspark.plans.registry import register
-from moodspark.plans.sqlbits import WS
+from moodspark.plans.sqlbits import DOC_LINES, scored_lines
 from moodspark.sources.tables import table
 
 WIDE_SQL = """
-select conv_id,
-  max(case when role = 'user' and k = 1 then text end) as user_1,
-  max(case when role = 'assistant' and k = 1 then text end) as reply_1,
-  max(case when role = 'user' and k = 2 then text end) as user_2,
-  max(case when role = 'assistant' and k = 2 then text end) as reply_2,
-  max(case when role = 'user' and k = 3 then text end) as user_3,
-  max(case when role = 'assistant' and k = 3 then text end) as reply_3
+select conv_id, cast((k - 1) // 3 + 1 as integer) as sheet_no,
+  max(case when role = 'user' and (k - 1) % 3 = 0 then text end) as user_1,
+  max(case when role = 'assistant' and (k - 1) % 3 = 0 then text end) as reply_1,
+  max(case when role = 'user' and (k - 1) % 3 = 1 then text end) as user_2,
+  max(case when role = 'assistant' and (k - 1) % 3 = 1 then text end) as reply_2,
+  max(case when role = 'user' and (k - 1) % 3 = 2 then text end) as user_3,
+  max(case when role = 'assistant' and (k - 1) % 3 = 2 then text end) as reply_3
 from (select *, row_number() over (partition by conv_id, role order by turn) as k
       from conversations where role in ('user', 'assistant')) r
-where k <= 3 group by conv_id
+group by conv_id, (k - 1) // 3
 """
 
-UNPIVOT_SQL = f"""
-select * from (
-  select conv_id, 1 as slot, user_1 as Q, reply_1 as A from ({WIDE_SQL}) w
-  union all select conv_id, 2, user_2, reply_2 from ({WIDE_SQL}) w
-  union all select conv_id, 3, user_3, reply_3 from ({WIDE_SQL}) w) u
-where Q is not null and A is not null
+UNPIVOT_SQL = """
+select u.conv_id, cast((u.k - 1) // 3 + 1 as integer) as sheet_no, cast((u.k - 1) % 3 + 1 as integer) as slot, u.text as Q, a.text as A
+from (select *, row_number() over (partition by conv_id order by turn) as k from conversations where role = 'user') u
+join (select *, row_number() over (partition by conv_id order by turn) as k from conversations where role = 'assistant') a
+  on a.conv_id = u.conv_id and a.k = u.k
+where u.text is not null and a.text is not null
 """
 
+# Lines of a document in pairs: 1 and 2, 3 and 4, ...; an odd last line has no answer.
 DOC_QA_SQL = f"""
-select d.doc_id, ls[1] as Q, ls[2] as A, l.quality as label
-from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, '{WS}')),
-                                 lambda x: x <> '') as ls from documents) d
-left join labels l on d.doc_id = l.doc_id
+select q.doc_id, cast((q.line_no + 1) // 2 as integer) as part_no, q.line as Q, a.line as A, l.quality as label
+from ({DOC_LINES}) q left join ({DOC_LINES}) a on a.doc_id = q.doc_id and a.line_no = q.line_no + 1
+left join labels l on q.doc_id = l.doc_id
+where q.line_no % 2 = 1
 """
 
 PAIRS_SQL = """
@@ -56,19 +60,23 @@ def unpivot(spark, sf):
 
 def doc_qa(spark, sf):
     docs = table(spark, sf, "documents", ["doc_id"]).select("doc_id", tx.text_lines("text").alias("_ls"))
-    qa = docs.select("doc_id", F.get("_ls", 0).alias("Q"), F.get("_ls", 1).alias("A"))
+    qa = docs.select("doc_id", F.expr("""explode(transform(filter(sequence(1, greatest(size(_ls), 1)), i -> i % 2 = 1 and i <= size(_ls)),
+        i -> struct(cast((i + 1) div 2 as int) as part_no, get(_ls, i - 1) as Q, get(_ls, i) as A)))""").alias("_p"))
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    return qa.join(labels, "doc_id", "left")
+    return qa.select("doc_id", "_p.part_no", "_p.Q", "_p.A").join(labels, "doc_id", "left")
 
 
 def pairs(spark, sf):
     return dg.turn_pairs(table(spark, sf, "conversations"))
 
 
+QA_KEYS = ["source_order", "row_key", "part_no"]
+
+
 def qa_parts(spark, sf):
     dialog = unpivot(spark, sf).select("Q", "A", F.col("slot").alias("label"), F.col("conv_id").alias("row_key"),
-                                       F.col("slot").alias("source_order"))
-    docs = doc_qa(spark, sf).select("Q", "A", "label", F.col("doc_id").alias("row_key"),
+                                       F.col("sheet_no").alias("part_no"), F.col("slot").alias("source_order"))
+    docs = doc_qa(spark, sf).select("Q", "A", "label", F.col("doc_id").alias("row_key"), "part_no",
                                     F.lit(4).alias("source_order"))
     return dg.qa_corpus([dialog, docs])
 
@@ -78,7 +86,7 @@ def dialogue_wide(spark, sf):
     return wide(spark, sf)
 
 
-@register("turn_unpivot", f"select conv_id, cast(slot as integer) as slot, Q, A from ({UNPIVOT_SQL}) u")
+@register("turn_unpivot", UNPIVOT_SQL)
 def turn_unpivot(spark, sf):
     return unpivot(spark, sf)
 
@@ -89,10 +97,10 @@ def turn_pairs(spark, sf):
 
 
 QA_SQL = f"""
-select Q, A, cast(label as integer) as label, row_key, cast(source_order as integer) as source_order from (
-  select Q, A, slot as label, conv_id as row_key, slot as source_order from ({UNPIVOT_SQL}) u
+select Q, A, cast(label as integer) as label, row_key, part_no, cast(source_order as integer) as source_order from (
+  select Q, A, slot as label, conv_id as row_key, sheet_no as part_no, slot as source_order from ({UNPIVOT_SQL}) u
   union all
-  select Q, A, label, doc_id, 4 from ({DOC_QA_SQL}) d where Q is not null and A is not null and label is not null) x
+  select Q, A, label, doc_id, part_no, 4 from ({DOC_QA_SQL}) d where Q is not null and A is not null and label is not null) x
 """
 
 
@@ -102,75 +110,77 @@ def qa_corpus(spark, sf):
 
 
 @register("reindex", f"""
-select cast(row_number() over (order by source_order, row_key) - 1 as bigint) as row_idx, Q, A, label, source_order
+select cast(row_number() over (order by source_order, row_key, part_no) - 1 as bigint) as row_idx, Q, A, label, source_order
 from ({QA_SQL}) q
 """)
 def reindex(spark, sf):
-    return dg.reindex(qa_parts(spark, sf), ["source_order", "row_key"]).drop("row_key")
+    return dg.reindex(qa_parts(spark, sf), QA_KEYS).drop("row_key", "part_no")
 
 
 @register("utterance_corpus", f"""
-select 'dialogue' as source, conv_id as row_key, user_1 as text, cast(null as varchar) as label from ({WIDE_SQL}) w
+select 'dialogue' as source, conv_id as row_key, sheet_no as part_no, user_1 as text, cast(null as varchar) as label from ({WIDE_SQL}) w
 union all
-select 'documents', doc_id, Q, cast(label as varchar) from ({DOC_QA_SQL}) d
+select 'documents', d.doc_id, d.line_no, d.line, cast(l.quality as varchar)
+from ({DOC_LINES}) d left join labels l on d.doc_id = l.doc_id
 """)
 def utterance_corpus(spark, sf):
-    w = wide(spark, sf).select(F.lit("dialogue").alias("source"), F.col("conv_id").alias("row_key"),
+    """Slot 1 of every sheet row (the source uses slot 1 only) and every line of the documents."""
+    w = wide(spark, sf).select(F.lit("dialogue").alias("source"), F.col("conv_id").alias("row_key"), F.col("sheet_no").alias("part_no"),
                                F.col("user_1").alias("text"), F.lit(None).cast("string").alias("label"))
-    d = doc_qa(spark, sf).select(F.lit("documents").alias("source"), F.col("doc_id").alias("row_key"),
-                                 F.col("Q").alias("text"), F.col("label").cast("string").alias("label"))
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    lines = ly.lyric_lines(table(spark, sf, "documents", ["doc_id"]).select("doc_id", "text")).join(labels, "doc_id", "left")
+    d = lines.select(F.lit("documents").alias("source"), F.col("doc_id").alias("row_key"), F.col("line_no").alias("part_no"),
+                     F.col("line").alias("text"), "label")
     return w.unionByName(d)
 
 
-# ---- E2 end to end on the fixture ------------------------------------------
+# ---- E2 and E3 end to end on the fixture -------------------------------------
+
+# The fixture's conversations carry no label: a sheet row takes the class that the
+# lexicon scorer predicts for its first user turn, under the source's class names.
+_SHEET_NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(cat.FIFTEEN_BERT))
+_SHEET_SQL = f"""
+select w.conv_id * 1000 + w.sheet_no as row_id, s.pred, w.user_1, w.reply_1, w.user_2, w.reply_2, w.user_3, w.reply_3
+from ({WIDE_SQL}) w
+join ({scored_lines("select conv_id * 1000 + sheet_no as row_id, 1 as line_no, user_1 as line from (" + WIDE_SQL + ") x", "row_id")}) s
+  on w.conv_id * 1000 + w.sheet_no = s.row_id
+"""
+
+
+def _sheet(spark, sf):
+    """row_id, pred and the six text columns in the source's names."""
+    w = wide(spark, sf).withColumn("row_id", F.col("conv_id") * 1000 + F.col("sheet_no"))
+    scored = ly.score_lines(w, cat.FIXTURE_LEXICON, ["row_id"], 15, "user_1")
+    return w.join(scored, "row_id").select(
+        "row_id", "pred", *[F.col(f"user_{i}").alias(f"사람문장{i}") for i in (1, 2, 3)],
+        *[F.col(f"reply_{i}").alias(f"시스템문장{i}") for i in (1, 2, 3)])
+
 
 def _fifteen_sheet(spark, sf):
-    """Dialogue sheet in the source's column names. The label is derived from
-    the data: the fifteen-class name of the lexicon prediction of the first
-    user turn (conversations carry no label of their own)."""
-    from moodspark import catalog as cat
-    from moodspark.operators import lyrics as ly
-    w = wide(spark, sf)
-    scored = ly.score_lines(w, cat.FIXTURE_LEXICON, 15, "user_1")
-    names = F.broadcast(cat.catalog_df(spark, "fifteen_bert").select(F.col("id").alias("pred"),
-                                                                     F.col("name").alias("감정_소분류")))
-    sheet = scored.join(names, "pred")
-    return sheet.select(F.col("conv_id").alias("row_id"), "감정_소분류",
-                        *[F.col(f"user_{i}").alias(f"사람문장{i}") for i in (1, 2, 3)],
-                        *[F.col(f"reply_{i}").alias(f"시스템문장{i}") for i in (1, 2, 3)])
-
-
-_FIFTEEN_VALUES_SQL = None
-
-
-def _fifteen_sql():
-    from moodspark import catalog as cat
-    from moodspark.plans.sqlbits import scored_lines
-    names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(cat.FIFTEEN_BERT))
-    sheet = f"""
-      select w.conv_id as row_id, n.name as lab, w.user_1, w.reply_1, w.user_2, w.reply_2, w.user_3, w.reply_3
-      from ({WIDE_SQL}) w
-      join ({scored_lines("select conv_id, 1 as line_no, user_1 as line from (" + WIDE_SQL + ") x", "conv_id")}) s
-        on w.conv_id = s.conv_id
-      join (values {names}) n(id, name) on s.pred = n.id
-    """
+    names = cat.catalog_df(spark, "fifteen_bert").select(F.col("id").alias("pred"), F.col("name").alias("감정_소분류"))
+    return _sheet(spark, sf).join(names, "pred").drop("pred")
+
+
+def _lm_sql(valid: bool) -> str:
+    """Every fifth sheet row is the validation sheet if ``valid``; labels it does not share with training are left out."""
+    split = "case when row_id % 5 = 4 then 1 else 0 end" if valid else "0"
     return f"""
-with sheet as ({sheet}),
+with sheet as (select s.*, n.name as lab, {split} as split_order from ({_SHEET_SQL}) s join (values {_SHEET_NAMES}) n(id, name) on s.pred = n.id),
 ids as (select lab, row_number() over (order by first_row, lab) - 1 as id, count(*) over () as n
-        from (select lab, min(row_id) as first_row from sheet group by lab) f),
+        from (select lab, min(row_id) as first_row from sheet where split_order = 0 group by lab) f),
 pairs as (
-  select row_id, 1 as slot, user_1 as Q, reply_1 as A, lab from sheet
-  union all select row_id, 2, user_2, reply_2, lab from sheet
-  union all select row_id, 3, user_3, reply_3, lab from sheet),
+  select row_id, split_order, 1 as slot, user_1 as Q, reply_1 as A, lab from sheet
+  union all select row_id, split_order, 2, user_2, reply_2, lab from sheet
+  union all select row_id, split_order, 3, user_3, reply_3, lab from sheet),
 rows as (
-  select p.Q, p.A, ids.id as label, p.slot, 0 as split_order, p.row_id
+  select p.Q, p.A, ids.id as label, p.slot, p.split_order, p.row_id
   from pairs p join ids on p.lab = ids.lab where p.Q is not null and p.A is not null
   union all
   select d.Q, d.A,
          case d.label when 0 then (select max(n) from ids)
                       when 1 then (select id from ids where lab = '슬픈')
                       when 2 then (select id from ids where lab = '기쁨') end,
-         4, 0, d.doc_id
+         4, 0, d.doc_id * 100000 + d.part_no
   from ({DOC_QA_SQL}) d where d.Q is not null and d.A is not null and d.label is not null)
 select cast(row_number() over (order by slot, split_order, row_id) - 1 as bigint) as row_idx, Q, A,
        cast(label as integer) as label
@@ -178,9 +188,62 @@ from rows
 """
 
 
-@register("lm_corpus_fifteen", _fifteen_sql())
+def _chat(spark, sf):
+    return doc_qa(spark, sf).select((F.col("doc_id") * 100_000 + F.col("part_no")).alias("row_id"), "Q", "A", "label")
+
+
+@register("lm_corpus_fifteen", _lm_sql(False))
 def lm_corpus_fifteen(spark, sf):
     """E2 end to end: sheet (first-appearance ids) + chatbot rows mapped by name -> re-indexed corpus."""
-    from moodspark.operators import corpora as cp
-    chat = doc_qa(spark, sf).select(F.col("doc_id").alias("row_id"), "Q", "A", "label")
-    return cp.lm_corpus(_fifteen_sheet(spark, sf), chat, label_col="감정_소분류")
+    return cp.lm_corpus(_fifteen_sheet(spark, sf), _chat(spark, sf), label_col=cp.FINE)
+
+
+@register("lm_corpus_two_sheets", _lm_sql(True))
+def lm_corpus_two_sheets(spark, sf):
+    """E2 with a validation sheet: training before validation inside each slot."""
+    sheet = _fifteen_sheet(spark, sf)
+    train, valid = sheet.where("row_id % 5 <> 4"), sheet.where("row_id % 5 = 4")
+    known = train.select(cp.FINE).distinct()
+    return cp.lm_corpus(train, _chat(spark, sf), cp.FINE, valid.join(known, cp.FINE, "left_semi"))
+
+
+# Utterances are the documents' lines under an English tag by language; one tag is dropped.
+_TAGS = {"en": "fear", "de": "sadness", "es": "happiness", "fr": "neutral"}
+_TAG_SQL = "case lang " + " ".join(f"when '{k}' then '{v}'" for k, v in _TAGS.items()) + " end"
+
+
+def _utterances(spark, sf):
+    docs = table(spark, sf, "documents", ["doc_id"]).select("doc_id", "lang", "text")
+    tags = F.expr("CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TAGS.items()) + " END")
+    lines = docs.select("doc_id", tags.alias(cp.UTTER_TAG), F.posexplode(tx.text_lines("text")).alias("p", cp.UTTER_TEXT))
+    return lines.select((F.col("doc_id") * 100_000 + F.col("p")).alias("row_id"), cp.UTTER_TEXT, cp.UTTER_TAG)
+
+
+def _classifier_sql(sheet_label: str, sheet_where: str, english: dict[str, int]) -> str:
+    codes = "case tag " + " ".join(f"when '{k}' then '{v}'" for k, v in english.items()) + " else tag end"
+    return f"""
+select cast(row_number() over (order by source_order, row_id) - 1 as bigint) as row_idx, text, label from (
+  select 0 as source_order, row_id, user_1 as text, {sheet_label} as label from ({_SHEET_SQL}) s where {sheet_where}
+  union all
+  select 1, row_id, line, {codes} from (
+    select doc_id * 100000 + line_no - 1 as row_id, line, {_TAG_SQL} as tag
+    from ({DOC_LINES}) x join (select doc_id as d, lang from documents) y on x.doc_id = y.d) u where tag <> 'neutral') r
+"""
+
+
+_BIG_CASE = "case pred % 7 " + " ".join(f"when {i} then '{i}'" for i in range(6)) + " else '기타' end"
+
+
+@register("classifier_corpus_six", _classifier_sql(_BIG_CASE, "true", cat.ENGLISH_TO_SIX))
+def classifier_corpus_six(spark, sf):
+    """E3, six classes: lenient recode (one name is not in the catalog and stays), neutral utterances dropped."""
+    big = F.expr("CASE pred % 7 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(cat.SIX_BERT)) + " ELSE '기타' END")
+    return cp.classifier_corpus(_sheet(spark, sf).withColumn(cp.BIG, big), _utterances(spark, sf), 6)
+
+
+@register("classifier_corpus_fifteen", _classifier_sql("cast(pred as varchar)", "row_id % 16 <> 15", cat.ENGLISH_TO_FIFTEEN))
+def classifier_corpus_fifteen(spark, sf):
+    """E3, fifteen classes: fine names collapse, a dropped name takes its rows along."""
+    fine = F.expr(f"CASE WHEN row_id % 16 = 15 THEN '{cat.FINE_DROPPED[0]}' ELSE CASE pred "
+                  + " ".join(f"WHEN {i} THEN '{v[-1]}'" for i, v in cat.FINE_TO_FIFTEEN.items()) + " END END")
+    return cp.classifier_corpus(_sheet(spark, sf).withColumn(cp.FINE, fine), _utterances(spark, sf), 15)

@@ -93,7 +93,9 @@ _PROFILE_COLS = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), (
     f"select '{c}' as column_name, {i} as ordinal, '{t}' as dtype, count({c}) as non_null, count(*) as n_rows "
     f"from ({DOC_LABELS_SQL}) x" for i, (c, t) in enumerate(_PROFILE_COLS)))
 def profile(spark, sf):
-    return lb.profile(_doc_labels(spark, sf).select(*[c for c, _ in _PROFILE_COLS]))
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    schema = docs.join(labels, "doc_id", "left").select(*[c for c, _ in _PROFILE_COLS]).schema
+    return lb.profile(lb.null_flags(docs, ["doc_id"]).join(lb.null_flags(labels, ["doc_id"]), "doc_id", "left"), schema)
 
 
 @register("head_tail", f"""
@@ -102,5 +104,6 @@ union all
 select * from (select 'tail' as part, doc_id, quality from ({DOC_LABELS_SQL}) x order by doc_id desc limit 5) t
 """)
 def head_tail(spark, sf):
-    return lb.head_tail(_doc_labels(spark, sf).select("doc_id", "quality"), "doc_id", 5) \
-        .select("part", "doc_id", "quality")
+    """The rows are picked first; the join sees ten of them (doc_id has at most one label row)."""
+    ends = lb.head_tail(table(spark, sf, "documents").select("doc_id"), "doc_id", 5)
+    return ends.join(table(spark, sf, "labels"), "doc_id", "left").select("part", "doc_id", "quality")

@@ -75,7 +75,7 @@ def script_mask(spark, sf):
 @register("score_lines", f"select doc_id, line_no, cast(pred as integer) as pred from ({scored_lines(DOC_LINES)}) s")
 def score_lines(spark, sf):
     lines = ly.lyric_lines(spread(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"]))
-    return ly.score_lines(lines, FIXTURE_LEXICON, 15).select("doc_id", "line_no", "pred")
+    return ly.score_lines(lines, FIXTURE_LEXICON, ["doc_id", "line_no"])
 
 
 @register("resume_slice", "select doc_id, lang, source, n_chars from documents where doc_id >= 100")
