@@ -43,6 +43,24 @@ def running_batch_mean(batches: DataFrame, batch_col: str, every: int) -> DataFr
     return out.where(F.col(batch_col) % every == 0)
 
 
+def bigram_model(positions: DataFrame) -> DataFrame:
+    """A model fitted on the positions: (token_id, label_id, pred, loss).
+
+    ``pred`` is the label seen most often after a token (ties to the lowest),
+    ``loss`` one minus the share of this label among those after the token.
+    """
+    pairs = positions.groupBy("token_id", "label_id").agg(F.count(F.lit(1)).alias("n"))
+    best = pairs.groupBy("token_id").agg(F.max(F.struct("n", (-F.col("label_id")).alias("neg"))).alias("top"), F.sum("n").alias("total"))
+    return pairs.join(best, "token_id").select("token_id", "label_id", (-F.col("top.neg")).cast("int").alias("pred"),
+                                               (1 - F.col("n") / F.col("total")).alias("loss"))
+
+
+def masked_sums(positions: DataFrame, key_cols: list[str], pred_col: str, loss_col: str) -> DataFrame:
+    """A8/A9 per sequence: hits, mask_sum, loss_sum from predictions and losses that the caller gives."""
+    hit = F.when(F.col(pred_col) == F.col("label_id"), 1).otherwise(0)
+    return positions.groupBy(*key_cols).agg(F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("mask_sum"), F.sum(loss_col).alias("loss_sum"))
+
+
 def param_grid(datasets: list[str], batch_sizes: list[int], lr_factors: list[int], epochs: list[int]) -> Column:
     """The grid as one array<struct> literal (bounded by its parameters)."""
     cells = [f"named_struct('dataset', '{d}', 'batch_size', {int(b)}, 'lr_factor', {int(lr)}, 'epoch', {int(e)})"

@@ -1,24 +1,22 @@
-"""Classification head on pooled embeddings (Q10) and argmax labels.
+"""Classification heads on pooled embeddings (Q10), argmax labels (T3/X5) and user models.
 
-Fitting uses ``pyspark.ml`` (distributed L-BFGS over the rows); scoring a
-fixed head is a per-row dot product with built-in higher-order functions,
-summed in a fixed left-to-right order in double precision.
+The class-mean head is fitted by grouped averages; its size is classes x dims,
+and it reaches the rows it scores as a scalar subquery of the same plan.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodspark.operators.lyrics import first_max_sql
 
 
-def argmax_prefix(vec: Column, n: int) -> Column:
-    """0-based argmax over the first ``n`` elements, first index on ties."""
-    head = F.slice(vec, 1, n)
-    return (F.array_position(head, F.array_max(head)) - 1).cast("int")
+def argmax(vec: Column) -> Column:
+    """0-based argmax over the whole vector, first index on ties."""
+    return (F.array_position(vec, F.array_max(vec)) - 1).cast("int")
 
 
 def dot_sql(vec_col: str, weights: list[float]) -> str:
@@ -43,18 +41,37 @@ def linear_head(df: DataFrame, vec_col: str, weights: list[list[float]], bias: l
                           "greatest(" + ", ".join(cols) + ") AS max_logit")
 
 
-def fit_head(df: DataFrame, vec_col: str, label_col: str, max_iter: int = 50, reg: float = 0.01) -> DataFrame:
-    """Q10 fit: multinomial logistic regression; one row per class.
+def class_mean_head(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
+    """Q10 fit: one row per class (label, n, w, b) with w the class mean and b = -|w|^2 / 2.
 
-    Returns (label, intercept, coef_l2); the coefficient matrix is bounded
-    by classes x dims.
+    The largest logit is then the nearest class mean. Vectors of different
+    lengths fail the job.
     """
-    spark = df.sparkSession
-    data = df.select(array_to_vector(F.col(vec_col)).alias("features"), F.col(label_col).cast("double").alias("label"))
-    model = LogisticRegression(maxIter=max_iter, regParam=reg, family="multinomial").fit(data)
-    mat = model.coefficientMatrix.toArray()
-    rows = [(int(i), float(model.interceptVector[i]), float((mat[i] ** 2).sum() ** 0.5)) for i in range(mat.shape[0])]
-    return spark.createDataFrame(rows, "label int, intercept double, coef_l2 double")
+    rows = df.where(F.col(vec_col).isNotNull() & F.col(label_col).isNotNull())
+    size = rows.agg(F.max(F.size(vec_col))).scalar()
+    sound = F.when(F.size(vec_col) == size, F.col(vec_col)).otherwise(
+        F.raise_error(F.lit("vectors of different lengths")).cast(df.schema[vec_col].dataType))
+    cells = rows.select(F.col(label_col).alias("label"), F.posexplode(sound).alias("pos", "x"))
+    means = cells.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
+    heads = means.groupBy("label").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_c"))
+    w = F.transform("_c", lambda c: c["m"])
+    return heads.select("label", "n", w.alias("w")).withColumn("b", F.expr("aggregate(w, 0D, (a, x) -> a + x * x) / -2"))
+
+
+def head_logits(df: DataFrame, heads: DataFrame, vec_col: str, out_col: str = "logits") -> DataFrame:
+    """Q10 scoring: ``df`` with the logits of all classes, in label order, and ``class_ids`` beside them."""
+    table = heads.agg(F.array_sort(F.collect_list(F.struct("label", "w", "b")))).scalar()
+    scored = df.withColumn("_heads", table)
+    logits = F.expr(f"""transform(_heads, h -> aggregate(zip_with(`{vec_col}`, h.w, (x, y) -> CAST(x AS DOUBLE) * y), 0D,
+                                                         (acc, x) -> acc + x) + h.b)""")
+    return scored.withColumn(out_col, logits).withColumn("class_ids", F.expr("transform(_heads, h -> h.label)")).drop("_heads")
+
+
+def head_predictions(df: DataFrame, heads: DataFrame, vec_col: str) -> DataFrame:
+    """``df`` with ``pred`` (class of the largest logit, first on ties) and ``max_logit``."""
+    out = head_logits(df, heads, vec_col)
+    return (out.withColumn("pred", F.get("class_ids", argmax(F.col("logits"))).cast("int"))
+            .withColumn("max_logit", F.array_max("logits")).drop("logits", "class_ids"))
 
 
 # ---- Q11 / D3: pluggable user model, loaded once per Python worker ---------
@@ -97,13 +114,7 @@ class LexiconModel:
         self.n = n_classes
 
     def predict(self, texts):
-        import re
-        out = []
-        for t in texts:
-            counts = [0] * self.n
-            for tok in re.split(r"[\t\n\x0b\f\r ]+", re.sub(r"[?.!,]", " ", t or "").lower()):
-                if tok in self.ids:
-                    counts[self.ids[tok]] += 1
-            best = max(counts)
-            out.append(counts.index(best) if best > 0 else None)
-        return out
+        words = pd.Series(texts, dtype="object").fillna("").str.replace(r"[?.!,]", " ", regex=True).str.lower()
+        cls = words.str.split(r"[\t\n\x0b\f\r ]+", regex=True).explode().map(self.ids).dropna().astype(int)
+        best = cls.groupby(level=0).agg(lambda c: int(np.bincount(c, minlength=self.n).argmax()))
+        return [None if np.isnan(x) else int(x) for x in best.reindex(range(len(texts)))]

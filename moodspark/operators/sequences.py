@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 
 from moodspark import catalog as cat
 from moodspark.functions import text as tx
-from moodspark.operators.ordering import global_index  # noqa: F401 (re-exported)
+from moodspark.operators.ordering import global_index
 
 # Vocabulary ids 0..8 are reserved for the special tokens, in this order.
 SPECIALS = [cat.LM_PAD, cat.UNK_TOKEN, cat.CLS, cat.SEP, cat.Q_TOKEN, cat.A_TOKEN,
             cat.EOS_TOKEN, cat.MASK_TOKEN, cat.SENT_TOKEN]
 PAD_ID, UNK_ID = 0, 1
+HOT_TOKENS = 1000
 
 
 def special_id(token: str) -> int:
@@ -51,10 +52,24 @@ def build_vocab(tokens: DataFrame, token_col: str = "token", min_count: int = 1)
 
 
 def encode_ids(tokens: DataFrame, vocab: DataFrame, token_col: str = "token") -> DataFrame:
-    """Q2: token -> id, unknown -> ``UNK_ID`` (left join on token)."""
-    v = vocab.select(F.col("token").alias("_vt"), "token_id")
-    return (tokens.join(v, F.col(token_col) == F.col("_vt"), "left")
-            .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(UNK_ID)).cast("int")).drop("_vt"))
+    """Q2: token -> id, unknown -> ``UNK_ID``.
+
+    Ids follow frequency, so the ``HOT_TOKENS`` smallest ids are the hot
+    tokens: a table of that fixed size is broadcast and maps them where they
+    are. Only the rest joins the vocabulary by token; mapped rows go through
+    that join under spread keys that match nothing.
+    """
+    hot = F.broadcast(vocab.where(F.col("token_id") < len(SPECIALS) + HOT_TOKENS)
+                      .select(F.col("token").alias("_ht"), F.col("token_id").alias("_hid")))
+    rest = vocab.where(F.col("token_id") >= len(SPECIALS) + HOT_TOKENS).select(
+        F.struct(F.lit(-1).alias("s"), F.col("token").alias("t")).alias("_vt"), F.col("token_id").alias("_vid"))
+    others = [c for c in tokens.columns if c != token_col]
+    spread_key = F.struct(F.pmod(F.hash(*others, token_col), F.lit(1 << 20)).alias("s"), F.lit(None).cast("string").alias("t"))
+    key = F.when(F.col("_hid").isNull() & F.col(token_col).isNotNull(), F.struct(F.lit(-1).alias("s"), F.col(token_col).alias("t"))) \
+        .otherwise(spread_key)
+    mapped = tokens.join(hot, F.col(token_col) == F.col("_ht"), "left").withColumn("_key", key)
+    return (mapped.join(rest, F.col("_key") == F.col("_vt"), "left")
+            .withColumn("token_id", F.coalesce("_hid", "_vid", F.lit(UNK_ID)).cast("int")).drop("_ht", "_hid", "_key", "_vt", "_vid"))
 
 
 def ids_array(df: DataFrame, key_cols: list[str], token_arr: str, vocab: DataFrame, out_col: str = "ids",
@@ -130,7 +145,7 @@ def qa_truncate(df: DataFrame, q_tok: str, a_tok: str, max_len: int = 60) -> Dat
 
 
 def qa_targets(df: DataFrame, ids_col: str, max_len: int = 60) -> DataFrame:
-    """Q7/Q8: token ids, LM labels and masks from ``ids`` = ids(q ++ a).
+    """Q7/Q8: ``token_ids, mask, labels_ids, attention_mask`` from ``ids`` = ids(q ++ a).
 
     labels = mask_id x q_len ++ a[1:], padded; loss mask and attention mask
     = 1 on question and answer, 0 on padding.
@@ -140,31 +155,21 @@ def qa_targets(df: DataFrame, ids_col: str, max_len: int = 60) -> DataFrame:
     labels = F.concat(F.array_repeat(F.lit(mask_id), F.col("q_len")),
                       F.slice(ids, F.col("q_len") + 2, F.greatest(F.col("a_len") - 1, F.lit(0))))
     ones = F.col("q_len") + F.col("a_len")
+    used = F.concat(F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), F.lit(max_len) - ones))
     return (df.withColumn("token_ids", pad_to(ids, max_len, PAD_ID))
             .withColumn("labels_ids", pad_to(labels, max_len, PAD_ID))
-            .withColumn("mask", F.concat(F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), F.lit(max_len) - ones))))
+            .withColumn("mask", used).withColumn("attention_mask", used))
 
 
-def masked_position_stats(df: DataFrame, max_len: int) -> DataFrame:
-    """Per-sequence (hits, mask_sum, loss_sum) for A8/A9.
-
-    The stand-in model predicts the input token at each position; a hit
-    needs mask = 1 (quirk 12: padding never counts). The stand-in loss of a
-    masked position i (0-based) is (i + 1) / max_len.
-    """
-    pos = F.sequence(F.lit(0), F.lit(max_len - 1))
-    hit = F.aggregate(pos, F.lit(0), lambda acc, i: acc + F.when(
-        (F.element_at("mask", i + 1) == 1) & (F.element_at("labels_ids", i + 1) == F.element_at("token_ids", i + 1)), 1)
-        .otherwise(0))
-    loss = F.aggregate(pos, F.lit(0.0).cast("double"), lambda acc, i: acc + F.when(
-        F.element_at("mask", i + 1) == 1, (i + 1) / F.lit(float(max_len))).otherwise(F.lit(0.0)))
-    return df.select("*", hit.alias("hits"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
-                     loss.alias("loss_sum"))
+def masked_positions(df: DataFrame, key_cols: list[str]) -> DataFrame:
+    """One row per position that counts: (keys, pos, token_id, label_id); padding never counts (quirk 12)."""
+    cells = df.select(*key_cols, F.posexplode(F.arrays_zip("token_ids", "labels_ids", "mask")).alias("pos", "z"))
+    return cells.where("z.mask = 1").select(*key_cols, "pos", F.col("z.token_ids").alias("token_id"), F.col("z.labels_ids").alias("label_id"))
 
 
 def assign_batches(df: DataFrame, order_cols: list[str], batch_size: int) -> DataFrame:
     """Dense row index in order, then ``batch_id = idx // batch_size``."""
-    idx = global_index(df, order_cols, "row_idx")
+    idx = global_index(df, order_cols, "row_idx", key_cols=order_cols)
     return idx.withColumn("batch_id", F.floor(F.col("row_idx") / F.lit(batch_size)).cast("bigint"))
 
 
@@ -176,8 +181,8 @@ def collate(batched: DataFrame, fields: list[str], batch_col: str = "batch_id",
 
 
 def seeded_shuffle(df: DataFrame, key_col: str, seed: int) -> DataFrame:
-    """T5: partitioning-independent shuffle order: sort by a keyed hash."""
-    return df.withColumn("shuffle_key", F.xxhash64(F.col(key_col), F.lit(seed)))
+    """T5: partitioning-independent shuffle order: sort by a keyed digest."""
+    return df.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key_col).cast("string"))))
 
 
 # ---- Q1 pluggable sub-word tokenizer ---------------------------------------

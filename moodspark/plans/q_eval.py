@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from moodspark import catalog as cat
 from moodspark.functions import text as tx
 from moodspark.operators import evaluation as ev
+from moodspark.operators import labels as lb
 from moodspark.operators import lyrics as ly
 from moodspark.operators import scoring as sc
 from moodspark.operators import sequences as sq
@@ -22,24 +23,13 @@ GRID_BATCH_SIZES = [64, 96, 128]
 GRID_LR_FACTORS = [3]
 GRID_EPOCHS = list(range(1, 11))
 
-# Fixture manifest of saved checkpoints: every epoch for batch 64/96, epochs 1-5 for 128.
-def saved_manifest() -> list[str]:
-    return [f"{d}_batch{b}_lr{lr}_epoch{e}" for d in GRID_DATASETS for b in GRID_BATCH_SIZES
-            for lr in GRID_LR_FACTORS for e in GRID_EPOCHS if not (b == 128 and e > 5)]
-
-
 LOG_EVERY = 2
 QA_BATCH = 32
-N_HEAD_CLASSES = 10
-
-
-def head_weights() -> list[list[float]]:
-    """Fixture head: integer weights by rule, 10 classes x 64 dims."""
-    return [[float(((c * 7 + d * 3) % 5) - 2) for d in range(64)] for c in range(N_HEAD_CLASSES)]
+EVAL_BATCH = 64
 
 
-_GRID_VALUES = ", ".join(f"('{d}', {b}, {lr}, {e})" for d in GRID_DATASETS for b in GRID_BATCH_SIZES
-                         for lr in GRID_LR_FACTORS for e in GRID_EPOCHS)
+_CELLS = [(d, b, lr, e) for d in GRID_DATASETS for b in GRID_BATCH_SIZES for lr in GRID_LR_FACTORS for e in GRID_EPOCHS]
+_GRID_VALUES = ", ".join(f"({i}, '{d}', {b}, {lr}, {e})" for i, (d, b, lr, e) in enumerate(_CELLS))
 _RUN_NAME_SQL = "dataset || '_batch' || batch_size || '_lr' || lr_factor || '_epoch' || epoch"
 
 
@@ -47,26 +37,70 @@ def _r6(c):
     return F.round(c, 6)
 
 
+# ---- Q10: class-mean head ----------------------------------------------------
+
+_HEAD_SQL = """
+select label, count(*) filter (where pos = 1) as n, list(m order by pos) as w, -sum(m * m) / 2 as b
+from (select label, pos, avg(cast(x as double)) as m, count(*) as c
+      from embeddings, unnest(embedding) with ordinality as u(x, pos) where label is not null group by label, pos) h
+group by label
+"""
+_LOGITS_SQL = f"""
+select e.vec_id, e.label as truth, h.label, list_sum(list_transform(list_zip(e.embedding, h.w), lambda p: cast(p[1] as double) * p[2])) + h.b as logit
+from embeddings e, ({_HEAD_SQL}) h
+"""
+_PRED_SQL = f"""
+select vec_id, truth, cast(label as integer) as pred, logit as max_logit
+from (select *, row_number() over (partition by vec_id order by logit desc, label) as rn from ({_LOGITS_SQL}) l) r where rn = 1
+"""
+
+
+def _heads(spark, sf):
+    return sc.class_mean_head(table(spark, sf, "embeddings"), "embedding", "label")
+
+
+def _predictions(spark, sf):
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").alias("truth"))
+    return sc.head_predictions(emb, _heads(spark, sf), "embedding")
+
+
+@register("head_fit", """
+select label, cast(n as bigint) as n, round(b, 6) as intercept, round(sqrt(-2 * b), 6) as coef_l2
+from (select label, max(c) as n, -sum(m * m) / 2 as b
+      from (select label, pos, avg(cast(x as double)) as m, count(*) as c
+            from embeddings, unnest(embedding) with ordinality as u(x, pos) where label is not null group by label, pos) h
+      group by label) g
+""")
+def head_fit(spark, sf):
+    return _heads(spark, sf).select("label", "n", _r6(F.col("b")).alias("intercept"), _r6(F.sqrt(F.col("b") * -2)).alias("coef_l2"))
+
+
+@register("head_score", f"select vec_id, pred, round(max_logit, 6) as max_logit from ({_PRED_SQL}) p")
+def head_score(spark, sf):
+    return _predictions(spark, sf).select("vec_id", "pred", _r6(F.col("max_logit")).alias("max_logit"))
+
+
 # ---- A7 / W1 ---------------------------------------------------------------
 
-_LABEL_BATCH_SQL = f"""
-select batch_id, sum(case when quality = 1 then 1 else 0 end) as num, count(*) as den,
-       sum(case when quality = 1 then 1 else 0 end) / count(*) as batch_mean
-from ({qs.BATCHES_SQL}) b group by batch_id
+_EVAL_BATCH_SQL = f"""
+select batch_id, sum(hit) as num, count(*) as den, sum(hit) / count(*) as batch_mean
+from (select cast((row_number() over (order by vec_id) - 1) // {EVAL_BATCH} as bigint) as batch_id,
+             case when pred = truth then 1 else 0 end as hit from ({_PRED_SQL}) p) b group by batch_id
 """
 
 
-def _label_batches(spark, sf):
-    hit = F.when(F.col("quality") == 1, 1).otherwise(0)
-    return ev.batch_means(qs.label_batches(spark, sf), "batch_id", hit)
+def _eval_batches(spark, sf):
+    """The head's predictions against the labels, in batches."""
+    rows = _predictions(spark, sf).select("vec_id", F.when(F.col("pred") == F.col("truth"), 1).otherwise(0).alias("hit"))
+    return ev.batch_means(sq.assign_batches(rows, ["vec_id"], EVAL_BATCH), "batch_id", F.col("hit"))
 
 
 @register("accuracy_mean_of_batches", f"""
 select count(*) as n_batches, round(avg(batch_mean), 6) as mean_of_batches, round(sum(num) / sum(den), 6) as overall_mean
-from ({_LABEL_BATCH_SQL}) b
+from ({_EVAL_BATCH_SQL}) b
 """)
 def accuracy_mean_of_batches(spark, sf):
-    m = ev.mean_of_batch_means(_label_batches(spark, sf))
+    m = ev.mean_of_batch_means(_eval_batches(spark, sf))
     return m.select("n_batches", _r6("mean_of_batches").alias("mean_of_batches"), _r6("overall_mean").alias("overall_mean"))
 
 
@@ -74,33 +108,34 @@ def accuracy_mean_of_batches(spark, sf):
 select batch_id, batch_mean, running_mean from (
   select batch_id, round(batch_mean, 6) as batch_mean,
          round(avg(batch_mean) over (order by batch_id rows between unbounded preceding and current row), 6) as running_mean
-  from ({_LABEL_BATCH_SQL}) b) r
+  from ({_EVAL_BATCH_SQL}) b) r
 where batch_id % {LOG_EVERY} = 0
 """)
 def accuracy_running(spark, sf):
-    r = ev.running_batch_mean(_label_batches(spark, sf), "batch_id", LOG_EVERY)
+    r = ev.running_batch_mean(_eval_batches(spark, sf), "batch_id", LOG_EVERY)
     return r.select("batch_id", _r6("batch_mean").alias("batch_mean"), _r6("running_mean").alias("running_mean"))
 
 
 # ---- A8 / A9 ---------------------------------------------------------------
 
+_KEYS = ", ".join(qs.KEYS)
 _QA_STATS_SQL = f"""
-with t as (select conv_id, turn, q_len, a_len,
-                  list_concat(ids, list_transform(range({qs.MAX_LEN_QA} - len(ids)), lambda x: 0)) as tok,
-                  list_concat(list_transform(range(q_len), lambda x: {sq.special_id(cat.MASK_TOKEN)}), ids[q_len + 2:],
-                              list_transform(range({qs.MAX_LEN_QA} - q_len - a_len + 1), lambda x: 0)) as lab
-           from ({qs.QA_IDS_SQL}) q),
-h as (select conv_id, turn, q_len + a_len as mask_sum,
-             list_sum(list_transform(range(1, q_len + a_len + 1), lambda i: case when lab[i] = tok[i] then 1 else 0 end)) as hits,
-             list_sum(list_transform(range(1, q_len + a_len + 1), lambda i: i / {float(qs.MAX_LEN_QA)})) as loss_sum
-      from t)
-select *, (row_number() over (order by conv_id, turn) - 1) // {QA_BATCH} as batch_id from h
+with p as (select {_KEYS}, i, ids[i] as tok,
+                  case when i <= q_len then {sq.special_id(cat.MASK_TOKEN)} when i < q_len + a_len then ids[i + 1] else 0 end as lab
+           from (select *, unnest(range(1, q_len + a_len + 1)) as i from ({qs.QA_IDS_SQL}) q) x),
+c as (select tok, lab, count(*) as n from p group by tok, lab),
+m as (select *, first_value(lab) over (partition by tok order by n desc, lab) as pred, 1 - n / sum(n) over (partition by tok) as loss from c),
+h as (select {_KEYS}, count(*) as mask_sum, sum(case when m.pred = p.lab then 1 else 0 end) as hits, sum(m.loss) as loss_sum
+      from p join m on m.tok = p.tok and m.lab = p.lab group by {_KEYS})
+select *, (row_number() over (order by {_KEYS}) - 1) // {QA_BATCH} as batch_id from h
 """
 
 
 def _qa_stats(spark, sf):
-    stats = sq.masked_position_stats(qs.qa_target_rows(spark, sf), qs.MAX_LEN_QA)
-    return sq.assign_batches(stats.select("conv_id", "turn", "hits", "mask_sum", "loss_sum"), ["conv_id", "turn"], QA_BATCH)
+    """A bigram model fitted on the encoded corpus predicts each label; its losses go in beside."""
+    positions = sq.masked_positions(qs.qa_target_rows(spark, sf), qs.KEYS)
+    judged = positions.join(ev.bigram_model(positions), ["token_id", "label_id"])
+    return sq.assign_batches(ev.masked_sums(judged, qs.KEYS, "pred", "loss"), qs.KEYS, QA_BATCH)
 
 
 def _mean_report_sql(num: str) -> str:
@@ -126,7 +161,7 @@ def loss_masked_mean(spark, sf):
 
 def _prompt_preds(spark, sf):
     items = table(spark, sf, "benchmark").select("item_id", tx.punct_space("text").alias("prompt"))
-    return ly.score_lines(items, cat.FIXTURE_LEXICON, 15, "prompt", keep_unscored=True)
+    return ly.score_lines(items, cat.FIXTURE_LEXICON, ["item_id"], 15, "prompt", keep_unscored=True)
 
 
 def _grid_rows(spark, sf):
@@ -145,83 +180,60 @@ left join ({scored_lines("select item_id, 1 as line_no, regexp_replace(text, '[?
 
 @register("eval_grid", f"""
 select {_RUN_NAME_SQL} as run_name, p.item_id, cast(p.pred as integer) as pred
-from (values {_GRID_VALUES}) g(dataset, batch_size, lr_factor, epoch), ({_PROMPT_PRED_SQL}) p
+from (values {_GRID_VALUES}) g(cell, dataset, batch_size, lr_factor, epoch), ({_PROMPT_PRED_SQL}) p
 """)
 def eval_grid(spark, sf):
     return _grid_rows(spark, sf).select("run_name", "item_id", "pred")
 
 
+# Listing of saved artifacts, from a table: nation k stands for the artifact of grid cell 2 k.
 @register("eval_grid_missing", f"""
-select {_RUN_NAME_SQL} as run_name, count(*) as n_prompts_skipped
-from (values {_GRID_VALUES}) g(dataset, batch_size, lr_factor, epoch), benchmark b
-where batch_size = 128 and epoch > 5
-group by all
+select {_RUN_NAME_SQL} as run_name, (select count(*) from benchmark) as n_prompts_skipped
+from (values {_GRID_VALUES}) g(cell, dataset, batch_size, lr_factor, epoch)
+where cell not in (select n_nationkey * 2 from nation)
 """)
 def eval_grid_missing(spark, sf):
-    listing = spark.createDataFrame([(n,) for n in saved_manifest()], "run_name string")
-    missing = ev.missing_runs(_grid_rows(spark, sf), F.broadcast(listing))
-    return missing.groupBy("run_name").agg(F.count(F.lit(1)).alias("n_prompts_skipped"))
+    """The grid's cells meet the listing first; prompts are only counted."""
+    grid = ev.param_grid(GRID_DATASETS, GRID_BATCH_SIZES, GRID_LR_FACTORS, GRID_EPOCHS)
+    cells = spark.range(1).select(F.posexplode(grid).alias("cell", "cfg")).select(
+        "cell", ev.run_name(F.col("cfg.dataset"), F.col("cfg.batch_size"), F.col("cfg.lr_factor"), F.col("cfg.epoch")).alias("run_name"))
+    saved = table(spark, sf, "nation").select((F.col("n_nationkey") * 2).cast("int").alias("cell"))
+    listing = cells.join(saved, "cell").select("run_name")
+    prompts = table(spark, sf, "benchmark").agg(F.count(F.lit(1))).scalar()
+    return ev.missing_runs(cells, listing).select("run_name", prompts.alias("n_prompts_skipped"))
 
 
 @register("prompt_labels", f"""
-select item_id, cast(pos as integer) as pos, prompt, cast(len({tokens_of('prompt')}) as integer) as n_tokens
-from (select item_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, '{tx.PY_WHITESPACE}')),
-                                  lambda x: x <> '') as ls from benchmark) b,
-     unnest(ls) with ordinality as u(prompt, pos)
+select item_id, cast(pos as integer) as pos, z[1] as prompt, z[2] as token
+from (select item_id, list_zip(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, '{tx.PY_WHITESPACE}')),
+                                           lambda x: x <> ''), {tokens_of('text')}) as zs from benchmark) b,
+     unnest(zs) with ordinality as u(z, pos)
 """)
 def prompt_labels(spark, sf):
-    items = table(spark, sf, "benchmark").select("item_id", tx.text_lines("text").alias("ls"))
-    zipped = ev.zip_positional(F.col("ls"), F.transform("ls", lambda x: F.size(tx.whitespace_tokens(x))),
-                               ("prompt", "n_tokens"))
+    """Two lists of different lengths side by side; the shorter one ends in NULLs."""
+    items = table(spark, sf, "benchmark").select("item_id", tx.text_lines("text").alias("ls"), tx.whitespace_tokens("text").alias("ts"))
+    zipped = ev.zip_positional(F.col("ls"), F.col("ts"), ("prompt", "token"))
     return items.select("item_id", F.posexplode(zipped).alias("p", "z")).select(
-        "item_id", (F.col("p") + 1).cast("int").alias("pos"), "z.prompt", F.col("z.n_tokens").cast("int").alias("n_tokens"))
+        "item_id", (F.col("p") + 1).cast("int").alias("pos"), "z.prompt", "z.token")
 
 
-# ---- T3 / X5 / Q10 ---------------------------------------------------------
+# ---- T3 / X5 ---------------------------------------------------------------
 
 _FIFTEEN_VALUES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(cat.FIFTEEN_BERT))
 
 
 @register("argmax_label", f"""
 select vec_id, pred, c.name as pred_name, printf('{cat.RESULT_SENTENCE}', c.name) as sentence
-from (select vec_id, cast(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 as integer) as pred
-      from embeddings) e
+from (select vec_id, pred from ({_PRED_SQL}) p) e
 left join (values {_FIFTEEN_VALUES}) c(id, name) on e.pred = c.id
 """)
 def argmax_label(spark, sf):
-    from moodspark.operators import labels as lb
-    emb = table(spark, sf, "embeddings").select("vec_id", sc.argmax_prefix(F.col("embedding"), 10).alias("pred"))
-    named = lb.display_name(emb, "pred", cat.catalog_df(spark, "fifteen_bert"), "pred_name")
+    """The largest of all logits of the fitted head, under its class name."""
+    preds = _predictions(spark, sf).select("vec_id", "pred")
+    named = lb.display_name(preds, "pred", cat.catalog_df(spark, "fifteen_bert"), "pred_name")
     return named.select("vec_id", "pred", "pred_name", lb.label_sentence(F.col("pred_name")).alias("sentence"))
 
 
-@register("head_fit", None)
-def head_fit(spark, sf):
-    """Q10 fit: a model, not SQL-expressible; rows-only check (one row per class)."""
-    return sc.fit_head(table(spark, sf, "embeddings"), "embedding", "label")
-
-
-def _head_sql() -> str:
-    logits = []
-    for c, w in enumerate(head_weights()):
-        wl = "[" + ", ".join(f"{x:.1f}" for x in w) + "]"
-        logits.append(f"list_reduce(list_transform(range(1, 65), lambda d: cast(embedding[d] as double) * ({wl})[d]), "
-                      f"lambda a, b: a + b) as l{c}")
-    best = "greatest(" + ", ".join(f"l{c}" for c in range(N_HEAD_CLASSES)) + ")"
-    case = "case " + " ".join(f"when l{c} = {best} then {c}" for c in range(N_HEAD_CLASSES)) + " end"
-    return f"""
-select vec_id, cast({case} as integer) as pred, round({best}, 6) as max_logit
-from (select vec_id, {", ".join(logits)} from embeddings) x
-"""
-
-
-@register("head_score", _head_sql())
-def head_score(spark, sf):
-    emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    out = sc.linear_head(emb, "embedding", head_weights())
-    return out.select("vec_id", "pred", _r6("max_logit").alias("max_logit"))
-
-
 # ---- A11 -------------------------------------------------------------------
 
 @register("daily_emotion", f"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from moodspark import catalog as cat
 from moodspark.functions import text as tx
 from moodspark.operators import sequences as sq
+from moodspark.operators.ordering import global_index
 from moodspark.plans import q_dialogue
 from moodspark.plans.registry import register
 from moodspark.plans.sqlbits import tokens_of
@@ -35,45 +36,48 @@ select doc_id, token from documents, unnest({tokens_of('text')}) as u(token)
 """
 
 
-def _vocab_sql(tokens_sql: str, min_count: int) -> str:
+def _vocab_sql(tokens_sql: str) -> str:
     return f"""
 select token, cast(token_id as integer) as token_id, cast(n as bigint) as n from (values {_SPECIALS_VALUES}) s(token, token_id, n)
 union all
 select token, cast(row_number() over (order by n desc, token) - 1 + {_N_SPECIALS} as integer), n
 from (select token, count(*) as n from ({tokens_sql}) t where token not in ({_SPECIALS_LIST})
-      group by token having count(*) >= {min_count}) c
+      group by token) c
 """
 
 
-CONV_VOCAB_SQL = _vocab_sql(CONV_TOKENS_SQL, 2)
-DOC_VOCAB_SQL = _vocab_sql(DOC_TOKENS_SQL, 2)
+CONV_VOCAB_SQL = _vocab_sql(CONV_TOKENS_SQL)
+DOC_VOCAB_SQL = _vocab_sql(DOC_TOKENS_SQL)
+KEYS = q_dialogue.QA_KEYS
+_K = ", ".join(KEYS)
 
+# The training form: the label follows <unused1> inside the question.
 QA_TRUNC_SQL = f"""
-with t as (select conv_id, turn,
-                  list_concat(['<usr>'], {tokens_of(_punct_sql('Q'))}, ['<unused1>']) as qt,
+with t as (select {_K},
+                  list_concat(['<usr>'], {tokens_of(_punct_sql('Q'))}, ['<unused1>', cast(label as varchar)]) as qt,
                   list_concat(['<sys>'], {tokens_of(_punct_sql('A'))}, ['</s>']) as atok
-           from ({q_dialogue.PAIRS_SQL}) p),
+           from ({q_dialogue.QA_SQL}) p),
 c as (select *, case when len(qt) >= {MAX_LEN_QA} then qt[len(qt) - {MAX_LEN_QA // 2} + 1:] else qt end as q2 from t)
-select conv_id, turn, q2, atok[1:{MAX_LEN_QA} - len(q2)] as a2 from c
+select {_K}, q2, atok[1:{MAX_LEN_QA} - len(q2)] as a2 from c
 """
 
 QA_IDS_SQL = f"""
 with tr as ({QA_TRUNC_SQL}),
-e as (select conv_id, turn, pos, coalesce(v.token_id, 1) as token_id
+e as (select {_K}, pos, coalesce(v.token_id, 1) as token_id
       from tr, unnest(list_concat(q2, a2)) with ordinality as u(token, pos)
       left join ({CONV_VOCAB_SQL}) v on v.token = u.token),
-ids as (select conv_id, turn, list(token_id order by pos) as ids from e group by conv_id, turn)
-select tr.conv_id, tr.turn, len(q2) as q_len, len(a2) as a_len, ids.ids
-from tr join ids on tr.conv_id = ids.conv_id and tr.turn = ids.turn
+ids as (select {_K}, list(token_id order by pos) as ids from e group by {_K})
+select {_K}, len(q2) as q_len, len(a2) as a_len, ids.ids from tr join ids using ({_K})
 """
 
 QA_TARGETS_SQL = f"""
-select conv_id, turn, cast(q_len as integer) as q_len, cast(a_len as integer) as a_len,
+select {_K}, cast(q_len as integer) as q_len, cast(a_len as integer) as a_len,
        array_to_string(list_concat(ids, list_transform(range({MAX_LEN_QA} - len(ids)), lambda x: 0)), ' ') as token_ids,
        array_to_string(list_concat(list_transform(range(q_len), lambda x: {sq.special_id(cat.MASK_TOKEN)}),
                                    ids[q_len + 2:],
                                    list_transform(range({MAX_LEN_QA} - q_len - a_len + 1), lambda x: 0)), ' ') as labels_ids,
-       cast(q_len + a_len as integer) as mask_sum
+       array_to_string(list_transform(range({MAX_LEN_QA}), lambda x: case when x < q_len + a_len then 1 else 0 end), ' ') as mask,
+       array_to_string(list_transform(range({MAX_LEN_QA}), lambda x: case when x < len(ids) then 1 else 0 end), ' ') as attention_mask
 from ({QA_IDS_SQL}) q
 """
 
@@ -84,19 +88,18 @@ def conv_tokens(spark, sf):
 
 
 def conv_vocab(spark, sf):
-    return sq.build_vocab(conv_tokens(spark, sf), min_count=2)
+    return sq.build_vocab(conv_tokens(spark, sf))
 
 
 def qa_truncated(spark, sf):
-    pairs = q_dialogue.pairs(spark, sf)
-    qt, at = sq.qa_tokens(F.col("Q"), F.col("A"))
-    return sq.qa_truncate(pairs.select("conv_id", "turn", qt.alias("qt"), at.alias("at")), "qt", "at", MAX_LEN_QA)
+    rows = q_dialogue.qa_parts(spark, sf)
+    qt, at = sq.qa_tokens(F.col("Q"), F.col("A"), F.col("label"))
+    return sq.qa_truncate(rows.select(*KEYS, qt.alias("qt"), at.alias("at")), "qt", "at", MAX_LEN_QA)
 
 
 def qa_target_rows(spark, sf):
-    tr = qa_truncated(spark, sf).select("conv_id", "turn", "q_len", "a_len",
-                                        F.concat("q_trunc", "a_trunc").alias("qa_tokens"))
-    with_ids = sq.ids_array(tr, ["conv_id", "turn"], "qa_tokens", conv_vocab(spark, sf), "ids", ["q_len", "a_len"])
+    tr = qa_truncated(spark, sf).select(*KEYS, "q_len", "a_len", F.concat("q_trunc", "a_trunc").alias("qa_tokens"))
+    with_ids = sq.ids_array(tr, KEYS, "qa_tokens", conv_vocab(spark, sf), "ids", ["q_len", "a_len"])
     return sq.qa_targets(with_ids, "ids", MAX_LEN_QA)
 
 
@@ -140,6 +143,18 @@ def encode_ids(spark, sf):
     return sq.encode_ids(conv_tokens(spark, sf), conv_vocab(spark, sf)).select("conv_id", "turn", "pos", "token_id")
 
 
+@register("encode_unknown", f"""
+select b.item_id, cast(b.pos as integer) as pos, b.token, cast(coalesce(v.token_id, 1) as integer) as token_id
+from (select item_id, pos, token from benchmark, unnest({tokens_of(_punct_sql('text'))}) with ordinality as u(token, pos)) b
+left join ({CONV_VOCAB_SQL}) v on b.token = v.token
+""")
+def encode_unknown(spark, sf):
+    """Q2 on another table than the vocabulary's: what it never saw becomes the unknown id."""
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    rows = sq.tokens_long(items, ["item_id"], tx.whitespace_tokens(tx.punct_space("text")))
+    return sq.encode_ids(rows, conv_vocab(spark, sf)).select("item_id", "pos", "token", "token_id")
+
+
 @register("detokenize", f"""
 select conv_id, turn,
        trim(replace(array_to_string(list_transform({tokens_of(_punct_sql('text'))}, lambda t: '▁' || t), ''), '▁', ' ')) as text
@@ -165,7 +180,7 @@ from ids
 """)
 def encode_single(spark, sf):
     docs = table(spark, sf, "documents", ["doc_id"]).select("doc_id", "text")
-    vocab_ = sq.build_vocab(docs.select(F.explode(tx.whitespace_tokens("text")).alias("token")), min_count=2)
+    vocab_ = sq.build_vocab(docs.select(F.explode(tx.whitespace_tokens("text")).alias("token")))
     enc = docs.select("doc_id", sq.encode_single(sq.leading_tokens(F.col("text"), MAX_LEN_SINGLE - 2),
                                                  MAX_LEN_SINGLE).alias("enc"))
     with_ids = sq.ids_array(enc, ["doc_id"], "enc", vocab_, "ids")
@@ -178,22 +193,23 @@ def encode_single(spark, sf):
 
 
 @register("qa_truncate", f"""
-select conv_id, turn, cast(len(q2) as integer) as q_len, cast(len(a2) as integer) as a_len,
+select {_K}, cast(len(q2) as integer) as q_len, cast(len(a2) as integer) as a_len,
        array_to_string(q2, ' ') as q_text, array_to_string(a2, ' ') as a_text
 from ({QA_TRUNC_SQL}) t
 """)
 def qa_truncate(spark, sf):
     tr = qa_truncated(spark, sf)
-    return tr.select("conv_id", "turn", "q_len", "a_len", F.array_join("q_trunc", " ").alias("q_text"),
+    return tr.select(*KEYS, "q_len", "a_len", F.array_join("q_trunc", " ").alias("q_text"),
                      F.array_join("a_trunc", " ").alias("a_text"))
 
 
+ARRAYS = ["token_ids", "mask", "labels_ids", "attention_mask"]
+
+
 @register("qa_targets", QA_TARGETS_SQL)
 def qa_targets(spark, sf):
     t = qa_target_rows(spark, sf)
-    return t.select("conv_id", "turn", "q_len", "a_len", F.array_join("token_ids", " ").alias("token_ids"),
-                    F.array_join("labels_ids", " ").alias("labels_ids"),
-                    F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
+    return t.select(*KEYS, "q_len", "a_len", *[F.array_join(c, " ").alias(c) for c in ARRAYS])
 
 
 BATCHES_SQL = f"""
@@ -213,19 +229,22 @@ def batch_assign(spark, sf):
 
 
 @register("batch_collate", f"""
-select batch_id, count(*) as n_rows, min(doc_id) as first_doc, max(doc_id) as last_doc,
-       string_agg(cast(doc_id as varchar), ' ' order by row_idx) as doc_ids
-from ({BATCHES_SQL}) b group by batch_id
+select cast(i // {BATCH} as bigint) as batch_id, count(*) as n_rows,
+       {", ".join(f"string_agg({c}, ';' order by i) as {c}" for c in ARRAYS)}
+from (select *, row_number() over (order by {_K}) - 1 as i from ({QA_TARGETS_SQL}) t) b group by 1
 """)
 def batch_collate(spark, sf):
-    c = sq.collate(label_batches(spark, sf), ["doc_id"])
-    return c.select("batch_id", "n_rows", F.col("rows")[0]["doc_id"].alias("first_doc"),
-                    F.element_at("rows", -1)["doc_id"].alias("last_doc"),
-                    F.array_join(F.transform("rows", lambda r: r["doc_id"].cast("string")), " ").alias("doc_ids"))
+    """Q9: the four arrays of the rows of a batch, stacked in order."""
+    rows = sq.assign_batches(qa_target_rows(spark, sf).select(*KEYS, *ARRAYS), KEYS, BATCH)
+    c = sq.collate(rows, ARRAYS)
+    joined = lambda f: F.array_join(F.transform("rows", lambda r: F.array_join(r[f], " ")), ";").alias(f)
+    stacked = [joined(f) for f in ARRAYS]
+    return c.select("batch_id", "n_rows", *stacked)
 
 
-@register("shuffle_rows", None)
+@register("shuffle_rows", """
+select doc_id, cast(row_number() over (order by md5('42:' || cast(doc_id as varchar)), doc_id) - 1 as bigint) as shuffled_idx from labels
+""")
 def shuffle_rows(spark, sf):
-    """T5: hashes differ between engines, so this gets the rows-only check."""
     lab = sq.seeded_shuffle(table(spark, sf, "labels").select("doc_id"), "doc_id", 42)
-    return sq.global_index(lab, ["shuffle_key", "doc_id"], "shuffled_idx").select("doc_id", "shuffled_idx")
+    return global_index(lab, ["shuffle_key", "doc_id"], "shuffled_idx").select("doc_id", "shuffled_idx")
