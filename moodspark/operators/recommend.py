@@ -1,14 +1,12 @@
 """Cosine top-k recommendation (R1/X9/T4/J8) and per-user daily emotion.
 
-Exact top-k of every profile against every song needs every (profile, song)
-similarity, but never as rows: the smaller side (profiles or songs) is
-collected after a checked count (it must fit under ``max_broadcast_rows``),
-broadcast once, and each task multiplies its partition of the larger side
-against it with numpy, keeping only the top k per query. Only
-``k x partitions`` candidates per query reach the shuffle, and the final
-``row_number() <= k`` is planned as a window group limit. If even the
-smaller side is over the bound, it is processed in bounded blocks (one job
-per block), so no single broadcast grows with the data.
+Exact top-k of every profile against every song needs every similarity, but
+never as rows. Both sides are packed into blocks of about ``BLOCK`` unit
+vectors; each query block meets all item blocks in one sorted stream, a matrix
+product at a time, and a running top k per query is all that is kept. A query
+leaves exactly its k rows, ties cut by item id. Nothing is collected on the
+driver or broadcast; a task holds one query block, one item block and their
+product.
 """
 
 from __future__ import annotations
@@ -17,120 +15,107 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.operators.partitioning import spread
 from moodspark.session import ship_package
 
-MAX_BROADCAST_ROWS = 200_000
-MAX_BROADCAST_BYTES = 64 << 20   # one broadcast block of float64 vectors
-MAX_TILE_CELLS = 4_000_000       # similarity cells per in-task tile (~32 MB)
+BLOCK = 1024
 
 
-def _normalise(mat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pack(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row per block: ids and unit vectors as bytes; undefined vectors (NULL, zero, not finite) fall out."""
+    lengths = {len(v) for v in frame["vec"]}
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(lengths)}")
+    mat = np.array([[np.nan if x is None else x for x in v] for v in frame["vec"]], dtype=np.float64).reshape(len(frame), -1)
     norms = np.linalg.norm(mat, axis=1)
-    valid = np.isfinite(norms) & (norms > 0)
-    out = np.zeros_like(mat)
-    out[valid] = mat[valid] / norms[valid, None]
-    return out, valid
+    ok = np.isfinite(norms) & (norms > 0)
+    ids = frame["id"].to_numpy(dtype=np.int64)[ok]
+    unit = mat[ok] / norms[ok, None]
+    return pd.DataFrame([{"blk": int(frame["blk"].iloc[0]), "ids": ids.tobytes(), "mat": unit.tobytes(), "dims": mat.shape[1]}])
 
 
-def _to_matrix(vectors, dims: int) -> np.ndarray:
-    mat = np.full((len(vectors), dims), np.nan, dtype=np.float64)
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dims:
-            mat[i] = np.asarray([np.nan if x is None else x for x in v], dtype=np.float64)
-    return mat
+def _blocks(df: DataFrame, id_col: str, vec_col: str, block: int) -> tuple[DataFrame, int]:
+    rows = df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    n = max(1, -(-rows.count() // block))
+    keyed = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    return keyed.groupBy("blk").applyInPandas(_pack, "blk int, ids binary, mat binary, dims int"), n
 
 
-def _tile_candidates(sims: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int,
-                     exclude_self: bool) -> pd.DataFrame | None:
-    """Per query row: every candidate scoring at least the k-th best (ties kept).
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of the k best per row of ``scores`` (columns are ``ids``), ties to the smaller id.
 
-    Scores are compared after rounding to 9 places, the same key the final
-    window orders by, so the exact top k with ties broken by id survives.
+    Scores compare after rounding to 9 places.
     """
-    if exclude_self:
-        sims = np.where(q_ids[:, None] == c_ids[None, :], np.nan, sims)
-    r = np.where(np.isnan(sims), -np.inf, np.round(sims, 9))
-    kk = min(k, r.shape[1])
-    kth = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]
-    keep = (r >= kth[:, None]) & np.isfinite(r)
-    qi, ci = np.nonzero(keep)
-    if qi.size == 0:
-        return None
-    return pd.DataFrame({"query_id": q_ids[qi], "item_id": c_ids[ci], "score": sims[qi, ci]})
-
-
-def _topk_partition(bc, k: int, exclude_self: bool, small_is_query: bool, dims: int, id_col: str, vec_col: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        small_ids, small_mat, small_valid = bc.value  # read once per task from the broadcast
-        small_mat = small_mat[small_valid]
-        small_ids = small_ids[small_valid]
-        if small_ids.size == 0:
-            return
-        step = max(1, MAX_TILE_CELLS // small_ids.size)
-        for pdf in batches:
-            for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo:lo + step]
-                big_ids = part[id_col].to_numpy(dtype=np.int64)
-                big_mat, big_valid = _normalise(_to_matrix(list(part[vec_col]), dims))
-                big_ids, big_mat = big_ids[big_valid], big_mat[big_valid]
-                if big_ids.size == 0:
+    rounded = np.round(scores, 9)
+    if scores.shape[1] > k:
+        kth = -np.partition(-rounded, k - 1, axis=1)[:, k - 1]
+        row, col = np.nonzero((rounded >= kth[:, None]) & np.isfinite(rounded))
+    else:
+        row, col = np.nonzero(np.isfinite(rounded))
+    order = np.lexsort((ids[row, col] if ids.ndim == 2 else ids[col], -rounded[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(scores)))
+    keep = np.arange(len(row)) - first[row] < k
+    row, col = row[keep], col[keep]
+    return row, (ids[row, col] if ids.ndim == 2 else ids[col]), scores[row, col]
+
+
+def _stream(k: int, exclude_self: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by query block; the block itself (part -1) comes before the items."""
+        now = q_ids = q = top_id = top = None
+
+        def finished():
+            row, ids, score = best_of(top, top_id, k)
+            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            return pd.DataFrame({"query_id": q_ids[row], "rank": rank.astype(np.int32), "item_id": ids, "score": score})
+
+        for frame in frames:
+            for qb, part, ids, mat, dims in zip(frame["qb"], frame["part"], frame["ids"], frame["mat"], frame["dims"]):
+                ids, mat = np.frombuffer(ids, dtype=np.int64), np.frombuffer(mat, dtype=np.float64).reshape(-1, dims)
+                if part == -1:
+                    if now is not None:
+                        yield finished()
+                    now, q_ids, q = qb, ids, mat
+                    top, top_id = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, dtype=np.int64)
                     continue
-                if small_is_query:
-                    out = _tile_candidates(small_mat @ big_mat.T, small_ids, big_ids, k, exclude_self)
-                else:
-                    out = _tile_candidates(big_mat @ small_mat.T, big_ids, small_ids, k, exclude_self)
-                if out is not None:
-                    yield out
+                if qb != now or not len(ids) or not len(q_ids):
+                    continue
+                if mat.shape[1] != q.shape[1]:
+                    raise ValueError(f"vectors of different lengths: {sorted((mat.shape[1], q.shape[1]))}")
+                scores = q @ mat.T
+                if exclude_self:
+                    scores[q_ids[:, None] == ids[None, :]] = -np.inf
+                row, found, score = best_of(scores, ids, k)
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                wide, wide_id = np.full((len(q_ids), k), -np.inf), np.full((len(q_ids), k), -1, dtype=np.int64)
+                wide[row, place], wide_id[row, place] = score, found
+                both, both_id = np.hstack([top, wide]), np.hstack([top_id, wide_id])
+                row, found, score = best_of(both, both_id, k)
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                top, top_id = np.full_like(top, -np.inf), np.full_like(top_id, -1)
+                top[row, place], top_id[row, place] = score, found
+        if now is not None:
+            yield finished()
     return run
 
 
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
-                exclude_self: bool = False, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Top ``k`` items per query by cosine similarity; ties by item id.
-
-    Returns (query_id, rank, item_id, score). Queries or items with a zero
-    or NULL-containing vector have undefined cosine and produce no pairs.
-    The broadcast side is the smaller one (checked with counts) and is cut
-    into blocks of at most ``max_broadcast_rows`` rows and
-    ``MAX_BROADCAST_BYTES`` bytes; inside a task the larger side is tiled so
-    a similarity tile never exceeds ``MAX_TILE_CELLS`` cells.
+                exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """Top ``k`` items per query by cosine similarity; ties by item id: (query_id, rank, item_id, score).
+
+    Vectors of different lengths fail the job. Queries or items with a zero or
+    NULL-containing vector have undefined cosine and produce no pairs.
     """
-    spark = queries.sparkSession
-    ship_package(spark)  # the tile function runs in Python workers
-    q = queries.select(id_col, vec_col)
-    it = items.select(id_col, vec_col)
-    n_q, n_i = q.count(), it.count()
-    small_is_query = n_q <= n_i
-    small, big = (q, it) if small_is_query else (it, q)
-    big = spread(big, [id_col])
-    n_small = min(n_q, n_i)
-    dims_row = small.where(F.col(vec_col).isNotNull()).select(F.size(vec_col)).first()
-    dims = int(dims_row[0]) if dims_row else 0
-    schema = "query_id long, item_id long, score double"
-    parts = []
-    if n_small and dims:
-        block_rows = max(1, min(max_broadcast_rows, MAX_BROADCAST_BYTES // (8 * dims)))
-        blocks = max(1, -(-n_small // block_rows))
-        keyed = small.withColumn("_blk", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
-        for b in range(blocks):
-            rows = keyed.where(F.col("_blk") == b).select(id_col, vec_col).collect()  # bounded by the block size
-            ids = np.asarray([r[0] for r in rows], dtype=np.int64)
-            mat, valid = _normalise(_to_matrix([r[1] for r in rows], dims))
-            bc = spark.sparkContext.broadcast((ids, mat, valid))
-            fn = _topk_partition(bc, k, exclude_self, small_is_query, dims, id_col, vec_col)
-            parts.append(big.mapInPandas(fn, schema))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, item_id long, score double")
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("item_id"))
-    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-        .select("query_id", F.col("rank").cast("int"), "item_id", "score")
+    ship_package(queries.sparkSession)  # the stream runs in Python workers
+    q, n_q = _blocks(queries, id_col, vec_col, block)
+    it, _ = _blocks(items, id_col, vec_col, block)
+    asked = q.select(F.col("blk").alias("qb"), F.lit(-1).alias("part"), "ids", "mat", "dims")
+    dealt = it.select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.col("blk").alias("part"), "ids", "mat", "dims")
+    rows = asked.unionByName(dealt).repartition(n_q, F.col("qb")).sortWithinPartitions("qb", "part")
+    return rows.mapInPandas(_stream(k, exclude_self), "query_id long, rank int, item_id long, score double")
 
 
 def daily_counts(events: DataFrame, user_col: str, ts_col: str, type_col: str, types: list[str]) -> DataFrame:

@@ -26,19 +26,19 @@ def csv_roundtrip(spark, sf):
 _ROLE_CASE_SQL = "case role " + " ".join(f"when '{k}' then '{v}'" for k, v in ROLE_KO.items()) + " end"
 
 
-@register("csv_cp949", f"select conv_id, turn, role, {_ROLE_CASE_SQL} as speaker from conversations")
+@register("csv_cp949", f"select conv_id, turn, role, {_ROLE_CASE_SQL} as speaker, text from conversations")
 def csv_cp949(spark, sf):
-    """The text column of the fixture is Latin-1 prose that cp949 cannot
-    encode, so the cp949 round trip carries the Korean speaker column."""
-    conv = spread(table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id"])
+    """Korean columns as they are; what cp949 can't encode of the text travels escaped and comes back."""
+    conv = spread(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), ["conv_id"])
     speaker = F.create_map(*[F.lit(x) for kv in ROLE_KO.items() for x in kv])[F.col("role")]
     path = scratch_path(spark, "csv_cp949")
     out = conv.select(F.col("conv_id").alias("대화"), F.col("turn").alias("순서"), F.col("role").alias("역할"),
-                      speaker.alias("발화자"))
+                      speaker.alias("발화자"), csv_io.escape_unencodable(F.col("text")).alias("발화문"))
     csv_io.write_csv(out, path, encoding=csv_io.CP949)
-    back = csv_io.read_csv(spark, path, "`대화` long, `순서` long, `역할` string, `발화자` string", encoding=csv_io.CP949)
+    back = csv_io.read_csv(spark, path, "`대화` long, `순서` long, `역할` string, `발화자` string, `발화문` string",
+                           encoding=csv_io.CP949)
     return back.select(F.col("대화").alias("conv_id"), F.col("순서").alias("turn"), F.col("역할").alias("role"),
-                       F.col("발화자").alias("speaker"))
+                       F.col("발화자").alias("speaker"), csv_io.unescape(F.col("발화문")).alias("text"))
 
 
 @register("split_tag", """
@@ -48,4 +48,4 @@ from documents
 def split_tag(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source")
     even = F.substring("source", 4, 10).cast("int") % 2 == 0
-    return csv_io.read_tagged(spark, {"training": docs.where(even), "validation": docs.where(~even)})
+    return csv_io.tag_rows(docs, [("training", even)], "validation")

@@ -18,7 +18,7 @@ from moodspark.streaming import streams as st
 
 def _score_users(df):
     users = df.where(F.col("role") == "user").select("conv_id", "turn", "text")
-    return ly.score_lines(users, cat.FIXTURE_LEXICON, 15, "text", keep_unscored=True).select("conv_id", "turn", "pred")
+    return ly.score_lines(users, cat.FIXTURE_LEXICON, ["conv_id", "turn"], 15, "text", keep_unscored=True)
 
 
 @register("stream_score", f"""
@@ -33,7 +33,17 @@ def stream_score(spark, sf):
     stream = st.file_stream(spark, sf, schema, glob="conversations.parquet")
     sink, ckpt = scratch_path(spark, "stream_score"), scratch_path(spark, "stream_score_ckpt")
     st.score_stream(stream, _score_users, sink, ckpt)
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).select("conv_id", "turn", "pred")
+
+
+def _arriving_pages(spark, sf, arrivals: int = 3):
+    """The pages landing in several arrivals, by id, one micro-batch each."""
+    pages = table(spark, sf, "pages")
+    landing = scratch_path(spark, "landing")
+    bounds = pages.approxQuantile("page_id", [i / arrivals for i in range(1, arrivals)], 0.01)
+    for lo, hi in zip([float("-inf"), *bounds], [*bounds, float("inf")]):
+        pages.where((F.col("page_id") > lo) & (F.col("page_id") <= hi)).coalesce(1).write.mode("append").parquet(landing)
+    return st.file_stream(spark, landing, pages.schema, max_files_per_trigger=1)
 
 
 @register("stream_dedupe", f"""
@@ -43,8 +53,7 @@ select title, page_id, url from (
 where rn = 1
 """)
 def stream_dedupe(spark, sf):
-    schema = table(spark, sf, "pages").schema
-    stream = st.file_stream(spark, sf, schema, glob="pages.parquet", max_files_per_trigger=1)
+    stream = _arriving_pages(spark, sf)
     sink, ckpt = scratch_path(spark, "stream_dedupe"), scratch_path(spark, "stream_dedupe_ckpt")
 
     def prepare(batch):
@@ -65,8 +74,7 @@ def stream_dedupe_state(spark, sf):
     """M2 with a state store: per-title first-wins state across micro-batches."""
     from moodspark.session import ship_package
     ship_package(spark)
-    schema = table(spark, sf, "pages").schema
-    stream = st.file_stream(spark, sf, schema, glob="pages.parquet", max_files_per_trigger=1)
+    stream = _arriving_pages(spark, sf)
     titled = stream.select("page_id", "url", hx.title_text(F.col("html")).alias("title")) \
         .where(F.col("title").isNotNull())
     sink, ckpt = scratch_path(spark, "stream_dedupe_state"), scratch_path(spark, "stream_dedupe_state_ckpt")

@@ -9,7 +9,8 @@ and NULL are both written as an empty field and read back as NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # Java charset name of Korean cp949 (Unified Hangul Code).
@@ -45,11 +46,27 @@ def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", mode: str = "ov
      .option("maxRecordsPerFile", str(max_records_per_file)).csv(path))
 
 
-def read_tagged(spark: SparkSession, sources: dict[str, DataFrame] | None = None, tag_col: str = "split") -> DataFrame:
-    """S3: several sources in one frame, each row tagged with its source name."""
-    from pyspark.sql import functions as F
-    out = None
-    for name, df in (sources or {}).items():
-        tagged = df.withColumn(tag_col, F.lit(name))
-        out = tagged if out is None else out.unionByName(tagged)
-    return out
+def tag_rows(df: DataFrame, conditions: list[tuple[str, Column]], otherwise: str, tag_col: str = "split") -> DataFrame:
+    """S3: one scan, each row tagged with the first source whose condition holds (NULL does not), else ``otherwise``."""
+    tag = F.lit(otherwise)
+    for name, condition in reversed(conditions):
+        tag = F.when(condition, F.lit(name)).otherwise(tag)
+    return df.withColumn(tag_col, tag)
+
+
+def escape_unencodable(c: Column) -> Column:
+    """Text with every run's character outside ASCII and the Hangul syllables as backslash-u and eight hex digits.
+
+    The backslash itself is escaped too, so ``unescape`` gives the text back.
+    """
+    runs = F.regexp_extract_all(c, F.lit(r"(?s)[\x00-\x5B\x5D-\x7F가-힣]+|."), 0)
+    code = lambda x: F.concat(F.lit("\\u"), F.lpad(F.hex(F.encode(x, "UTF-32")), 8, "0"))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^[\x00-\x5B\x5D-\x7F가-힣]"), x).otherwise(code(x))), "")
+
+
+def unescape(c: Column) -> Column:
+    """The text that ``escape_unencodable`` was given."""
+    parts = F.split(c, r"\\u", -1)
+    text = F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(
+        F.concat(F.decode(F.unhex(F.substring(x, 1, 8)), "UTF-32"), F.substr(x, F.lit(9)))))
+    return F.array_join(text, "")

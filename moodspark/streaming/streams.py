@@ -1,11 +1,11 @@
 """M1/M2: the source's two unbounded loops as Structured Streaming queries.
 
 * ``score_stream``: utterances arrive as files; each micro-batch is scored by
-  the same DataFrame scorer as the batch path and appended to a Parquet sink.
+  the same DataFrame scorer as the batch path, into a folder of its own.
   The source's stop sentinel (``"0"``) is filtered out instead of ending the job.
 * ``dedupe_stream``: incremental page ingest with first-wins dedupe across
   batches. ``foreachBatch`` dedupes the batch (partial aggregate), anti-joins
-  it against what earlier batches committed, and writes the batch into its
+  it against the touched buckets of a key table, and writes the batch into its
   own ``batch_id=`` folder with overwrite, so a retried batch replaces its
   output instead of duplicating it.
 
@@ -36,28 +36,48 @@ def file_stream(spark: SparkSession, directory: str, schema: StructType, glob: s
 
 def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
                  text_col: str = "text", sentinel: str | None = "0") -> None:
-    """M1: score arriving rows, append to ``sink``; runs all available input then stops."""
+    """M1: score arriving rows into ``sink``; runs all available input then stops.
+
+    Each micro-batch goes through the batch scorer into its own ``batch_id=``
+    folder with overwrite, so a retried batch replaces its output.
+    """
     rows = stream if sentinel is None else stream.where(F.col(text_col).isNull() | (F.col(text_col) != sentinel))
-    query = (scorer(rows).writeStream.format("parquet").option("path", sink)
-             .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        scorer(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    query = (rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
     query.awaitTermination()
 
 
+KEY_BUCKETS = 64
+
+
 def dedupe_stream(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], key_cols: list[str], order_col: str,
                   keep_cols: list[str], sink: str, checkpoint: str) -> None:
-    """M2: first-wins dedupe across micro-batches into ``sink``."""
+    """M2: first-wins dedupe across micro-batches into ``sink``.
+
+    A batch is combined first; its keys then meet the key table beside the
+    sink, of which only the hash buckets that the batch touches are read, and
+    only keys. The batch's rows and keys go to folders of its own.
+    """
+    keys_path = f"{sink}_keys"
+    bucket = F.pmod(F.xxhash64(*key_cols), F.lit(KEY_BUCKETS)).cast("int")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = dedupe_first(prepare(batch), key_cols, order_col, keep_cols)
-        try:
-            earlier = spark.read.parquet(sink).where(F.col("batch_id") < batch_id).select(*key_cols)
+        fresh = dedupe_first(prepare(batch), key_cols, order_col, keep_cols).withColumn("bucket", bucket)
+        if batch_id > 0:
+            touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # KEY_BUCKETS numbers at most
+            schema = ", ".join(f"`{c}` {fresh.schema[c].dataType.simpleString()}" for c in key_cols) + ", batch_id int, bucket int"
+            earlier = (spark.read.schema(schema).parquet(keys_path)
+                       .where(F.col("bucket").isin(touched) & (F.col("batch_id") < batch_id)).select(*key_cols))
             fresh = fresh.join(earlier, key_cols, "left_anti")
-        except Exception as exc:  # noqa: BLE001 - no committed batch yet
-            if "PATH_NOT_FOUND" not in str(exc) and "Unable to infer schema" not in str(exc) \
-                    and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        fresh.drop("bucket").write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        written = spark.read.schema(fresh.drop("bucket").schema).parquet(f"{sink}/batch_id={batch_id}")
+        (written.select(*key_cols, bucket.alias("bucket")).write.mode("overwrite").partitionBy("bucket")
+         .parquet(f"{keys_path}/batch_id={batch_id}"))
 
     query = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

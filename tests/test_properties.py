@@ -50,7 +50,7 @@ def test_encoded_arrays_have_fixed_length(spark):
     t = queries()["qa_targets"](spark, SF)
     rows = t.collect()
     assert rows and all(len(r["token_ids"].split()) == 60 and len(r["labels_ids"].split()) == 60 for r in rows)
-    assert all(r["mask_sum"] == r["q_len"] + r["a_len"] for r in rows)
+    assert all(r["mask"].split().count("1") == r["q_len"] + r["a_len"] and r["mask"] == r["attention_mask"] for r in rows)
     e = queries()["encode_single"](spark, SF).collect()
     assert all(len(r["input_ids"].split()) == 64 and r["attention_mask"].split().count("1") == r["valid_length"]
                for r in e)

@@ -39,3 +39,30 @@ def test_monthly_chart_calendar(spark):
              .orderBy("seq").collect()]
     assert len(dates) == 166 and dates[0] == "20100101" and dates[-1] == "20231001"
     assert dates[155] == "20221201"  # the last date the source's every-12 snapshot saved
+
+
+def test_appended_files_are_read(spark, tmpdir_):
+    from moodspark.sources.tables import table
+    path = os.path.join(tmpdir_, "labels.parquet")
+    rows = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    rows.write.parquet(path)
+    assert table(spark, tmpdir_, "labels").count() == 10
+    rows.write.mode("append").parquet(path)
+    assert table(spark, tmpdir_, "labels").count() == 20
+
+
+def test_escaped_text_comes_back(spark):
+    texts = ["가나 abc", "Étê ñ \\u00e9 \\\\ back", "한글\n줄 바꿈 中文", "", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select("t", csv_io.escape_unencodable(F.col("t")).alias("e"))
+    rows = out.select("t", "e", csv_io.unescape(F.col("e")).alias("b")).collect()
+    assert [r["b"] for r in rows] == texts
+    for r in rows:
+        r["e"].encode("cp949")
+
+
+def test_tag_rows_keeps_every_row(spark):
+    df = spark.createDataFrame([("src2",), ("src3",), (None,)], "source string")
+    even = F.substring("source", 4, 10).cast("int") % 2 == 0
+    got = [tuple(r) for r in csv_io.tag_rows(df, [("training", even)], "validation").collect()]
+    assert got == [("src2", "training"), ("src3", "validation"), (None, "validation")]

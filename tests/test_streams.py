@@ -38,12 +38,12 @@ def test_score_stream_equals_batch(spark, tmpdir_):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(src)
 
     def scorer(df):
-        return ly.score_lines(df, FIXTURE_LEXICON, 15, "text", keep_unscored=True).select("conv_id", "turn", "pred")
+        return ly.score_lines(df, FIXTURE_LEXICON, ["conv_id", "turn"], 15, "text", keep_unscored=True).select("conv_id", "turn", "pred")
 
     sink, ckpt = os.path.join(tmpdir_, "sink"), os.path.join(tmpdir_, "ckpt")
     st.score_stream(st.file_stream(spark, src, "conv_id long, turn long, role string, text string"), scorer, sink, ckpt)
     batch = scorer(spark.read.parquet(src).where(F.col("text") != "0"))
-    assert sorted(spark.read.parquet(sink).collect()) == sorted(batch.collect())
+    assert sorted(spark.read.parquet(sink).drop("batch_id").collect()) == sorted(batch.collect())
     assert {r["conv_id"]: r["pred"] for r in batch.collect()} == {1: 0, 2: 7, 3: None}
 
 
@@ -67,3 +67,18 @@ def test_stateful_dedupe_first_wins_across_batches(spark, tmpdir_):
     st.dedupe_stream_stateful(stream, ["title"], "page_id", ["url"], sink, ckpt)
     got = {r["title"]: (r["page_id"], r["url"]) for r in spark.read.parquet(sink).collect()}
     assert got == {"a": (3, "u3"), "b": (4, "u4"), "c": (7, "u7"), "d": (9, "u9")}
+
+
+def test_dedupe_stream_reads_touched_buckets_only(spark, tmpdir_):
+    """The key table lies in hash buckets, one folder per batch, and holds keys only."""
+    import glob
+    src = os.path.join(tmpdir_, "in")
+    for i in range(2):
+        spark.createDataFrame([(10 * i + j, f"t{j}", "u") for j in range(5)], "page_id long, title string, url string") \
+            .coalesce(1).write.mode("append").parquet(src)
+    sink, ckpt = os.path.join(tmpdir_, "sink"), os.path.join(tmpdir_, "ckpt")
+    st.dedupe_stream(st.file_stream(spark, src, "page_id long, title string, url string", max_files_per_trigger=1),
+                     lambda b: b, ["title"], "page_id", ["url"], sink, ckpt)
+    assert {r["title"]: r["page_id"] for r in spark.read.parquet(sink).collect()} == {f"t{j}": j for j in range(5)}
+    assert glob.glob(f"{sink}_keys/batch_id=0/bucket=*")
+    assert set(spark.read.parquet(f"{sink}_keys").columns) == {"title", "batch_id", "bucket"}

@@ -9,7 +9,7 @@ from moodspark.operators import scoring as sc
 
 def test_argmax_first_on_ties_and_nulls(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0],), ([None, 2.0, 1.0],), ([0.0, 0.0, 0.0],)], "v array<double>")
-    got = [r[0] for r in df.select(sc.argmax_prefix(F.col("v"), 3)).collect()]
+    got = [r[0] for r in df.select(sc.argmax(F.col("v"))).collect()]
     assert got == [1, 1, 0]
 
 
@@ -46,9 +46,9 @@ def test_cosine_topk_exact_with_ties_and_zero(spark):
     vecs[41] = list(vecs[3])         # exact tie with 3
     df = spark.createDataFrame(list(vecs.items()), "vec_id long, embedding array<double>").repartition(3)
     exp = _brute(vecs, 3)
-    for bound in (1000, 7):  # broadcast once / bounded blocks
+    for block in (1000, 7, 1):
         got = {}
-        for r in rc.cosine_topk(df, df, 3, exclude_self=True, max_broadcast_rows=bound).collect():
+        for r in rc.cosine_topk(df, df, 3, exclude_self=True, block=block).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
         got = {q: [i for _, i in sorted(v)] for q, v in got.items()}
         assert got == {q: v for q, v in exp.items() if v}
@@ -60,5 +60,42 @@ def test_model_scorer_matches_builtin_scorer(spark):
     rows = [(1, "The the of"), (2, "la la le le le"), (3, "xyz"), (4, "und, und. der!")]
     df = spark.createDataFrame(rows, "id long, line string").repartition(2)
     got = {r["id"]: r["pred"] for r in sc.model_scorer(df, "line", "lexicon", sc.LexiconModel, ["id"]).collect()}
-    exp = {r["id"]: r["pred"] for r in ly.score_lines(df, FIXTURE_LEXICON, keep_unscored=True).collect()}
+    exp = {r["id"]: r["pred"] for r in ly.score_lines(df, FIXTURE_LEXICON, ["id"], keep_unscored=True).collect()}
     assert got == exp == {1: 0, 2: 7, 3: None, 4: 11}
+
+
+def test_equal_vectors_leave_k_rows_each(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    rows = rc.cosine_topk(df, df, 5, exclude_self=True, block=16).collect()
+    assert len(rows) == 1000
+    for q in (0, 7, 199):
+        got = [r["item_id"] for r in sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert got == [i for i in range(7) if i != q][:5]
+
+
+def test_mixed_lengths_fail(spark):
+    import pytest
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    for block in (1, 100):
+        with pytest.raises(Exception, match="different lengths"):
+            rc.cosine_topk(df, df, 2, block=block).collect()
+    labelled = df.withColumn("label", F.lit(1))
+    with pytest.raises(Exception, match="different lengths"):
+        sc.class_mean_head(labelled, "embedding", "label").collect()
+
+
+def test_class_mean_head_is_the_nearest_mean(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(60, 5)), rng.integers(0, 4, 60)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], int(y[i])) for i in range(60)], "id int, v array<double>, label int")
+    got = {r["id"]: r["pred"] for r in sc.head_predictions(df, sc.class_mean_head(df, "v", "label"), "v").collect()}
+    means = np.stack([x[y == c].mean(axis=0) for c in range(4)])
+    assert got == {i: int(np.argmin(((means - x[i]) ** 2).sum(axis=1))) for i in range(60)}
+
+
+def test_lexicon_of_any_size(spark):
+    from moodspark.operators import lyrics as ly
+    words = spark.range(60_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"), (F.col("id") % 15).cast("int").alias("cls"))
+    df = spark.createDataFrame([(1, "w59999 w3 W3."), (2, "none")], "id long, line string")
+    got = {r["id"]: r["pred"] for r in ly.score_lines(df, words, ["id"], keep_unscored=True).collect()}
+    assert got == {1: 3, 2: None}
