@@ -7,19 +7,23 @@ classes runs as follows.
 1. Tokens are ordered rarest first: heavy hitters, counted in every task over
    all rows, come last. The first ``n - ceil(t n) + 1`` tokens of a set (its
    prefix) must meet the prefix of any set with similarity t.
-2. Partition: a class joins the group of the smallest class with which it
-   shares a prefix token. The matrix holds, for each group, the union of its
+2. Partition: each shared prefix token votes for the smallest class that has it;
+   a class joins the group of its most voted leader and of its own size (in
+   steps of ``STEP``). The matrix holds, for each group, the union of its
    members' prefix tokens (only tokens of two or more classes matter).
 3. Bound: a class that meets m tokens of a group's union overlaps any member
    in at most ``m + t max(n, s)`` tokens; where that is below what the sizes
    need, the group stays closed.
 4. Open: the members of a group and the classes that qualified for it form a
-   list. Lists are cut into hashed blocks of about ``BLOCK``; a task compares
-   two neighbouring blocks as a product of incidence matrices and returns a
-   spanning forest of its links, never its pairs. A list of one block is done
-   with that. In longer lists, what the links so far join into the list's
-   largest component needs no more comparison among itself; all the others are
-   compared with every block.
+   list. Lists are cut into hashed blocks of about ``BLOCK``; two neighbouring
+   blocks are a unit. Units first compare parity bitmaps of their sets (a bit
+   per token or less): differing bits are a lower bound of the symmetric
+   difference, so a class whose bound rules out every partner leaves before its
+   tokens are read. The rest is compared as a product of incidence matrices; a
+   task returns a spanning forest of its links, never its pairs. A list of one
+   block is done with that. In longer lists, what the links so far join into
+   the list's largest component needs no more comparison among itself; all the
+   others are compared with every block.
 
 Components are those of the links; sets are compared exactly (as sets of
 64-bit hashes). The only broadcast tables are the heavy hitters (``HOT`` at
@@ -46,6 +50,7 @@ from moodspark.llm.graph import connected_components
 from moodspark.session import materialize
 
 HOT = 50_000
+STEP = 1.02
 BLOCK = 64
 BITS = 1 << 22
 _CHUNK = 4_000_000  # characters worked on at once
@@ -108,6 +113,49 @@ def class_key(tokens: np.ndarray, seed: int) -> tuple[int, int]:
     return int(np.int64(first.view(np.int64))), int(np.int64(second.view(np.int64)))
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """Bit b is the parity of the tokens whose hash ends in b; a power of two of bits, at least one per token."""
+    size = 64
+    while size < len(tokens):
+        size *= 2
+    counts = np.bincount((_mix(tokens) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(words: np.ndarray, size: int) -> np.ndarray:
+    """Parity bitmaps of a smaller size: halves added up without carry."""
+    while words.shape[1] > size:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def possible(sizes: np.ndarray, bits: list[bytes], side: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets of a unit may link with another one (if any is marked by ``side``, with or as a marked one)."""
+    alive = np.zeros(len(sizes), dtype=bool)
+    width = np.array([len(b) // 8 for b in bits])
+    groups = {w: np.flatnonzero(width == w) for w in np.unique(width)}
+    matrix = {w: np.stack([np.frombuffer(bits[i], dtype=np.uint64) for i in at]) for w, at in groups.items()}
+    for a in groups:
+        for b in groups:
+            if b < a:
+                continue
+            left, right = groups[a], groups[b]
+            folded = _folded(matrix[b], a)
+            step = max(1, (1 << 20) // (a * len(right)))
+            for k in range(0, len(left), step):
+                part = left[k:k + step]
+                apart = np.bitwise_count(matrix[a][k:k + step][:, None, :] ^ folded[None, :, :]).sum(axis=2, dtype=np.int64)
+                total = sizes[part][:, None] + sizes[right][None, :]
+                both = np.minimum((total - apart) // 2, np.minimum(sizes[part][:, None], sizes[right][None, :]))
+                ok = (den * both >= num * (total - both)) & (part[:, None] != right[None, :])
+                if side.any():
+                    ok &= (side[part][:, None] + side[right][None, :]) > 0
+                alive[part] |= ok.any(axis=1)
+                alive[right] |= ok.any(axis=0)
+    return alive
+
+
 def _chunks(columns: list, most: int = _CHUNK):
     """Consecutive pieces of parallel columns, the last of which are texts, of about ``most`` characters."""
     texts = columns[-1]
@@ -124,7 +172,7 @@ def _chunks(columns: list, most: int = _CHUNK):
 def _first_pass(width: int, seed: int):
     """kind 0: a row's class; kind 1: a token that is frequent in this chunk, with its count."""
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("c1", pa.int64()),
-                        ("c2", pa.int64()), ("n", pa.int64())])
+                        ("c2", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +184,7 @@ def _first_pass(width: int, seed: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(k, np.int32)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()),
                      pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64()),
-                     pa.array([len(s) for s in sets], pa.int64())], schema=schema)
+                     pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())], schema=schema)
                 every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
                 if len(every):
                     starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
@@ -145,7 +193,7 @@ def _first_pass(width: int, seed: int):
                     tokens, counts = every[starts[often]].view(np.int64), counts[often].astype(np.int64)
                     zero = pa.nulls(len(tokens), pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(len(tokens), np.int32)), zero, zero, pa.array(tokens), zero, pa.array(counts)], schema=schema)
+                        [pa.array(np.ones(len(tokens), np.int32)), zero, zero, pa.array(tokens), zero, pa.array(counts), pa.nulls(len(tokens), pa.binary())], schema=schema)
     return run
 
 
@@ -255,38 +303,65 @@ def compare(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int
     return [(int(keys[i]), int(keys[j])) for i, j in forest(linked)]
 
 
-def _unit_pass(num: int, den: int):
-    """Streams rows (grp, unit, side, c1, tokens) sorted by unit; a unit has about two blocks of classes."""
+def _units_of(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple, list[tuple], bool]]:
+    """Units of a stream sorted by its first two columns: (grp, unit), the other columns' rows, batch at an end."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(columns))):
+            if row[:2] != now:
+                if rows:
+                    yield now, rows, False
+                now, rows = row[:2], []
+            rows.append(row[2:])
+        yield now, [], True
+    if rows:
+        yield now, rows, False
+    yield now, [], True
+
+
+def _sieve_pass(num: int, den: int):
+    """grp, unit, side, c1 of the classes that may link within their unit; rows (grp, unit, side, c1, n, bits)."""
+    schema = pa.schema([("grp", pa.int64()), ("unit", pa.int64()), ("side", pa.int32()), ("c1", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        out = []
+        for (unit, rows, ended) in _units_of(batches, 6):
+            if len(rows) > 1:
+                sizes = np.array([r[2] for r in rows], dtype=np.int64)
+                alive = possible(sizes, [r[3] for r in rows], np.array([r[0] for r in rows]), num, den)
+                out += [(*unit, rows[i][0], rows[i][1]) for i in np.flatnonzero(alive)]
+            if ended and out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
+                out = []
+    return run
 
-        def flush(rows):
-            keys, first = np.unique(np.array([r[1] for r in rows], dtype=np.int64), return_index=True)
-            mark = {}
-            for side, key, _ in rows:
-                mark[key] = max(mark.get(key, 0), side)
-            sets = [np.frombuffer(rows[i][2], dtype=np.uint64) for i in first]
-            return compare(keys, sets, np.array([mark[int(k)] for k in keys]), num, den)
 
-        now, rows, links = None, [], []
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for grp, unit, side, key, tokens in zip(*columns):
-                if (grp, unit) != now:
-                    if len(rows) > 1:
-                        links += flush(rows)
-                    now, rows = (grp, unit), []
-                rows.append((side, key, tokens))
-            if links:
+def _unit_pass(num: int, den: int):
+    """Spanning links of each unit; rows (grp, unit, side, c1, tokens)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = []
+        for (_, rows, ended) in _units_of(batches, 5):
+            if len(rows) > 1:
+                keys, first = np.unique(np.array([r[1] for r in rows], dtype=np.int64), return_index=True)
+                mark = {}
+                for side, key, _ in rows:
+                    mark[key] = max(mark.get(key, 0), side)
+                sets = [np.frombuffer(rows[i][2], dtype=np.uint64) for i in first]
+                links += compare(keys, sets, np.array([mark[int(k)] for k in keys]), num, den)
+            if ended and links:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], schema=schema)
                 links = []
-        if len(rows) > 1:
-            links += flush(rows)
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], schema=schema)
     return run
 
 
+def _sieved(units: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+    rows = units.join(signs, "c1").select("grp", "unit", "side", "c1", "n", "bits")
+    dealt = rows.repartition(F.col("grp"), F.col("unit")).sortWithinPartitions("grp", "unit")
+    return materialize(dealt.mapInArrow(_sieve_pass(num, den), "grp long, unit long, side int, c1 long"))
+
+
 def _run_units(units: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     rows = units.join(sets, "c1").select("grp", "unit", "side", "c1", "tokens")
     dealt = rows.repartition(F.col("grp"), F.col("unit")).sortWithinPartitions("grp", "unit")
@@ -299,8 +374,8 @@ def classes(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"), text_or_empty().alias("text"))
     seed = 0
     while True:
-        made = materialize(base.mapInArrow(_first_pass(width, seed), "kind int, doc_id long, rk long, c1 long, c2 long, n long"))
-        rows = made.where("kind = 0").select("doc_id", "rk", "c1", "c2", "n")
+        made = materialize(base.mapInArrow(_first_pass(width, seed), "kind int, doc_id long, rk long, c1 long, c2 long, n long, bits binary"))
+        rows = made.where("kind = 0").select("doc_id", "rk", "c1", "c2", "n", "bits")
         clash = rows.groupBy("c1").agg(F.min("c2").alias("x"), F.max("c2").alias("y")).where("x <> y").limit(1).count()
         if not clash:
             break
@@ -317,7 +392,10 @@ def _lists(rows: DataFrame, num: int, den: int) -> DataFrame:
     """grp, c1: members of each group and the classes whose bound opens it; groups of one fall out."""
     shared = rows.groupBy("token").agg(F.min("c1").alias("g"), F.max("c1").alias("x")).where("g <> x").select("token", "g")
     hits = materialize(rows.join(shared, "token").select("token", "c1", "n", "g").distinct())
-    group = hits.groupBy("c1").agg(F.min("g").alias("grp"), F.first("n").alias("n"))
+    votes = hits.groupBy("c1", "g").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    leader = votes.groupBy("c1").agg(F.first("n").alias("n"), F.max(F.struct("k", F.bitwise_not("g").alias("m"))).alias("top"))
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(STEP)))
+    group = leader.select("c1", "n", F.xxhash64(F.col("top.m"), size).alias("grp"))
     matrix = (hits.join(group.select("c1", "grp"), "c1").groupBy("token", "grp")
               .agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
     t = num / den
@@ -334,19 +412,21 @@ def _lists(rows: DataFrame, num: int, den: int) -> DataFrame:
         "block", F.pmod(F.xxhash64("c1", "grp"), F.col("blocks")).cast("int")).drop("size")
 
 
-def _wanted_sets(docs: DataFrame, lists: DataFrame, rows: DataFrame, width: int, seed: int) -> DataFrame:
-    """c1, tokens of every class in a list, from one of its texts."""
-    reps = (rows.join(lists.select("c1").distinct(), "c1").groupBy("c1").agg(F.min("rk").alias("rk")))
-    reps = materialize(reps)
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, rows: DataFrame, width: int, seed: int) -> DataFrame:
+    """c1, tokens of every class that is wanted, from one of its texts."""
+    least = F.min(F.struct("rk", "doc_id")).alias("one")
+    reps = materialize(rows.select("c1", "rk", "doc_id").join(wanted, "c1").groupBy("c1").agg(least)
+                       .select("c1", "one.rk", F.col("one.doc_id").alias("rid")))
     slot = lambda c: F.pmod(c, F.lit(BITS))
     # a bitmap of BITS bits, whatever the number of texts: most other texts stay where they are
     bitmap = reps.groupBy((slot(F.col("rk")) / 64).cast("long").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(rk, {BITS}) % 64 as int))")).alias("bits"))
-    texts = docs.select(F.xxhash64("text").alias("rk"), text_or_empty().alias("text")).withColumn("word", (slot(F.col("rk")) / 64).cast("long"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64("text").alias("rk"), text_or_empty().alias("text")).withColumn("word", (slot(F.col("rk")) / 64).cast("long"))
     near = (texts.join(F.broadcast(bitmap), "word")
-            .where(F.expr(f"(bits & shiftleft(1L, cast(pmod(rk, {BITS}) % 64 as int))) <> 0")).select("rk", "text"))
-    found = near.join(reps, "rk").select("c1", "text").mapInArrow(_set_pass(width, seed), "c1 long, tokens binary")
-    return found.groupBy("c1").agg(F.first("tokens").alias("tokens"))
+            .where(F.expr(f"(bits & shiftleft(1L, cast(pmod(rk, {BITS}) % 64 as int))) <> 0")).select("rk", "did", "text"))
+    # a row repeated in id and text gives its set as often; units take each class once
+    return (near.join(reps, "rk").where(F.col("did").eqNullSafe(F.col("rid"))).select("c1", "text")
+            .mapInArrow(_set_pass(width, seed), "c1 long, tokens binary"))
 
 
 def class_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -357,13 +437,16 @@ def class_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     prefixes = (docs.select(text_or_empty().alias("text"))
                 .mapInArrow(_prefix_pass(width, seed, num, den, shared), "token long, c1 long, n int"))
     lists = materialize(_lists(prefixes, num, den))
-    sets = materialize(_wanted_sets(docs, lists, rows, width, seed))
+    signs = materialize(rows.select("c1", "n", "bits").join(lists.select("c1").distinct(), "c1")
+                        .groupBy("c1").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
     # neighbouring blocks, in a ring: every class is in at most two units
     ring = F.array_distinct(F.array(F.col("block").cast("long"), F.pmod(F.col("block") + F.col("blocks") - 1, F.col("blocks")).cast("long")))
-    first = lists.select("grp", F.explode(ring).alias("unit"), F.lit(0).alias("side"), "c1")
+    first = _sieved(lists.select("grp", F.explode(ring).alias("unit"), F.lit(0).alias("side"), "c1"), signs, num, den)
+    long_ = lists.where("blocks > 2")
+    sets = materialize(_wanted_sets(docs, first.select("c1").unionByName(long_.select("c1")).distinct(), rows, width, seed)
+                       .repartition("c1"))
     links = _run_units(first, sets, num, den)
     # long lists: all that is not in a list's largest component against every block
-    long_ = lists.where("blocks > 2")
     roots = connected_components(links)
     placed = long_.join(roots.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
     main = (placed.groupBy("grp", "root").agg(F.count("*").alias("k")).groupBy("grp")
@@ -377,8 +460,8 @@ def class_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
              .select("grp", unit.alias("unit"), F.lit(1).alias("side"), "c1"))
     against = (lists.join(parts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
                .select("grp", unit.alias("unit"), F.lit(0).alias("side"), "c1"))
-    more = _run_units(asked.unionByName(against), sets, num, den)
-    return rows, connected_components(links.unionByName(more))
+    more = _run_units(_sieved(asked.unionByName(against), signs, num, den), sets, num, den)
+    return rows.drop("bits"), connected_components(links.unionByName(more))
 
 
 def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -135,6 +135,19 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def gathered(drawn: DataFrame, label_col: str, label_type: str, idf: np.ndarray) -> tuple[list, list[tuple[np.ndarray, np.ndarray]]]:
+    """Labels and vectors of a bounded sample with ``text``, as packed bytes, in an order that reruns keep."""
+    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [vector(t, idf) for t in frame["text"]]
+            yield pd.DataFrame({"label": frame[label_col], "at": [a.astype(np.int32).tobytes() for a, _ in found],
+                                "value": [v.astype(np.float32).tobytes() for _, v in found]})
+
+    rows = drawn.select(label_col, "text").mapInPandas(features, f"label {label_type}, at binary, value binary").collect()
+    rows.sort(key=lambda r: (r["label"], bytes(r["at"]), bytes(r["value"])))
+    return [r["label"] for r in rows], [(np.frombuffer(r["at"], dtype=np.int32), np.frombuffer(r["value"], dtype=np.float32)) for r in rows]
+
+
 def train(docs: DataFrame, training: Column | None = None, per_lang: int = 600, most_langs: int = 200,
           text_col: str = "text", lang_col: str = "lang") -> dict:
     """idf, weights, temperature and languages, learned from the rows for which ``training`` holds."""
@@ -150,16 +163,9 @@ def train(docs: DataFrame, training: Column | None = None, per_lang: int = 600,
              .withColumn("_i", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")))
              .where(F.col("_i") <= per_lang).select("lang", "text"))
 
-    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [vector(t, idf) for t in frame["text"]]
-            yield pd.DataFrame({"lang": frame["lang"], "at": [a for a, _ in found], "value": [v for _, v in found]})
-
-    sample = drawn.mapInPandas(features, "lang string, at array<int>, value array<double>").collect()
-    sample.sort(key=lambda r: (r["lang"], len(r["at"]), r["at"], r["value"]))
-    names = sorted({r["lang"] for r in sample})
-    vectors = [(np.array(r["at"], dtype=np.int64), np.array(r["value"])) for r in sample]
-    labels = np.array([names.index(r["lang"]) for r in sample], dtype=np.int64)
+    sample, vectors = gathered(drawn, "lang", "string", idf)
+    names = sorted(set(sample))
+    labels = np.array([names.index(x) for x in sample], dtype=np.int64)
     if len(names) < 2:
         return {"langs": names, "idf": idf, "weights": np.zeros((len(names), DIMS + 1)), "temperature": 1.0}
     back = np.arange(len(labels)) % 5 == 0

@@ -43,19 +43,12 @@ def train_evidence(docs: DataFrame, labels: DataFrame, per_class: int = 1500) ->
     drawn = (labels.withColumn("_i", F.row_number().over(Window.partitionBy("good").orderBy(u, "doc_id")))
              .where(F.col("_i") <= per_class).select("doc_id", "good"))
 
-    def features(frames):
-        for frame in frames:
-            found = [langid.vector(t, _FLAT) for t in frame["text"]]
-            yield pd.DataFrame({"good": frame["good"], "at": [a for a, _ in found], "value": [v for _, v in found]})
-
     # the sample is bounded by the parameter, so is its broadcast; texts are read where they lie
-    sample = (docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "good")
-              .mapInPandas(features, "good int, at array<int>, value array<double>").collect())
-    sample.sort(key=lambda r: (r["good"], len(r["at"]), r["at"], r["value"]))
-    y = np.array([r["good"] for r in sample], dtype=np.int64)
-    if len(set(y.tolist())) < 2:
+    sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id")
+    marks, rows = langid.gathered(sample, "good", "int", _FLAT)
+    y = np.array(marks, dtype=np.int64)
+    if len(set(marks)) < 2:
         return {"weights": np.zeros(langid.DIMS + 1), "temperature": 1.0}
-    rows = [(np.array(r["at"], dtype=np.int64), np.array(r["value"])) for r in sample]
     back = np.arange(len(y)) % 5 == 0
     w = langid.ftrl([x for x, b in zip(rows, back) if not b], y[~back], 2)
     held = np.array([w[:, a] @ v + w[:, langid.DIMS] for (a, v), b in zip(rows, back) if b])

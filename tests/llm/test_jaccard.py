@@ -102,6 +102,24 @@ def test_sets_of_texts():
     assert sets[1][0] in sets[0]
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2 ** 63, 700).astype(np.uint64)
+    sets = []
+    for i in range(60):
+        keep = base[rng.random(700) < rng.choice([0.3, 0.85, 0.95, 1.0])]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2 ** 63, rng.integers(0, 40)).astype(np.uint64)])))
+    sizes = np.array([len(s) for s in sets])
+    both = jaccard.overlaps(sets)
+    linked = (100 * both >= 85 * (sizes[:, None] + sizes[None, :] - both)) & ~np.eye(60, dtype=bool)
+    alive = jaccard.possible(sizes, [jaccard.parity(s) for s in sets], np.zeros(60, int), 85, 100)
+    assert linked.any() and not (linked.any(axis=1) & ~alive).any() and not alive.all()
+    side = (np.arange(60) % 5 == 0).astype(int)
+    marked = linked & ((side[:, None] + side[None, :]) > 0)
+    alive = jaccard.possible(sizes, [jaccard.parity(s) for s in sets], side, 85, 100)
+    assert not (marked.any(axis=1) & ~alive).any()
+
+
 def test_units_keep_all_connections():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(40)]
