@@ -52,7 +52,7 @@ from moodspark.session import materialize
 HOT = 50_000
 STEP = 1.02
 BLOCK = 64
-BITS = 1 << 22
+BITS = 1 << 24
 _CHUNK = 4_000_000  # characters worked on at once
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -388,10 +388,19 @@ def classes(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
     return rows, (tokens[order], counts[order]), seed
 
 
+def _maybe_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in ``keys``: a broadcast bitmap of BITS bits, whatever their number."""
+    slot = f"pmod({key}, {BITS})"
+    bitmap = keys.groupBy(F.expr(f"{slot} div 64").alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot} % 64 as int))")).alias("_bits"))
+    marked = df.withColumn("_word", F.expr(f"{slot} div 64")).join(F.broadcast(bitmap), "_word")
+    return marked.where(F.expr(f"(_bits & shiftleft(1L, cast({slot} % 64 as int))) <> 0")).drop("_word", "_bits")
+
+
 def _lists(rows: DataFrame, num: int, den: int) -> DataFrame:
     """grp, c1: members of each group and the classes whose bound opens it; groups of one fall out."""
-    shared = rows.groupBy("token").agg(F.min("c1").alias("g"), F.max("c1").alias("x")).where("g <> x").select("token", "g")
-    hits = materialize(rows.join(shared, "token").select("token", "c1", "n", "g").distinct())
+    shared = materialize(rows.groupBy("token").agg(F.min("c1").alias("g"), F.max("c1").alias("x")).where("g <> x").select("token", "g"))
+    # most tokens are in one class only; a bitmap of fixed size lets most of them stay out of the join's shuffle
+    hits = materialize(_maybe_among(rows, "token", shared).join(shared, "token").select("token", "c1", "n", "g").distinct())
     votes = hits.groupBy("c1", "g").agg(F.count("*").alias("k"), F.first("n").alias("n"))
     leader = votes.groupBy("c1").agg(F.first("n").alias("n"), F.max(F.struct("k", F.bitwise_not("g").alias("m"))).alias("top"))
     size = F.floor(F.log(F.col("n")) / F.log(F.lit(STEP)))
@@ -417,13 +426,8 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, rows: DataFrame, width: int
     least = F.min(F.struct("rk", "doc_id")).alias("one")
     reps = materialize(rows.select("c1", "rk", "doc_id").join(wanted, "c1").groupBy("c1").agg(least)
                        .select("c1", "one.rk", F.col("one.doc_id").alias("rid")))
-    slot = lambda c: F.pmod(c, F.lit(BITS))
-    # a bitmap of BITS bits, whatever the number of texts: most other texts stay where they are
-    bitmap = reps.groupBy((slot(F.col("rk")) / 64).cast("long").alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(rk, {BITS}) % 64 as int))")).alias("bits"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64("text").alias("rk"), text_or_empty().alias("text")).withColumn("word", (slot(F.col("rk")) / 64).cast("long"))
-    near = (texts.join(F.broadcast(bitmap), "word")
-            .where(F.expr(f"(bits & shiftleft(1L, cast(pmod(rk, {BITS}) % 64 as int))) <> 0")).select("rk", "did", "text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64("text").alias("rk"), text_or_empty().alias("text"))
+    near = _maybe_among(texts, "rk", reps)
     # a row repeated in id and text gives its set as often; units take each class once
     return (near.join(reps, "rk").where(F.col("did").eqNullSafe(F.col("rid"))).select("c1", "text")
             .mapInArrow(_set_pass(width, seed), "c1 long, tokens binary"))

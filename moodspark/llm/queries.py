@@ -71,7 +71,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
 
 
-@register("op6_jaccard_components")
+JACCARD_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * p.i >= 85 * (x.n + y.n - p.i)),
+e as (select a, b from l union select b, a from l),
+r(node, reach) as (select distinct a, a from e union select r.node, e.b from r join e on r.reach = e.a),
+c as (select node, min(reach) as least from r group by node)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.least, d.doc_id) as component_id
+from d left join n using (doc_id) left join c on c.node = d.doc_id
+"""
+
+
+@register("op6_jaccard_components", JACCARD_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
