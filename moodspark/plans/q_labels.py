@@ -3,7 +3,6 @@ documents.source/lang stand in for the emotion label columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from moodspark import catalog as cat
 from moodspark.operators import labels as lb

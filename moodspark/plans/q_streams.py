@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from moodspark import catalog as cat
 from moodspark.functions import html as hx
-from moodspark.functions import text as tx
 from moodspark.operators import lyrics as ly
 from moodspark.plans.q_pages import TITLE_SQL
 from moodspark.plans.registry import register
