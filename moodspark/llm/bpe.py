@@ -297,7 +297,8 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, id_col: str = "do
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and token_ids) of every row."""
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_vocabulary(path))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if with_ids else "")
+    # ids travel as text: pandas would turn a column with nulls into floating point
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if with_ids else "")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = shared.value
@@ -313,7 +314,8 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, id_col: str = "do
                        "decoded_sha256": [hashlib.sha256(raw).hexdigest() for raw in decode_batch(ids, totals, vocab)]}
                 if with_ids:
                     out["token_ids"] = [ids[x:y] for x, y in spans]
-                yield pd.DataFrame(out).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out)
 
     base = narrow(docs, doc_id=id_col, text=text_col)
-    return base.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, schema)
+    done = base.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, schema)
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))

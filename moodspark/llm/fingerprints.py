@@ -141,13 +141,13 @@ def _row(key, text, mine, following, theirs) -> tuple:
 
 
 _RESULT = ["doc_id", "n_chars", "edited_sha256", "fp", "efp", "near_edited", "near_next"]
-_TYPES = "doc_id long, n_chars long, edited_sha256 string, fp binary, efp binary, near_edited double, near_next double"
+# ids travel as text: pandas would turn a column with nulls into floating point
+_TYPES = "doc_id string, n_chars long, edited_sha256 string, fp binary, efp binary, near_edited double, near_next double"
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=columns)
-    for name in ("doc_id", "n_chars"):
-        frame[name] = frame[name].astype("Int64")
+    frame["n_chars"] = frame["n_chars"].astype("Int64")
     return frame
 
 
@@ -159,7 +159,6 @@ def _stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
         for key, text in zip(frame["doc_id"], frame["text"]):
-            key = None if pd.isna(key) else int(key)
             fp = fingerprint(text)
             if last is None:
                 out.append((2, task, text, key, None, None, fp.tobytes(), None, None, None))
@@ -175,7 +174,7 @@ def _stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = [_row(None if pd.isna(k) else int(k), t, np.frombuffer(f, dtype=np.uint32), t2, np.frombuffer(f2, dtype=np.uint32))
+        rows = [_row(k, t, np.frombuffer(f, dtype=np.uint32), t2, np.frombuffer(f2, dtype=np.uint32))
                 for k, t, f, t2, f2 in zip(frame["doc_id"], frame["text"], frame["fp"], frame["next_text"], frame["next_fp"])]
         yield _frame(rows, _RESULT)
 
@@ -186,7 +185,7 @@ def fingerprint_neighbours(docs: DataFrame, partitions: int | None = None, id_co
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = narrow(docs, doc_id=id_col, text=text_col)
     rows = base.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("_rk"), text_or_empty().alias("text"))
-    dealt = rows.repartitionByRange(parts, "doc_id", "_rk").sortWithinPartitions("doc_id", "_rk").select("doc_id", "text")
+    dealt = rows.repartitionByRange(parts, "doc_id", "_rk").sortWithinPartitions("doc_id", "_rk").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     passed = materialize(dealt.mapInPandas(_stream, "kind int, task int, text string, " + _TYPES))
     # one row per task: bounded by the partition count
     order = Window.orderBy("task")
@@ -198,5 +197,5 @@ def fingerprint_neighbours(docs: DataFrame, partitions: int | None = None, id_co
     ends = last.join(chain, "task").join(first, "next").select("doc_id", "text", "fp", "next_text", "next_fp")
     done = passed.where("kind = 0").select(*_RESULT).unionByName(ends.mapInPandas(_finish, _TYPES))
     text = lambda c: F.lower(F.hex(c))
-    return done.select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"),
+    return done.select(F.col("doc_id").cast("long").alias("doc_id"), "n_chars", "edited_sha256", text("fp").alias("fingerprint"),
                        text("efp").alias("edited_fingerprint"), "near_edited", "near_next")
