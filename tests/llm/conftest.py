@@ -27,6 +27,7 @@ def corpus():
     rows += [(400, None, None, None), (401, "", "en", "a"), (402, " \t\n\r ", None, "b"), (403, "one", "en", "c"), (404, "two words", "en", "c"),
              (None, base[0], "en", "a"), (None, None, None, None), (405, "Ünïcödé ñandú 中文 🙂  x", "es", "c"),
              (406, "12 345 -- !!", "en", "b"), (407, "a" * 30_000, "en", "a"), (408, passage(rng, 12_000), "en", "a")]
+    rows += [(2 ** 62 + 1, "an id that no double holds", "en", "a"), (-5, "a negative id", "en", "a")]
     rows += [rows[0], rows[0], (1, "another text with the id of one", "en", "b")]
     return rows
 
