@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from moodspark.llm.common import narrow, repeat_ranges, text_or_empty
 
 _NONE = np.iinfo(np.int32).max
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def byte_symbols() -> list[str]:

@@ -53,7 +53,8 @@ HOT = 50_000
 STEP = 1.02
 BLOCK = 64
 BITS = 1 << 24
-_CHUNK = 4_000_000  # characters worked on at once
+_CHUNK = 1_000_000  # characters worked on at once
+_POOL = 700_000  # tokens counted at once for heavy hitters
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -170,11 +171,22 @@ def _chunks(columns: list, most: int = _CHUNK):
 
 
 def _first_pass(width: int, seed: int):
-    """kind 0: a row's class; kind 1: a token that is frequent in this chunk, with its count."""
+    """kind 0: a row's class; kind 1: a token that is frequent in its pool, with its count."""
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("c1", pa.int64()),
                         ("c2", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 
+    def frequent(pool: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(pool))
+        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        counts = np.diff(np.append(starts, len(every)))
+        often = counts >= 4
+        tokens, counts = every[starts[often]].view(np.int64), counts[often].astype(np.int64)
+        none = pa.nulls(len(tokens), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), none, none, pa.array(tokens), none,
+                                           pa.array(counts), pa.nulls(len(tokens), pa.binary())], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, pooled = [], 0
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(3)]
             for ids, keys, texts in _chunks(columns):
@@ -185,15 +197,13 @@ def _first_pass(width: int, seed: int):
                     [pa.array(np.zeros(k, np.int32)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()),
                      pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64()),
                      pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())], schema=schema)
-                every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-                if len(every):
-                    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-                    counts = np.diff(np.append(starts, len(every)))
-                    often = counts >= 4
-                    tokens, counts = every[starts[often]].view(np.int64), counts[often].astype(np.int64)
-                    zero = pa.nulls(len(tokens), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(len(tokens), np.int32)), zero, zero, pa.array(tokens), zero, pa.array(counts), pa.nulls(len(tokens), pa.binary())], schema=schema)
+                pool += [s for s in sets if len(s)]
+                pooled += sum(len(s) for s in sets)
+                if pooled > _POOL:
+                    yield frequent(pool)
+                    pool, pooled = [], 0
+        if pool:
+            yield frequent(pool)
     return run
 
 
