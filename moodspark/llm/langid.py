@@ -4,8 +4,8 @@ Texts become sparse vectors of hashed 1- to 3-grams of code points (lower
 case), term frequency times inverse document frequency, of unit length. The
 document frequencies come from all training rows by a grouped sum. The weights
 are fitted by FTRL-proximal with elastic-net penalties on a bounded sample of
-labelled rows (``per_lang`` of each language with the smallest hash of the
-row, ``most_langs`` languages at most), and a temperature is then fitted on a
+labelled texts (``per_lang`` distinct ones of each language with the smallest
+hash, ``most_langs`` languages at most), and a temperature is then fitted on a
 held-back fifth of the sample. Scoring is a narrow map over all rows.
 
 The sample bound is the only bound: it fits the classifier, nothing else. The
@@ -13,13 +13,15 @@ model has ``DIMS`` x languages weights and is broadcast.
 
 Cases: null text or text without a letter is ``und`` with score 0; without any
 labelled training row every text is ``und``; with a single language all texts
-with letters get it; null languages train nothing; repeated rows train as often
-as they occur and give repeated results; further columns are ignored.
+with letters get it; null languages train nothing; repeated rows count in the
+document frequencies as often as they occur, but once in the sample, and give
+repeated results; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,6 +150,26 @@ def gathered(drawn: DataFrame, label_col: str, label_type: str, idf: np.ndarray)
     return [r["label"] for r in rows], [(np.frombuffer(r["at"], dtype=np.int32), np.frombuffer(r["value"], dtype=np.float32)) for r in rows]
 
 
+def held_back(at: np.ndarray, value: np.ndarray) -> bool:
+    """The fifth of the sampled texts that fits the temperature; copies of a text have one vector and one side."""
+    return zlib.crc32(at.astype(np.int32).tobytes() + value.astype(np.float32).tobytes()) % 5 == 0
+
+
+def sample_rows(rows: DataFrame, per_lang: int, most_langs: int) -> DataFrame:
+    """lang, text: the ``per_lang`` distinct texts with the smallest hash of each of the most frequent languages.
+
+    Copies are combined per task before the shuffle; ranks within a 64th of the
+    hashes come first, so that no task orders all texts of a language.
+    """
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
+    hashed = rows.select("lang", F.xxhash64("text").alias("_h"))
+    parts = hashed.join(F.broadcast(langs), "lang").groupBy("lang", "_h").agg(F.pmod("_h", F.lit(64)).alias("_p"))
+    for keys in (["lang", "_p"], ["lang"]):
+        parts = parts.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))).where(F.col("_i") <= per_lang)
+    chosen = F.broadcast(parts.select("lang", "_h"))
+    return rows.withColumn("_h", F.xxhash64("text")).join(chosen, ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text")).drop("_h")
+
+
 def train(docs: DataFrame, training: Column | None = None, per_lang: int = 600, most_langs: int = 200,
           text_col: str = "text", lang_col: str = "lang") -> dict:
     """idf, weights, temperature and languages, learned from the rows for which ``training`` holds."""
@@ -155,20 +177,15 @@ def train(docs: DataFrame, training: Column | None = None, per_lang: int = 600,
     rows = narrow(rows, text=text_col, lang=lang_col).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     df, total = _document_frequencies(rows.select("text"))
     idf = np.log((total + 1) / (df + 1)) + 1.0
-    # the bounded sample: the most frequent languages, the rows with the smallest hash of each
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
-    share = F.lit(2.0 * per_lang) / F.col("count")
-    u = (F.xxhash64("text") / F.lit(float(1 << 63)) + 1) / 2
-    drawn = (rows.join(F.broadcast(langs), "lang").where(u <= share + F.lit(1e-12))
-             .withColumn("_i", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")))
-             .where(F.col("_i") <= per_lang).select("lang", "text"))
+    drawn = sample_rows(rows, per_lang, most_langs)
 
     sample, vectors = gathered(drawn, "lang", "string", idf)
     names = sorted(set(sample))
     labels = np.array([names.index(x) for x in sample], dtype=np.int64)
     if len(names) < 2:
         return {"langs": names, "idf": idf, "weights": np.zeros((len(names), DIMS + 1)), "temperature": 1.0}
-    back = np.arange(len(labels)) % 5 == 0
+    back = np.array([held_back(a, v) for a, v in vectors])
+    back &= ~np.isin(labels, np.setdiff1d(labels, labels[~back]))  # a language whose texts are all held back is learned from them
     fit = [v for v, b in zip(vectors, back) if not b]
     weights = ftrl(fit, labels[~back], len(names))
     held = np.array([weights[:, a] @ v + weights[:, DIMS] for (a, v), b in zip(vectors, back) if b])

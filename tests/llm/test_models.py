@@ -135,3 +135,31 @@ def test_site_query_on_the_fixture(spark):
     good = [got[r.doc_id].score for r in labels if r.quality == 1 and r.toxic == 0]
     bad = [got[r.doc_id].score for r in labels if not (r.quality == 1 and r.toxic == 0)]
     assert np.mean(good) > np.mean(bad)
+
+
+def test_sample_takes_distinct_texts_of_every_language(spark):
+    """Ten texts with 100 copies each, whose hashes a share of the row count would leave out, and one with a small hash among others."""
+    seen = [f"text number {i} of many" for i in range(3000)]
+    hashed = {r.text: r.h for r in spark.createDataFrame([(t,) for t in seen], "text string").selectExpr("text", "xxhash64(text) h").collect()}
+    by_hash = sorted(seen, key=hashed.get)
+    few, many = by_hash[-10:], by_hash[:200]
+    rows = [(t, "aa") for t in few for _ in range(100)] + [(many[0], "bb")] * 500 + [(t, "bb") for t in many[1:]] + [(t, "cc") for t in seen[:7]]
+    drawn = langid.sample_rows(spark.createDataFrame(rows, "text string, lang string").repartition(3), 50, 200).collect()
+    got = {k: sorted(r.text for r in drawn if r.lang == k) for k in ("aa", "bb", "cc")}
+    assert got == {"aa": sorted(few), "bb": sorted(many[:50]), "cc": sorted(seen[:7])}
+
+
+def test_language_of_few_copied_texts_is_learned(spark):
+    seen = [f"zwei drei vier {i} und fünf" for i in range(400)]
+    hashed = {r.text: r.h for r in spark.createDataFrame([(t,) for t in seen], "text string").selectExpr("text", "xxhash64(text) h").collect()}
+    copied = sorted(seen, key=hashed.get)[-6:]
+    rows = [(i, t, "de", "a") for i, t in enumerate(copied * 400)] + [(9000 + i, f"one two three {i} and four", "en", "a") for i in range(60)]
+    model = langid.train(frame(spark, rows))
+    assert model["langs"] == ["de", "en"]
+    assert langid.classify(copied, model)[0] == ["de"] * 6
+
+
+def test_copies_fall_on_one_side():
+    idf = np.ones(langid.DIMS)
+    sides = [{langid.held_back(*langid.vector(f"some text {i}", idf)) for _ in range(2)} for i in range(500)]
+    assert all(len(s) == 1 for s in sides) and 50 < sum(s == {True} for s in sides) < 150
