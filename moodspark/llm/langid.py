@@ -30,9 +30,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodspark.llm.common import narrow
+from moodspark.session import materialize
 
 DIMS = 1 << 15
 _LETTER = re.compile(r"[^\W\d_]")
+_NO_LETTER = re.compile(r"[\W\d_]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - 15)
 
@@ -170,15 +172,24 @@ def sample_rows(rows: DataFrame, per_lang: int, most_langs: int) -> DataFrame:
     return rows.withColumn("_h", F.xxhash64("text")).join(chosen, ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text")).drop("_h")
 
 
-def train(docs: DataFrame, training: Column | None = None, per_lang: int = 600, most_langs: int = 200,
-          text_col: str = "text", lang_col: str = "lang") -> dict:
-    """idf, weights, temperature and languages, learned from the rows for which ``training`` holds."""
+def training_sample(docs: DataFrame, training: Column | None = None, per_lang: int = 600, most_langs: int = 200,
+                    text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, np.ndarray]:
+    """The bounded sample (lang, text) of the rows for which ``training`` holds, and the idf over all of these rows."""
     rows = docs.where(training) if training is not None else docs
     rows = narrow(rows, text=text_col, lang=lang_col).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     df, total = _document_frequencies(rows.select("text"))
     idf = np.log((total + 1) / (df + 1)) + 1.0
-    drawn = sample_rows(rows, per_lang, most_langs)
+    return sample_rows(rows, per_lang, most_langs), idf
 
+
+def train(docs: DataFrame, training: Column | None = None, per_lang: int = 600, most_langs: int = 200,
+          text_col: str = "text", lang_col: str = "lang") -> dict:
+    """idf, weights, temperature and languages, learned from the rows for which ``training`` holds."""
+    return fit(*training_sample(docs, training, per_lang, most_langs, text_col, lang_col))
+
+
+def fit(drawn: DataFrame, idf: np.ndarray) -> dict:
+    """The model of a sample."""
     sample, vectors = gathered(drawn, "lang", "string", idf)
     names = sorted(set(sample))
     labels = np.array([names.index(x) for x in sample], dtype=np.int64)
@@ -186,8 +197,7 @@ def train(docs: DataFrame, training: Column | None = None, per_lang: int = 600,
         return {"langs": names, "idf": idf, "weights": np.zeros((len(names), DIMS + 1)), "temperature": 1.0}
     back = np.array([held_back(a, v) for a, v in vectors])
     back &= ~np.isin(labels, np.setdiff1d(labels, labels[~back]))  # a language whose texts are all held back is learned from them
-    fit = [v for v, b in zip(vectors, back) if not b]
-    weights = ftrl(fit, labels[~back], len(names))
+    weights = ftrl([v for v, b in zip(vectors, back) if not b], labels[~back], len(names))
     held = np.array([weights[:, a] @ v + weights[:, DIMS] for (a, v), b in zip(vectors, back) if b])
     return {"langs": names, "idf": idf, "weights": weights, "temperature": temperature(held, labels[back])}
 
@@ -235,10 +245,94 @@ def language_report(docs: DataFrame) -> DataFrame:
     return predict(base.withColumn("held_out", held_out()), model, ["doc_id", "held_out"])
 
 
+# Bounds are told apart by the length of the text: the edges of the classes, and the lengths of the pieces that stand for short texts.
+_EDGES, _PIECES = [8, 32, 128, 512], (5, 16, 64, 256, 600)
+_ENOUGH = 20
+
+
+def measures(text: str, model: dict) -> tuple[int, int, float, float]:
+    """Of the letters of a text: best language (its number), length class, calibrated log-odds of it to the second, mean idf of the grams.
+
+    Digits and marks count as a space. The score alone would not do: random
+    letters or code may lean to some language by a single gram, and calibration
+    stretches that to a score of 1. Their grams are rare in the corpus, though,
+    and a text of mixed languages has far lower odds than clean ones of its length.
+    """
+    text = _NO_LETTER.sub(" ", text)
+    at, counts = gram_counts(text)
+    value = counts * model["idf"][at]
+    surprise = float(value.sum() / counts.sum())
+    value = value / float(np.sqrt((value * value).sum()))
+    s = (model["weights"][:, at] @ value + model["weights"][:, DIMS]) / model["temperature"]
+    best, size = int(s.argmax()), int(np.searchsorted(_EDGES, len(text), side="right"))
+    return best, size, float(s[best] - np.delete(s, best).max()) if len(s) > 1 else 0.0, surprise
+
+
+def pieces(text: str) -> list[str]:
+    """The text and cuts from its start, middle and end, which stand for short texts."""
+    cuts = [text[i:i + n] for n in _PIECES if n < len(text) for i in {0, (len(text) - n) // 2, len(text) - n}]
+    return [x for x in [text, *cuts] if _LETTER.search(x)]
+
+
+def rejection_bounds(drawn: DataFrame, model: dict) -> dict:
+    """(language or None, length class) -> least log-odds and greatest mean idf of an accepted text.
+
+    By grouped percentiles over the held-back texts of the sample, and pieces of
+    them, that the model tells correctly: 0.35 of the lower decile of the
+    log-odds, and the upper decile of the mean idf and 1.5 times its distance
+    from the median (at least a tenth of that). So nearly all clean texts stay,
+    and junk under a label among less than a tenth of its rows moves no bound far. A
+    class with fewer than 20 pieces of a language takes the bound of all
+    languages (None), with fewer than 20 of all that of the next shorter class,
+    and without a shorter one it has no bound.
+    """
+    shared = drawn.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for frame in frames:
+            out = []
+            for lang, text in zip(frame["lang"], frame["text"]):
+                if held_back(*vector(text, m["idf"])):
+                    found = [measures(x, m) for x in pieces(text)]
+                    out += [(lang, size, odds, surprise) for best, size, odds, surprise in found if m["langs"][best] == lang]
+            yield pd.DataFrame(out, columns=["lang", "size", "odds", "surprise"])
+
+    told = drawn.select("lang", "text").mapInPandas(run, "lang string, size int, odds double, surprise double")
+    both = told.select(F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("lang"), "size", "odds", "surprise")
+    rows = both.groupBy("lang", "size").agg(
+        F.count("*").alias("n"), F.percentile("odds", 0.1).alias("low"),
+        F.percentile("surprise", 0.5).alias("mid"), F.percentile("surprise", 0.9).alias("high")).collect()
+    return {(r["lang"], r["size"]): (0.35 * r["low"], r["high"] + 1.5 * max(r["high"] - r["mid"], 0.1 * r["mid"])) for r in rows if r["n"] >= _ENOUGH}
+
+
+def accepted(text: str | None, model: dict, bounds: dict) -> bool:
+    """Whether the model can place the text."""
+    if not model["langs"] or text is None or not _LETTER.search(text):
+        return False
+    best, size, odds, surprise = measures(text, model)
+    keys = ((lang, k) for k in range(size, -1, -1) for lang in (model["langs"][best], None))
+    least, most = next((bounds[k] for k in keys if k in bounds), (-np.inf, np.inf))
+    return odds >= least and surprise <= most
+
+
 def drop_rejected(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """``docs`` without texts that have no letter or whose calibrated score is below ``min_score``."""
-    model = train(docs, ~held_out())
-    # packed, so that no column of docs can clash with the predictions
-    packed = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
-    found = predict(packed, model, ["_row"], "_text")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("_row.*")
+    """``docs`` without the texts that the model cannot place.
+
+    These have no letter, or are beyond the bounds of their language and length
+    (``rejection_bounds``), or have a calibrated score below ``min_score``.
+    """
+    drawn, idf = training_sample(docs, ~held_out())
+    drawn = materialize(drawn)
+    model = fit(drawn, idf)
+    shared = docs.sparkSession.sparkContext.broadcast((model, rejection_bounds(drawn, model)))
+
+    @F.pandas_udf("boolean")
+    def stays(text: pd.Series) -> pd.Series:
+        fitted, bounds = shared.value
+        return pd.Series([accepted(None if x is pd.NA else x, fitted, bounds) and
+                          (min_score <= 0 or classify([x], fitted)[1][0] >= min_score) for x in text], dtype=bool)
+
+    # packed, so that no column of docs can clash with the decision
+    packed = docs.select(F.struct("*").alias("_row"), stays(F.col("text").cast("string")).alias("_stays"))
+    return packed.where("_stays").select("_row.*")

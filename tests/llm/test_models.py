@@ -1,5 +1,6 @@
 """Language ID and quality: held-out accuracy, edges, and the numerical parts."""
 
+import random
 import zlib
 
 import numpy as np
@@ -163,3 +164,27 @@ def test_copies_fall_on_one_side():
     idf = np.ones(langid.DIMS)
     sides = [{langid.held_back(*langid.vector(f"some text {i}", idf)) for _ in range(2)} for i in range(500)]
     assert all(len(s) == 1 for s in sides) and 50 < sum(s == {True} for s in sides) < 150
+
+
+def test_texts_that_no_language_fits_go(spark):
+    """Random letters, code, an unlearned script and mixed languages go; clean texts stay, short ones too."""
+    rng = random.Random(11)
+    clean = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert len({k for k, _, _ in clean}) == len(clean)
+    by_lang = {}
+    for _, text, lang in clean:
+        by_lang.setdefault(lang, []).append(text)
+    long = [(k, t, la) for k, t, la in clean if len(t) > 400]
+    short = [(10_000 + i, " ".join(t.split()[3:15]), la) for i, (_, t, la) in enumerate(long[:200])]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (40, 120, 500, 2000) for _ in range(4)]
+    junk += [f"for (int i = 0; i < n; ++i) {{ x[i] = foo(bar_{i}, i); }} return x;" for i in range(4)]
+    junk += [f"Привет мир это текст на русском языке номер {i}" for i in range(4)]
+    for _ in range(6):
+        words = sum([" ".join(rng.sample(texts, 4)).split()[:60] for texts in by_lang.values()], [])
+        rng.shuffle(words)
+        junk.append(" ".join(words))
+    rows = [(*r, "a") for r in clean + short] + [(20_000 + i, t, rng.choice(sorted(by_lang)), "a") for i, t in enumerate(junk)]
+    kept = {r.doc_id for r in langid.drop_rejected(frame(spark, rows)).collect()}
+    assert not [t[:60] for i, t in enumerate(junk) if 20_000 + i in kept]
+    assert np.mean([k in kept for k, _, _ in clean]) > 0.99
+    assert np.mean([k in kept for k, _, _ in short]) > 0.95
