@@ -28,10 +28,10 @@ BIG, FINE = "감정_대분류", "감정_소분류"
 UTTER_TEXT, UTTER_TAG = "발화문", "상황"
 
 
-def _sheet_pairs(sheet: DataFrame, label_col: str, split_order: int) -> DataFrame:
+def _sheet_pairs(sheet: DataFrame, label_col: str, split_order: int, key_cols: tuple[str, ...]) -> DataFrame:
     """U3 + F2 + F5: one scan, slots 1..3, NULL pairs dropped, order kept as keys."""
     args = ", ".join(f"{i + 1}, `{HUMAN[i]}`, `{SYSTEM[i]}`" for i in range(3))
-    out = sheet.select("row_id", F.col(label_col).alias("label"),
+    out = sheet.select(*key_cols, F.col(label_col).alias("label"),
                        F.expr(f"stack(3, {args})").alias("slot", "Q", "A"))
     return out.dropna(subset=["Q", "A", "label"]).withColumn("split_order", F.lit(split_order))
 
@@ -41,7 +41,7 @@ def _index_catalog(ids: DataFrame, name_col: str) -> DataFrame:
 
 
 def lm_corpus(train: DataFrame, chatbot: DataFrame, label_col: str = BIG, valid: DataFrame | None = None,
-              chatbot_map: str = "by_name", strict_dropna: bool = True) -> DataFrame:
+              chatbot_map: str = "by_name", strict_dropna: bool = True, key_cols: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """Dialogue sheets + chatbot CSV -> (row_idx, Q, A, label).
 
     Label ids are assigned by first appearance in the training sheet (A2/A3),
@@ -50,8 +50,9 @@ def lm_corpus(train: DataFrame, chatbot: DataFrame, label_col: str = BIG, valid:
     ``chatbot_map="by_name"`` maps chatbot labels 1/2 to the sheet's
     sadness/joy names; ``"source_ids"`` reproduces the source's numeric map
     (which is wrong for the fifteen-class sheet, see SURVEY 1.4).
+    ``key_cols`` together identify a row of a sheet or the CSV and give its order.
     """
-    ids = lb.first_appearance_index(train, label_col, "row_id")
+    ids = lb.first_appearance_index(train, label_col, list(key_cols))
     catalog = _index_catalog(ids, label_col)
     n_first = ids.agg(F.count(F.lit(1)).alias("n"))
 
@@ -59,12 +60,12 @@ def lm_corpus(train: DataFrame, chatbot: DataFrame, label_col: str = BIG, valid:
         return lb.strict_lookup(sheet, label_col, catalog, "_label").drop(label_col) \
             .withColumnRenamed("_label", label_col)
 
-    parts = [_sheet_pairs(coded(train), label_col, 0)]
+    parts = [_sheet_pairs(coded(train), label_col, 0, key_cols)]
     if valid is not None:
-        parts.append(_sheet_pairs(coded(valid), label_col, 1))
+        parts.append(_sheet_pairs(coded(valid), label_col, 1, key_cols))
     sheet_rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     sheet_rows = sheet_rows.select("Q", "A", "label", F.col("slot").cast("int").alias("slot"),
-                                   "split_order", "row_id")
+                                   "split_order", *key_cols)
 
     space = "six_first" if label_col == BIG else "fifteen_first"
     if chatbot_map == "source_ids":
@@ -83,12 +84,13 @@ def lm_corpus(train: DataFrame, chatbot: DataFrame, label_col: str = BIG, valid:
         F.col("_mapped"), F.raise_error(F.concat(F.lit("unmapped chatbot label: "), F.col("label").cast("string")))
         .cast("int")))
     chat = chat.select("Q", "A", mapped.alias("label"), F.lit(4).alias("slot"), F.lit(0).alias("split_order"),
-                       "row_id")
+                       *key_cols)
     rows = sheet_rows.unionByName(chat)
-    return reindex(rows, ["slot", "split_order", "row_id"]).select("row_idx", "Q", "A", "label")
+    return reindex(rows, ["slot", "split_order", *key_cols]).select("row_idx", "Q", "A", "label")
 
 
-def classifier_corpus(sheet: DataFrame, utterances: DataFrame | None = None, classes: int = 6) -> DataFrame:
+def classifier_corpus(sheet: DataFrame, utterances: DataFrame | None = None, classes: int = 6,
+                      key_cols: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """(text, label string) rows for the classifier.
 
     Six classes: big-category names recoded leniently (J2), utterance tags
@@ -100,11 +102,11 @@ def classifier_corpus(sheet: DataFrame, utterances: DataFrame | None = None, cla
     spark = sheet.sparkSession
     if classes == 6:
         sheet_part = lb.lenient_recode(sheet, BIG, cat.catalog_df(spark, "six_bert"), "label") \
-            .select("row_id", F.col(HUMAN[0]).alias("text"), "label")
+            .select(*key_cols, F.col(HUMAN[0]).alias("text"), "label")
         english = cat.edge_df(spark, "english", "six_bert")
     elif classes == 15:
         sheet_part = lb.collapse(sheet, FINE, cat.edge_df(spark, "raw_fine"), cat.FINE_DROPPED, "label") \
-            .select("row_id", F.col(HUMAN[0]).alias("text"), F.col("label").cast("string").alias("label"))
+            .select(*key_cols, F.col(HUMAN[0]).alias("text"), F.col("label").cast("string").alias("label"))
         english = cat.edge_df(spark, "english", "fifteen_bert")
     else:
         raise ValueError("classes must be 6 or 15")
@@ -114,6 +116,6 @@ def classifier_corpus(sheet: DataFrame, utterances: DataFrame | None = None, cla
         e = english.select(F.col("src_name").alias("name"), F.col("dst_id").alias("id"))
         coded = lb.lenient_recode(kept, UTTER_TAG, e, "label") if classes == 6 else \
             lb.collapse(kept, UTTER_TAG, english, [], "label").withColumn("label", F.col("label").cast("string"))
-        out = out.unionByName(coded.select("row_id", F.col(UTTER_TEXT).alias("text"), "label",
+        out = out.unionByName(coded.select(*key_cols, F.col(UTTER_TEXT).alias("text"), "label",
                                            F.lit(1).alias("source_order")))
-    return reindex(out, ["source_order", "row_id"]).select("row_idx", "text", "label")
+    return reindex(out, ["source_order", *key_cols]).select("row_idx", "text", "label")

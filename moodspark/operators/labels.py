@@ -78,13 +78,14 @@ def drop_values(df: DataFrame, col: str, values: list) -> DataFrame:
     return df.where(F.col(col).isNull() | ~F.col(col).isin(list(values)))
 
 
-def first_appearance_index(df: DataFrame, col: str, order_col: str, out_col: str = "label_id") -> DataFrame:
+def first_appearance_index(df: DataFrame, col: str, order_col: str | list[str], out_col: str = "label_id") -> DataFrame:
     """A2+A3: distinct values numbered by first appearance (not frequency/alphabet).
 
     One partial aggregate per value, then a distributed dense index over the
     distinct values (``StringIndexer`` only offers frequency/alphabet orders).
     """
-    firsts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(order_col).alias("first_row"))
+    first = F.col(order_col) if isinstance(order_col, str) else F.struct(*order_col)
+    firsts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(first).alias("first_row"))
     return global_index(firsts, ["first_row", col], out_col).withColumn(out_col, F.col(out_col).cast("int"))
 
 

@@ -147,12 +147,15 @@ join ({scored_lines("select conv_id * 1000 + sheet_no as row_id, 1 as line_no, u
 """
 
 
+_KEYS = ("row_key", "part_no")
+
+
 def _sheet(spark, sf):
-    """row_id, pred and the six text columns in the source's names."""
-    w = wide(spark, sf).withColumn("row_id", F.col("conv_id") * 1000 + F.col("sheet_no"))
-    scored = ly.score_lines(w, cat.FIXTURE_LEXICON, ["row_id"], 15, "user_1")
-    return w.join(scored, "row_id").select(
-        "row_id", "pred", *[F.col(f"user_{i}").alias(f"사람문장{i}") for i in (1, 2, 3)],
+    """row_key, part_no, pred and the six text columns in the source's names."""
+    w = wide(spark, sf).withColumnsRenamed({"conv_id": "row_key", "sheet_no": "part_no"})
+    scored = ly.score_lines(w, cat.FIXTURE_LEXICON, [*_KEYS], 15, "user_1")
+    return w.join(scored, [*_KEYS]).select(
+        *_KEYS, "pred", *[F.col(f"user_{i}").alias(f"사람문장{i}") for i in (1, 2, 3)],
         *[F.col(f"reply_{i}").alias(f"시스템문장{i}") for i in (1, 2, 3)])
 
 
@@ -189,22 +192,22 @@ from rows
 
 
 def _chat(spark, sf):
-    return doc_qa(spark, sf).select((F.col("doc_id") * 100_000 + F.col("part_no")).alias("row_id"), "Q", "A", "label")
+    return doc_qa(spark, sf).select(F.col("doc_id").alias("row_key"), "part_no", "Q", "A", "label")
 
 
 @register("lm_corpus_fifteen", _lm_sql(False))
 def lm_corpus_fifteen(spark, sf):
     """E2 end to end: sheet (first-appearance ids) + chatbot rows mapped by name -> re-indexed corpus."""
-    return cp.lm_corpus(_fifteen_sheet(spark, sf), _chat(spark, sf), label_col=cp.FINE)
+    return cp.lm_corpus(_fifteen_sheet(spark, sf), _chat(spark, sf), label_col=cp.FINE, key_cols=_KEYS)
 
 
 @register("lm_corpus_two_sheets", _lm_sql(True))
 def lm_corpus_two_sheets(spark, sf):
     """E2 with a validation sheet: training before validation inside each slot."""
     sheet = _fifteen_sheet(spark, sf)
-    train, valid = sheet.where("row_id % 5 <> 4"), sheet.where("row_id % 5 = 4")
+    train, valid = sheet.where("part_no % 5 <> 4"), sheet.where("part_no % 5 = 4")
     known = train.select(cp.FINE).distinct()
-    return cp.lm_corpus(train, _chat(spark, sf), cp.FINE, valid.join(known, cp.FINE, "left_semi"))
+    return cp.lm_corpus(train, _chat(spark, sf), cp.FINE, valid.join(known, cp.FINE, "left_semi"), key_cols=_KEYS)
 
 
 # Utterances are the documents' lines under an English tag by language; one tag is dropped.
@@ -216,7 +219,7 @@ def _utterances(spark, sf):
     docs = table(spark, sf, "documents", ["doc_id"]).select("doc_id", "lang", "text")
     tags = F.expr("CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TAGS.items()) + " END")
     lines = docs.select("doc_id", tags.alias(cp.UTTER_TAG), F.posexplode(tx.text_lines("text")).alias("p", cp.UTTER_TEXT))
-    return lines.select((F.col("doc_id") * 100_000 + F.col("p")).alias("row_id"), cp.UTTER_TEXT, cp.UTTER_TAG)
+    return lines.select(F.col("doc_id").alias("row_key"), F.col("p").alias("part_no"), cp.UTTER_TEXT, cp.UTTER_TAG)
 
 
 def _classifier_sql(sheet_label: str, sheet_where: str, english: dict[str, int]) -> str:
@@ -238,12 +241,12 @@ _BIG_CASE = "case pred % 7 " + " ".join(f"when {i} then '{i}'" for i in range(6)
 def classifier_corpus_six(spark, sf):
     """E3, six classes: lenient recode (one name is not in the catalog and stays), neutral utterances dropped."""
     big = F.expr("CASE pred % 7 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(cat.SIX_BERT)) + " ELSE '기타' END")
-    return cp.classifier_corpus(_sheet(spark, sf).withColumn(cp.BIG, big), _utterances(spark, sf), 6)
+    return cp.classifier_corpus(_sheet(spark, sf).withColumn(cp.BIG, big), _utterances(spark, sf), 6, _KEYS)
 
 
 @register("classifier_corpus_fifteen", _classifier_sql("cast(pred as varchar)", "row_id % 16 <> 15", cat.ENGLISH_TO_FIFTEEN))
 def classifier_corpus_fifteen(spark, sf):
     """E3, fifteen classes: fine names collapse, a dropped name takes its rows along."""
-    fine = F.expr(f"CASE WHEN row_id % 16 = 15 THEN '{cat.FINE_DROPPED[0]}' ELSE CASE pred "
+    fine = F.expr(f"CASE WHEN (row_key * 1000 + part_no) % 16 = 15 THEN '{cat.FINE_DROPPED[0]}' ELSE CASE pred "
                   + " ".join(f"WHEN {i} THEN '{v[-1]}'" for i, v in cat.FINE_TO_FIFTEEN.items()) + " END END")
-    return cp.classifier_corpus(_sheet(spark, sf).withColumn(cp.FINE, fine), _utterances(spark, sf), 15)
+    return cp.classifier_corpus(_sheet(spark, sf).withColumn(cp.FINE, fine), _utterances(spark, sf), 15, _KEYS)
