@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm import bpe, fingerprints, jaccard, langid, licenses, line_dedup, mixing, passages, quality, topk
+from moodspark.llm import bpe, fingerprints, jaccard, langid, licenses, line_dedup, mixing, passages, prefix_trie, quality, topk
 from moodspark.session import ship_package
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -158,6 +158,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+TRIE_SQL = """
+with t as (select conv_id as c, coalesce(text, '') as x, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as m, turn
+           from conversations where conv_id is not null),
+o as (select c, x, m, row_number() over (partition by c order by turn nulls first, m) as pos from t),
+h as (select c, count(*) as n, c - c % 5 as b, xor(list_reduce(list_transform(range(1, len(c::varchar) + 1), lambda i: unicode((c::varchar)[i])::bigint),
+        lambda s, y: list_reduce(range(8), lambda v, j: xor(v >> 1, (v & 1) * 3988292384), xor(s, y)), 4294967295::bigint), 4294967295::bigint) % 9 as h
+      from o group by c),
+i as (select h.*, least(h.h, coalesce(g.n, 0)) as take from h left join h g on g.c = h.b),
+r as (select i.c, o.pos as d, x, m from i join o on o.c = i.b and o.pos <= i.h
+      union all select i.c, i.take + o.pos - i.h, x, m from i join o on o.c = i.c and o.pos > i.h),
+p as (select c, d, sha256(string_agg(m, '') over (partition by c order by d)) as k, strlen(x) as bytes from r
+      union all select c, 0, '', 0 from i),
+q as (select *, lag(k) over (partition by c order by d) as pk, max(d) over (partition by c) as len from p),
+n as (select d, k, min(pk) as pk, min(c) as conv_id, count(*) as n_convs, max(bytes) as bytes,
+        string_agg(c::varchar, ',' order by c) filter (where d = len) as ends from q group by d, k),
+ch as (select d - 1 as d, pk as k, count(*) as n_children from n where d > 0 group by all),
+w as (select n.*, coalesce(n_children, 0) as n_children, case when n_children is null then 1 else 0 end as leaf, (n_convs - 1) * bytes as saved
+      from n left join ch using (d, k)),
+s as (select a.d, a.k, sum(w.leaf) as n_leaves, sum(w.saved) as saved_tokens from w join p a on a.c = w.conv_id and a.d <= w.d group by a.d, a.k)
+select w.conv_id, w.d::bigint as depth, u.conv_id as parent_conv_id, w.n_convs, w.n_children::bigint as n_children,
+       n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, sha256(coalesce(w.ends, '')) as ends_sha256
+from w join s using (d, k) left join n u on u.d = w.d - 1 and u.k = w.pk
+"""
+
+
+@register("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Builder]:
     return dict(QUERIES)
 
