@@ -99,3 +99,72 @@ def test_lexicon_of_any_size(spark):
     df = spark.createDataFrame([(1, "w59999 w3 W3."), (2, "none")], "id long, line string")
     got = {r["id"]: r["pred"] for r in ly.score_lines(df, words, ["id"], keep_unscored=True).collect()}
     assert got == {1: 3, 2: None}
+
+
+def _parts_of(df):
+    import pandas as pd
+
+    def count(frames):
+        n = sum(len(f) for f in frames)
+        yield pd.DataFrame({"n": [n]})
+    return [r["n"] for r in df.mapInPandas(count, "n long").collect()]
+
+
+def test_one_query_meets_many_items_in_many_tasks(spark, monkeypatch):
+    """The cells of one query group are as many as there are item slices; each leaves at most k rows."""
+    from moodspark.operators import cells
+    rng = np.random.default_rng(11)
+    vecs = {i: [float(v) for v in rng.normal(size=8)] for i in range(3000)}
+    items = spark.createDataFrame(list(vecs.items()), "vec_id long, embedding array<double>").repartition(4)
+    seen, real = {}, cells.deal
+
+    def spy(groups, blocks, slices, n_groups, **kw):
+        rows = real(groups, blocks, slices, n_groups, **kw)
+        seen.update(slices=slices, n_groups=n_groups, rows=rows)
+        return rows
+    monkeypatch.setattr(cells, "deal", spy)
+    got = rc.cosine_topk(items.where("vec_id = 7"), items, 5, exclude_self=True, block=100)
+    found = [r["item_id"] for r in sorted(got.collect(), key=lambda r: r["rank"])]
+    assert found == _brute({i: v for i, v in vecs.items()}, 5)[7]
+    assert seen["n_groups"] == 1 and seen["slices"] >= cells.tasks(spark) == 4
+    dealt = seen["rows"].groupBy("slice").agg(F.count(F.when(F.col("kind") == 1, 1)).alias("b"), F.count(F.when(F.col("kind") == 0, 1)).alias("q")).collect()
+    assert len(dealt) == seen["slices"] and all(r["q"] == 1 for r in dealt)
+    assert sum(n > 0 for n in _parts_of(seen["rows"])) == seen["slices"]
+
+
+def test_items_are_copied_per_group_not_per_block(spark, monkeypatch):
+    from moodspark.operators import cells
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4)]) for i in range(600)], "vec_id long, embedding array<double>")
+    seen, real = [], cells.deal
+    monkeypatch.setattr(cells, "deal", lambda g, b, s, n, **kw: seen.append((b.count(), n, real(g, b, s, n, **kw))) or seen[-1][2])
+    rc.cosine_topk(df, df, 3, block=50, group=200).collect()
+    blocks, groups, rows = seen[0]
+    assert groups == 3 and rows.where("kind = 1").count() == blocks * groups
+
+
+def test_blocks_beyond_the_bound_are_skipped(spark, monkeypatch):
+    """Tight clusters: a query opens its own cluster's block and no other once it has its k items."""
+    rng = np.random.default_rng(13)
+    centres = np.eye(6) * 10
+    rows = [(i, [float(v) for v in centres[i % 6] + rng.normal(scale=0.05, size=6)]) for i in range(600)]
+    items = [pd_row for pd_row in rows]
+    import pandas as pd
+    frames = []
+    for c in range(6):
+        own = [r for r in items if r[0] % 6 == c]
+        f = rc._pack(pd.DataFrame({"id": [r[0] for r in own], "vec": [r[1] for r in own], "pivot": c, "blk": 0}))
+        frames.append(f.assign(grp=0, slice=0, kind=1))
+    query = rc._pack(pd.DataFrame({"id": [10_000], "vec": [list(centres[0])], "pivot": 0, "blk": 0})).assign(grp=0, slice=0, kind=0)
+    products, real = [], rc.best_of
+    monkeypatch.setattr(rc, "best_of", lambda *a: products.append(a[0].shape) or real(*a))
+    out = pd.concat(list(rc._stream(5, True)(iter([pd.concat([query, *frames])]))))
+    assert len(out) == 5 and (out["item_id"] % 6 == 0).all()
+    assert sum(shape[1] == 100 for shape in products) == 1
+
+
+def test_repeated_query_ids_keep_their_own_results(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "vec_id long, embedding array<double>")
+    twice = spark.createDataFrame([(1, [0.0, 1.0]), (1, [9.0, 1.0])], "vec_id long, embedding array<double>")
+    got = rc.cosine_topk(twice, df, 2).collect()
+    assert sorted((r["rank"], r["item_id"]) for r in got) == [(1, 0), (1, 9), (2, 1), (2, 8)]
