@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm import bpe, fingerprints, jaccard, langid, licenses, line_dedup, mixing, passages, prefix_trie, quality, topk
+from moodspark.llm import bpe, fingerprints, hard_negatives, jaccard, langid, licenses, line_dedup, mixing, passages, prefix_trie, quality, topk
 from moodspark.session import ship_package
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -188,6 +188,29 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
 
+NEGATIVES_SQL = """
+with v as (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+             list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+           where vec_id is not null and label is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id as id, a.label = c.label as same,
+        list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+      from v a join v c on a.vec_id % 100 = 0 and c.vec_id <> a.vec_id and len(a.v) = len(c.v)),
+p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, id) as r from s where same) x where r <= 5),
+n as (select p.anchor_id, p.id as positive_id, s.id as negative_id, p.score as positive_score, s.score as negative_score,
+        row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id)::int as rank
+      from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+
+@register("op12_hard_negatives", NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Builder]:
     return dict(QUERIES)
 
