@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm import bpe, fingerprints, hard_negatives, jaccard, langid, licenses, line_dedup, mixing, passages, prefix_trie, quality, topk
+from moodspark.llm import bpe, fingerprints, hard_negatives, jaccard, langid, licenses, line_dedup, mixing, passages, prefix_trie, quality, topk, toxicity
 from moodspark.session import ship_package
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -211,6 +211,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+@register("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Builder]:
     return dict(QUERIES)
 
