@@ -66,3 +66,76 @@ def test_tag_rows_keeps_every_row(spark):
     even = F.substring("source", 4, 10).cast("int") % 2 == 0
     got = [tuple(r) for r in csv_io.tag_rows(df, [("training", even)], "validation").collect()]
     assert got == [("src2", "training"), ("src3", "validation"), (None, "validation")]
+
+
+def _csv_file(path, rows, header, encoding="utf-8", newline="\n"):
+    import csv
+    with open(path, "w", encoding=encoding, newline="") as f:
+        out = csv.writer(f, lineterminator=newline)
+        out.writerow(header)
+        out.writerows(rows)
+
+
+def _many_tasks(spark, path, schema, encoding="UTF-8", size="32k"):
+    """Rows, and how many tasks read them."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = csv_io.read_csv(spark, path, schema, encoding=encoding)
+        tasks = len(df.select(F.spark_partition_id().alias("p")).distinct().collect())
+        return [tuple(r) for r in df.collect()], tasks
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_large_quoted_file_is_read_by_many_tasks(spark, tmpdir_):
+    """Records with newlines, quotes, commas and CRs, some longer than a byte range; the same rows as one task reads."""
+    import random
+    rng = random.Random(5)
+    rows = []
+    for i in range(6000):
+        parts = [rng.choice(["a", "쉼표", ",", "\n", '"', "\r\n", " ", "x" * 40, '""\n"']) for _ in range(rng.randint(1, 12))]
+        rows.append((i, "s" + "".join(parts), "t%d" % i))
+    rows[3000] = (3000, "s" + "line of a long field\n" * 9000, "t3000")
+    path = os.path.join(tmpdir_, "large.csv")
+    _csv_file(path, rows, ["id", 'te"x\nt', "tag"])
+    schema = "id int, text string, tag string"
+    got, tasks = _many_tasks(spark, path, schema)
+    assert sorted(got) == rows
+    assert tasks > 10
+    one = (spark.read.options(header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+           .schema(schema).csv(path))
+    assert sorted(tuple(r) for r in one.collect()) == sorted(got)
+
+
+def test_ranges_of_a_few_bytes(spark, tmpdir_):
+    """Every cut is somewhere inside: headers, quotes and records over several ranges."""
+    rows = [("1", 'a"b\n\n"c,\n'), ("2", "plain"), ("3", "\n" * 40), ("4", "한글\n줄"), ("5", '"'), ("6", "end")]
+    path = os.path.join(tmpdir_, "small.csv")
+    _csv_file(path, rows, ["i\nd", "long\nheader\nover lines"])
+    for size in ("7b", "16b", "33b", "1k"):
+        assert sorted(_many_tasks(spark, path, "id string, text string", size=size)[0]) == rows
+
+
+def test_crlf_files_and_cp949_in_ranges(spark, tmpdir_):
+    rows = [(str(i), "줄\n바꿈 %d" % i if i % 3 else "안녕, 반가워") for i in range(300)]
+    dos, ko = os.path.join(tmpdir_, "dos.csv"), os.path.join(tmpdir_, "ko.csv")
+    _csv_file(dos, rows, ["id", "text"], newline="\r\n")
+    _csv_file(ko, rows, ["번호", "글"], encoding="cp949")
+    assert sorted(_many_tasks(spark, dos, "id string, text string", size="512b")[0]) == sorted(rows)
+    got, tasks = _many_tasks(spark, ko, "`번호` string, `글` string", csv_io.CP949, "512b")
+    assert sorted(got) == sorted(rows) and tasks > 5
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
+
+
+def test_several_files_and_broken_records(spark, tmpdir_):
+    import pytest
+    for i in range(3):
+        _csv_file(os.path.join(tmpdir_, f"f{i}.csv"), [(10 * i + j, f"x\n{j}") for j in range(4)], ["id", "text"])
+    got, _ = _many_tasks(spark, tmpdir_, "id int, text string", size="20b")
+    assert sorted(got) == [(10 * i + j, f"x\n{j}") for i in range(3) for j in range(4)]
+    bad = os.path.join(tmpdir_, "bad.csv")
+    _csv_file(bad, [("one", "not a number")], ["id", "text"])
+    with pytest.raises(Exception):
+        csv_io.read_csv(spark, bad, "id int, text string").collect()
