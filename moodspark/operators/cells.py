@@ -32,8 +32,8 @@ def deal(groups: DataFrame, blocks: DataFrame, slices: int, n_groups: int, on: l
          order: str = "ord", group_info: list[str] = ()) -> DataFrame:
     """Rows of all cells: grp, slice, kind (0: the group, 1: a block), ``order`` and the columns of both sides.
 
-    ``groups`` has one row per ``grp``, ``blocks`` one per block with its
-    ``slice``. ``on`` are columns that a group and a block must share, ``serves``
+    ``groups`` has one row per ``on`` and ``grp``, ``blocks`` one per block with
+    its ``slice``. ``on`` are columns that a group and a block must share, ``serves``
     a further condition on ``group_info`` columns of the group and those of the
     block. Each cell's rows are in one partition, the group first, then the
     blocks by ``order``. The groups' keys are broadcast: one narrow row for
@@ -48,5 +48,5 @@ def deal(groups: DataFrame, blocks: DataFrame, slices: int, n_groups: int, on: l
     dealt = dealt.drop(*group_info).withColumn("kind", F.lit(1))
     rows = asked.unionByName(dealt, allowMissingColumns=True)
     parts = max(1, min(n_groups * slices, 4 * tasks(spark)))
-    place = F.pmod(F.col("grp") * F.lit(slices) + F.col("slice"), F.lit(parts)).cast("int")
-    return rows.repartitionById(parts, place).sortWithinPartitions("grp", "slice", "kind", order)
+    place = F.pmod(F.hash(*on) + F.col("grp").cast("long") * F.lit(slices) + F.col("slice"), F.lit(parts)).cast("int")
+    return rows.repartitionById(parts, place).sortWithinPartitions(*on, "grp", "slice", "kind", order)

@@ -14,21 +14,23 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.operators.ordering import running_total
+from moodspark.operators.ordering import global_index, running_total
+from moodspark.session import written
 
 
-def batch_means(df: DataFrame, batch_col: str, num: Column, den: Column | None = None) -> DataFrame:
+def batch_means(df: DataFrame, batch_col: str | list[str], num: Column, den: Column | None = None) -> DataFrame:
     """Per batch: sum(num) / sum(den) (den defaults to the row count)."""
     den = den if den is not None else F.lit(1)
-    return df.groupBy(batch_col).agg(F.sum(num).alias("_num"), F.sum(den).alias("_den")) \
-        .select(batch_col, "_num", "_den", (F.col("_num") / F.col("_den")).alias("batch_mean"))
+    keys = [batch_col] if isinstance(batch_col, str) else batch_col
+    return df.groupBy(*keys).agg(F.sum(num).alias("_num"), F.sum(den).alias("_den")) \
+        .select(*keys, "_num", "_den", (F.col("_num") / F.col("_den")).alias("batch_mean"))
 
 
-def mean_of_batch_means(batches: DataFrame) -> DataFrame:
-    """Unweighted mean of per-batch means (not the overall mean)."""
-    return batches.agg(F.count(F.lit(1)).alias("n_batches"),
-                       F.avg("batch_mean").alias("mean_of_batches"),
-                       (F.sum("_num") / F.sum("_den")).alias("overall_mean"))
+def mean_of_batch_means(batches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Unweighted mean of per-batch means (not the overall mean), for each value of ``by``."""
+    return batches.groupBy(*by).agg(F.count(F.lit(1)).alias("n_batches"),
+                                    F.avg("batch_mean").alias("mean_of_batches"),
+                                    (F.sum("_num") / F.sum("_den")).alias("overall_mean"))
 
 
 def running_batch_mean(batches: DataFrame, batch_col: str, every: int) -> DataFrame:
@@ -43,22 +45,53 @@ def running_batch_mean(batches: DataFrame, batch_col: str, every: int) -> DataFr
     return out.where(F.col(batch_col) % every == 0)
 
 
-def bigram_model(positions: DataFrame) -> DataFrame:
-    """A model fitted on the positions: (token_id, label_id, pred, loss).
+SPLITS = ("train", "test")
 
-    ``pred`` is the label seen most often after a token (ties to the lowest),
-    ``loss`` one minus the share of this label among those after the token.
+
+def content_split(content: Column, one_in: int = 5) -> Column:
+    """0 (train) or 1 (test, about one in ``one_in``) by a digest of the row's content, so that copies are on one side."""
+    number = F.conv(F.substring(F.md5(content), 1, 8), 16, 10).cast("long")
+    return F.when(number % one_in == 0, 1).otherwise(0)
+
+
+def split_batches(df: DataFrame, order_cols: list[str], batch_size: int, split_col: str = "split") -> DataFrame:
+    """``df`` with ``batch_id``: batches of ``batch_size`` rows in order, training rows and test rows each from 0."""
+    idx = global_index(df, [split_col, *order_cols], "row_idx")
+    before = idx.agg(F.count(F.when(F.col(split_col) == 0, 1))).scalar()
+    place = F.col("row_idx") - F.when(F.col(split_col) == 1, before).otherwise(0)
+    return idx.withColumn("batch_id", F.floor(place / F.lit(batch_size)).cast("bigint"))
+
+
+def split_name(split: Column) -> Column:
+    return F.when(split == 0, SPLITS[0]).otherwise(SPLITS[1])
+
+
+def bigram_model(positions: DataFrame, train: Column) -> DataFrame:
+    """A model fitted on the positions for which ``train`` holds: (token_id, label_id, pred, loss) of every pair that occurs.
+
+    ``pred`` is the label seen most often after a token in training (ties to the
+    lowest; the most frequent of all after a token that training lacks), ``loss``
+    one minus the label's share after the token, with one added to the count of
+    each label that training knows, so that unseen pairs have a loss too.
     """
-    pairs = positions.groupBy("token_id", "label_id").agg(F.count(F.lit(1)).alias("n"))
-    best = pairs.groupBy("token_id").agg(F.max(F.struct("n", (-F.col("label_id")).alias("neg"))).alias("top"), F.sum("n").alias("total"))
-    return pairs.join(best, "token_id").select("token_id", "label_id", (-F.col("top.neg")).cast("int").alias("pred"),
-                                               (1 - F.col("n") / F.col("total")).alias("loss"))
+    pairs = written(positions.groupBy("token_id", "label_id").agg(F.count(F.when(train, 1)).alias("n")), "bigrams")
+    top = lambda: F.max(F.when(F.col("n") > 0, F.struct("n", (-F.col("label_id")).alias("neg"))))
+    after = pairs.groupBy("token_id").agg(top().alias("top"), F.sum("n").alias("total"))
+    labels = pairs.groupBy("label_id").agg(F.sum("n").alias("n")).where("n > 0")
+    known, common = labels.agg(F.count("*")).scalar(), labels.agg(top()).scalar()
+    pred = -F.coalesce(F.col("top.neg"), common.getField("neg"))
+    return pairs.join(after, "token_id").select("token_id", "label_id", pred.cast("int").alias("pred"),
+                                                (1 - (F.col("n") + 1) / (F.col("total") + known)).alias("loss"))
 
 
-def masked_sums(positions: DataFrame, key_cols: list[str], pred_col: str, loss_col: str) -> DataFrame:
-    """A8/A9 per sequence: hits, mask_sum, loss_sum from predictions and losses that the caller gives."""
-    hit = F.when(F.col(pred_col) == F.col("label_id"), 1).otherwise(0)
-    return positions.groupBy(*key_cols).agg(F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("mask_sum"), F.sum(loss_col).alias("loss_sum"))
+def masked_sums(positions: DataFrame, key_cols: list[str], pred_col: str, loss_col: str, count_col: str | None = None) -> DataFrame:
+    """A8/A9 per key: hits, mask_sum, loss_sum from predictions and losses that the caller gives.
+
+    ``count_col`` is the number of positions that a row stands for (one without it).
+    """
+    n = F.col(count_col) if count_col else F.lit(1)
+    hit = F.when(F.col(pred_col) == F.col("label_id"), n).otherwise(0)
+    return positions.groupBy(*key_cols).agg(F.sum(hit).alias("hits"), F.sum(n).cast("bigint").alias("mask_sum"), F.sum(F.col(loss_col) * n).alias("loss_sum"))
 
 
 def param_grid(datasets: list[str], batch_sizes: list[int], lr_factors: list[int], epochs: list[int]) -> Column:

@@ -5,12 +5,12 @@ re-index after concat, batch ids, running accuracy). ``Window.orderBy``
 without ``partitionBy`` moves every row into one task; these helpers keep
 the work distributed:
 
-* ``global_index``: the order keys alone are range-sorted and numbered with
-  ``monotonically_increasing_id`` (partition index in the high bits, position
-  in the low 33 bits); a checkpoint in the shared folder keeps the numbers
-  stable under retries; per-partition counts (one row per partition) give the
-  offsets, joined as a broadcast table. Other columns, texts included, are
-  joined back by the keys and are neither sorted nor written.
+* ``global_index``: rows are range-sorted and written once to the shared folder,
+  each with its place (``monotonically_increasing_id``: partition in the high
+  bits, position in the low 33); the written partitions' counts (one row per
+  partition, of which only that column is read) give the offsets, joined as a
+  broadcast table. The input is evaluated once, nothing is joined back, and
+  rows with equal keys get numbers of their own in some order.
 * ``running_total``: prefix sums over a dense integer key in levels of blocks;
   each level sums ``block`` rows of the one below, so that the last one has at
   most n / block**levels rows.
@@ -21,44 +21,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodspark.session import materialize
+from moodspark.session import written
 
 _LOW_BITS = 33
 
 
-def _numbered(df: DataFrame, order_cols: list[Column | str], name: str) -> DataFrame:
+def global_index(df: DataFrame, order_cols: list[Column | str], name: str = "row_idx") -> DataFrame:
+    """Dense 0-based position of each row in ``order_cols`` order.
+
+    With a total order (end with a unique key) the index equals
+    ``row_number() over (order by ...) - 1``.
+    """
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranked = materialize(df.orderBy(*cols).withColumn("_mid", F.monotonically_increasing_id()))
+    placed = written(df.orderBy(*cols).withColumn("_mid", F.monotonically_increasing_id()), "index")
     pid = F.shiftrightunsigned(F.col("_mid"), _LOW_BITS)
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition, whatever the number of rows
-    offsets = ranked.groupBy(pid.alias("_pid")).count().select(
+    offsets = placed.groupBy(pid.alias("_pid")).count().select(
         "_pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
-    joined = ranked.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid")
+    joined = placed.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid")
     return joined.withColumn(name, (F.col("_off") + local).cast("bigint")).drop("_mid", "_pid", "_off")
 
 
-def global_index(df: DataFrame, order_cols: list[Column | str], name: str = "row_idx",
-                 key_cols: list[str] | None = None) -> DataFrame:
-    """Dense 0-based position of each row in ``order_cols`` order.
-
-    ``order_cols`` must make the order total (end with a unique key), so the
-    index equals ``row_number() over (order by ...) - 1``. ``key_cols`` are
-    columns that identify a row and hold all that ``order_cols`` need: only
-    they are sorted, and the rest is joined back. Without them the rows
-    themselves are sorted, which suits narrow tables.
-    """
-    if key_cols is None or set(key_cols) == set(df.columns):
-        return _numbered(df, order_cols, name)
-    index = _numbered(df.select(*key_cols), order_cols, name)
-    index = index.select(name, *[F.col(c).alias(f"_ix_{c}") for c in key_cols])
-    same = F.lit(True)
-    for c in key_cols:
-        same = same & df[c].eqNullSafe(index[f"_ix_{c}"])
-    return df.join(index, same).drop(*[f"_ix_{c}" for c in key_cols])
-
-
 def _before(df: DataFrame, key: str, cols: list[str], block: int, levels: int) -> DataFrame:
     """``df`` with ``_e_<col>``: the sum of each column over all smaller keys."""
     if levels == 0:

@@ -9,9 +9,6 @@ after that join groups at most ``max_len`` rows per sequence.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
@@ -56,20 +53,17 @@ def encode_ids(tokens: DataFrame, vocab: DataFrame, token_col: str = "token") ->
 
     Ids follow frequency, so the ``HOT_TOKENS`` smallest ids are the hot
     tokens: a table of that fixed size is broadcast and maps them where they
-    are. Only the rest joins the vocabulary by token; mapped rows go through
-    that join under spread keys that match nothing.
+    are. Only the tail is shuffled to meet the rest of the vocabulary.
     """
-    hot = F.broadcast(vocab.where(F.col("token_id") < len(SPECIALS) + HOT_TOKENS)
-                      .select(F.col("token").alias("_ht"), F.col("token_id").alias("_hid")))
-    rest = vocab.where(F.col("token_id") >= len(SPECIALS) + HOT_TOKENS).select(
-        F.struct(F.lit(-1).alias("s"), F.col("token").alias("t")).alias("_vt"), F.col("token_id").alias("_vid"))
-    others = [c for c in tokens.columns if c != token_col]
-    spread_key = F.struct(F.pmod(F.hash(*others, token_col), F.lit(1 << 20)).alias("s"), F.lit(None).cast("string").alias("t"))
-    key = F.when(F.col("_hid").isNull() & F.col(token_col).isNotNull(), F.struct(F.lit(-1).alias("s"), F.col(token_col).alias("t"))) \
-        .otherwise(spread_key)
-    mapped = tokens.join(hot, F.col(token_col) == F.col("_ht"), "left").withColumn("_key", key)
-    return (mapped.join(rest, F.col("_key") == F.col("_vt"), "left")
-            .withColumn("token_id", F.coalesce("_hid", "_vid", F.lit(UNK_ID)).cast("int")).drop("_ht", "_hid", "_key", "_vt", "_vid"))
+    first_rest = len(SPECIALS) + HOT_TOKENS
+    hot = F.broadcast(vocab.where(F.col("token_id") < first_rest).select(F.col("token").alias("_ht"), F.col("token_id").alias("_hid")))
+    rest = vocab.where(F.col("token_id") >= first_rest).select(F.col("token").alias("_vt"), F.col("token_id").alias("_vid"))
+    kept = list(tokens.columns)
+    mapped = tokens.join(hot, F.col(token_col) == F.col("_ht"), "left").drop("_ht")
+    front = mapped.where(F.col("_hid").isNotNull() | F.col(token_col).isNull())
+    tail = mapped.where(F.col("_hid").isNull() & F.col(token_col).isNotNull()).join(rest, F.col(token_col) == F.col("_vt"), "left")
+    return (front.select(*kept, F.coalesce("_hid", F.lit(UNK_ID)).cast("int").alias("token_id"))
+            .unionAll(tail.select(*kept, F.coalesce("_vid", F.lit(UNK_ID)).cast("int").alias("token_id"))))
 
 
 def ids_array(df: DataFrame, key_cols: list[str], token_arr: str, vocab: DataFrame, out_col: str = "ids",
@@ -169,7 +163,7 @@ def masked_positions(df: DataFrame, key_cols: list[str]) -> DataFrame:
 
 def assign_batches(df: DataFrame, order_cols: list[str], batch_size: int) -> DataFrame:
     """Dense row index in order, then ``batch_id = idx // batch_size``."""
-    idx = global_index(df, order_cols, "row_idx", key_cols=order_cols)
+    idx = global_index(df, order_cols, "row_idx")
     return idx.withColumn("batch_id", F.floor(F.col("row_idx") / F.lit(batch_size)).cast("bigint"))
 
 
@@ -183,42 +177,3 @@ def collate(batched: DataFrame, fields: list[str], batch_col: str = "batch_id",
 def seeded_shuffle(df: DataFrame, key_col: str, seed: int) -> DataFrame:
     """T5: partitioning-independent shuffle order: sort by a keyed digest."""
     return df.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key_col).cast("string"))))
-
-
-# ---- Q1 pluggable sub-word tokenizer ---------------------------------------
-
-_TOKENIZERS: dict[str, object] = {}
-
-
-def subword_tokens(text: Column, tokenizer_key: str, load_tokenizer) -> Column:
-    """Q1 with a user tokenizer (e.g. a SentencePiece or ``tokenizers`` model).
-
-    An iterator ``pandas_udf``: Arrow batches in, ``array<string>`` out; the
-    tokenizer is loaded once per Python worker and cached under
-    ``tokenizer_key``. ``load_tokenizer()`` must return an object with
-    ``tokenize(str) -> list[str]``. The default tokenizer of this package
-    stays the built-in whitespace split (no Python in the plan).
-    """
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<string>")
-    def _tok(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tok = _TOKENIZERS.get(tokenizer_key)
-        if tok is None:
-            tok = _TOKENIZERS[tokenizer_key] = load_tokenizer()
-        for s in batches:
-            yield s.map(lambda t: None if t is None else list(tok.tokenize(t)))
-
-    return _tok(text)
-
-
-class WhitespacePieces:
-    """Small adapter over the ``tokenizers`` whitespace pre-tokenizer, marking
-    word starts with ``▁`` like sub-word models do (for tests and demos)."""
-
-    def __init__(self):
-        from tokenizers.pre_tokenizers import Whitespace
-        self._pre = Whitespace()
-
-    def tokenize(self, text: str) -> list[str]:
-        return ["▁" + piece for piece, _span in self._pre.pre_tokenize_str(text)]

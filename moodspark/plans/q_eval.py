@@ -15,6 +15,7 @@ from moodspark.operators.recommend import daily_counts, dominant
 from moodspark.plans import q_sequences as qs
 from moodspark.plans.registry import register
 from moodspark.plans.sqlbits import scored_lines, tokens_of
+from moodspark.session import written
 from moodspark.sources.tables import table
 
 # The LM evaluation grid of the source scripts.
@@ -80,81 +81,119 @@ def head_score(spark, sf):
     return _predictions(spark, sf).select("vec_id", "pred", _r6(F.col("max_logit")).alias("max_logit"))
 
 
-# ---- A7 / W1 ---------------------------------------------------------------
+# ---- A7 / W1: a head fitted on the training vectors, judged on both sides ------
 
-_EVAL_BATCH_SQL = f"""
-select batch_id, sum(hit) as num, count(*) as den, sum(hit) / count(*) as batch_mean
-from (select cast((row_number() over (order by vec_id) - 1) // {EVAL_BATCH} as bigint) as batch_id,
-             case when pred = truth then 1 else 0 end as hit from ({_PRED_SQL}) p) b group by batch_id
+def _side_sql(content: str) -> str:
+    return f"case when ('0x' || substr(md5({content}), 1, 8))::bigint % 5 = 0 then 1 else 0 end"
+
+
+_SIDES_SQL = f"""
+select vec_id, embedding, label, {_side_sql("array_to_string(list_transform(embedding, lambda x: floor(1024 * x::double)::bigint), ',')")} as split
+from embeddings
+"""
+_TRAINED_SQL = f"""
+with e as materialized ({_SIDES_SQL}),
+h as (select label, list(m order by pos) as w, -sum(m * m) / 2 as b
+      from (select label, pos, avg(cast(x as double)) as m
+            from e, unnest(embedding) with ordinality as u(x, pos) where label is not null and split = 0 group by label, pos) g group by label),
+l as (select e.vec_id, e.split, e.label as truth, h.label as pred,
+        list_sum(list_transform(list_zip(e.embedding, h.w), lambda p: cast(p[1] as double) * p[2])) + h.b as logit from e, h),
+r as (select *, row_number() over (partition by vec_id order by logit desc, pred) as rn from l),
+n as (select split, case when pred = truth then 1 else 0 end as hit, (row_number() over (partition by split order by vec_id) - 1) // {EVAL_BATCH} as batch_id
+      from r where rn = 1)
+select case split when 0 then 'train' else 'test' end as split, cast(batch_id as bigint) as batch_id, sum(hit) as num, count(*) as den,
+       sum(hit) / count(*) as batch_mean
+from n group by split, batch_id
 """
 
 
 def _eval_batches(spark, sf):
-    """The head's predictions against the labels, in batches."""
-    rows = _predictions(spark, sf).select("vec_id", F.when(F.col("pred") == F.col("truth"), 1).otherwise(0).alias("hit"))
-    return ev.batch_means(sq.assign_batches(rows, ["vec_id"], EVAL_BATCH), "batch_id", F.col("hit"))
+    """Predictions of a head fitted on the training side against the labels, in batches of either side."""
+    content = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("string")), ",")
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").alias("truth"), ev.content_split(content).alias("split"))
+    heads = sc.class_mean_head(emb.where("split = 0"), "embedding", "truth")
+    hits = sc.head_predictions(emb, heads, "embedding").select(
+        "vec_id", "split", F.when(F.col("pred") == F.col("truth"), 1).otherwise(0).alias("hit"))
+    batched = ev.split_batches(hits, ["vec_id"], EVAL_BATCH).withColumn("split", ev.split_name(F.col("split")))
+    return ev.batch_means(batched, ["split", "batch_id"], F.col("hit"))
 
 
 @register("accuracy_mean_of_batches", f"""
-select count(*) as n_batches, round(avg(batch_mean), 6) as mean_of_batches, round(sum(num) / sum(den), 6) as overall_mean
-from ({_EVAL_BATCH_SQL}) b
+select split, count(*) as n_batches, round(avg(batch_mean), 6) as mean_of_batches, round(sum(num) / sum(den), 6) as overall_mean
+from ({_TRAINED_SQL}) b group by split
 """)
 def accuracy_mean_of_batches(spark, sf):
-    m = ev.mean_of_batch_means(_eval_batches(spark, sf))
-    return m.select("n_batches", _r6("mean_of_batches").alias("mean_of_batches"), _r6("overall_mean").alias("overall_mean"))
+    m = ev.mean_of_batch_means(_eval_batches(spark, sf), ("split",))
+    return m.select("split", "n_batches", _r6("mean_of_batches").alias("mean_of_batches"), _r6("overall_mean").alias("overall_mean"))
 
 
 @register("accuracy_running", f"""
-select batch_id, batch_mean, running_mean from (
-  select batch_id, round(batch_mean, 6) as batch_mean,
-         round(avg(batch_mean) over (order by batch_id rows between unbounded preceding and current row), 6) as running_mean
-  from ({_EVAL_BATCH_SQL}) b) r
+select split, batch_id, batch_mean, running_mean from (
+  select split, batch_id, round(batch_mean, 6) as batch_mean,
+         round(avg(batch_mean) over (partition by split order by batch_id rows between unbounded preceding and current row), 6) as running_mean
+  from ({_TRAINED_SQL}) b) r
 where batch_id % {LOG_EVERY} = 0
 """)
 def accuracy_running(spark, sf):
-    r = ev.running_batch_mean(_eval_batches(spark, sf), "batch_id", LOG_EVERY)
-    return r.select("batch_id", _r6("batch_mean").alias("batch_mean"), _r6("running_mean").alias("running_mean"))
+    batches = written(_eval_batches(spark, sf), "batches")
+    sides = [ev.running_batch_mean(batches.where(F.col("split") == side), "batch_id", LOG_EVERY).withColumn("split", F.lit(side)) for side in ev.SPLITS]
+    return sides[0].unionByName(sides[1]).select("split", "batch_id", _r6("batch_mean").alias("batch_mean"), _r6("running_mean").alias("running_mean"))
 
 
-# ---- A8 / A9 ---------------------------------------------------------------
+# ---- A8 / A9: a bigram model fitted on the training rows, judged on both sides ---
 
 _KEYS = ", ".join(qs.KEYS)
 _QA_STATS_SQL = f"""
-with p as (select {_KEYS}, i, ids[i] as tok,
-                  case when i <= q_len then {sq.special_id(cat.MASK_TOKEN)} when i < q_len + a_len then ids[i + 1] else 0 end as lab
-           from (select *, unnest(range(1, q_len + a_len + 1)) as i from ({qs.QA_IDS_SQL}) q) x),
-c as (select tok, lab, count(*) as n from p group by tok, lab),
-m as (select *, first_value(lab) over (partition by tok order by n desc, lab) as pred, 1 - n / sum(n) over (partition by tok) as loss from c),
-h as (select {_KEYS}, count(*) as mask_sum, sum(case when m.pred = p.lab then 1 else 0 end) as hits, sum(m.loss) as loss_sum
-      from p join m on m.tok = p.tok and m.lab = p.lab group by {_KEYS})
-select *, (row_number() over (order by {_KEYS}) - 1) // {QA_BATCH} as batch_id from h
+with q as materialized (select *, {_side_sql(f"array_to_string(list_concat(ids, list_transform(range({qs.MAX_LEN_QA} - len(ids)), lambda x: 0)), ' ')")} as split
+      from ({qs.QA_IDS_SQL}) x),
+o as (select {_KEYS}, split, (row_number() over (partition by split order by {_KEYS}) - 1) // {QA_BATCH} as batch_id from q),
+p as (select {_KEYS}, split, i, ids[i] as tok,
+             case when i <= q_len then {sq.special_id(cat.MASK_TOKEN)} when i < q_len + a_len then ids[i + 1] else 0 end as lab
+      from (select *, unnest(range(1, q_len + a_len + 1)) as i from q) y),
+c as (select tok, lab, sum(1 - split) as n from p group by tok, lab),
+k as (select lab, sum(n) as n from c group by lab having sum(n) > 0),
+t as (select tok, sum(n) as total from c group by tok),
+f as (select tok, lab as pred from (select *, row_number() over (partition by tok order by n desc, lab) as rn from c where n > 0) z where rn = 1),
+m as (select c.tok, c.lab, coalesce(f.pred, (select lab from k order by n desc, lab limit 1)) as pred,
+             1 - (c.n + 1) / (t.total + (select count(*) from k)) as loss
+      from c join t using (tok) left join f using (tok))
+select case o.split when 0 then 'train' else 'test' end as split, batch_id, count(*) as mask_sum,
+       sum(case when m.pred = m.lab then 1 else 0 end) as hits, sum(m.loss) as loss_sum
+from p join m on m.tok = p.tok and m.lab = p.lab join o using ({_KEYS}) group by o.split, batch_id
 """
 
 
 def _qa_stats(spark, sf):
-    """A bigram model fitted on the encoded corpus predicts each label; its losses go in beside."""
-    positions = sq.masked_positions(qs.qa_target_rows(spark, sf), qs.KEYS)
-    judged = positions.join(ev.bigram_model(positions), ["token_id", "label_id"])
-    return sq.assign_batches(ev.masked_sums(judged, qs.KEYS, "pred", "loss"), qs.KEYS, QA_BATCH)
+    """Sums per batch: the corpus is encoded once, its rows are written with their place, and all else reads from there."""
+    rows = qs.qa_target_rows(spark, sf).select(*qs.KEYS, *qs.ARRAYS).withColumn("split", ev.content_split(F.array_join("token_ids", " ")))
+    batched = ev.split_batches(rows, qs.KEYS, QA_BATCH)
+    positions = sq.masked_positions(batched, ["split", "batch_id"])
+    counted = positions.groupBy("split", "batch_id", "token_id", "label_id").agg(F.count(F.lit(1)).alias("n"))
+    model = ev.bigram_model(positions, F.col("split") == 0)
+    judged = counted.join(model, ["token_id", "label_id"])
+    return ev.masked_sums(judged, ["split", "batch_id"], "pred", "loss", "n").withColumn("split", ev.split_name(F.col("split")))
 
 
 def _mean_report_sql(num: str) -> str:
     return f"""
-select count(*) as n_batches, round(avg(n / d), 6) as mean_of_batches, round(sum(n) / sum(d), 6) as overall_mean
-from (select batch_id, sum({num}) as n, sum(mask_sum) as d from ({_QA_STATS_SQL}) s group by batch_id) b
+select split, count(*) as n_batches, round(avg({num} / mask_sum), 6) as mean_of_batches, round(sum({num}) / sum(mask_sum), 6) as overall_mean
+from ({_QA_STATS_SQL}) s group by split
 """
 
 
+def _mean_report(spark, sf, num):
+    m = ev.mean_of_batch_means(ev.batch_means(_qa_stats(spark, sf), ["split", "batch_id"], F.col(num), F.col("mask_sum")), ("split",))
+    return m.select("split", "n_batches", _r6("mean_of_batches").alias("mean_of_batches"), _r6("overall_mean").alias("overall_mean"))
+
+
 @register("accuracy_masked", _mean_report_sql("hits"))
 def accuracy_masked(spark, sf):
-    m = ev.mean_of_batch_means(ev.batch_means(_qa_stats(spark, sf), "batch_id", F.col("hits"), F.col("mask_sum")))
-    return m.select("n_batches", _r6("mean_of_batches").alias("mean_of_batches"), _r6("overall_mean").alias("overall_mean"))
+    return _mean_report(spark, sf, "hits")
 
 
 @register("loss_masked_mean", _mean_report_sql("loss_sum"))
 def loss_masked_mean(spark, sf):
-    m = ev.mean_of_batch_means(ev.batch_means(_qa_stats(spark, sf), "batch_id", F.col("loss_sum"), F.col("mask_sum")))
-    return m.select("n_batches", _r6("mean_of_batches").alias("mean_of_batches"), _r6("overall_mean").alias("overall_mean"))
+    return _mean_report(spark, sf, "loss_sum")
 
 
 # ---- J5-J7, X8, Q12 --------------------------------------------------------

@@ -104,3 +104,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by writing ``df`` as Parquet to the shared folder; later reads see only the columns they use."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

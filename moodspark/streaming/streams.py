@@ -1,32 +1,50 @@
 """M1/M2: the source's two unbounded loops as Structured Streaming queries.
 
-* ``score_stream``: utterances arrive as files; each micro-batch is scored by
-  the same DataFrame scorer as the batch path, into a folder of its own.
-  The source's stop sentinel (``"0"``) is filtered out instead of ending the job.
+* ``score_stream``: utterances arrive as files; a conversation is scored until
+  its closing row (the source's loop ends at the sentinel ``"0"``), whichever
+  micro-batch that row comes in. Rows before it go through the same DataFrame
+  scorer as the batch path, each micro-batch into a folder of its own.
 * ``dedupe_stream``: incremental page ingest with first-wins dedupe across
-  batches. ``foreachBatch`` dedupes the batch (partial aggregate), anti-joins
-  it against the touched buckets of a key table, and writes the batch into its
-  own ``batch_id=`` folder with overwrite, so a retried batch replaces its
-  output instead of duplicating it.
+  batches. Rows of a key are combined within their task first, then meet the
+  key's state.
 
-Checkpoints and sinks live under the shared checkpoint folder, so a restarted
-driver or lost executor resumes from the committed offsets.
+State lives in RocksDB: one small row per key (per closed conversation), of
+which a micro-batch reads and writes only the keys it holds, with a changelog in
+the checkpoint. Checkpoints and sinks lie under the shared checkpoint folder, so
+a restarted driver or lost executor resumes from the committed offsets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from moodspark.operators.pages import dedupe_first
+_STATE = "spark.sql.streaming.stateStore."
+_ROCKSDB = {_STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+            _STATE + "rocksdb.changelogCheckpointing.enabled": "true"}
+_HANDED_ON = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def file_stream(spark: SparkSession, directory: str, schema: StructType, glob: str | None = None,
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application that keeps streaming state in RocksDB; the caller's settings stay as they are."""
+    own = spark.newSession()
+    for key in _HANDED_ON:
+        own.conf.set(key, spark.conf.get(key))
+    for key, value in _ROCKSDB.items():
+        own.conf.set(key, value)
+    return own
+
+
+def file_stream(spark: SparkSession, directory: str, schema: StructType | str, glob: str | None = None,
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+    """Parquet files below ``directory`` as they arrive, in sub-folders too."""
+    reader = state_session(spark).readStream.schema(schema).option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
@@ -34,98 +52,124 @@ def file_stream(spark: SparkSession, directory: str, schema: StructType, glob: s
     return reader.parquet(directory)
 
 
-def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
-                 text_col: str = "text", sentinel: str | None = "0") -> None:
-    """M1: score arriving rows into ``sink``; runs all available input then stops.
+def _run(writer) -> StreamingQuery:
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
-    Each micro-batch goes through the batch scorer into its own ``batch_id=``
-    folder with overwrite, so a retried batch replaces its output.
-    """
-    rows = stream if sentinel is None else stream.where(F.col(text_col).isNull() | (F.col(text_col) != sentinel))
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        scorer(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+def _fields(df: DataFrame, names: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return ", ".join(f"`{c}` {kinds[c]}" for c in names)
 
-    query = (rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
 
+# ---- M1: a conversation is open until its closing row ------------------------
 
-KEY_BUCKETS = 64
+def open_rows(stream: DataFrame, key_cols: list[str], order_col: str, closes: Column, salts: int = 8) -> DataFrame:
+    """The rows of ``stream`` that come before the first row of their key for which ``closes`` holds.
+
+    A key's closing place (the least ``order_col`` of its closing rows so far) is
+    kept as state, so it also ends rows of later micro-batches. Closing rows
+    themselves are left out; rows without a place stay. A hot key is dealt out
+    over ``salts`` groups, each of which sees all closing rows. A group buffers
+    the rows of one salted key of one micro-batch.
+    """
+    cols = stream.columns
+    marked = stream.withColumn("_closes", F.coalesce(closes, F.lit(False)))
+    own = F.array(F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
+    dealt = marked.withColumn("_salt", F.explode(F.when(F.col("_closes"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(own)))
+    schema = _fields(stream, cols)
+    return dealt.groupBy(*key_cols, "_salt").applyInPandasWithState(
+        _before_close(order_col, cols), schema, _fields(stream, [order_col]), "append", GroupStateTimeout.NoTimeout)
+
+
+def _before_close(order_col: str, cols: list[str]):
+    def run(key, chunks, state):
+        closed, held = (state.get[0] if state.exists else None), []
+        for pdf in chunks:
+            marks = pdf.loc[pdf["_closes"], order_col].dropna()
+            if len(marks):
+                closed = marks.min().item() if closed is None else min(closed, marks.min().item())
+            held.append(pdf.loc[~pdf["_closes"], cols])
+        if closed is not None:
+            state.update((closed,))
+        for pdf in held:
+            yield pdf if closed is None else pdf[pdf[order_col].isna() | (pdf[order_col] < closed)]
+    return run
 
 
-def dedupe_stream(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], key_cols: list[str], order_col: str,
-                  keep_cols: list[str], sink: str, checkpoint: str) -> None:
-    """M2: first-wins dedupe across micro-batches into ``sink``.
+def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key_cols: list[str],
+                 order_col: str, closes: Column | None = None) -> StreamingQuery:
+    """M1: score arriving rows into ``sink``, each key until its closing row; runs all available input then stops.
 
-    A batch is combined first; its keys then meet the key table beside the
-    sink, of which only the hash buckets that the batch touches are read, and
-    only keys. The batch's rows and keys go to folders of its own.
+    Each micro-batch goes through the batch scorer into its own ``batch_id=``
+    folder with overwrite, so a retried batch replaces its output.
     """
-    keys_path = f"{sink}_keys"
-    bucket = F.pmod(F.xxhash64(*key_cols), F.lit(KEY_BUCKETS)).cast("int")
+    rows = stream if closes is None else open_rows(stream, key_cols, order_col, closes)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = dedupe_first(prepare(batch), key_cols, order_col, keep_cols).withColumn("bucket", bucket)
-        if batch_id > 0:
-            touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # KEY_BUCKETS numbers at most
-            schema = ", ".join(f"`{c}` {fresh.schema[c].dataType.simpleString()}" for c in key_cols) + ", batch_id int, bucket int"
-            earlier = (spark.read.schema(schema).parquet(keys_path)
-                       .where(F.col("bucket").isin(touched) & (F.col("batch_id") < batch_id)).select(*key_cols))
-            fresh = fresh.join(earlier, key_cols, "left_anti")
-        fresh.drop("bucket").write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-        written = spark.read.schema(fresh.drop("bucket").schema).parquet(f"{sink}/batch_id={batch_id}")
-        (written.select(*key_cols, bucket.alias("bucket")).write.mode("overwrite").partitionBy("bucket")
-         .parquet(f"{keys_path}/batch_id={batch_id}"))
-
-    query = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+        scorer(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
+    return _run(rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint))
 
-def dedupe_stream_stateful(stream: DataFrame, key_cols: list[str], order_col: str, keep_cols: list[str],
-                           sink: str, checkpoint: str) -> None:
-    """M2 with per-key state: first-wins across micro-batches, no history re-read.
 
-    ``applyInPandasWithState`` keeps one small state row per key (the winning
-    order value); a key's rows in a batch arrive as an iterator of chunks, of
-    which only the current best row is held. Append output to a file sink
-    with a checkpoint is exactly-once.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
+# ---- M2: first row of a key wins -----------------------------------------------
 
-    out_cols = [*key_cols, order_col, *keep_cols]
-    fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    out_schema = ", ".join(f"`{c}` {fields[c]}" for c in out_cols)
-    state_schema = f"`first_{order_col}` {fields[order_col]}"
-    first_wins = _first_wins(order_col, out_cols)
-    q = (stream.select(*out_cols).groupBy(*key_cols)
-         .applyInPandasWithState(first_wins, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-         .writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+def _first_per_key(key_cols: list[str], order_col: str, most: int = 100_000):
+    def combine(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(frames, ignore_index=True)
+        return rows.sort_values(order_col, kind="stable", na_position="last").drop_duplicates(key_cols)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task's rows, one per key with its least order value; what is held back stays below ``most`` rows."""
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            held.append(frame)
+            if sum(map(len, held)) > most:
+                held = [combine(held)]
+                if len(held[0]) > most // 2:
+                    yield held.pop()
+        if held:
+            yield combine(held)
+    return run
 
 
-def _first_wins(order_col: str, out_cols: list[str]):
-    import pandas as pd
+def dedupe_stream(stream: DataFrame, key_cols: list[str], order_col: str, keep_cols: list[str], sink: str, checkpoint: str,
+                  prepare: Callable[[DataFrame], DataFrame] | None = None, expire_ms: int | None = None) -> StreamingQuery:
+    """M2: first-wins dedupe across micro-batches into ``sink``; runs all available input then stops.
+
+    Of a key's rows in a micro-batch the one with the least ``order_col`` wins,
+    unless an earlier micro-batch had the key. Each task hands on one row per key,
+    so a hot key reaches its group as a row per task. A key is remembered for
+    ever, or for ``expire_ms`` after it was last written. Append output to a file
+    sink with a checkpoint is exactly-once.
+    """
+    rows = prepare(stream) if prepare else stream
+    cols = [*key_cols, order_col, *keep_cols]
+    schema = _fields(rows, cols)
+    combined = rows.select(*cols).mapInPandas(_first_per_key(key_cols, order_col), schema)
+    timeout = GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    fresh = combined.groupBy(*key_cols).applyInPandasWithState(_first_wins(order_col, cols, expire_ms), schema, "seen boolean", "append", timeout)
+    return _run(fresh.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append"))
 
+
+def _first_wins(order_col: str, out_cols: list[str], expire_ms: int | None):
     def run(key, chunks, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
             for _ in chunks:  # already emitted in an earlier batch
                 pass
             return
         best = None
         for pdf in chunks:
-            if pdf.empty:
-                continue
-            cand = pdf.nsmallest(1, order_col)
-            if best is None or cand[order_col].iloc[0] < best[order_col].iloc[0]:
-                best = cand
-        if best is not None:
-            state.update((best[order_col].iloc[0].item(),))
+            rows = pdf.sort_values(order_col, kind="stable", na_position="last").head(1)
+            if best is None or (len(rows) and rows[order_col].iloc[0] < best[order_col].iloc[0]):
+                best = rows if len(rows) else best
+        if best is not None and len(best):
+            state.update((True,))
+            if expire_ms is not None:
+                state.setTimeoutDuration(expire_ms)
             yield best[out_cols]
-        else:
-            yield pd.DataFrame(columns=out_cols)
-
     return run

@@ -39,10 +39,10 @@ def test_window_definition_agrees(spark):
     assert sorted(ref.collect()) == sorted(ours.select("k", "v", "r").collect())
 
 
-def test_index_joins_other_columns_back(spark):
+def test_index_keeps_other_columns(spark):
     rows = [(i % 13, None if i == 5 else i, "text " * i) for i in range(200)]
     df = spark.createDataFrame(rows, "k int, id int, text string").repartition(5)
-    ours = global_index(df, ["k", F.col("id").asc_nulls_first()], key_cols=["k", "id"])
+    ours = global_index(df, ["k", F.col("id").asc_nulls_first()])
     got = {(r["k"], r["id"]): (r["row_idx"], r["text"]) for r in ours.collect()}
     ordered = sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1]))
     assert got == {(k, i): (n, t) for n, (k, i, t) in enumerate(ordered)}

@@ -1,84 +1,118 @@
-"""Stream results equal batch results; first-wins across micro-batches."""
+"""Stream results equal batch results; first-wins and closing rows hold across micro-batches."""
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from moodspark.catalog import FIXTURE_LEXICON
 from moodspark.operators import lyrics as ly
+from moodspark.session import ship_package
 from moodspark.streaming import streams as st
 
+PAGES = "page_id long, title string, url string"
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+@pytest.fixture(autouse=True)
+def _shipped(spark):
+    ship_package(spark)
+
+
+def _arrive(spark, rows, schema, directory, number, files=2):
+    spark.createDataFrame(rows, schema).repartition(files).write.parquet(os.path.join(directory, f"arrival-{number}"))
+    return st.file_stream(spark, directory, schema)
+
+
+def _dedupe_all(spark, batches, tmpdir_, **options):
+    src, sink, ckpt = (os.path.join(tmpdir_, x) for x in ("in", "sink", "ckpt"))
+    runs = [st.dedupe_stream(_arrive(spark, rows, PAGES, src, i), ["title"], "page_id", ["url"], sink, ckpt, **options) for i, rows in enumerate(batches)]
+    return {r["title"]: (r["page_id"], r["url"]) for r in spark.read.parquet(sink).collect()}, runs, spark.read.parquet(sink).count()
+
 
 def test_dedupe_stream_first_wins_across_batches(spark, tmpdir_):
-    src = os.path.join(tmpdir_, "in")
-    batches = [[(3, "a", "u3"), (5, "b", "u5")], [(1, "a", "u1"), (7, "c", "u7")], [(2, "c", "u2"), (9, "d", "u9")]]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, "page_id long, title string, url string").coalesce(1) \
-            .write.parquet(os.path.join(src, f"part{i}"))
-    # one file per micro-batch, in arrival order
-    import glob
-    import shutil
-    flat = os.path.join(tmpdir_, "flat")
-    os.makedirs(flat)
-    for i in range(3):
-        f = glob.glob(os.path.join(src, f"part{i}", "*.parquet"))[0]
-        shutil.copy(f, os.path.join(flat, f"f{i}.parquet"))
-        os.utime(os.path.join(flat, f"f{i}.parquet"), (1000 + i, 1000 + i))
-    stream = st.file_stream(spark, flat, "page_id long, title string, url string", max_files_per_trigger=1)
-    sink, ckpt = os.path.join(tmpdir_, "sink"), os.path.join(tmpdir_, "ckpt")
-    st.dedupe_stream(stream, lambda b: b, ["title"], "page_id", ["url"], sink, ckpt)
-    got = {r["title"]: r["page_id"] for r in spark.read.parquet(sink).collect()}
+    batches = [[(3, "a", "u3"), (5, "b", "u5"), (4, "b", "u4")], [(1, "a", "u1"), (7, "c", "u7")], [(2, "c", "u2"), (9, "d", "u9")]]
+    got, _, n = _dedupe_all(spark, batches, tmpdir_)
     # "a" arrived first as page 3 (batch 0), so the later page 1 loses: first wins by arrival
-    assert got == {"a": 3, "b": 5, "c": 7, "d": 9}
+    assert got == {"a": (3, "u3"), "b": (4, "u4"), "c": (7, "u7"), "d": (9, "u9")} and n == 4
 
 
-def test_score_stream_equals_batch(spark, tmpdir_):
-    rows = [(1, 0, "user", "the the of"), (1, 1, "user", "0"), (2, 0, "user", "la la le le le"), (3, 0, "user", "xyz")]
-    src = os.path.join(tmpdir_, "conv")
-    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(src)
+def test_dedupe_keeps_null_places_and_keys(spark, tmpdir_):
+    batches = [[(None, "a", "x"), (2, "a", "y"), (None, "b", "z")], [(1, None, "n"), (0, "b", "later")], [(0, None, "m")]]
+    got, _, n = _dedupe_all(spark, batches, tmpdir_)
+    assert got == {"a": (2, "y"), "b": (None, "z"), None: (1, "n")} and n == 3
+
+
+def test_a_hot_key_reaches_its_group_combined(spark):
+    rows = [(i, "hot" if i % 3 else f"t{i}", "u") for i in range(3000)]
+    df = spark.createDataFrame(rows, PAGES).repartition(4)
+    combined = df.mapInPandas(st._first_per_key(["title"], "page_id"), PAGES).collect()
+    assert sum(r["title"] == "hot" for r in combined) <= 4 and min(r["page_id"] for r in combined if r["title"] == "hot") == 1
+    few = df.mapInPandas(st._first_per_key(["title"], "page_id", most=50), PAGES)
+    assert {r["title"]: r["p"] for r in few.groupBy("title").agg(F.min("page_id").alias("p")).collect()} == \
+        {r["title"]: r["p"] for r in df.groupBy("title").agg(F.min("page_id").alias("p")).collect()}
 
-    def scorer(df):
-        return ly.score_lines(df, FIXTURE_LEXICON, ["conv_id", "turn"], 15, "text", keep_unscored=True).select("conv_id", "turn", "pred")
 
+def test_reads_of_a_batch_are_bounded_by_the_batch(spark, tmpdir_):
+    """Twenty batches of equally many keys: the state grows, what a batch looks up and writes doesn't."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        batches = [[(1000 * i + j, f"title {1000 * i + j if j % 2 else j}", "u") for j in range(60)] for i in range(20)]
+        got, runs, n = _dedupe_all(spark, batches, tmpdir_)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert n == len(got) == 30 * 20 + 30
+    seen = []
+    for run in runs:
+        operators = [p["stateOperators"][0] for p in run.recentProgress if p["stateOperators"] and p["numInputRows"]]
+        assert len(operators) == 1
+        own = operators[0]["customMetrics"]
+        assert "rocksdbGetCount" in own  # the state is in RocksDB
+        seen.append((operators[0]["numRowsTotal"], own["rocksdbGetCount"], own["rocksdbTotalBytesRead"], own["rocksdbTotalBytesWritten"]))
+    assert [s[0] for s in seen] == [60 + 30 * i for i in range(20)]
+    assert max(s[1] for s in seen) <= 6 * 60
+    per_key = max(s[2] + s[3] for s in seen[:5]) / 60
+    assert all(s[2] + s[3] <= 2 * 60 * per_key for s in seen[5:])
+
+
+def _scorer(df):
+    return ly.score_lines(df, FIXTURE_LEXICON, ["conv_id", "turn"], 15, "text", keep_unscored=True).select("conv_id", "turn", "pred")
+
+
+def test_score_stream_equals_batch(spark, tmpdir_):
+    rows = [(1, 0, "user", "the the of"), (1, 1, "user", "and"), (2, 0, "user", "la la le le le"), (3, 0, "user", "xyz")]
     sink, ckpt = os.path.join(tmpdir_, "sink"), os.path.join(tmpdir_, "ckpt")
-    st.score_stream(st.file_stream(spark, src, "conv_id long, turn long, role string, text string"), scorer, sink, ckpt)
-    batch = scorer(spark.read.parquet(src).where(F.col("text") != "0"))
-    assert sorted(spark.read.parquet(sink).drop("batch_id").collect()) == sorted(batch.collect())
-    assert {r["conv_id"]: r["pred"] for r in batch.collect()} == {1: 0, 2: 7, 3: None}
+    st.score_stream(_arrive(spark, rows, TURNS, os.path.join(tmpdir_, "in"), 0), _scorer, sink, ckpt, ["conv_id"], "turn")
+    got = spark.read.parquet(sink).drop("batch_id").collect()
+    assert sorted(got) == sorted(_scorer(spark.createDataFrame(rows, TURNS)).collect())
+    assert {(r["conv_id"], r["turn"]): r["pred"] for r in got} == {(1, 0): 0, (1, 1): 2, (2, 0): 7, (3, 0): None}
 
 
-def test_stateful_dedupe_first_wins_across_batches(spark, tmpdir_):
-    import glob
-    import shutil
-    from moodspark.session import ship_package
-    ship_package(spark)
-    batches = [[(3, "a", "u3"), (5, "b", "u5"), (4, "b", "u4")], [(1, "a", "u1"), (7, "c", "u7")],
-               [(2, "c", "u2"), (9, "d", "u9")]]
-    flat = os.path.join(tmpdir_, "flat")
-    os.makedirs(flat)
+def test_a_conversation_stays_closed(spark, tmpdir_):
+    """Rows after the closing row go unscored, in its batch and in all later ones; other conversations go on."""
+    batches = [
+        [(1, 0, "user", "the"), (1, 1, "user", "0"), (1, 2, "user", "of"), (2, 0, "user", "of"), (3, 5, "user", "0"), (None, 0, "user", "and")],
+        [(1, 3, "user", "in"), (2, 1, "user", "in"), (3, 4, "user", "that"), (3, 6, "user", "de"), (None, 1, "user", "0")],
+        [(2, 2, "user", "0"), (2, 3, "user", "the"), (1, 4, "user", "0"), (4, None, "user", "the"), (None, 2, "user", "the")],
+    ]
+    sink, ckpt, src = (os.path.join(tmpdir_, x) for x in ("sink", "ckpt", "in"))
     for i, rows in enumerate(batches):
-        d = os.path.join(tmpdir_, f"part{i}")
-        spark.createDataFrame(rows, "page_id long, title string, url string").coalesce(1).write.parquet(d)
-        f = glob.glob(os.path.join(d, "*.parquet"))[0]
-        shutil.copy(f, os.path.join(flat, f"f{i}.parquet"))
-        os.utime(os.path.join(flat, f"f{i}.parquet"), (1000 + i, 1000 + i))
-    stream = st.file_stream(spark, flat, "page_id long, title string, url string", max_files_per_trigger=1)
-    sink, ckpt = os.path.join(tmpdir_, "sink"), os.path.join(tmpdir_, "ckpt")
-    st.dedupe_stream_stateful(stream, ["title"], "page_id", ["url"], sink, ckpt)
-    got = {r["title"]: (r["page_id"], r["url"]) for r in spark.read.parquet(sink).collect()}
-    assert got == {"a": (3, "u3"), "b": (4, "u4"), "c": (7, "u7"), "d": (9, "u9")}
-
-
-def test_dedupe_stream_reads_touched_buckets_only(spark, tmpdir_):
-    """The key table lies in hash buckets, one folder per batch, and holds keys only."""
-    import glob
-    src = os.path.join(tmpdir_, "in")
-    for i in range(2):
-        spark.createDataFrame([(10 * i + j, f"t{j}", "u") for j in range(5)], "page_id long, title string, url string") \
-            .coalesce(1).write.mode("append").parquet(src)
-    sink, ckpt = os.path.join(tmpdir_, "sink"), os.path.join(tmpdir_, "ckpt")
-    st.dedupe_stream(st.file_stream(spark, src, "page_id long, title string, url string", max_files_per_trigger=1),
-                     lambda b: b, ["title"], "page_id", ["url"], sink, ckpt)
-    assert {r["title"]: r["page_id"] for r in spark.read.parquet(sink).collect()} == {f"t{j}": j for j in range(5)}
-    assert glob.glob(f"{sink}_keys/batch_id=0/bucket=*")
-    assert set(spark.read.parquet(f"{sink}_keys").columns) == {"title", "batch_id", "bucket"}
+        st.score_stream(_arrive(spark, rows, TURNS, src, i), lambda df: df.select("conv_id", "turn", "text"), sink, ckpt, ["conv_id"], "turn",
+                        F.col("text") == "0")
+    got = {(r["conv_id"], r["turn"]) for r in spark.read.parquet(sink).collect()}
+    assert got == {(1, 0), (2, 0), (None, 0), (2, 1), (3, 4), (4, None)}
+
+
+def test_a_hot_conversation_is_dealt_over_groups(spark, tmpdir_):
+    rows = [(1, i, "user", "0" if i == 700 else "word") for i in range(1000)]
+    sink, ckpt, src = (os.path.join(tmpdir_, x) for x in ("sink", "ckpt", "in"))
+    run = st.score_stream(_arrive(spark, rows, TURNS, src, 0), lambda df: df, sink, ckpt, ["conv_id"], "turn", F.col("text") == "0")
+    assert sorted(r["turn"] for r in spark.read.parquet(sink).collect()) == list(range(700))
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert max(state) == 8  # the closing row, once per group
+
+
+def test_callers_settings_stay(spark, tmpdir_):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    st.state_session(spark)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
