@@ -27,7 +27,9 @@ from pyspark.sql.types import StructType
 
 _STATE = "spark.sql.streaming.stateStore."
 _ROCKSDB = {_STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-            _STATE + "rocksdb.changelogCheckpointing.enabled": "true"}
+            _STATE + "rocksdb.changelogCheckpointing.enabled": "true",
+            # else a query with expiring state has one more empty batch to run for ever
+            "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 _HANDED_ON = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch")
 
 

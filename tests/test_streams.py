@@ -37,6 +37,21 @@ def test_dedupe_stream_first_wins_across_batches(spark, tmpdir_):
     assert got == {"a": (3, "u3"), "b": (4, "u4"), "c": (7, "u7"), "d": (9, "u9")} and n == 4
 
 
+def test_keys_expire(spark, tmpdir_):
+    import time
+    batches = [[(3, "a", "u3")], [(1, "a", "u1"), (5, "b", "u5")]]
+    src, sink, ckpt = (os.path.join(tmpdir_, x) for x in ("in", "sink", "ckpt"))
+    for i, rows in enumerate(batches):
+        st.dedupe_stream(_arrive(spark, rows, PAGES, src, i), ["title"], "page_id", ["url"], sink, ckpt, expire_ms=3_600_000)
+    assert sorted(r["page_id"] for r in spark.read.parquet(sink).collect()) == [3, 5]
+    sink, ckpt, src = (os.path.join(tmpdir_, x) for x in ("sink2", "ckpt2", "in2"))
+    for i, rows in enumerate([batches[0], [(8, "c", "u8")], [(9, "a", "u9")]]):
+        st.dedupe_stream(_arrive(spark, rows, PAGES, src, i), ["title"], "page_id", ["url"], sink, ckpt, expire_ms=1)
+        time.sleep(0.1)
+    # forgotten in the batch after it expired, so it counts as new in the next
+    assert sorted(r["page_id"] for r in spark.read.parquet(sink).collect()) == [3, 8, 9]
+
+
 def test_dedupe_keeps_null_places_and_keys(spark, tmpdir_):
     batches = [[(None, "a", "x"), (2, "a", "y"), (None, "b", "z")], [(1, None, "n"), (0, "b", "later")], [(0, None, "m")]]
     got, _, n = _dedupe_all(spark, batches, tmpdir_)
