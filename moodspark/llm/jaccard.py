@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodspark.llm.common import narrow, repeat_ranges, text_or_empty
@@ -490,16 +490,22 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each component (rows without shingles all stay).
+    """``docs`` with exactly one row of each component, and all rows without shingles.
 
-    Rows that share a component's smallest doc_id stay together; a component
-    without any doc_id keeps all its rows.
+    The row with the smallest doc_id stays (null last); of several with that id
+    the one whose text has the smallest hash, of equal rows in both the one with
+    the smallest hash of all columns.
     """
     rows, roots = class_components(docs, width, num, den)
-    placed = (rows.join(roots.withColumnRenamed("node", "c1"), "c1", "left")
-              .select("doc_id", "rk", "n", F.coalesce("root", "c1").alias("root")))
-    named = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    drop = (placed.where("n > 0").join(named, "root").where("least is not null and (doc_id is null or doc_id <> least)")
-            .select(F.col("doc_id").alias("_d"), F.col("rk").alias("_k")).distinct())
-    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_rk"))
-    return packed.join(drop, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_rk") == F.col("_k")), "left_anti").select("_row.*")
+    placed = (rows.where("n > 0").join(roots.withColumnRenamed("node", "c1"), "c1", "left")
+              .select("doc_id", "rk", F.coalesce("root", "c1").alias("root")))
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rk")
+    least = placed.groupBy("root").agg(F.min(place).alias("one"))
+    drop = placed.join(least, "root").where(place != F.col("one")).select(F.col("doc_id").alias("_d"), F.col("rk").alias("_k")).distinct()
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_rk"),
+                         F.xxhash64("*").alias("_all"), F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_words"))
+    # equal rows are cut to one per task before the shuffle, so a text that makes up a third of all rows is no hot key
+    first = Window.partitionBy("_id", "_rk").orderBy("_all")
+    single = packed.where("_words").withColumn("_i", F.row_number().over(first)).where("_i = 1")
+    kept = single.join(drop, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_rk") == F.col("_k")), "left_anti")
+    return kept.select("_row.*").unionAll(packed.where("not _words").select("_row.*"))

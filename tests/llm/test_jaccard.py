@@ -156,3 +156,18 @@ def test_components_of_a_graph(spark):
             root[y] = x
     assert got == {x: find(x) for x in root}
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_exactly_one_row_of_each_component_stays(spark):
+    """Rows that share the smallest id, equal rows, and components without any id."""
+    words = [" ".join(f"{w}{i}" for i in range(30)) for w in "abcd"]
+    near = words[3] + " and one more word"
+    table = ([(5, words[0], "en", s) for s in "abcd"] + [(None, words[1], "en", "a")] * 3 + [(None, words[1], "de", "b")]
+             + [(7, words[2], "en", "a"), (7, words[2] + " x", "en", "a"), (8, words[2], "en", "a")]
+             + [(None, words[3], "en", "a"), (9, near, "en", "b"), (9, near, "en", "b")]
+             + [(1, "", "en", "a"), (1, "", "en", "a"), (2, None, "en", "a"), (2, None, "en", "a"), (3, " \t", None, None), (4, "short", "en", "a")])
+    got = [(r.doc_id, r.text) for r in jaccard.keep_one(frame(spark, table), 5, 80, 100).collect()]
+    empties = [r for r in got if not (r[1] or "").strip()]
+    assert sorted(map(str, empties)) == sorted(map(str, [(1, ""), (1, ""), (2, None), (2, None), (3, " \t")]))
+    rest = sorted((r for r in got if r not in empties), key=str)
+    assert len(rest) == 5 and {r[0] for r in rest} == {5, None, 7, 9, 4} and (9, near) in rest and (None, words[1]) in rest
