@@ -101,23 +101,64 @@ def test_sites_speak_and_sparse_ones_shrink(spark):
     assert got[399].host_rate > 0.95 and got[398].host_rate < 0.05 and got[399].keep and not got[398].keep
     total = 150.5 / 302.0
     assert abs(got[900].host_rate - total) < 0.02 and abs(got[900].path_rate - got[900].host_rate) < 1e-9
-    # a label never speaks for its own document: its path is left with the prior
-    assert abs(got[901].path_rate - got[901].host_rate) < 1e-9
+    # a label never speaks for its own document: without it, its host and path are those of a site never seen
+    assert abs(got[901].path_rate - got[900].path_rate) < 1e-9 and abs(got[901].host_rate - got[900].host_rate) < 1e-9
     assert 0 < got[None].score < 1
 
 
-def test_posteriors_by_hand(spark):
-    docs, labels = sites(spark)
-    got, _ = score(docs, labels)
-    n = {"good.example": (150, 150), "bad.example": (150, 0), "one.example": (1, 0)}
-    total, pos = sum(a for a, _ in n.values()), sum(b for _, b in n.values())
-    rate = (pos + 0.5) / (total + 1)
-    s = sum(a * (b / a - rate) ** 2 for a, b in n.values())
-    spread = (s - (len(n) - 1) * rate * (1 - rate)) / (total - sum(a * a for a, _ in n.values()) / total)
-    k = max(rate * (1 - rate) / spread - 1, 1.0)
-    for doc, site in ((399, "good.example"), (398, "bad.example")):
-        a, b = n[site]
-        assert abs(got[doc].host_rate - (b + k * rate) / (a + k)) < 1e-9
+def brute_quality(docs, labels, evidence):
+    """Host and path posteriors and the score of each row, counted plainly; ``evidence`` gives a row's own log odds."""
+    marks = {}
+    for d, g, _ in labels:
+        if d is not None:
+            marks[d] = min(g, marks.get(d, 1))
+    placed = {(d, s, f"{s}/{la}") for d, _, la, s in docs if d in marks}
+    paths, hosts = {}, {}
+    for d, s, p in placed:
+        paths.setdefault((s, p), []).append(marks[d])
+    for d, s in {(d, s) for d, s, _ in placed}:
+        hosts.setdefault(s, []).append(marks[d])
+    y, n = sum(map(sum, hosts.values())), sum(map(len, hosts.values()))
+    rate = (y + 0.5) / (n + 1)
+
+    def strength(groups):  # (labels, rate around which they lie)
+        n = sum(len(g) for g, _ in groups)
+        m = sum(len(g) * r for g, r in groups) / n
+        s = sum(len(g) * (sum(g) / len(g) - r) ** 2 for g, r in groups)
+        spread = (s - (len(groups) - 1) * m * (1 - m)) / max(n - sum(len(g) ** 2 for g, _ in groups) / n, 1e-9)
+        return min(max(m * (1 - m) / spread - 1, 1.0), 1e6) if spread > 0 else 1e6
+
+    k = strength([(g, rate) for g in hosts.values()])
+    host = {s: (sum(g) + k * rate) / (len(g) + k) for s, g in hosts.items()}
+    q = strength([(g, host[s]) for (s, _), g in paths.items()])
+    out = []
+    for i, (d, _, la, s) in enumerate(docs):
+        own = [marks[d]] if d in marks else []
+        g, h = paths.get((s, f"{s}/{la}"), own), hosts.get(s, own)
+        hr = (sum(h) - sum(own) + k * rate) / (len(h) - len(own) + k)
+        pr = (sum(g) - sum(own) + q * hr) / (len(g) - len(own) + q)
+        out.append((d, hr, pr, 1 / (1 + np.exp(-(evidence(i) + np.log(pr / (1 - pr)))))))
+    return out, rate
+
+
+def test_posteriors_by_brute_force(spark):
+    """Few and many labels, repeated documents, a document at two sites, a host whose only label is its own document's."""
+    rng = np.random.default_rng(2)
+    docs, labels = [], []
+    for i in range(300):
+        site = f"s{int(rng.integers(0, 12)) ** 2}"
+        docs.append((i, f"some words about number {i}", ["en", "de"][i % 2], site))
+        if i % 3:
+            labels.append((i, int(rng.random() < (0.9 if site in ("s0", "s1", "s4", "s9") else 0.2)), 0))
+    docs += [docs[1], docs[1], docs[2], (4, docs[4][1], "en", "s1"), (4, docs[4][1], "de", "s1"), (900, "alone", "en", "only"), (901, "new", "fr", "s0")]
+    labels += [(900, 1, 0), (7, 0, 0), (7, 1, 0), (5000, 1, 0), (None, 1, 0)]
+    got, rows = score(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    _, rate = brute_quality(docs, labels, lambda i: 0.0)
+    logit = lambda p: np.log(p / (1 - p))
+    want, _ = brute_quality(docs, labels, lambda i: logit(got[docs[i][0]].p_document) - logit(rate))
+    have = sorted((r.doc_id, round(r.host_rate, 9), round(r.path_rate, 9), round(r.score, 6)) for r in rows)
+    assert have == sorted((d, round(h, 9), round(p, 9), round(float(s), 6)) for d, h, p, s in want)
+    assert abs(got[900].host_rate - rate) < 1e-9
 
 
 def test_quality_without_labels(spark, docs, empty, rows):
