@@ -30,14 +30,15 @@ from moodspark.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 _LEVEL = 1 << 12
+SOURCES = 50_000  # tables with a row per source are broadcast up to so many sources; beyond, they are joined by source
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One light row per distinct (id, text, source): its word count and how often it is there."""
     base = narrow(docs, doc_id=id_col, text=text_col, source=source_col)
     return (base.select("doc_id", "source", row_key(F.col("doc_id"), F.col("text"), F.col("source")).alias("_key"),
-                        F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
-            .groupBy("doc_id", "source", "_key", "size").agg(F.count("*").alias("_n")))
+                        F.md5(text_or_empty()).alias("_digest"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
+            .groupBy("doc_id", "source", "_key", "_digest", "size").agg(F.count("*").alias("_n")))
 
 
 def source_targets(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5,
@@ -82,13 +83,15 @@ def pareto_copies(units: DataFrame, targets: DataFrame, seed: int = 17, weight_c
     """
     src = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
     t = targets.select(src.alias("_src"), "source_size", "target")
+    few = targets.count() <= SOURCES
+    per_source = F.broadcast if few else (lambda table: table)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    u = unit_hash(seed, F.col("doc_id"))
+    u = unit_hash(seed, F.col("doc_id"), F.col("_digest"))  # rows without an id have numbers of their own
     odds = F.col("_f") / (1 - F.col("_f"))
     if weight_col:
         odds = odds * F.col(weight_col)
     rank = (u / (1 - u)) / odds
-    rows = (units.withColumn("_src", src).join(t, "_src")
+    rows = (units.withColumn("_src", src).join(per_source(t), "_src")
             .withColumn("_whole", F.floor(share)).withColumn("_f", share - F.col("_whole"))
             .withColumn("_missing", F.col("target") - F.col("_whole") * F.col("source_size"))
             .withColumn("_q", F.when(F.col("_f") > 0, rank))
@@ -96,10 +99,10 @@ def pareto_copies(units: DataFrame, targets: DataFrame, seed: int = 17, weight_c
             .withColumn("_b1", F.floor(F.col("_slot") / _LEVEL)).withColumn("_b2", F.col("_slot") % _LEVEL))
     rows = materialize(rows)
     drawn = rows.where(F.col("_q").isNotNull())
-    cut1 = _crossing(drawn, "_b1").select("_src", F.col("_cut").alias("_c1"), F.col("_before").alias("_s1"))
+    cut1 = per_source(materialize(_crossing(drawn, "_b1").select("_src", F.col("_cut").alias("_c1"), F.col("_before").alias("_s1"))))
     inner = (drawn.join(cut1, "_src").where(F.col("_b1") == F.col("_c1"))
              .withColumn("_missing", F.col("_missing") - F.col("_s1")))
-    cut2 = _crossing(inner, "_b2").select("_src", F.col("_cut").alias("_c2"), F.col("_before").alias("_s2"))
+    cut2 = per_source(materialize(_crossing(inner, "_b2").select("_src", F.col("_cut").alias("_c2"), F.col("_before").alias("_s2"))))
     exact = inner.join(cut2, "_src").where(F.col("_b2") == F.col("_c2"))
     before = (Window.partitionBy("_src").orderBy("_q", F.col("doc_id").asc_nulls_first(), "_key")
               .rowsBetween(Window.unboundedPreceding, -1))

@@ -134,7 +134,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MIX_SQL = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-        (('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u from documents),
+        (('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u from documents),
 s0 as (select source, sum(size)::bigint as source_size from d group by source),
 s1 as (select *, [5.0, 2.0, 1.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as w,
         2.0::double * source_size as cap from s0),

@@ -8,6 +8,8 @@ import pytest
 from moodspark.llm import licenses, line_dedup, mixing, queries as q, topk
 from pyspark.sql import functions as F
 
+from conftest import frame, passage
+
 
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
@@ -153,3 +155,17 @@ def test_topk_large_integers(spark):
     a = [3000000 * 1024, 1024]
     want = sorted(((a[0] * 2900000 * 1024 + a[1] * x * 1024, v) for v, x in ((1, 5), (2, 4))), reverse=True)
     assert got == [(i + 1, v, s) for i, (s, v) in enumerate(want)]
+
+
+def test_mix_tells_rows_without_ids_apart(spark):
+    """A source whose rows have no id is cut where its target lies: not all or none of them."""
+    table = [(None, f"{'word ' * 5}{i}", "en", "a") for i in range(400)] + [(i, "one two three", "en", "b") for i in range(3000)]
+    got = mixing.mix_report(frame(spark, table)).where("doc_id is null").collect()
+    target, taken = got[0].target, sum(r.taken for r in got)
+    assert len(got) == 400 and abs(taken - target) <= 12 and len({r.taken for r in got}) > 1
+
+
+def test_mix_without_broadcasts_is_the_same(spark, docs, monkeypatch):
+    one = sorted(map(str, mixing.mix_report(docs).collect()))
+    monkeypatch.setattr(mixing, "SOURCES", 0)
+    assert sorted(map(str, mixing.mix_report(docs).collect())) == one
