@@ -42,12 +42,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodspark.llm.common import narrow, repeat_ranges, text_or_empty
 from moodspark.llm.graph import connected_components
-from moodspark.session import materialize
+from moodspark.session import materialize, written
 
 HOT = 50_000
 STEP = 1.02
@@ -501,11 +501,14 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
               .select("doc_id", "rk", F.coalesce("root", "c1").alias("root")))
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rk")
     least = placed.groupBy("root").agg(F.min(place).alias("one"))
-    drop = placed.join(least, "root").where(place != F.col("one")).select(F.col("doc_id").alias("_d"), F.col("rk").alias("_k")).distinct()
-    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_rk"),
-                         F.xxhash64("*").alias("_all"), F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_words"))
-    # equal rows are cut to one per task before the shuffle, so a text that makes up a third of all rows is no hot key
-    first = Window.partitionBy("_id", "_rk").orderBy("_all")
-    single = packed.where("_words").withColumn("_i", F.row_number().over(first)).where("_i = 1")
-    kept = single.join(drop, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_rk") == F.col("_k")), "left_anti")
-    return kept.select("_row.*").unionAll(packed.where("not _words").select("_row.*"))
+    judged = placed.groupBy("doc_id", "rk", "root").agg(F.count("*").alias("_n")).join(least, "root")
+    # keys of rows that go (_one false) and of equal rows of which one stays
+    marks = materialize(judged.where((place != F.col("one")) | (F.col("_n") > 1)).groupBy(F.col("doc_id").alias("_d"), F.col("rk").alias("_k")).agg(
+        F.min(place == F.col("one")).alias("_one")))
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_rk"))
+    same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_rk") == F.col("_k"))
+    if not marks.where("_one").limit(1).count():  # no equal rows among those that stay
+        return packed.join(marks, same, "left_anti").select("_row.*")
+    left = written(packed.join(marks, same, "left").where("_one is null or _one").select("_row", "_id", "_rk", "_one"), "components")
+    single = left.where("_one").groupBy("_id", "_rk").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return left.where("_one is null").select("_row.*").unionAll(single.select("_row.*"))
