@@ -101,6 +101,11 @@ def container_inner(html: Column, tag: str, cls: str | None = None) -> Column:
     return F.when(F.size(halves) > 1, F.aggregate(pieces, start, step, lambda acc: acc["out"]))
 
 
+def container_text(html: Column, tag: str, cls: str | None = None) -> Column:
+    """Text of the first ``<tag class=cls>``, of what is nested in it too: tags removed, entities decoded."""
+    return tx.html_unescape_basic(tx.strip_tags(container_inner(html, tag, cls)))
+
+
 def title_text(html: Column) -> Column:
     """P4 (fixture form): decoded ``<title>`` text, NULL if absent."""
     return tx.html_unescape_basic(element_inner(html, "title"))

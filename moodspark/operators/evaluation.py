@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodspark.operators.ordering import global_index, running_total
@@ -119,6 +119,17 @@ def missing_runs(grid_rows: DataFrame, listing: DataFrame, name_col: str = "run_
                           "left_anti")
 
 
+def write_artifacts(rows: DataFrame, path: str, name_col: str = "run_name") -> None:
+    """One folder ``name_col=...`` per run that has rows."""
+    rows.write.partitionBy(name_col).parquet(path)
+
+
+def listed_artifacts(spark: SparkSession, path: str, name_col: str = "run_name") -> DataFrame:
+    """The names of the runs under ``path``, from the paths of the files there; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    return files.select(F.regexp_extract("path", f"/{name_col}=([^/]+)/", 1).alias(name_col)).where(F.col(name_col) != "").distinct()
+
+
 def zip_positional(a: Column, b: Column, names: tuple[str, str] = ("a", "b")) -> Column:
     """Align two parallel arrays by position."""
     return F.arrays_zip(a.alias(names[0]), b.alias(names[1]))

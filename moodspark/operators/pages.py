@@ -8,6 +8,9 @@ aggregate once per key and then work on per-snapshot counts only.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,3 +137,22 @@ def write_snapshots(rows: DataFrame, path: str) -> None:
     """
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("snapshot_no").parquet(path))
+
+
+def add_snapshot(batch: DataFrame, key_cols: list[str], order_col: str, keep_cols: list[str], path: str, snapshot_no: int) -> DataFrame:
+    """S5 step by step: the rows of snapshot ``snapshot_no`` (from 1) whose keys no earlier snapshot has, as written.
+
+    ``batch`` holds the rows that came in since the last snapshot. Of earlier
+    snapshots only the keys are read, never the rows they came from, and nothing
+    of them is written again; snapshot k is what lies in the folders up to k. A
+    repeated step overwrites its own folder.
+    """
+    spark = batch.sparkSession
+    fresh = dedupe_first(batch, key_cols, order_col, keep_cols)
+    if snapshot_no > 1:
+        earlier = spark.read.parquet(path).where(F.col("snapshot_no") < snapshot_no).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key_cols)])
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key_cols)])
+        fresh = fresh.join(earlier, same, "left_anti")
+    own = f"{path}/snapshot_no={snapshot_no}"
+    fresh.write.mode("overwrite").parquet(own)
+    return spark.read.schema(fresh.schema).parquet(own)

@@ -11,36 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.operators.lyrics import first_max_sql
-
 
 def argmax(vec: Column) -> Column:
     """0-based argmax over the whole vector, first index on ties."""
     return (F.array_position(vec, F.array_max(vec)) - 1).cast("int")
 
 
-def dot_sql(vec_col: str, weights: list[float]) -> str:
-    """Sequential double-precision dot product with a fixed weight vector (SQL)."""
-    w = "array(" + ", ".join(f"CAST({float(x)!r} AS DOUBLE)" for x in weights) + ")"
-    return (f"aggregate(zip_with(`{vec_col}`, {w}, (x, y) -> CAST(x AS DOUBLE) * y), "
-            f"CAST(0 AS DOUBLE), (acc, x) -> acc + x)")
-
-
-def linear_head(df: DataFrame, vec_col: str, weights: list[list[float]], bias: list[float] | None = None) -> DataFrame:
-    """Q10 scoring: logits = W x + b, pred = argmax (first on ties).
-
-    Built as SQL expressions (one parse each) because the weight literals
-    would otherwise cost one client round trip per element.
-    """
-    bias = bias or [0.0] * len(weights)
-    base = [f"`{c}`" for c in df.columns]
-    out = df.selectExpr("*", *[f"{dot_sql(vec_col, w)} + CAST({float(b)!r} AS DOUBLE) AS _l{i}"
-                               for i, (w, b) in enumerate(zip(weights, bias))])
-    cols = [f"_l{i}" for i in range(len(weights))]
-    return out.selectExpr(*base, f"{first_max_sql(cols)} AS pred",
-                          "greatest(" + ", ".join(cols) + ") AS max_logit")
-
-
 def class_mean_head(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
     """Q10 fit: one row per class (label, n, w, b) with w the class mean and b = -|w|^2 / 2.
 

@@ -12,6 +12,7 @@ from moodspark.operators import dialogue as dg
 from moodspark.operators import lyrics as ly
 from moodspark.plans.registry import register
 from moodspark.plans.sqlbits import DOC_LINES, scored_lines
+from moodspark.session import written
 from moodspark.sources.tables import table
 
 WIDE_SQL = """
@@ -140,10 +141,10 @@ def utterance_corpus(spark, sf):
 # lexicon scorer predicts for its first user turn, under the source's class names.
 _SHEET_NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(cat.FIFTEEN_BERT))
 _SHEET_SQL = f"""
-select w.conv_id * 1000 + w.sheet_no as row_id, s.pred, w.user_1, w.reply_1, w.user_2, w.reply_2, w.user_3, w.reply_3
+select w.conv_id, w.sheet_no, s.pred, w.user_1, w.reply_1, w.user_2, w.reply_2, w.user_3, w.reply_3
 from ({WIDE_SQL}) w
-join ({scored_lines("select conv_id * 1000 + sheet_no as row_id, 1 as line_no, user_1 as line from (" + WIDE_SQL + ") x", "row_id")}) s
-  on w.conv_id * 1000 + w.sheet_no = s.row_id
+join ({scored_lines("select conv_id, sheet_no as line_no, user_1 as line from (" + WIDE_SQL + ") x", "conv_id")}) s
+  on w.conv_id = s.conv_id and w.sheet_no = s.line_no
 """
 
 
@@ -151,12 +152,12 @@ _KEYS = ("row_key", "part_no")
 
 
 def _sheet(spark, sf):
-    """row_key, part_no, pred and the six text columns in the source's names."""
+    """row_key, part_no, pred and the six text columns in the source's names; written once, as the corpora read it often."""
     w = wide(spark, sf).withColumnsRenamed({"conv_id": "row_key", "sheet_no": "part_no"})
     scored = ly.score_lines(w, cat.FIXTURE_LEXICON, [*_KEYS], 15, "user_1")
-    return w.join(scored, [*_KEYS]).select(
+    return written(w.join(scored, [*_KEYS]).select(
         *_KEYS, "pred", *[F.col(f"user_{i}").alias(f"사람문장{i}") for i in (1, 2, 3)],
-        *[F.col(f"reply_{i}").alias(f"시스템문장{i}") for i in (1, 2, 3)])
+        *[F.col(f"reply_{i}").alias(f"시스템문장{i}") for i in (1, 2, 3)]), "sheet")
 
 
 def _fifteen_sheet(spark, sf):
@@ -165,27 +166,29 @@ def _fifteen_sheet(spark, sf):
 
 
 def _lm_sql(valid: bool) -> str:
-    """Every fifth sheet row is the validation sheet if ``valid``; labels it does not share with training are left out."""
-    split = "case when row_id % 5 = 4 then 1 else 0 end" if valid else "0"
+    """With ``valid``, later rows of a conversation whose class some first row has are the validation sheet."""
+    split = "case when sheet_no > 1 and n.name in (select m.name from sheet1 f join names m on m.id = f.pred where f.sheet_no = 1) then 1 else 0 end" if valid else "0"
     return f"""
-with sheet as (select s.*, n.name as lab, {split} as split_order from ({_SHEET_SQL}) s join (values {_SHEET_NAMES}) n(id, name) on s.pred = n.id),
+with names as (select * from (values {_SHEET_NAMES}) n(id, name)),
+sheet1 as materialized ({_SHEET_SQL}),
+sheet as (select s.*, n.name as lab, {split} as split_order from sheet1 s join names n on s.pred = n.id),
 ids as (select lab, row_number() over (order by first_row, lab) - 1 as id, count(*) over () as n
-        from (select lab, min(row_id) as first_row from sheet where split_order = 0 group by lab) f),
+        from (select lab, min(struct_pack(a := conv_id, b := sheet_no)) as first_row from sheet where split_order = 0 group by lab) f),
 pairs as (
-  select row_id, split_order, 1 as slot, user_1 as Q, reply_1 as A, lab from sheet
-  union all select row_id, split_order, 2, user_2, reply_2, lab from sheet
-  union all select row_id, split_order, 3, user_3, reply_3, lab from sheet),
+  select conv_id, sheet_no, split_order, 1 as slot, user_1 as Q, reply_1 as A, lab from sheet
+  union all select conv_id, sheet_no, split_order, 2, user_2, reply_2, lab from sheet
+  union all select conv_id, sheet_no, split_order, 3, user_3, reply_3, lab from sheet),
 rows as (
-  select p.Q, p.A, ids.id as label, p.slot, p.split_order, p.row_id
+  select p.Q, p.A, ids.id as label, p.slot, p.split_order, p.conv_id as k1, p.sheet_no as k2
   from pairs p join ids on p.lab = ids.lab where p.Q is not null and p.A is not null
   union all
   select d.Q, d.A,
          case d.label when 0 then (select max(n) from ids)
                       when 1 then (select id from ids where lab = '슬픈')
                       when 2 then (select id from ids where lab = '기쁨') end,
-         4, 0, d.doc_id * 100000 + d.part_no
+         4, 0, d.doc_id, d.part_no
   from ({DOC_QA_SQL}) d where d.Q is not null and d.A is not null and d.label is not null)
-select cast(row_number() over (order by slot, split_order, row_id) - 1 as bigint) as row_idx, Q, A,
+select cast(row_number() over (order by slot, split_order, k1, k2) - 1 as bigint) as row_idx, Q, A,
        cast(label as integer) as label
 from rows
 """
@@ -203,11 +206,17 @@ def lm_corpus_fifteen(spark, sf):
 
 @register("lm_corpus_two_sheets", _lm_sql(True))
 def lm_corpus_two_sheets(spark, sf):
-    """E2 with a validation sheet: training before validation inside each slot."""
+    """E2 with a validation sheet: training before validation inside each slot.
+
+    The later sheet rows of conversations are the validation sheet; a class that
+    no first row has stays in training, for the operator fails on a validation
+    label that training lacks.
+    """
     sheet = _fifteen_sheet(spark, sf)
-    train, valid = sheet.where("part_no % 5 <> 4"), sheet.where("part_no % 5 = 4")
-    known = train.select(cp.FINE).distinct()
-    return cp.lm_corpus(train, _chat(spark, sf), cp.FINE, valid.join(known, cp.FINE, "left_semi"), key_cols=_KEYS)
+    known = sheet.where("part_no = 1").select(F.col(cp.FINE).alias("_known")).distinct()  # at most the fifteen names
+    sheet = sheet.join(F.broadcast(known), F.col(cp.FINE) == F.col("_known"), "left")
+    later = (F.col("part_no") > 1) & F.col("_known").isNotNull()
+    return cp.lm_corpus(sheet.where(~later).drop("_known"), _chat(spark, sf), cp.FINE, sheet.where(later).drop("_known"), key_cols=_KEYS)
 
 
 # Utterances are the documents' lines under an English tag by language; one tag is dropped.
@@ -222,14 +231,18 @@ def _utterances(spark, sf):
     return lines.select(F.col("doc_id").alias("row_key"), F.col("p").alias("part_no"), cp.UTTER_TEXT, cp.UTTER_TAG)
 
 
+# A first turn of fewer characters than this says little: such rows get one of the source's dropped fine names.
+CURT = 80
+
+
 def _classifier_sql(sheet_label: str, sheet_where: str, english: dict[str, int]) -> str:
     codes = "case tag " + " ".join(f"when '{k}' then '{v}'" for k, v in english.items()) + " else tag end"
     return f"""
-select cast(row_number() over (order by source_order, row_id) - 1 as bigint) as row_idx, text, label from (
-  select 0 as source_order, row_id, user_1 as text, {sheet_label} as label from ({_SHEET_SQL}) s where {sheet_where}
+select cast(row_number() over (order by source_order, k1, k2) - 1 as bigint) as row_idx, text, label from (
+  select 0 as source_order, conv_id as k1, sheet_no as k2, user_1 as text, {sheet_label} as label from ({_SHEET_SQL}) s where {sheet_where}
   union all
-  select 1, row_id, line, {codes} from (
-    select doc_id * 100000 + line_no - 1 as row_id, line, {_TAG_SQL} as tag
+  select 1, doc_id, line_no, line, {codes} from (
+    select x.doc_id, line_no, line, {_TAG_SQL} as tag
     from ({DOC_LINES}) x join (select doc_id as d, lang from documents) y on x.doc_id = y.d) u where tag <> 'neutral') r
 """
 
@@ -244,9 +257,10 @@ def classifier_corpus_six(spark, sf):
     return cp.classifier_corpus(_sheet(spark, sf).withColumn(cp.BIG, big), _utterances(spark, sf), 6, _KEYS)
 
 
-@register("classifier_corpus_fifteen", _classifier_sql("cast(pred as varchar)", "row_id % 16 <> 15", cat.ENGLISH_TO_FIFTEEN))
+@register("classifier_corpus_fifteen", _classifier_sql("cast(pred as varchar)", f"length(user_1) >= {CURT}", cat.ENGLISH_TO_FIFTEEN))
 def classifier_corpus_fifteen(spark, sf):
     """E3, fifteen classes: fine names collapse, a dropped name takes its rows along."""
-    fine = F.expr(f"CASE WHEN (row_key * 1000 + part_no) % 16 = 15 THEN '{cat.FINE_DROPPED[0]}' ELSE CASE pred "
+    dropped = "element_at(array(" + ", ".join(f"'{n}'" for n in cat.FINE_DROPPED) + f"), pred % {len(cat.FINE_DROPPED)} + 1)"
+    fine = F.expr(f"CASE WHEN length(`{cp.HUMAN[0]}`) < {CURT} THEN {dropped} ELSE CASE pred "
                   + " ".join(f"WHEN {i} THEN '{v[-1]}'" for i, v in cat.FINE_TO_FIFTEEN.items()) + " END END")
     return cp.classifier_corpus(_sheet(spark, sf).withColumn(cp.FINE, fine), _utterances(spark, sf), 15, _KEYS)

@@ -15,7 +15,7 @@ from moodspark.operators.recommend import daily_counts, dominant
 from moodspark.plans import q_sequences as qs
 from moodspark.plans.registry import register
 from moodspark.plans.sqlbits import scored_lines, tokens_of
-from moodspark.session import written
+from moodspark.session import scratch_path, written
 from moodspark.sources.tables import table
 
 # The LM evaluation grid of the source scripts.
@@ -27,6 +27,7 @@ GRID_EPOCHS = list(range(1, 11))
 LOG_EVERY = 2
 QA_BATCH = 32
 EVAL_BATCH = 64
+CLASSES = 15
 
 
 _CELLS = [(d, b, lr, e) for d in GRID_DATASETS for b in GRID_BATCH_SIZES for lr in GRID_LR_FACTORS for e in GRID_EPOCHS]
@@ -225,21 +226,23 @@ def eval_grid(spark, sf):
     return _grid_rows(spark, sf).select("run_name", "item_id", "pred")
 
 
-# Listing of saved artifacts, from a table: nation k stands for the artifact of grid cell 2 k.
 @register("eval_grid_missing", f"""
 select {_RUN_NAME_SQL} as run_name, (select count(*) from benchmark) as n_prompts_skipped
 from (values {_GRID_VALUES}) g(cell, dataset, batch_size, lr_factor, epoch)
-where cell not in (select n_nationkey * 2 from nation)
+where not exists (select 1 from ({_PROMPT_PRED_SQL}) p where p.pred = g.cell % {CLASSES})
 """)
 def eval_grid_missing(spark, sf):
-    """The grid's cells meet the listing first; prompts are only counted."""
-    grid = ev.param_grid(GRID_DATASETS, GRID_BATCH_SIZES, GRID_LR_FACTORS, GRID_EPOCHS)
-    cells = spark.range(1).select(F.posexplode(grid).alias("cell", "cfg")).select(
+    """A sink writes one folder of hits per run, the files below it are listed, and runs without any are reported.
+
+    Cell k looks for class k mod 15 among the predictions; without a hit there is nothing to write.
+    """
+    cells = spark.range(1).select(F.posexplode(ev.param_grid(GRID_DATASETS, GRID_BATCH_SIZES, GRID_LR_FACTORS, GRID_EPOCHS)).alias("cell", "cfg")).select(
         "cell", ev.run_name(F.col("cfg.dataset"), F.col("cfg.batch_size"), F.col("cfg.lr_factor"), F.col("cfg.epoch")).alias("run_name"))
-    saved = table(spark, sf, "nation").select((F.col("n_nationkey") * 2).cast("int").alias("cell"))
-    listing = cells.join(saved, "cell").select("run_name")
+    hits = _prompt_preds(spark, sf).join(F.broadcast(cells), F.col("pred") == F.col("cell") % CLASSES)  # the grid is a literal
+    path = scratch_path(spark, "artifacts")
+    ev.write_artifacts(hits.select("run_name", "item_id", "pred"), path)
     prompts = table(spark, sf, "benchmark").agg(F.count(F.lit(1))).scalar()
-    return ev.missing_runs(cells, listing).select("run_name", prompts.alias("n_prompts_skipped"))
+    return ev.missing_runs(cells, ev.listed_artifacts(spark, path)).select("run_name", prompts.alias("n_prompts_skipped"))
 
 
 @register("prompt_labels", f"""

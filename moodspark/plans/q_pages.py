@@ -93,7 +93,7 @@ def title_parts(spark, sf):
 @register("page_container_text", f"select page_id, {_unescape_sql(_no_tags(AD_SQL))} as ad_text from pages")
 def page_container_text(spark, sf):
     pages = table(spark, sf, "pages", ["page_id"]).select("page_id", "html")
-    return pages.select("page_id", hx.element_text(F.col("html"), "div", "ad").alias("ad_text"))
+    return pages.select("page_id", hx.container_text(F.col("html"), "div", "ad").alias("ad_text"))
 
 
 @register("page_container_chain", f"""
@@ -117,6 +117,55 @@ def page_meta(spark, sf):
                         hx.meta_property(F.col("html"), "og:title").alias("og_title"))
 
 
+# The source's own page form, which the fixture lacks, made by Spark out of each fixture page: og:title behind
+# another attribute, and the lyrics in a classed container with a block nested in it. A url with a query has no
+# og:title, one with a fragment no container.
+def _escaped(c):
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(char), F.lit(name))
+    return c
+
+
+def _song_pages(spark, sf):
+    pages = table(spark, sf, "pages", ["page_id"])
+    rows = pages.select("page_id", "url", hx.title_text(F.col("html")).alias("t"), hx.paragraphs(F.col("html")).alias("ls"))
+    title, lines = F.coalesce("t", F.lit("")), F.col("ls")
+    meta = F.when(~F.col("url").contains("?"), F.concat(F.lit('<meta content="'), _escaped(F.concat(title, F.lit(" / "), "url")), F.lit('" property="og:title">')))
+    first, rest = F.coalesce(F.get(lines, F.lit(0)), F.lit("")), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n")
+    box = F.when(~F.col("url").contains("#"), F.concat(
+        F.lit('<div class="box lyricsContainer wide"><div class="inner">'), _escaped(first), F.lit("</div><p><xmp>\n"), _escaped(rest), F.lit("</xmp></p></div>")))
+    html = F.concat(F.lit('<html><head><meta property="og:type" content="song">'), F.coalesce(meta, F.lit("")),
+                    F.lit('</head><body><div class="lyricsContainerSmall">no lyrics</div>'), F.coalesce(box, F.lit("")),
+                    F.lit('<div class="lyricsContainer">a second container</div></body></html>'))
+    return rows.select("page_id", html.alias("html"))
+
+
+_SONG_FIELDS_SQL = f"""
+select page_id, og_title, list_filter(list_transform(string_split(lyrics, chr(10)), lambda x: trim(x, '{WS}')), lambda x: x <> '') as lines
+from (select page_id, case when not contains(url, '?') then coalesce(title, '') || ' / ' || url end as og_title,
+             case when contains(url, '#') then 'a second container' else coalesce(ls[1], '') || chr(10) || array_to_string(ls[2:], chr(10)) end as lyrics
+      from (select page_id, url, {TITLE_SQL} as title, {P_LINES_SQL} as ls from pages) p) q
+"""
+
+
+@register("song_page_fields", f"""
+select page_id, og_title, trim(string_split(og_title, '/')[1], ' ') as first_part, cast(len(string_split(og_title, '/')) as integer) as n_parts,
+       array_to_string(lines, chr(10)) as lyrics, cast(len(lines) as integer) as n_lines,
+       case when og_title is null then 'no_title' when len(lines) = 0 then 'no_lines' else 'kept' end as reason
+from ({_SONG_FIELDS_SQL}) s
+""")
+def song_page_fields(spark, sf):
+    """P3-P7 on the source's page form: og:title, its parts, the first lyrics container's lines, and what is missing."""
+    html = F.col("html")
+    found = _song_pages(spark, sf).select("page_id", hx.meta_property(html, "og:title").alias("og_title"),
+                                          tx.text_lines(hx.container_text(html, "div", "lyricsContainer")).alias("lines"))
+    parts = hx.split_parts(F.col("og_title"))
+    tagged = pg.presence_cascade(found, [("no_title", F.col("og_title").isNotNull()), ("no_lines", F.size("lines") > 0)])
+    return tagged.select("page_id", "og_title", F.trim(F.get(parts, F.lit(0))).alias("first_part"),
+                         F.when(F.col("og_title").isNotNull(), F.size(parts)).alias("n_parts"),
+                         F.array_join("lines", "\n").alias("lyrics"), F.size("lines").alias("n_lines"), "reason")
+
+
 @register("page_rejects", f"""
 select reason, count(*) as n_pages from (
   select case when raw_title is null then 'no_title'
@@ -231,6 +280,26 @@ def snapshot_rows(spark, sf):
     return spark.read.parquet(path).select("user_id", "props", "event_id", "snapshot_no")
 
 
+@register("snapshot_incremental", """
+with d as (select crawl_date, cast(ceil(row_number() over (order by crawl_date) / 12.0) as integer) as snapshot_no
+           from (select distinct cast(ts as date) as crawl_date from events) x)
+select user_id, props, event_id, snapshot_no from (
+  select user_id, props, event_id, snapshot_no, row_number() over (partition by user_id, props order by snapshot_no, event_id) as rn
+  from events e join d on cast(e.ts as date) = d.crawl_date) r
+where rn = 1
+""")
+def snapshot_incremental(spark, sf):
+    """S5 as the crawl goes on: every 12 dates add the keys that are new, and read no earlier event again."""
+    events = table(spark, sf, "events").select("user_id", "props", "event_id", "ts")
+    path = scratch_path(spark, "snapshots")
+    dates = [r["crawl_date"] for r in pg.crawl_date_index(events.select(F.to_date("ts").alias("d")), "d").orderBy("date_idx").collect()]  # the calendar
+    for no, at in enumerate(range(0, len(dates), 12), 1):
+        first, last = dates[at], dates[min(at + 11, len(dates) - 1)]
+        batch = events.where((F.col("ts") >= F.lit(first).cast("timestamp")) & (F.col("ts") < F.date_add(F.lit(last), 1).cast("timestamp")))
+        pg.add_snapshot(batch, ["user_id", "props"], "event_id", [], path, no)
+    return spark.read.parquet(path).select("user_id", "props", "event_id", "snapshot_no")
+
+
 @register("page_emotion_hist", f"""
 with r as ({RECORDS_SQL}),
 d as (select page_id, title, lines from (

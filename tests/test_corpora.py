@@ -1,5 +1,7 @@
 """E2/E3 corpus builders on hand-made sheets with the source's Korean columns."""
 
+from pyspark.sql import functions as F
+
 import pytest
 from pyspark.errors import PySparkException
 
@@ -54,3 +56,34 @@ def test_classifier_corpus_six_lenient(spark):
     utter = spark.createDataFrame([(0, "x", "disgust"), (1, "y", "neutral")], "row_id long, `발화문` string, `상황` string")
     out = [(r["text"], r["label"]) for r in cp.classifier_corpus(sheet, utter, 6).orderBy("row_idx").collect()]
     assert out == [("a", "0"), ("b", "5"), ("c", "몰라"), ("x", "2")]
+
+
+def test_every_branch_of_the_fixture_corpora_holds_rows(spark):
+    """The validation sheet, the dropped names and the neutral tag take rows of the fixture, and of the data alone."""
+    from moodspark.operators import corpora as cp
+    from moodspark.plans import q_dialogue as q
+    from moodspark.plans.registry import queries
+    sf, seen, real = "/root/testdata/sf0.01", {}, cp.lm_corpus
+
+    def spy(train, chatbot, label_col, valid, **kw):
+        seen.update(train=train.count(), valid=valid.count(), labels=[{r[0] for r in x.select(label_col).distinct().collect()} for x in (train, valid)])
+        return real(train, chatbot, label_col, valid, **kw)
+    cp.lm_corpus = spy
+    try:
+        queries()["lm_corpus_two_sheets"](spark, sf)
+    finally:
+        cp.lm_corpus = real
+    assert seen["train"] > 0 and seen["valid"] > 0 and seen["labels"][1] <= seen["labels"][0]
+    sheet = q._sheet(spark, sf)
+    assert 0 < sheet.where(F.length(cp.HUMAN[0]) < q.CURT).count() < sheet.count() == seen["train"] + seen["valid"]
+
+
+def test_a_validation_label_that_training_lacks_fails_by_name(spark):
+    import pytest
+    from moodspark.operators import corpora as cp
+    cols = "row_id long, `감정_소분류` string, `사람문장1` string, `사람문장2` string, `사람문장3` string, `시스템문장1` string, `시스템문장2` string, `시스템문장3` string"
+    row = lambda i, name: (i, name, "q", None, None, "a", None, None)
+    train, valid = spark.createDataFrame([row(1, "슬픈"), row(2, "기쁨")], cols), spark.createDataFrame([row(3, "외로운")], cols)
+    chat = spark.createDataFrame([(1, "Q", "A", 0)], "row_id long, Q string, A string, label int")
+    with pytest.raises(Exception, match="외로운"):
+        cp.lm_corpus(train, chat, cp.FINE, valid).collect()

@@ -34,3 +34,40 @@ def test_grid_and_missing(spark):
     listing = spark.createDataFrame([("m_batch64_lr3_epoch1",), ("m_batch96_lr3_epoch2",)], "run_name string")
     missing = sorted({r["run_name"] for r in ev.missing_runs(rows, listing).collect()})
     assert missing == ["m_batch64_lr3_epoch2", "m_batch96_lr3_epoch1"]
+
+
+def test_listing_follows_the_files_written(spark, tmpdir_):
+    import os
+    path = os.path.join(tmpdir_, "artifacts")
+    rows = spark.createDataFrame([("m_batch64_lr3_epoch1", 1), ("m_batch64_lr3_epoch1", 2), ("m_batch96_lr3_epoch2", 1)], "run_name string, item_id int")
+    ev.write_artifacts(rows, path)
+    assert sorted(r["run_name"] for r in ev.listed_artifacts(spark, path).collect()) == ["m_batch64_lr3_epoch1", "m_batch96_lr3_epoch2"]
+
+
+def test_copies_are_on_one_side(spark):
+    rows = [(i, f"text {i % 200}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id int, text string").withColumn("split", ev.content_split(F.col("text")))
+    sides = {}
+    for r in df.collect():
+        sides.setdefault(r["text"], set()).add(r["split"])
+    assert all(len(s) == 1 for s in sides.values())
+    share = sum(s == {1} for s in sides.values()) / len(sides)
+    assert 0.1 < share < 0.3
+
+
+def test_split_batches_count_each_side_from_zero(spark):
+    df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(50)], "id int, split int").repartition(3)
+    got = {(r["split"], r["id"]): r["batch_id"] for r in ev.split_batches(df, ["id"], 5).collect()}
+    for side in (0, 1):
+        ids = [i for i in range(50) if int(i % 4 == 0) == side]
+        assert [got[(side, i)] for i in ids] == [n // 5 for n in range(len(ids))]
+
+
+def test_bigram_model_of_training_positions(spark):
+    """Smoothed losses for pairs and tokens that training lacks; ties to the lowest label."""
+    train = [(1, 5)] * 3 + [(1, 6)] * 3 + [(2, 7)] * 4
+    test = [(1, 9), (2, 7), (3, 5)]
+    df = spark.createDataFrame([(t, la, 0) for t, la in train] + [(t, la, 1) for t, la in test], "token_id int, label_id int, split int")
+    got = {(r["token_id"], r["label_id"]): (r["pred"], round(r["loss"], 9)) for r in ev.bigram_model(df, F.col("split") == 0).collect()}
+    share = lambda n, total: round(1 - (n + 1) / (total + 3), 9)
+    assert got == {(1, 5): (5, share(3, 6)), (1, 6): (5, share(3, 6)), (1, 9): (5, share(0, 6)), (2, 7): (7, share(4, 4)), (3, 5): (7, share(0, 0))}

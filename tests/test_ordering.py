@@ -53,3 +53,52 @@ def test_running_total_over_several_levels(spark):
     for levels in (0, 1, 3):
         got = [r["v_cum"] for r in running_total(df, "b", ["v"], block=4, levels=levels).orderBy("b").collect()]
         assert got == pd.Series([i % 5 for i in range(900)]).cumsum().tolist()
+
+
+def test_repeated_keys_are_numbered_not_multiplied(spark):
+    rows = [(1, "a"), (1, "b"), (1, "b"), (None, "c"), (None, "c"), (2, "d")]
+    df = spark.createDataFrame(rows, "k int, t string").repartition(3)
+    got = global_index(df, [F.col("k").asc_nulls_last()]).collect()
+    assert sorted(r["row_idx"] for r in got) == list(range(6))
+    assert sorted((str(r["k"]), r["t"]) for r in got) == sorted((str(k), t) for k, t in rows)
+    assert [r["k"] for r in sorted(got, key=lambda r: r["row_idx"])] == [1, 1, 1, 2, None, None]
+
+
+def _scans(run, marks=("conversations.parquet", "documents.parquet")):
+    """How many scans with one of ``marks`` the plans hold that ``run`` writes, and its result."""
+    from moodspark import session
+    from moodspark.operators import evaluation, ordering
+    from moodspark.plans import q_eval
+    plans, real = [], session.written
+
+    def spy(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+    places = [m for m in (ordering, evaluation, q_eval)]
+    for m in places:
+        m.written = spy
+    try:
+        out = run()
+        plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
+    finally:
+        for m in places:
+            m.written = real
+    return [(name, sum(m in line for line in plan.splitlines() for m in marks)) for name, plan in plans]
+
+
+def test_the_corpus_is_encoded_once(spark):
+    """One plan reads the tables for the rows (and one for the vocabulary); models, batches and reports read what it wrote."""
+    from moodspark.plans.registry import queries
+    sf = "/root/testdata/sf0.001"
+    for name in ("batch_collate", "accuracy_masked", "loss_masked_mean"):
+        scans = _scans(lambda: queries()[name](spark, sf))
+        reading = [n for _, n in scans if n]
+        assert len(reading) == 2 and scans[-1] == ("result", 0), (name, scans)
+
+
+def test_the_input_of_an_index_is_scanned_once(spark, tmpdir_):
+    import os
+    path = os.path.join(tmpdir_, "documents.parquet")
+    spark.createDataFrame([(i % 7, i, "t" * i) for i in range(100)], "k int, id int, text string").write.parquet(path)
+    scans = _scans(lambda: global_index(spark.read.parquet(path), ["k", "id"]), ["ReadSchema: struct<k:int,id:int,text:string>"])
+    assert scans[0] == ("index", 1)

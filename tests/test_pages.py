@@ -76,18 +76,39 @@ def test_cumulative_snapshots_every_12_with_final(spark):
     assert [(r["snapshot_no"], r["snapshot_date"], r["n_keys"]) for r in snaps] == expect
 
 
-def test_parsed_extractor_handles_nesting(spark):
-    from moodspark.functions.html_parsed import element_text_parsed
-    from moodspark.session import ship_package
-    ship_package(spark)
-    html = ('<div class="wrap"><div class="lyricsContainer"><p>첫 줄<div>안쪽</div>둘째 &#44608; &hearts;</p>'
+def test_container_text_handles_nesting(spark):
+    html = ('<div class="wrap"><div class="big lyricsContainer"><p>첫 줄<div>안쪽<div>속</div></div>둘째 &amp; &lt;셋&gt;</p>'
             '</div><div class="lyricsContainer">다음</div></div>')
-    df = spark.createDataFrame([(html,), ("<p>none</p>",)], "html string")
-    got = [r[0] for r in df.select(element_text_parsed(F.col("html"), "div", "lyricsContainer")).collect()]
-    assert got == ["첫 줄안쪽둘째 김 ♥", None]
-    # the regexp extractor stops at the first closing tag (flat layouts only)
-    flat = df.select(hx.element_text(F.col("html"), "div", "lyricsContainer")).first()[0]
-    assert flat == "첫 줄안쪽"
+    df = spark.createDataFrame([(html,), ("<p>none</p>",), ('<div class="lyricsContainerX">no</div>',)], "html string")
+    got = [r[0] for r in df.select(hx.container_text(F.col("html"), "div", "lyricsContainer")).collect()]
+    assert got == ["첫 줄안쪽속둘째 & <셋>", None, None]
+
+
+def test_og_title_with_attributes_in_any_order(spark):
+    pages = [('<meta property="og:title" content="노래 / 가수">', "노래 / 가수"), ('<meta content="A &amp; B" property="og:title"/>', "A & B"),
+             ('<meta property="og:type" content="song"><meta name="x" property="og:title" content="">', ""), ('<meta property="og:titles" content="x">', None)]
+    df = spark.createDataFrame([(h,) for h, _ in pages], "html string")
+    assert [r[0] for r in df.select(hx.meta_property(F.col("html"), "og:title")).collect()] == [w for _, w in pages]
+
+
+def test_incremental_snapshots(spark, tmpdir_):
+    """A step keeps what is new, reads the keys of earlier ones only, and may be repeated."""
+    import os
+    path = os.path.join(tmpdir_, "snaps")
+    batches = [[(1, "a", "x"), (2, "a", "y"), (3, None, "n")], [(4, "b", "z"), (5, "a", "w"), (6, None, "m")], [(0, "c", "q"), (9, "b", "late")]]
+    frames = [spark.createDataFrame(b, "seq int, title string, url string") for b in batches]
+    for no in (1, 2, 3, 2, 3):
+        pg.add_snapshot(frames[no - 1], ["title"], "seq", ["url"], path, no)
+    got = {(r["title"], r["seq"], r["url"], r["snapshot_no"]) for r in spark.read.parquet(path).collect()}
+    assert got == {("a", 1, "x", 1), (None, 3, "n", 1), ("b", 4, "z", 2), ("c", 0, "q", 3)}
+    seen, real = [], type(frames[0]).join
+    type(frames[0]).join = lambda self, other, *a: seen.append(real(self, other, *a)) or seen[-1]
+    try:
+        pg.add_snapshot(frames[2], ["title"], "seq", ["url"], path, 3)
+    finally:
+        type(frames[0]).join = real
+    scans = [x for x in seen[0]._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in x]
+    assert len(scans) == 1 and "ReadSchema: struct<title:string>" in scans[0] and "snapshot_no" in scans[0].split("PartitionFilters")[1]
 
 
 def test_snapshot_sink_reproduces_cumulative_workbooks(spark, tmpdir_):

@@ -34,17 +34,6 @@ def test_scorer_combines_before_the_exchange(spark):
     assert "partial_count" in plan and "BroadcastHashJoin" in plan and "Python" not in plan
 
 
-def test_no_text_in_the_index_checkpoint(spark):
-    from moodspark.operators import ordering
-    seen, real = [], ordering.materialize
-    ordering.materialize = lambda df: seen.append(df.columns) or real(df)
-    try:
-        queries()["reindex"](spark, SF)
-    finally:
-        ordering.materialize = real
-    assert seen and all(not {"Q", "A"} & set(c) for c in seen)
-
-
 def test_catalog_joins_are_broadcast(spark):
     for name in ("label_strict", "label_collapse", "label_lenient"):
         plan = _plan(queries()[name](spark, SF))

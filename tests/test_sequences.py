@@ -86,13 +86,44 @@ def test_leading_tokens_equals_full_split(spark):
         assert r["a"] == r["b"]
 
 
-def test_subword_hook_and_detokenize(spark):
-    from moodspark.functions import text as tx
-    from moodspark.session import ship_package
-    ship_package(spark)
-    df = spark.createDataFrame([(1, "안녕 하세요 world"), (2, None)], "id int, t string").repartition(2)
-    out = df.select("id", sq.subword_tokens(F.col("t"), "ws", sq.WhitespacePieces).alias("p"))
-    got = {r["id"]: r["p"] for r in out.collect()}
-    assert got == {1: ["▁안녕", "▁하세요", "▁world"], 2: None}
-    back = out.where("id = 1").select(tx.detokenize(F.col("p")).alias("d")).first()["d"]
-    assert back == "안녕 하세요 world"
+def _executed(df):
+    """(node, description, metrics) of the plan as it ran."""
+    df.collect()
+    out = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        metrics = node.metrics()
+        keys, found = metrics.keysIterator(), {}
+        while keys.hasNext():
+            k = keys.next()
+            found[k] = metrics.apply(k).value()
+        out.append((name, node.simpleString(200), found))
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+    walk(df._jdf.queryExecution().executedPlan())
+    return out
+
+
+def test_only_tail_tokens_are_shuffled(spark, monkeypatch):
+    """Hot tokens get their id where they are: the exchange by token carries the tail alone."""
+    monkeypatch.setattr(sq, "HOT_TOKENS", 3)
+    rows = [(i, ["the", "of", "and", f"rare{i % 40}"][i % 4]) for i in range(2000)] + [(9000, None), (9001, "unknown")]
+    tokens = spark.createDataFrame(rows, "pos int, token string").repartition(4)
+    vocab = sq.build_vocab(tokens.where("token is not null and token <> 'unknown'"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        encoded = sq.encode_ids(tokens, vocab)
+        ids = {r["token"]: r["token_id"] for r in vocab.collect()}
+        assert sorted((r["pos"], r["token_id"]) for r in encoded.collect()) == sorted((p, ids.get(t, sq.UNK_ID)) for p, t in rows)
+        hot = {t for t, i in ids.items() if i < len(sq.SPECIALS) + 3}
+        tail = sum(t is not None and t not in hot for _, t in rows)
+        by_token = [m["shuffleRecordsWritten"] for name, text, m in _executed(encoded) if name == "Exchange" and "hashpartitioning(token" in text]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < tail < len(rows) / 2 and tail in by_token and len(rows) not in by_token

@@ -13,16 +13,6 @@ def test_argmax_first_on_ties_and_nulls(spark):
     assert got == [1, 1, 0]
 
 
-def test_linear_head_matches_numpy(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(20, 6)).astype(np.float32)
-    w = [[float(v) for v in row] for row in rng.integers(-2, 3, size=(4, 6))]
-    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(20)], "id int, v array<float>")
-    got = {r["id"]: r["pred"] for r in sc.linear_head(df, "v", w).collect()}
-    logits = x.astype(np.float64) @ np.asarray(w).T
-    assert got == {i: int(np.argmax(logits[i])) for i in range(20)}
-
-
 def _brute(vecs, k, exclude_self=True):
     out = {}
     for q, qv in vecs.items():
