@@ -106,6 +106,68 @@ def container_text(html: Column, tag: str, cls: str | None = None) -> Column:
     return tx.html_unescape_basic(tx.strip_tags(container_inner(html, tag, cls)))
 
 
+# ---- One pass over a page's tags ---------------------------------------------
+
+_HEAD = r"""^(?:[^>"']|"[^"]*"|'[^']*')*>"""
+
+
+def tag_attr(head: Column, attr: str) -> Column:
+    """Value of an attribute in a tag's head (double, single or no quotes), decoded; NULL if absent."""
+    pattern = rf"""(?is)\s{re.escape(attr)}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*[F.regexp_extract(head, pattern, g) for g in (1, 2, 3)])
+    return F.when(head.rlike(pattern), tx.html_unescape_basic(value))
+
+
+def tags(html: Column) -> Column:
+    """The page's tags in order: array of (name, fin (an end tag), head, classes, text (up to the next tag, raw))."""
+    pieces = F.split(visible(html), "<", -1)
+
+    def tag(x: Column) -> Column:
+        head = F.regexp_extract(x, _HEAD, 0)
+        return F.struct(F.lower(F.regexp_extract(x, r"^/?([A-Za-z][A-Za-z0-9]*)", 1)).alias("name"), F.startswith(x, F.lit("/")).alias("fin"),
+                        head.alias("head"), F.split(F.coalesce(tag_attr(head, "class"), F.lit("")), r"\s+").alias("classes"),
+                        F.substr(x, F.length(head) + 1).alias("text"))
+    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), tag)
+
+
+def container_spans(tags_col: str, containers: list[tuple[str, str | None]]) -> Column:
+    """Per container (tag, class) the span (a, z) of the tags in its first element, nested ones of the same tag included.
+
+    One walk along the tags for all containers: each keeps how many elements of
+    its tag are open. ``a`` is 0 without such an element, ``z`` -1 if it never ends.
+    """
+    text = lambda x: "CAST(NULL AS STRING)" if x is None else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    specs = ", ".join(f"named_struct('tag', {text(t.lower())}, 'cls', {text(c)})" for t, c in containers)
+    zero = ", ".join("named_struct('d', 0, 'a', 0, 'z', -1)" for _ in containers)
+    return F.expr(f"""aggregate(`{tags_col}`, named_struct('i', 0, 's', array({zero})), (acc, t) -> named_struct('i', acc.i + 1, 's',
+        zip_with(acc.s, array({specs}), (s, p) -> CASE
+            WHEN t.name <> p.tag OR s.d < 0 THEN s
+            WHEN s.d = 0 AND NOT t.fin AND (p.cls IS NULL OR array_contains(t.classes, p.cls)) THEN named_struct('d', 1, 'a', acc.i + 1, 'z', -1)
+            WHEN s.d > 0 AND NOT t.fin THEN named_struct('d', s.d + 1, 'a', s.a, 'z', s.z)
+            WHEN s.d = 1 THEN named_struct('d', -1, 'a', s.a, 'z', acc.i)
+            WHEN s.d > 1 THEN named_struct('d', s.d - 1, 'a', s.a, 'z', s.z)
+            ELSE s END)), acc -> acc.s)""")
+
+
+def span_text(tags_col: str, span: Column) -> Column:
+    """Text of a container by its span, entities decoded; NULL without the container."""
+    n = F.when(span["z"] < 0, F.size(tags_col)).otherwise(span["z"]) - span["a"] + 1
+    raw = F.array_join(F.transform(F.slice(tags_col, F.greatest(span["a"], F.lit(1)), F.greatest(n, F.lit(0))), lambda t: t["text"]), "")
+    return F.when(span["a"] > 0, tx.html_unescape_basic(raw))
+
+
+def tag_values(tags_col: str, tag: str, attr: str, cls: str | None = None, where: tuple[str, str] | None = None) -> Column:
+    """``attr`` of every start tag ``tag`` (of a class; with an attribute of a certain value) that has it, in order."""
+    def wanted(t: Column) -> Column:
+        ok = (t["name"] == tag) & ~t["fin"]
+        if cls is not None:
+            ok = ok & F.array_contains(t["classes"], cls)
+        if where is not None:
+            ok = ok & (tag_attr(t["head"], where[0]) == where[1])
+        return ok
+    return F.filter(F.transform(F.filter(tags_col, wanted), lambda t: tag_attr(t["head"], attr)), lambda v: v.isNotNull())
+
+
 def title_text(html: Column) -> Column:
     """P4 (fixture form): decoded ``<title>`` text, NULL if absent."""
     return tx.html_unescape_basic(element_inner(html, "title"))

@@ -64,6 +64,24 @@ def ragged_to_wide(df: DataFrame, array_col: str, key_cols: list[str], width: in
     return df.selectExpr(*keys, *[f"get(`{array_col}`, {i}) AS {prefix}{i:03d}" for i in range(width)])
 
 
+def extract_fields(df: DataFrame, html_col: str, containers: dict[str, tuple[str, str | None]], metas: dict[str, str] | None = None,
+                   links: dict[str, tuple[str, str | None, str]] | None = None) -> DataFrame:
+    """P2-P4 at once: ``df`` without the page, with one column per field; the page is cut into tags once.
+
+    ``containers``: field -> (tag, class), text of the first such element with all
+    that is nested in it. ``metas``: field -> property, the content of the first
+    ``meta`` with it. ``links``: field -> (tag, class, attribute), its values in
+    order. A class may be None. What is absent is NULL, or an empty array of links.
+    """
+    kept = [c for c in df.columns if c != html_col]
+    walked = df.select(*kept, hx.tags(F.col(html_col)).alias("_tags"))
+    walked = walked.select("*", hx.container_spans("_tags", list(containers.values())).alias("_spans"))
+    fields = [hx.span_text("_tags", F.get("_spans", F.lit(i))).alias(name) for i, name in enumerate(containers)]
+    fields += [F.get(hx.tag_values("_tags", "meta", "content", where=("property", prop)), F.lit(0)).alias(name) for name, prop in (metas or {}).items()]
+    fields += [hx.tag_values("_tags", tag, attr, cls).alias(name) for name, (tag, cls, attr) in (links or {}).items()]
+    return walked.select(*kept, *fields)
+
+
 def dedupe_first(df: DataFrame, key_cols: list[str], order_col: str, keep_cols: list[str]) -> DataFrame:
     """P10: first row per key in crawl order (not an arbitrary ``dropDuplicates`` row).
 

@@ -63,11 +63,12 @@ def _records(spark, sf):
     return rec.where(F.col("title").isNotNull())
 
 
+LINKS_SQL = """list_transform(list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*>', 0), lambda t: regexp_matches(t, '\\shref="')),
+                               lambda t: regexp_extract(t, '\\shref="([^"]*)"', 1))"""
+
+
 @register("page_links", f"""
-select page_id, cast(pos as integer) as link_no, href
-from pages, unnest(list_transform(list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*>', 0),
-                                              lambda t: regexp_matches(t, '\\shref="')),
-                                  lambda t: regexp_extract(t, '\\shref="([^"]*)"', 1))) with ordinality as u(href, pos)
+select page_id, cast(pos as integer) as link_no, href from pages, unnest({LINKS_SQL}) with ordinality as u(href, pos)
 """)
 def page_links(spark, sf):
     pages = table(spark, sf, "pages", ["page_id"]).select("page_id", "html")
@@ -128,42 +129,47 @@ def _escaped(c):
 
 def _song_pages(spark, sf):
     pages = table(spark, sf, "pages", ["page_id"])
-    rows = pages.select("page_id", "url", hx.title_text(F.col("html")).alias("t"), hx.paragraphs(F.col("html")).alias("ls"))
+    rows = pages.select("page_id", "url", hx.title_text(F.col("html")).alias("t"), hx.paragraphs(F.col("html")).alias("ls"),
+                        hx.links(F.col("html"), "a").alias("as"))
     title, lines = F.coalesce("t", F.lit("")), F.col("ls")
     meta = F.when(~F.col("url").contains("?"), F.concat(F.lit('<meta content="'), _escaped(F.concat(title, F.lit(" / "), "url")), F.lit('" property="og:title">')))
     first, rest = F.coalesce(F.get(lines, F.lit(0)), F.lit("")), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n")
     box = F.when(~F.col("url").contains("#"), F.concat(
         F.lit('<div class="box lyricsContainer wide"><div class="inner">'), _escaped(first), F.lit("</div><p><xmp>\n"), _escaped(rest), F.lit("</xmp></p></div>")))
+    anchors = F.transform("as", lambda x, i: F.concat(F.lit("<a class='btn "), F.when(i % 2 == 0, "trackInfo").otherwise("trackInfoSmall"), F.lit("' href="), F.lit('"'),
+                                                      x, F.lit('">link</a>')))
     html = F.concat(F.lit('<html><head><meta property="og:type" content="song">'), F.coalesce(meta, F.lit("")),
                     F.lit('</head><body><div class="lyricsContainerSmall">no lyrics</div>'), F.coalesce(box, F.lit("")),
-                    F.lit('<div class="lyricsContainer">a second container</div></body></html>'))
+                    F.lit('<!-- <a class="trackInfo" href="off"> --><div class="lyricsContainer">a second container</div>'),
+                    F.array_join(anchors, " > "), F.lit("</body></html>"))
     return rows.select("page_id", html.alias("html"))
 
 
 _SONG_FIELDS_SQL = f"""
-select page_id, og_title, list_filter(list_transform(string_split(lyrics, chr(10)), lambda x: trim(x, '{WS}')), lambda x: x <> '') as lines
-from (select page_id, case when not contains(url, '?') then coalesce(title, '') || ' / ' || url end as og_title,
+select page_id, og_title, tracks, list_filter(list_transform(string_split(lyrics, chr(10)), lambda x: trim(x, '{WS}')), lambda x: x <> '') as lines
+from (select page_id, list_filter(hrefs, lambda x, i: i % 2 = 1) as tracks, case when not contains(url, '?') then coalesce(title, '') || ' / ' || url end as og_title,
              case when contains(url, '#') then 'a second container' else coalesce(ls[1], '') || chr(10) || array_to_string(ls[2:], chr(10)) end as lyrics
-      from (select page_id, url, {TITLE_SQL} as title, {P_LINES_SQL} as ls from pages) p) q
+      from (select page_id, url, {TITLE_SQL} as title, {P_LINES_SQL} as ls, {LINKS_SQL} as hrefs from pages) p) q
 """
 
 
 @register("song_page_fields", f"""
 select page_id, og_title, trim(string_split(og_title, '/')[1], ' ') as first_part, cast(len(string_split(og_title, '/')) as integer) as n_parts,
        array_to_string(lines, chr(10)) as lyrics, cast(len(lines) as integer) as n_lines,
+       array_to_string(tracks, ' ') as tracks, cast(len(tracks) as integer) as n_tracks,
        case when og_title is null then 'no_title' when len(lines) = 0 then 'no_lines' else 'kept' end as reason
 from ({_SONG_FIELDS_SQL}) s
 """)
 def song_page_fields(spark, sf):
-    """P3-P7 on the source's page form: og:title, its parts, the first lyrics container's lines, and what is missing."""
-    html = F.col("html")
-    found = _song_pages(spark, sf).select("page_id", hx.meta_property(html, "og:title").alias("og_title"),
-                                          tx.text_lines(hx.container_text(html, "div", "lyricsContainer")).alias("lines"))
+    """P2-P7 on the source's page form: og:title, its parts, the first lyrics container's lines, tracks by class, and what is missing."""
+    found = pg.extract_fields(_song_pages(spark, sf), "html", {"text": ("div", "lyricsContainer")}, {"og_title": "og:title"},
+                              {"tracks": ("a", "trackInfo", "href")}).withColumn("lines", tx.text_lines("text"))
     parts = hx.split_parts(F.col("og_title"))
     tagged = pg.presence_cascade(found, [("no_title", F.col("og_title").isNotNull()), ("no_lines", F.size("lines") > 0)])
     return tagged.select("page_id", "og_title", F.trim(F.get(parts, F.lit(0))).alias("first_part"),
                          F.when(F.col("og_title").isNotNull(), F.size(parts)).alias("n_parts"),
-                         F.array_join("lines", "\n").alias("lyrics"), F.size("lines").alias("n_lines"), "reason")
+                         F.array_join("lines", "\n").alias("lyrics"), F.size("lines").alias("n_lines"),
+                         F.array_join("tracks", " ").alias("tracks"), F.size("tracks").alias("n_tracks"), "reason")
 
 
 @register("page_rejects", f"""

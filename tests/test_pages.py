@@ -197,3 +197,58 @@ def test_references_without_semicolon(spark):
     cases = {"a&ampb&amp;c": "a&b&c", "&amp;lt;": "&lt;", "&copy;&middot &quot;x&#39;": '\u00a9\u00b7 "x\''}
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     assert {r[0]: r[1] for r in df.select("s", tx.html_unescape_basic("s")).collect()} == cases
+
+
+def _parsed(html, tag, cls):
+    """Text of the first ``tag`` of a class, by the standard parser."""
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        depth, out, done, seen = 0, [], False, False
+
+        def handle_starttag(self, name, attrs):
+            if self.done or name != tag:
+                return
+            if self.depth or cls is None or cls in (dict(attrs).get("class") or "").split():
+                self.depth, self.seen = self.depth + 1, True
+
+        def handle_endtag(self, name):
+            if name == tag and self.depth:
+                self.depth -= 1
+                self.done = self.done or not self.depth
+
+        def handle_data(self, data):
+            if self.depth:
+                self.out = self.out + [data]
+    walk = Walk(convert_charrefs=True)
+    walk.feed(html)
+    walk.close()
+    return "".join(walk.out) if walk.seen else None
+
+
+def test_containers_of_nested_pages_equal_a_parser(spark):
+    import random
+    rng = random.Random(12)
+
+    def block(depth):
+        tag = rng.choice(["div", "p", "section", "span"])
+        cls = rng.choice(["", ' class="x"', ' id="i" class="a lyrics b"', " class='lyrics'", ' class="lyricsX"', ' data-t="1 > 0" class=x'])
+        inner = "".join(block(depth - 1) if depth and rng.random() < 0.6 else rng.choice(["글 ", "a &amp; b ", "&lt;t&gt; ", "\n", "plain "]) for _ in range(rng.randint(0, 3)))
+        return f"<{tag.upper() if rng.random() < 0.2 else tag}{cls}>{inner}</{tag}>"
+    pages = ["".join(block(4) for _ in range(3)) for _ in range(150)] + ["", "no tags", "<div class='lyrics'>open <b>end", "<!-- <div class='lyrics'>x</div> --><p>y</p>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string").repartition(3)
+    got = pg.extract_fields(df, "html", {"lyrics": ("div", "lyrics"), "first": ("section", None), "spans": ("span", "x")}).collect()
+    assert len(got) == len(pages)
+    clean = [p.replace("<!-- <div class='lyrics'>x</div> -->", "") for p in pages]
+    for r in got:
+        want = [_parsed(clean[r["id"]], t, c) for t, c in (("div", "lyrics"), ("section", None), ("span", "x"))]
+        assert [r["lyrics"], r["first"], r["spans"]] == want, clean[r["id"]]
+
+
+def test_fields_of_one_page_at_once(spark):
+    html = ('<head><meta name="a" content="n"><META content=\'T &quot;x&quot; / B\' property="og:title"><meta property="og:title" content="second"></head>'
+            '<a class="t trackInfo" href="/1?a=1&amp;b=2">x</a><a class="trackInfo">none</a><a href="/no" class="other">y</a><a href=/3 class=trackInfo>z</a>')
+    df = spark.createDataFrame([(1, html), (2, None), (3, "")], "id int, html string")
+    got = {r["id"]: r for r in pg.extract_fields(df, "html", {"box": ("div", None)}, {"og": "og:title", "d": "og:description"}, {"t": ("a", "trackInfo", "href")}).collect()}
+    assert (got[1]["box"], got[1]["og"], got[1]["d"], got[1]["t"]) == (None, 'T "x" / B', None, ["/1?a=1&b=2", "/3"])
+    assert got[2]["og"] is None and got[2]["t"] is None and got[3]["t"] == [] and got[3]["box"] is None
