@@ -106,14 +106,14 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _run_pass(length: int, gram: int):
-    schema = pa.schema([("ah", pa.int64()), ("rd", pa.int64()), ("did", pa.int64()), ("rk", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+    schema = pa.schema([("ah", pa.int64()), ("rd", pa.int64()), ("did", pa.int64()), ("rk", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(out):
             ah, rd, lo, hi = (np.concatenate([o[i] for o in out]) for i in range(4))
             counts = [len(o[0]) for o in out]
             did = pa.array([x for o, c in zip(out, counts) for x in [o[4]] * c], pa.int64())
-            rk = pa.array(np.repeat(np.array([o[5] for o in out], dtype=np.int32), counts))
+            rk = pa.array(np.repeat(np.array([o[5] for o in out], dtype=np.int64), counts))
             return pa.RecordBatch.from_arrays([pa.array(ah), pa.array(rd), did, rk, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], schema=schema)
 
         for batch in batches:
@@ -228,7 +228,7 @@ def repeated_windows(regions: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(found[a:a + max(0, s - length)]) for a, s in zip(heads, sizes)]
 
 
-_RANGES = pa.schema([("did", pa.int64()), ("rk", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+_RANGES = pa.schema([("did", pa.int64()), ("rk", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
 def _as_ranges(found: list[tuple], length: int) -> pa.RecordBatch:
@@ -240,7 +240,7 @@ def _as_ranges(found: list[tuple], length: int) -> pa.RecordBatch:
             rk.append(r)
             start.append(lo + int(at[a]))
             stop.append(lo + int(at[b]) + length)
-    return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(rk, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], schema=_RANGES)
+    return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(rk, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], schema=_RANGES)
 
 
 def _sort_pass(length: int):
@@ -278,7 +278,7 @@ def _sort_pass(length: int):
 
 
 def _region_pass(length: int):
-    schema = pa.schema([("ah", pa.int64()), ("did", pa.int64()), ("rk", pa.int32()), ("lo", pa.int32()), ("region", pa.binary())])
+    schema = pa.schema([("ah", pa.int64()), ("did", pa.int64()), ("rk", pa.int64()), ("lo", pa.int32()), ("region", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +292,7 @@ def _region_pass(length: int):
 
 def _window_pass(length: int):
     """Every window of the regions of an anchor that is too common to be sorted at once."""
-    schema = pa.schema([("ah", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("did", pa.int64()), ("rk", pa.int32()), ("start", pa.int32())])
+    schema = pa.schema([("ah", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("did", pa.int64()), ("rk", pa.int64()), ("start", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +322,7 @@ def _split(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = narrow(docs, doc_id=id_col, text=text_col)
-    return base.select(F.col("doc_id").cast("long").alias("did"), F.hash("text").alias("rk"), text_or_empty().alias("text"))
+    return base.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64("text").alias("rk"), text_or_empty().alias("text"))
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
@@ -332,10 +332,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     """
     gram = gram or length // 2
     most = SORTED // (2 * length - gram + 1)
-    kinds = "ah long, rd long, did long, rk int, lo int, hi int"
-    found = docs.mapInArrow(_run_pass(length, gram), kinds)
-    status = (found.groupBy("ah").agg(F.count("*").alias("c"), F.min("rd").alias("x"), F.max("rd").alias("y"))
-              .where("c > 1").select("ah", (F.col("x") != F.col("y")).alias("mixed")))
+    kinds = "ah long, rd long, did long, rk long, lo int, hi int"
+    # written, so that the joins with their own counts deal both sides anew and AQE can split a hot anchor
+    found = materialize(docs.mapInArrow(_run_pass(length, gram), kinds))
+    status = materialize(found.groupBy("ah").agg(F.count("*").alias("c"), F.min("rd").alias("x"), F.max("rd").alias("y"))
+                         .where("c > 1").select("ah", (F.col("x") != F.col("y")).alias("mixed")))
     again = materialize(found.join(status, "ah"))
     stop = (F.col("hi") + length).cast("int").alias("stop")
     ranges = again.where("not mixed").select("did", "rk", F.col("lo").alias("start"), stop)
@@ -353,14 +354,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     texts = (near.join(reps.withColumnRenamed("did", "d2").withColumnRenamed("rk", "k2"),
                        F.col("did").eqNullSafe(F.col("d2")) & (F.col("rk") == F.col("k2")))
              .select("did", "rk", "text", "wanted"))
-    cut = texts.mapInArrow(_region_pass(length), "ah long, did long, rk int, lo int, region binary")
+    cut = texts.mapInArrow(_region_pass(length), "ah long, did long, rk long, lo int, region binary")
     cut = materialize(cut.join(common, "ah", "left"))
     columns = ["ah", "did", "rk", "lo", "region"]
     sorted_ = (cut.where("common is null").select(*columns).repartition(F.col("ah")).sortWithinPartitions("ah")
-               .mapInArrow(_sort_pass(length), "did long, rk int, start int, stop int"))
+               .mapInArrow(_sort_pass(length), "did long, rk long, start int, stop int"))
     windows = materialize(cut.where("common").select(*columns).mapInArrow(
-        _window_pass(length), "ah long, h1 long, h2 long, did long, rk int, start int"))
-    twice = windows.groupBy("ah", "h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("ah", "h1", "h2")
+        _window_pass(length), "ah long, h1 long, h2 long, did long, rk long, start int"))
+    twice = materialize(windows.groupBy("ah", "h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("ah", "h1", "h2"))
     single = windows.join(twice, ["ah", "h1", "h2"]).select("did", "rk", "start", (F.col("start") + length).cast("int").alias("stop"))
     return ranges.unionByName(sorted_).unionByName(single)
 
@@ -378,9 +379,9 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut_pass(with_kept: bool):
+def _cut_pass(with_kept: bool | str):
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema(fields + ([("kept", pa.binary())] if with_kept else []))
+    schema = pa.schema(fields + ([("kept", pa.string() if with_kept == "text" else pa.binary())] if with_kept else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,19 +395,23 @@ def _cut_pass(with_kept: bool):
                     kept.append(raw[at:a])
                     at = b
                 kept = b"".join([*kept, raw[at:]])
-                out.append((did, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
+                out.append((did, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_kept == "text" else kept))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None, with_kept: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every row."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None, with_kept: bool | str = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    ``with_kept``: also the kept bytes, or with "text" the same as text (bytes of
+    a character that a cut went through show as U+FFFD).
+    """
     rows = _keyed(docs, "doc_id", "text")
     spans = materialize(repeated_ranges(rows, length, gram).groupBy("did", "rk")
                         .agg(F.collect_list(F.struct("start", "stop")).alias("ranges")))
     maybe, sure = _split(rows, spans.select("did", "rk"))
     joined = maybe.join(spans.withColumnRenamed("did", "d2").withColumnRenamed("rk", "k2"),
                         F.col("did").eqNullSafe(F.col("d2")) & (F.col("rk") == F.col("k2")), "left").select("did", "text", "ranges")
-    kinds = _REPORT + (", kept binary" if with_kept else "")
+    kinds = _REPORT + (", kept string" if with_kept == "text" else ", kept binary" if with_kept else "")
     run = _cut_pass(with_kept)
     return joined.mapInArrow(run, kinds).unionByName(sure.select("did", "text").mapInArrow(run, kinds))

@@ -85,3 +85,33 @@ def test_equal_windows_have_equal_anchors():
 
 def test_merged_ranges():
     assert passages.merged([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
+
+
+def test_planted_passages_are_caught_and_clean_texts_stay(spark):
+    """Passages of 400 bytes and more, over 50 words, in two to forty documents: none is left, and nothing else goes."""
+    rng = random.Random(21)
+    planted = [passage(rng, n) for n in (90, 120, 300)]
+    planted = [p for p in planted if len(p.encode()) >= 400]
+    assert len(planted) == 3
+    rows, holds = [], {}
+    for k, (p, copies) in enumerate(zip(planted, (2, 7, 40))):
+        for j in range(copies):
+            key = 100 * k + j
+            rows.append((key, f"{passage(rng, 30)} #{key} {p} #{key} {passage(rng, 30)}", "en", "a"))
+            holds[key] = p
+    rows += [(1000 + i, passage(rng, 200), "en", "b") for i in range(60)]
+    got = {r.doc_id: r for r in passages.remove_repeats(frame(spark, rows), with_kept="text").collect()}
+    texts = {r[0]: r[1] for r in rows}
+    for key, p in holds.items():
+        assert p not in got[key].kept and got[key].n_removed >= len(p.encode()) and got[key].n_spans == 1
+    assert all(got[k].n_removed == 0 and got[k].kept == texts[k] for k in texts if k >= 1000)
+
+
+def test_null_ids_with_colliding_short_hashes_keep_their_bytes(spark):
+    """Rows without an id are told apart by 64 bits of their text."""
+    rng = random.Random(22)
+    p = passage(rng, 100)
+    rows = [(None, f"{i} {p} {passage(rng, 20)}" if i % 2 else passage(rng, 60), "en", "a") for i in range(200)]
+    got = passages.remove_repeats(frame(spark, rows)).collect()
+    assert sorted(r.n_bytes for r in got) == sorted(len(t.encode()) for _, t, _, _ in rows)
+    assert sum(r.n_removed > 0 for r in got) == 100
