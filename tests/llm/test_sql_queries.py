@@ -169,3 +169,27 @@ def test_mix_without_broadcasts_is_the_same(spark, docs, monkeypatch):
     one = sorted(map(str, mixing.mix_report(docs).collect()))
     monkeypatch.setattr(mixing, "SOURCES", 0)
     assert sorted(map(str, mixing.mix_report(docs).collect())) == one
+
+
+def test_part_of_a_licence_text_and_its_score(spark, duck, unique):
+    """A whole text scores 1, half of one about its share of weight, and without its mandatory phrase nothing."""
+    whole = {(t[0], t[3]): t[2] for t in licenses.TEMPLATES}
+    mit = [t[2] for t in licenses.TEMPLATES if t[0] == "mit"][-1].split()
+    bsd = [t[2] for t in licenses.TEMPLATES if t[0] == "bsd"][-1].split()
+    lines = [(501, "Copyright x\n" + ", ".join(mit).upper(), "en", "a"), (502, " ".join(mit[:len(mit) // 2]) + " something else", "en", "a"),
+             (503, " ".join(mit[10:]), "en", "a"), (504, "before " * 50 + " ".join(bsd) + " between " + " ".join(mit), "en", "a")]
+    both = unique.unionByName(frame(spark, lines))
+    duck.executemany("insert into documents values (?, ?, ?, ?)", lines)
+    try:
+        compare(licenses.licence_report(both), duck, "op3_license_scan")
+    finally:
+        duck.execute("delete from documents where doc_id between 501 and 504")
+    got = {r.doc_id: r for r in licenses.licence_report(both).where("doc_id between 501 and 504").collect()}
+    assert whole and got[501].labels == "mit" and got[501].score == 1.0 and got[501].n_base == 0
+    assert got[502].labels == "mit" and got[503].labels == "" and got[503].score == 0 and got[504].labels == "bsd,mit" and got[504].score == 1.0
+
+
+def test_words_of_texts_without_a_phrase_are_not_kept(spark):
+    rows = licenses.split_once(frame(spark, [(1, "general public things", "en", "a"), (2, "the apache license here", "en", "a"), (3, None, "en", "a")]))
+    got = {r.doc_id: (r.n_words, sorted(r.present), r.words) for r in rows.collect()}
+    assert got == {1: (3, ["general", "public"], None), 2: (4, ["apache", "license", "the"], ["the", "apache", "license", "here"]), 3: (0, [], None)}
