@@ -6,11 +6,16 @@ and it reaches the rows it scores as a scalar subquery of the same plan.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moodspark.functions import text as tx
+
 
 def argmax(vec: Column) -> Column:
     """0-based argmax over the whole vector, first index on ties."""
@@ -94,3 +99,54 @@ class LexiconModel:
         cls = words.str.split(r"[\t\n\x0b\f\r ]+", regex=True).explode().map(self.ids).dropna().astype(int)
         best = cls.groupby(level=0).agg(lambda c: int(np.bincount(c, minlength=self.n).argmax()))
         return [None if np.isnan(x) else int(x) for x in best.reindex(range(len(texts)))]
+
+
+# ---- D3: a fitted text model behind the same hook ---------------------------
+
+BUCKETS = 128
+
+
+def token_bucket(token: Column, buckets: int = BUCKETS) -> Column:
+    return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % buckets).cast("int")
+
+
+def fit_text_head(texts: DataFrame, text_col: str, label_col: str, buckets: int = BUCKETS) -> dict[int, list[float]]:
+    """Class means of hashed token counts: label -> mean count per bucket, by grouped sums over all rows.
+
+    The result has classes x buckets numbers, whatever the rows.
+    """
+    rows = texts.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(label_col).cast("int").alias("label"), tx.lexicon_tokens(text_col).alias("ts"))
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sums = rows.select("label", F.explode("ts").alias("t")).groupBy("label", token_bucket(F.col("t"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
+    means = {r["label"]: [0.0] * buckets for r in sizes.collect()}
+    for r in sums.join(sizes, "label").select("label", "bucket", (F.col("c") / F.col("n")).alias("m")).collect():
+        means[r["label"]][r["bucket"]] = r["m"]
+    return means
+
+
+class TextHead:
+    """User model for ``model_scorer``: the class whose mean of hashed token counts is nearest, ties to the lowest."""
+
+    def __init__(self, means: dict[int, list[float]]):
+        self.labels = sorted(means)
+        self.w = np.array([means[k] for k in self.labels]).reshape(len(self.labels), -1)
+        self.b = -(self.w ** 2).sum(axis=1) / 2
+        self.buckets: dict[str, int] = {}
+
+    def bucket(self, token: str) -> int:
+        if token not in self.buckets:
+            if len(self.buckets) >= 1_000_000:
+                self.buckets.clear()
+            self.buckets[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.w.shape[1]
+        return self.buckets[token]
+
+    def predict(self, texts):
+        out = []
+        for text in texts:
+            if text is None or not self.labels:
+                out.append(None)
+                continue
+            tokens = [t for t in re.split(tx.TOKEN_SPLIT_RE, re.sub(r"[?.!,]", " ", text).lower()) if t]
+            counts = np.bincount([self.bucket(t) for t in tokens], minlength=self.w.shape[1]) if tokens else np.zeros(self.w.shape[1])
+            out.append(self.labels[int(np.argmax(self.w @ counts + self.b))])
+        return out

@@ -158,3 +158,21 @@ def test_repeated_query_ids_keep_their_own_results(spark):
     twice = spark.createDataFrame([(1, [0.0, 1.0]), (1, [9.0, 1.0])], "vec_id long, embedding array<double>")
     got = rc.cosine_topk(twice, df, 2).collect()
     assert sorted((r["rank"], r["item_id"]) for r in got) == [(1, 0), (1, 9), (2, 1), (2, 8)]
+
+
+def test_fitted_text_head_is_the_nearest_mean(spark):
+    """Grouped sums equal plain counting; the model predicts the nearest class mean, NULL texts nothing."""
+    import hashlib
+    import random
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "of", "la", "le", "und", "Der!", "x%d" % (i % 7)]) for _ in range(rng.randint(0, 9))), i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, line string, label int").repartition(3)
+    means = sc.fit_text_head(df, "line", "label", buckets=16)
+    vec = lambda t: np.bincount([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16 for w in t.replace("!", " ").lower().split()] or [0],
+                                minlength=16) * bool(t.split())
+    want = {k: np.mean([vec(t) for _, t, la in rows if la == k], axis=0) for k in range(3)}
+    assert sorted(means) == [0, 1, 2] and all(np.allclose(means[k], want[k]) for k in want)
+    scored = sc.model_scorer(df.unionAll(spark.createDataFrame([(900, None, 0)], df.schema)), "line", "head-test", lambda: sc.TextHead(means), ["id"])
+    got = {r["id"]: r["pred"] for r in scored.collect()}
+    assert got.pop(900) is None
+    assert got == {i: int(np.argmin([((vec(t) - want[k]) ** 2).sum() for k in range(3)])) for i, t, _ in rows}
