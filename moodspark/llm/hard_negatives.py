@@ -25,8 +25,8 @@ in id, label and vector are one anchor but repeated candidates, and a repeated
 positive has its negatives once per repetition; rows that share an id but not
 the vector or label are anchors of their own; ties go to the smaller id;
 vectors of different length never meet; anchors without positives, or whose
-windows are empty, leave no row; an empty table gives no rows; further columns
-are ignored.
+windows are empty, leave no row; scores beyond a long stop at its ends; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

