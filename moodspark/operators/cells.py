@@ -35,18 +35,22 @@ def deal(groups: DataFrame, blocks: DataFrame, slices: int, n_groups: int, on: l
     ``groups`` has one row per ``on`` and ``grp``, ``blocks`` one per block with
     its ``slice``. ``on`` are columns that a group and a block must share, ``serves``
     a further condition on ``group_info`` columns of the group and those of the
-    block. Each cell's rows are in one partition, the group first, then the
+    block; without ``on``, groups are numbered from 0 and every block goes to
+    each. Each cell's rows are in one partition, the group first, then the
     blocks by ``order``. The groups' keys are broadcast: one narrow row for
     thousands of queries.
     """
     spark = groups.sparkSession
     asked = groups.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("kind", F.lit(0))
-    keys = F.broadcast(groups.select("grp", *on, *group_info))
-    dealt = blocks.join(keys, on)
-    if serves is not None:
-        dealt = dealt.where(serves)
+    if on:
+        keys = F.broadcast(groups.select("grp", *on, *group_info))
+        dealt = blocks.join(keys, on)
+        if serves is not None:
+            dealt = dealt.where(serves)
+    else:
+        dealt = blocks.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     dealt = dealt.drop(*group_info).withColumn("kind", F.lit(1))
     rows = asked.unionByName(dealt, allowMissingColumns=True)
     parts = max(1, min(n_groups * slices, 4 * tasks(spark)))
-    place = F.pmod(F.hash(*on) + F.col("grp").cast("long") * F.lit(slices) + F.col("slice"), F.lit(parts)).cast("int")
+    place = F.pmod((F.hash(*on) if on else F.lit(0)) + F.col("grp").cast("long") * F.lit(slices) + F.col("slice"), F.lit(parts)).cast("int")
     return rows.repartitionById(parts, place).sortWithinPartitions(*on, "grp", "slice", "kind", order)

@@ -181,9 +181,9 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec
     packed, n_blocks = _item_blocks(_sound(items, id_col, vec_col), block)
     slices = cells.slices_for(spark, n_groups, n_blocks)
     here = F.pmod(F.xxhash64("pivot", "blk"), F.lit(slices)).cast("int")
-    blocks = packed.withColumn("slice", here).withColumn("ord", F.xxhash64("pivot", "blk")).withColumn("all", F.lit(0)).drop("pivot", "blk")
-    groups = asked.withColumnRenamed("blk", "grp").withColumn("ord", F.lit(0).cast("long")).withColumn("all", F.lit(0)).drop("pivot")
-    rows = cells.deal(groups, blocks, slices, n_groups, on=["all"])
+    blocks = packed.withColumn("slice", here).withColumn("ord", F.xxhash64("pivot", "blk")).drop("pivot", "blk")
+    groups = asked.withColumnRenamed("blk", "grp").withColumn("ord", F.lit(0).cast("long")).drop("pivot")
+    rows = cells.deal(groups, blocks, slices, n_groups, on=[])
     partial = rows.mapInPandas(_stream(k, exclude_self), "query_id long, query_no long, item_id long, score double")
     place = Window.partitionBy("query_id", "query_no").orderBy(F.desc(F.round("score", 9)), "item_id")
     return partial.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
