@@ -3,19 +3,24 @@
 Texts become sparse vectors of hashed 1- to 3-grams of code points (lower
 case), term frequency times inverse document frequency, of unit length. The
 document frequencies come from all training rows by a grouped sum. The weights
-are fitted by FTRL-proximal with elastic-net penalties on a bounded sample of
-labelled texts (``per_lang`` distinct ones of each language with the smallest
-hash, ``most_langs`` languages at most), and a temperature is then fitted on a
-held-back fifth of the sample. Scoring is a narrow map over all rows.
+are fitted on all distinct training texts of all languages: the texts are dealt
+by hash to shards of about ``SHARD`` bytes, a task fits each shard by
+FTRL-proximal with elastic-net penalties, and the weights are averaged, a
+language's by how many of its texts a shard holds. A temperature is then fitted
+on a fifth of the texts, which is held back from the shards. Scoring is a narrow
+map over all rows.
 
-The sample bound is the only bound: it fits the classifier, nothing else. The
-model has ``DIMS`` x languages weights and is broadcast.
+Nothing is sampled. The driver gets sums and the model, which has ``DIMS`` x
+languages weights and is broadcast. The sums are of whole numbers and shards
+depend on texts only, so the partitions of the input change nothing.
 
 Cases: null text or text without a letter is ``und`` with score 0; without any
 labelled training row every text is ``und``; with a single language all texts
 with letters get it; null languages train nothing; repeated rows count in the
-document frequencies as often as they occur, but once in the sample, and give
-repeated results; further columns are ignored.
+document frequencies as often as they occur, but their text is fitted once, and
+give repeated results; a language whose texts would all be held back is fitted
+on them; the texts of a rare language are dealt to several shards, so that each
+learns it; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +39,9 @@ from moodspark.llm.common import narrow
 from moodspark.session import materialize
 
 DIMS = 1 << 15
+SHARD = 8 << 20  # bytes of text fitted together
+_STEP, _BLOCK, _FAN = 1 << 20, 4096, 64  # summed weights are whole steps, summed by blocks of dimensions, so many at a time
+_GRID = np.arange(-4.0, 3.01, 0.05)  # logarithms of the temperatures compared
 _LETTER = re.compile(r"[^\W\d_]")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -172,34 +181,130 @@ def sample_rows(rows: DataFrame, per_lang: int, most_langs: int) -> DataFrame:
     return rows.withColumn("_h", F.xxhash64("text")).join(chosen, ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text")).drop("_h")
 
 
-def training_sample(docs: DataFrame, training: Column | None = None, per_lang: int = 600, most_langs: int = 200,
-                    text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, np.ndarray]:
-    """The bounded sample (lang, text) of the rows for which ``training`` holds, and the idf over all of these rows."""
+def training_rows(docs: DataFrame, training: Column | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """text, lang, _h (hash of the text) of the labelled rows for which ``training`` holds."""
     rows = docs.where(training) if training is not None else docs
-    rows = narrow(rows, text=text_col, lang=lang_col).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    df, total = _document_frequencies(rows.select("text"))
-    idf = np.log((total + 1) / (df + 1)) + 1.0
-    return sample_rows(rows, per_lang, most_langs), idf
-
+    rows = narrow(rows, text=text_col, lang=lang_col).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("_h", F.xxhash64("text"))
+
+
+def _once_per_task(most: int = 1 << 20):
+    """A task's rows without the copies it has seen of (lang, _h); so a large group of copies does not travel."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            if len(seen) > most:
+                seen.clear()
+            fresh = []
+            for key in zip(batch.column("lang").to_pylist(), batch.column("_h").to_pylist()):
+                fresh.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+    return run
+
+
+def _fit_shard(names: list[str], shared):
+    """Of the texts of one shard, sorted so that copies are neighbours: blocks of weights times the texts of the language, in whole steps."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        idf, number, last = shared.value, {x: i for i, x in enumerate(names)}, None
+        rows, labels, shard = [], [], 0
+        for frame in frames:
+            for lang, text, shard in zip(frame["lang"], frame["text"], frame["_shard"]):
+                if (lang, text) != last:
+                    at, value = vector(text, idf)
+                    rows.append((at.astype(np.int32), value.astype(np.float32)))
+                    labels.append(number[lang])
+                    last = (lang, text)
+        if not rows:
+            return
+        steps = np.rint(ftrl(rows, np.array(labels), len(names)) * _STEP).astype(np.int64)
+        for i, n in zip(*np.unique(labels, return_counts=True)):
+            blocks = np.array_split(steps[i] * n, range(_BLOCK, DIMS + 1, _BLOCK))
+            yield pd.DataFrame({"label": i, "block": range(len(blocks)), "part": shard, "n": n, "sums": [x.tobytes() for x in blocks]})
+    return run
+
+
+_SUMS = "label int, block int, part int, n long, sums binary"
+
+
+def _add_up(frame: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, dtype=np.int64) for x in frame["sums"])
+    return frame.iloc[:1].assign(n=frame["n"].sum(), sums=[total.tobytes()])
+
+
+def averaged_weights(rows: DataFrame, names: list[str], copies: DataFrame, shards: int, idf: np.ndarray) -> np.ndarray:
+    """(languages, DIMS + 1) weights of ``rows`` (lang, text, _h), each fitted in as many shards as ``copies`` (lang, n_copies) says."""
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
+    once = rows.select("lang", "text", "_h").mapInArrow(_once_per_task(), "lang string, text string, _h long")
+    first = F.pmod(F.xxhash64(F.lit("shard"), F.col("text")), F.lit(shards))
+    places = F.transform(F.sequence(F.lit(0), F.col("n_copies") - 1), lambda j: F.pmod(first + j * F.floor(F.lit(shards) / F.col("n_copies")), F.lit(shards)).cast("int"))
+    dealt = once.join(F.broadcast(copies), "lang").select("lang", "text", "_h", F.explode(places).alias("_shard"))
+    dealt = dealt.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_h", "lang", "text")
+    sums = dealt.select("lang", "text", "_shard").mapInPandas(_fit_shard(names, shared), _SUMS)
+    while shards > 1:  # no group adds up more than _FAN parts
+        sums = sums.withColumn("part", F.floor(F.col("part") / _FAN).cast("int")).groupBy("label", "block", "part").applyInPandas(_add_up, _SUMS)
+        shards = -(-shards // _FAN)
+    weights = np.zeros((len(names), DIMS + 1))
+    for r in sums.collect():
+        part = np.frombuffer(r["sums"], dtype=np.int64) / (float(r["n"]) * _STEP)
+        weights[r["label"], r["block"] * _BLOCK:r["block"] * _BLOCK + len(part)] = part
+    return weights
+
+
+def _best_temperature(held: DataFrame, model: dict) -> float:
+    """``temperature`` of all texts of ``held``: the log losses at the grid's temperatures are summed, a parabola gives the least."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
 
-def train(docs: DataFrame, training: Column | None = None, per_lang: int = 600, most_langs: int = 200,
-          text_col: str = "text", lang_col: str = "lang") -> dict:
-    """idf, weights, temperature and languages, learned from the rows for which ``training`` holds."""
-    return fit(*training_sample(docs, training, per_lang, most_langs, text_col, lang_col))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        number, total = {x: i for i, x in enumerate(m["langs"])}, np.zeros(len(_GRID))
+        for frame in frames:
+            for lang, text in zip(frame["lang"], frame["text"]):
+                at, value = vector(text, m["idf"])
+                s = m["weights"][:, at] @ value + m["weights"][:, DIMS]
+                s = (s - s.max())[:, None] / np.exp(_GRID)
+                total += np.log(np.exp(s).sum(axis=0)) - s[number[lang]]
+        yield pd.DataFrame({"at": range(len(_GRID)), "loss": np.rint(total * _STEP).astype(np.int64)})
+
+    found = held.select("lang", "text").mapInPandas(run, "at int, loss long").groupBy("at").agg(F.sum("loss").alias("loss")).collect()
+    loss = np.zeros(len(_GRID))
+    for r in found:
+        loss[r["at"]] = r["loss"]
+    if not loss.any():
+        return 1.0
+    i = int(np.clip(loss.argmin(), 1, len(_GRID) - 2))
+    bend = loss[i - 1] - 2 * loss[i] + loss[i + 1]
+    shift = (loss[i - 1] - loss[i + 1]) / (2 * bend) if bend > 0 else 0.0
+    return float(np.exp(_GRID[i] + np.clip(shift, -1, 1) * (_GRID[1] - _GRID[0])))
 
 
-def fit(drawn: DataFrame, idf: np.ndarray) -> dict:
-    """The model of a sample."""
-    sample, vectors = gathered(drawn, "lang", "string", idf)
-    names = sorted(set(sample))
-    labels = np.array([names.index(x) for x in sample], dtype=np.int64)
+def fit(rows: DataFrame) -> tuple[dict, DataFrame]:
+    """The model of ``training_rows``, and the distinct texts held back from its weights (lang, text)."""
+    spark = rows.sparkSession
+    back = F.pmod("_h", F.lit(5)) == 0
+    df, total = _document_frequencies(rows.select("text"))
+    idf = np.log((total + 1) / (df + 1)) + 1.0
+    distinct = rows.groupBy("lang", "_h").agg(F.max(F.octet_length("text")).alias("bytes"))
+    langs = distinct.groupBy("lang").agg(F.count("*").alias("n"), F.sum(back.cast("long")).alias("n_back"), F.sum(F.when(~back, F.col("bytes"))).alias("bytes")).collect()
+    langs.sort(key=lambda r: r["lang"])
+    names = [r["lang"] for r in langs]
     if len(names) < 2:
-        return {"langs": names, "idf": idf, "weights": np.zeros((len(names), DIMS + 1)), "temperature": 1.0}
-    back = np.array([held_back(a, v) for a, v in vectors])
-    back &= ~np.isin(labels, np.setdiff1d(labels, labels[~back]))  # a language whose texts are all held back is learned from them
-    weights = ftrl([v for v, b in zip(vectors, back) if not b], labels[~back], len(names))
-    held = np.array([weights[:, a] @ v + weights[:, DIMS] for (a, v), b in zip(vectors, back) if b])
-    return {"langs": names, "idf": idf, "weights": weights, "temperature": temperature(held, labels[back])}
+        return {"langs": names, "idf": idf, "weights": np.zeros((len(names), DIMS + 1)), "temperature": 1.0}, rows.where(back).select("lang", "text")
+    shards = max(1, -(-sum(r["bytes"] or 0 for r in langs) // SHARD))
+    least = shards * max(1, 400 // len(names))  # texts of a language over all shards
+    fitted = [(r["n"] - r["n_back"]) or r["n"] for r in langs]
+    table = [(r["lang"], r["n"] == r["n_back"], min(shards, max(1, -(-least // n)))) for r, n in zip(langs, fitted)]
+    known = spark.createDataFrame(table, "lang string, all_back boolean, n_copies int")
+    marked = rows.join(F.broadcast(known.select("lang", "all_back")), "lang")
+    weights = averaged_weights(marked.where(~back | F.col("all_back")), names, known.select("lang", "n_copies"), shards, idf)
+    held = materialize(marked.where(back & ~F.col("all_back")).dropDuplicates(["lang", "_h"]).select("lang", "text"))
+    model = {"langs": names, "idf": idf, "weights": weights, "temperature": 1.0}
+    return model | {"temperature": _best_temperature(held, model)}, held
+
+
+def train(docs: DataFrame, training: Column | None = None, text_col: str = "text", lang_col: str = "lang") -> dict:
+    """idf, weights, temperature and languages, learned from all rows for which ``training`` holds."""
+    return fit(training_rows(docs, training, text_col, lang_col))[0]
 
 
 def classify(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]:
@@ -274,36 +379,42 @@ def pieces(text: str) -> list[str]:
     return [x for x in [text, *cuts] if _LETTER.search(x)]
 
 
-def rejection_bounds(drawn: DataFrame, model: dict) -> dict:
+def rejection_bounds(held: DataFrame, model: dict) -> dict:
     """(language or None, length class) -> least log-odds and greatest mean idf of an accepted text.
 
-    By grouped percentiles over the held-back texts of the sample, and pieces of
+    By grouped percentiles over all held-back texts (lang, text), and pieces of
     them, that the model tells correctly: 0.35 of the lower decile of the
     log-odds, and the upper decile of the mean idf and 1.5 times its distance
     from the median (at least a tenth of that). So nearly all clean texts stay,
     and junk under a label among less than a tenth of its rows moves no bound far. A
     class with fewer than 20 pieces of a language takes the bound of all
     languages (None), with fewer than 20 of all that of the next shorter class,
-    and without a shorter one it has no bound.
+    and without a shorter one it has no bound. The measures are counted by
+    thousandths first, so that a group's percentiles hold few values.
     """
-    shared = drawn.sparkSession.sparkContext.broadcast(model)
+    shared = held.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for frame in frames:
             out = []
             for lang, text in zip(frame["lang"], frame["text"]):
-                if held_back(*vector(text, m["idf"])):
-                    found = [measures(x, m) for x in pieces(text)]
-                    out += [(lang, size, odds, surprise) for best, size, odds, surprise in found if m["langs"][best] == lang]
-            yield pd.DataFrame(out, columns=["lang", "size", "odds", "surprise"])
-
-    told = drawn.select("lang", "text").mapInPandas(run, "lang string, size int, odds double, surprise double")
-    both = told.select(F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("lang"), "size", "odds", "surprise")
-    rows = both.groupBy("lang", "size").agg(
-        F.count("*").alias("n"), F.percentile("odds", 0.1).alias("low"),
-        F.percentile("surprise", 0.5).alias("mid"), F.percentile("surprise", 0.9).alias("high")).collect()
-    return {(r["lang"], r["size"]): (0.35 * r["low"], r["high"] + 1.5 * max(r["high"] - r["mid"], 0.1 * r["mid"])) for r in rows if r["n"] >= _ENOUGH}
+                for best, size, odds, surprise in (measures(x, m) for x in pieces(text)):
+                    if m["langs"][best] == lang:
+                        out += [(lang, size, "odds", round(odds, 3)), (lang, size, "surprise", round(surprise, 3))]
+            yield pd.DataFrame(out, columns=["lang", "size", "kind", "value"])
+
+    told = held.select("lang", "text").mapInPandas(run, "lang string, size int, kind string, value double")
+    each = told.groupBy("lang", "size", "kind", "value").agg(F.count("*").alias("n"))
+    both = each.select(F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("lang"), "size", "kind", "value", "n")
+    rows = (both.groupBy("lang", "size", "kind", "value").agg(F.sum("n").alias("n")).groupBy("lang", "size", "kind")
+            .agg(F.sum("n").alias("n"), F.expr("percentile(value, array(0.1, 0.5, 0.9), n)").alias("p")).collect())
+    found = {(r["lang"], r["size"], r["kind"]): r["p"] for r in rows if r["n"] >= _ENOUGH}
+    out = {}
+    for lang, size in {k[:2] for k in found}:
+        _, mid, high = found[lang, size, "surprise"]
+        out[lang, size] = (0.35 * found[lang, size, "odds"][0], high + 1.5 * max(high - mid, 0.1 * mid))
+    return out
 
 
 def accepted(text: str | None, model: dict, bounds: dict) -> bool:
@@ -322,10 +433,8 @@ def drop_rejected(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     These have no letter, or are beyond the bounds of their language and length
     (``rejection_bounds``), or have a calibrated score below ``min_score``.
     """
-    drawn, idf = training_sample(docs, ~held_out())
-    drawn = materialize(drawn)
-    model = fit(drawn, idf)
-    shared = docs.sparkSession.sparkContext.broadcast((model, rejection_bounds(drawn, model)))
+    model, held = fit(training_rows(docs, ~held_out()))
+    shared = docs.sparkSession.sparkContext.broadcast((model, rejection_bounds(held, model)))
 
     @F.pandas_udf("boolean")
     def stays(text: pd.Series) -> pd.Series:

@@ -229,3 +229,28 @@ def test_texts_that_no_language_fits_go(spark):
     assert not [t[:60] for i, t in enumerate(junk) if 20_000 + i in kept]
     assert np.mean([k in kept for k, _, _ in clean]) > 0.99
     assert np.mean([k in kept for k, _, _ in short]) > 0.95
+
+
+def test_every_training_text_is_fitted(spark, monkeypatch):
+    """Texts beyond the 600 smallest hashes of a language teach it, in one shard or many, wherever its rows lie."""
+    def by_hash(pattern, n):
+        seen = spark.createDataFrame([(pattern.format(i),) for i in range(n)], "text string")
+        return [r.text for r in seen.selectExpr("text", "xxhash64(text) h").orderBy("h").collect()]
+
+    small = [(t, "aa") for t in by_hash("alpha beta {} gamma", 1500)[:700]] + [(t, "bb") for t in by_hash("unus duo {} tres", 1500)[:700]]
+    large = [(t, "aa") for t in by_hash("привет мир {}", 700)[-300:]] + [(t, "bb") for t in by_hash("ενα δυο {} τρια", 700)[-300:]]
+    rows = [(i, t, la, "a") for i, (t, la) in enumerate(small + large)] + [(5000 + i, f"zwei drei {i}", "cc", "a") for i in range(6)]
+    docs = frame(spark, rows)
+    model = langid.train(docs)
+    assert langid.classify(["привет мир", "ενα δυο τρια"], model)[0] == ["aa", "bb"]
+    monkeypatch.setattr(langid, "SHARD", 8000)
+    many = langid.train(docs)
+    assert langid.classify(["привет мир", "ενα δυο τρια", "zwei drei"], many)[0] == ["aa", "bb", "cc"]
+    dealt = langid.train(docs.repartition(7, "lang"))
+    assert (many["weights"] == dealt["weights"]).all() and many["temperature"] == dealt["temperature"]
+
+
+def test_all_languages_are_learned(spark):
+    """More lang values than the 200 most frequent."""
+    rows = [(1000 * k + i, f"w{k}x{chr(0x4E00 + 9 * k)} {chr(0x4E00 + 9 * k)}{i}", f"l{k:03d}", "a") for k in range(203) for i in range(3 if k < 200 else 2)]
+    assert len(langid.train(frame(spark, rows))["langs"]) == 203
