@@ -10,7 +10,8 @@ a third of all lines is spread over many tasks. Each task streams its sorted
 rows and holds at most the lines of two documents at a time. Only the group
 that a task starts with, and the one it ends with, can reach into other tasks:
 their few sums (two rows per task) are added up and settle the rows left open.
-The result is one compressed bitmap per document that loses lines, never text.
+The result is one compressed bitmap per document that loses lines, never text;
+it meets its document unpacked, and SQL functions cut the text.
 
 Cases: null text is one empty line; a null doc_id counts as one document that
 is smaller than all others; rows that share a doc_id are one document to the
@@ -27,10 +28,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType
 
 from moodspark.llm.common import SPACE_CHARS, ascii_lower, narrow, row_key, text_or_empty
 from moodspark.session import materialize
@@ -176,36 +177,35 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     return lost.select("did", "rk", pack_bitmap("pos", F.array_max("pos") + 1).alias("keep"), F.size("pos").alias("n_dropped"))
 
 
-@pandas_udf(StringType())
-def apply_bitmap(text: pd.Series, keep: pd.Series) -> pd.Series:
-    """The lines that stay, joined by a newline; a null bitmap keeps all, lines beyond it stay."""
-    def one(t, k):
-        if k is None:
-            return t
-        lines = t.split("\n")
-        raw = zlib.decompress(k)
-        bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), bitorder="little")
-        return "\n".join(x for i, x in enumerate(lines) if i >= len(bits) or bits[i])
-    return pd.Series([one(t, k) for t, k in zip(text, keep)])
+@pandas_udf(BinaryType())
+def line_flags(keep: pd.Series) -> pd.Series:
+    """One byte per line of a bitmap: 1 where the line stays."""
+    return pd.Series([None if k is None else np.unpackbits(np.frombuffer(zlib.decompress(k), dtype=np.uint8), bitorder="little").tobytes() for k in keep])
+
+
+def kept_lines(text: Column, flags: Column) -> Column:
+    """The lines that stay, joined by a newline; lines beyond the flags stay. No text goes through Python."""
+    stays = lambda _, i: (i >= F.octet_length(flags)) | (F.substring(flags, i + 1, 1) == F.lit(b"\1"))
+    return F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n")
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``_row`` (all columns of a document), ``_text``, ``keep``, ``n_dropped``."""
+    """``_row`` (all columns of a document), ``_text``, ``flags`` (null: all lines stay), ``n_dropped``."""
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(_MIN_ID)).alias("did"),
                        row_key(F.col("doc_id"), F.col("text")).alias("rk"), text_or_empty().alias("_text"))
-    return rows.join(bitmaps, ["did", "rk"], "left")
+    return rows.join(bitmaps.select("did", "rk", line_flags("keep").alias("flags"), "n_dropped"), ["did", "rk"], "left")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with the repeated lines taken out of text (n_chars follows); null text stays null."""
     joined = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
-    kept = joined.withColumn("_new", F.when(F.col("keep").isNull(), F.col("_row.text")).otherwise(apply_bitmap("_text", "keep")))
+    kept = joined.withColumn("_new", F.when(F.col("flags").isNull(), F.col("_row.text")).otherwise(kept_lines(F.col("_text"), F.col("flags"))))
     cols = []
     for name in docs.columns:
         if name == "text":
             cols.append(F.col("_new").alias("text"))
         elif name == "n_chars":
-            cols.append(F.when(F.col("keep").isNull(), F.col("_row.n_chars"))
+            cols.append(F.when(F.col("flags").isNull(), F.col("_row.n_chars"))
                         .otherwise(F.char_length("_new").cast(docs.schema[name].dataType)).alias(name))
         else:
             cols.append(F.col("_row").getField(name).alias(name))
@@ -216,7 +216,7 @@ def line_report(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     """doc_id, n_lines, n_dropped, kept_sha256 per row of ``docs``."""
     base = narrow(docs, doc_id="doc_id", text="text")
     joined = with_bitmaps(base, keep_bitmaps(base, min_chars, min_docs))
-    kept = F.when(F.col("keep").isNull(), F.col("_text")).otherwise(apply_bitmap("_text", "keep"))
+    kept = F.when(F.col("flags").isNull(), F.col("_text")).otherwise(kept_lines(F.col("_text"), F.col("flags")))
     return joined.select(F.col("_row.doc_id").alias("doc_id"),
                          (F.char_length("_text") - F.char_length(F.translate("_text", "\n", "")) + 1).cast("long").alias("n_lines"),
                          F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))

@@ -193,3 +193,12 @@ def test_words_of_texts_without_a_phrase_are_not_kept(spark):
     rows = licenses.split_once(frame(spark, [(1, "general public things", "en", "a"), (2, "the apache license here", "en", "a"), (3, None, "en", "a")]))
     got = {r.doc_id: (r.n_words, sorted(r.present), r.words) for r in rows.collect()}
     assert got == {1: (3, ["general", "public"], None), 2: (4, ["apache", "license", "the"], ["the", "apache", "license", "here"]), 3: (0, [], None)}
+
+
+def test_line_dedup_passes_no_text_through_python(spark, docs):
+    """Whole texts in Arrow batches took the executors' memory; Python sees bitmaps and hashes."""
+    import re
+    for out in (line_dedup.dedup_lines(docs), line_dedup.line_report(docs)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        calls = re.findall(r"ArrowEvalPython \[[^\]]*\]", plan)
+        assert calls and not [c for c in calls if "text" in c]
