@@ -131,3 +131,20 @@ def test_callers_settings_stay(spark, tmpdir_):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     st.state_session(spark)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_closing_places_need_no_call_per_conversation(spark, tmpdir_):
+    """The state of many short conversations is one grouped minimum, a row each; rows without a place stay, closing rows without one close nothing."""
+    first = [(c, float(t), "user", "word") for c in range(50) for t in range(4)] + [(50, None, "user", "0"), (50, float("nan"), "user", "0"), (50, 1.0, "user", "word")]
+    second = [(c, 2.0, "user", "0") for c in range(0, 50, 2)] + [(c, t, "user", "late") for c in range(50) for t in (5.0, None, float("nan"))]
+    schema = "conv_id long, turn double, role string, text string"
+    sink, ckpt, src = (os.path.join(tmpdir_, x) for x in ("sink", "ckpt", "in"))
+    for i, rows in enumerate([first, second]):
+        run = st.score_stream(_arrive(spark, rows, schema, src, i), lambda df: df, sink, ckpt, ["conv_id"], "turn", F.col("text") == "0")
+        states = [p["stateOperators"][0] for p in run.recentProgress if p["stateOperators"] and p["numInputRows"]]
+        assert [x["operatorName"] for x in states] == ["stateStoreSave"]
+        assert i or states[0]["numRowsTotal"] <= 50 + 8
+    got = sorted((r["conv_id"], str(r["turn"]), r["text"]) for r in spark.read.parquet(sink).collect())
+    want = [(c, str(float(t)), "word") for c in range(50) for t in range(4)] + [(50, "1.0", "word")]
+    want += [(c, x, "late") for c in range(50) for x in ("None", "nan", "5.0") if x != "5.0" or c % 2]
+    assert got == sorted(want)
