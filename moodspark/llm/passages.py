@@ -22,6 +22,11 @@ is found exactly and removed.
 5. Repeated windows become byte ranges per document; texts are read again and
    cut. Only documents in a fixed-size bitmap of affected keys are shuffled.
 
+A passage of many words can be shorter than LENGTH bytes. ``shared_ranges`` finds
+those that another text holds too, by the same steps over words: windows of WORDS
+words, anchors of words, and rotations of word sequences. Nothing is removed for
+them; they are reported beside. Copies of one text don't count as another text.
+
 Cases: null text is empty; texts shorter than LENGTH lose nothing; matches
 never cross documents; a string may repeat inside one text, overlapping
 itself; repeated rows remove each other; rows are told apart by doc_id (null is
@@ -45,6 +50,7 @@ from moodspark.llm.common import narrow, text_or_empty
 from moodspark.session import materialize
 
 LENGTH = 400
+WORDS = 51
 SORTED = 1 << 21  # bytes sorted at once: three numbers of 21 bits fit a sort key
 BITS = 1 << 24
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -80,13 +86,34 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last window of each run of a text of at least ``length`` bytes."""
-    n, width = len(data), length - gram + 1
+def _totals(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rolling hash of every prefix, and the inverse powers that shift a difference to place 0."""
+    n = len(values)
     up, down = _POWERS.upto(n)
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0
-    np.cumsum(_byte_values()[data] * up, out=total[1:])
+    np.cumsum(values * up, out=total[1:])
+    return total, down
+
+
+def word_values(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of every word, ``[^\\x20\\x09-\\x0D]+``, of a text."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    space = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13)), [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    first, stop = edges[::2], edges[1::2]
+    total, down = _totals(_byte_values()[data])
+    return _mix((total[stop] - total[first]) * down[first]) if len(first) else np.empty(0, dtype=np.uint64)
+
+
+def runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first and last window of each run of a text of at least ``length`` bytes."""
+    return _runs(_byte_values()[data], length, gram)
+
+
+def _runs(values: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, width = len(values), length - gram + 1
+    total, down = _totals(values)
     h = _mix((total[gram:] - total[:-gram]) * down[:n - gram + 1])
     low = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
     step = 1
@@ -105,7 +132,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, dtype=np.uint64).view(np.int64)
 
 
-def _run_pass(length: int, gram: int):
+def _run_pass(length: int, gram: int, words: bool = False):
     schema = pa.schema([("ah", pa.int64()), ("rd", pa.int64()), ("did", pa.int64()), ("rk", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +147,13 @@ def _run_pass(length: int, gram: int):
             out, rows = [], 0
             for did, rk, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 raw = text.encode()
-                if len(raw) < length:
+                values = word_values(raw) if words else np.frombuffer(raw, dtype=np.uint8)
+                if len(values) < length:
                     continue
-                ah, lo, hi = runs(np.frombuffer(raw, dtype=np.uint8), length, gram)
-                digest = xxhash.xxh3_64_intdigest
-                rd = np.array([digest(raw[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist())], dtype=np.uint64)
+                ah, lo, hi = _runs(values, length, gram) if words else runs(values, length, gram)
+                digest, size = xxhash.xxh3_64_intdigest, values.itemsize
+                raw = values.tobytes() if words else raw
+                rd = np.array([digest(raw[a * size:b * size]) for a, b in zip(lo.tolist(), (hi + length).tolist())], dtype=np.uint64)
                 out.append((_signed(ah), _signed(rd), lo, hi, did, rk))
                 rows += len(ah)
                 if rows > 200_000:
@@ -228,6 +257,31 @@ def repeated_windows(regions: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(found[a:a + max(0, s - length)]) for a, s in zip(heads, sizes)]
 
 
+def shared_windows(regions: list[bytes], low: list[int], high: list[int], length: int) -> list[np.ndarray]:
+    """Of each region of word hashes, the offsets whose next ``length`` words another text holds too.
+
+    A region's owners are the texts holding it; ``low`` and ``high`` are their
+    smallest and largest keys.
+    """
+    values = [np.frombuffer(r, dtype=np.uint64) for r in regions]
+    sizes = np.array([len(v) + 1 for v in values])
+    heads = np.cumsum(sizes) - sizes
+    ends = heads + sizes - 1
+    data = np.zeros(int(sizes.sum()), dtype=np.int64)
+    inside = np.ones(len(data), dtype=bool)
+    inside[ends] = False
+    data[inside] = np.unique(np.concatenate(values), return_inverse=True)[1] + 1
+    order = sorted_rotations(data, length)
+    fresh = ~long_boundaries(data, order, length)
+    fresh[0] = True
+    starts = np.flatnonzero(fresh)  # sorted places between two of them share their first ``length`` words
+    least = np.minimum.reduceat(np.repeat(np.array(low, dtype=np.int64), sizes)[order], starts)
+    most = np.maximum.reduceat(np.repeat(np.array(high, dtype=np.int64), sizes)[order], starts)
+    found = np.zeros(len(data), dtype=bool)
+    found[order] = np.repeat(least != most, np.diff(np.append(starts, len(data))))
+    return [np.flatnonzero(found[a:a + max(0, s - length)]) for a, s in zip(heads, sizes)]
+
+
 _RANGES = pa.schema([("did", pa.int64()), ("rk", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
@@ -305,6 +359,70 @@ def _window_pass(length: int):
     return run
 
 
+_PART = "ah long, rd long, start int, stop int"
+
+
+def _word_region_pass(length: int):
+    """Regions, as word hashes, of each text; equal texts come once."""
+    kinds = [("ah", pa.int64()), ("rd", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]
+    schema = pa.schema([*kinds, ("region", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values = word_values(text.encode())
+                out += [(*(w[k] for k, _ in kinds), values[w["lo"]:w["hi"] + length].tobytes()) for w in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
+    return run
+
+
+def _word_sort_pass(length: int):
+    """As _sort_pass, over words: offsets in a region, by anchor and digest."""
+    schema = pa.schema([("ah", pa.int64()), ("rd", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows):
+            if len(rows) < 2:
+                return
+            found = shared_windows([r[4] for r in rows], [r[2] for r in rows], [r[3] for r in rows], length)
+            ranges = _as_ranges([(r[0], r[1], 0, at) for r, at in zip(rows, found) if len(at)], length)
+            yield pa.RecordBatch.from_arrays(ranges.columns, schema=schema)
+
+        held, n_held, group, n_group, now = [], 0, [], 0, None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != now:
+                    if held and n_held + n_group > SORTED // 2:
+                        yield from flush(held)
+                        held, n_held = [], 0
+                    held, n_held = held + group, n_held + n_group
+                    now, group, n_group = row[0], [], 0
+                group.append(row)
+                n_group += len(row[4]) // 8 + 1
+        if held and n_held + n_group > SORTED // 2:
+            yield from flush(held)
+            held = []
+        yield from flush(held + group)
+    return run
+
+
+def _word_window_pass(length: int):
+    """As _window_pass, over words."""
+    names = ("ah", "rd", "low", "high", "h1", "h2")
+    schema = pa.schema([*((k, pa.int64()) for k in names), ("start", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for *row, region in zip(*(c.to_pylist() for c in batch.columns)):
+                for k in range(len(region) // 8 - length + 1):
+                    h = xxhash.xxh3_128_intdigest(region[8 * k:8 * (k + length)])
+                    out.append((*row, (h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), k))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
+    return run
+
+
 def _bitmap(keys: DataFrame) -> DataFrame:
     """word, bits: a bitmap of BITS bits over a hash of (did, rk), whatever the number of keys."""
     slot = f"pmod(xxhash64(did, rk), {BITS})"
@@ -366,6 +484,45 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     return ranges.unionByName(sorted_).unionByName(single)
 
 
+def shared_ranges(docs: DataFrame, words: int = WORDS, gram: int | None = None) -> DataFrame:
+    """did, rk, start, stop: word ranges (they may overlap) that make up all passages of ``words`` words in another text too.
+
+    ``docs`` has did, rk, text; rk tells texts apart.
+    """
+    gram = gram or max(1, words // 4)
+    most = SORTED // (2 * words - gram + 1)
+    owners = [F.min("rk").alias("low"), F.max("rk").alias("high")]
+    several = F.col("low") != F.col("high")
+    found = materialize(docs.mapInArrow(_run_pass(words, gram, True), "ah long, rd long, did long, rk long, lo int, hi int"))
+    met = materialize(found.groupBy("ah").agg(*owners).where(several).select("ah"))
+    again = materialize(found.join(met, "ah"))
+    regions = materialize(again.groupBy("ah", "rd").agg(*owners, F.min(F.struct("did", "rk", "lo", "hi")).alias("r")))
+    whole = (again.join(regions.where(several).select("ah", "rd"), ["ah", "rd"])
+             .select("did", "rk", F.col("lo").alias("start"), (F.col("hi") + words).cast("int").alias("stop")))
+
+    mixed = regions.groupBy("ah").agg(F.count("*").alias("d")).where("d > 1").select("ah", (F.col("d") > most).alias("common"))
+    mixed = materialize(mixed)
+    wanted = F.struct("ah", "rd", "low", "high", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
+    reps = materialize(regions.join(mixed, "ah").groupBy(F.col("r.did").alias("d2"), F.col("r.rk").alias("k2"))
+                       .agg(F.collect_list(wanted).alias("wanted")))
+    near, _ = _split(docs, reps.select(F.col("d2").alias("did"), F.col("k2").alias("rk")))
+    texts = (near.dropDuplicates(["did", "rk"]).join(reps, F.col("did").eqNullSafe(F.col("d2")) & (F.col("rk") == F.col("k2")))
+             .select("text", "wanted"))
+    columns = ["ah", "rd", "low", "high", "region"]
+    cut = texts.mapInArrow(_word_region_pass(words), "ah long, rd long, low long, high long, region binary")
+    cut = materialize(cut.join(mixed, "ah"))
+    parts = (cut.where("not common").select(*columns).repartition(F.col("ah")).sortWithinPartitions("ah")
+             .mapInArrow(_word_sort_pass(words), _PART))
+    windows = materialize(cut.where("common").select(*columns).mapInArrow(
+        _word_window_pass(words), "ah long, rd long, low long, high long, h1 long, h2 long, start int"))
+    twice = (windows.groupBy("ah", "h1", "h2").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+             .where(several).select("ah", "h1", "h2"))
+    single = windows.join(twice, ["ah", "h1", "h2"]).select("ah", "rd", "start", (F.col("start") + words).cast("int").alias("stop"))
+    parts = parts.unionByName(single).select("ah", "rd", "start", "stop")
+    inside = again.join(parts, ["ah", "rd"]).select("did", "rk", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("stop")).alias("stop"))
+    return whole.unionByName(inside)
+
+
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(ranges):
@@ -377,17 +534,19 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_SHARED = ", n_passages long, n_passage_words long"
 
 
-def _cut_pass(with_kept: bool | str):
+def _cut_pass(with_kept: bool | str, with_shared: bool):
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema(fields + ([("kept", pa.string() if with_kept == "text" else pa.binary())] if with_kept else []))
+    fields += [("kept", pa.string() if with_kept == "text" else pa.binary())] if with_kept else []
+    schema = pa.schema(fields + ([("n_passages", pa.int64()), ("n_passage_words", pa.int64())] if with_shared else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            starts = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            for did, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), starts):
+            starts, shared = (batch.column(i).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows for i in (2, 3))
+            for did, text, ranges, passages in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), starts, shared):
                 raw = text.encode()
                 spans = merged([(r["start"], r["stop"]) for r in ranges or ()])
                 kept, at = [], 0
@@ -395,23 +554,32 @@ def _cut_pass(with_kept: bool | str):
                     kept.append(raw[at:a])
                     at = b
                 kept = b"".join([*kept, raw[at:]])
-                out.append((did, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_kept == "text" else kept))
+                row = [did, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()]
+                row += [kept.decode("utf-8", "replace") if with_kept == "text" else kept] if with_kept else []
+                held = merged([(r["start"], r["stop"]) for r in passages or ()])
+                out.append(row + ([len(held), sum(b - a for a, b in held)] if with_shared else []))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None, with_kept: bool | str = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None, with_kept: bool | str = False, words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     ``with_kept``: also the kept bytes, or with "text" the same as text (bytes of
-    a character that a cut went through show as U+FFFD).
+    a character that a cut went through show as U+FFFD). ``words``: also n_passages
+    and n_passage_words, the maximal runs made of passages of that many words that
+    another text holds too, and the words in them, judged on the input.
     """
     rows = _keyed(docs, "doc_id", "text")
-    spans = materialize(repeated_ranges(rows, length, gram).groupBy("did", "rk")
-                        .agg(F.collect_list(F.struct("start", "stop")).alias("ranges")))
+    ranges = repeated_ranges(rows, length, gram).withColumn("shared", F.lit(False))
+    if words:
+        ranges = ranges.unionByName(shared_ranges(rows, words).withColumn("shared", F.lit(True)))
+    place = F.struct("start", "stop")
+    spans = materialize(ranges.groupBy("did", "rk").agg(
+        F.collect_list(F.when(~F.col("shared"), place)).alias("ranges"), F.collect_list(F.when(F.col("shared"), place)).alias("passages")))
     maybe, sure = _split(rows, spans.select("did", "rk"))
     joined = maybe.join(spans.withColumnRenamed("did", "d2").withColumnRenamed("rk", "k2"),
-                        F.col("did").eqNullSafe(F.col("d2")) & (F.col("rk") == F.col("k2")), "left").select("did", "text", "ranges")
-    kinds = _REPORT + (", kept string" if with_kept == "text" else ", kept binary" if with_kept else "")
-    run = _cut_pass(with_kept)
+                        F.col("did").eqNullSafe(F.col("d2")) & (F.col("rk") == F.col("k2")), "left").select("did", "text", "ranges", "passages")
+    kinds = _REPORT + (", kept string" if with_kept == "text" else ", kept binary" if with_kept else "") + (_SHARED if words else "")
+    run = _cut_pass(with_kept, bool(words))
     return joined.mapInArrow(run, kinds).unionByName(sure.select("did", "text").mapInArrow(run, kinds))

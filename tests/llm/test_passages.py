@@ -2,14 +2,15 @@
 
 import hashlib
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from conftest import frame, passage
 from rowcheck import same
 
-from moodspark.llm import passages
+from moodspark.llm import passages, queries
 
 
 def brute(rows, length):
@@ -115,3 +116,55 @@ def test_null_ids_with_colliding_short_hashes_keep_their_bytes(spark):
     got = passages.remove_repeats(frame(spark, rows)).collect()
     assert sorted(r.n_bytes for r in got) == sorted(len(t.encode()) for _, t, _, _ in rows)
     assert sum(r.n_removed > 0 for r in got) == 100
+
+
+def brute_shared(rows, words):
+    """(doc_id, n_passages, n_passage_words) from every window of words, held against the other texts."""
+    texts = [(k, re.findall(r"[^\x20\x09-\x0D]+", t or ""), t or "") for k, t in rows]
+    holders = defaultdict(set)
+    for _, w, t in texts:
+        for i in range(len(w) - words + 1):
+            holders[tuple(w[i:i + words])].add(t)
+    out = []
+    for key, w, _ in texts:
+        held = np.zeros(len(w), dtype=int)
+        for i in range(len(w) - words + 1):
+            if len(holders[tuple(w[i:i + words])]) > 1:
+                held[i:i + words] = 1
+        out.append((key, int((np.diff(np.concatenate([[0], held])) == 1).sum()), int(held.sum())))
+    return out
+
+
+@pytest.mark.parametrize("words, most", [(51, None), (6, None), (6, 60)])
+def test_shared_passages_against_all_windows(spark, docs, rows, words, most):
+    """Copies of a text, repeats within it and words parted by other spaces; ``most`` small: windows are counted."""
+    rng = random.Random(31)
+    p = passage(rng, 12).split()
+    more = [(900 + i, " ".join(p[a:b]) + f" x{i}\n" + "\t ".join(p[c:d]), "en", "a")
+            for i, (a, b, c, d) in enumerate((sorted(rng.sample(range(13), 2)) + sorted(rng.sample(range(13), 2)) for _ in range(40)))]
+    alone = passage(rng, 70)
+    more += [(950, f"{alone} {alone}", "en", "a"), (951, f"{alone} {alone}", "en", "b")]
+    table = docs.select("doc_id", "text").union(frame(spark, more).select("doc_id", "text"))
+    normal = passages.SORTED
+    passages.SORTED = most or normal
+    try:
+        got = [(r.doc_id, r.n_passages, r.n_passage_words) for r in passages.remove_repeats(table, words=words).collect()]
+    finally:
+        passages.SORTED = normal
+    same(got, brute_shared([(a, b) for a, b, _, _ in rows + more], words))
+
+
+def test_passages_of_many_words_below_the_length_are_told(spark, tmp_path):
+    """The query tells passages of over 50 words but under 400 bytes that documents share; the 400-byte rule stays."""
+    rng = random.Random(32)
+    planted = " ".join(passage(rng, 60).split())[:390].rsplit(" ", 1)[0]
+    while len(planted.split()) <= 50:
+        planted = " ".join(w[:4] for w in passage(rng, 60).split())
+    assert len(planted.encode()) < 400
+    rows = [(k, f"{passage(rng, 30)} #{k} {planted} #{k} {passage(rng, 30)}", "en", "a") for k in range(5)]
+    rows += [(10 + k, passage(rng, 120), "en", "b") for k in range(20)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.queries()["op9_repeated_passages"](spark, str(tmp_path)).collect()}
+    n = len(planted.split())
+    assert all((r.n_removed, r.n_passages, r.n_passage_words) == ((0, 1, n) if k < 5 else (0, 0, 0)) for k, r in got.items())
+    assert len(got) == 25
